@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Union
 
 from pyspark.sql import Column
@@ -12,3 +13,8 @@ Col = Union[str, Column]
 
 def col(c: Col) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``."""
+    return F.transform(F.array(value), body)[0]

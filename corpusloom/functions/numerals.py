@@ -24,12 +24,15 @@ def roman(n: Col) -> Column:
 
 def letters(n: Col) -> Column:
     """a … z, aa, ab …: the bijective base-26 form of a positive number."""
-    v, out = col(n).cast("long"), F.lit("")
-    for _ in range(7):  # 26**7 exceeds any 32-bit counter
-        digit = F.char((F.lit(97) + (v - 1) % 26).cast("int"))
-        out = F.when(v > 0, F.concat(digit, out)).otherwise(out)
-        v = F.when(v > 0, F.floor((v - 1) / 26)).otherwise(0)
-    return out
+    start = F.struct(col(n).cast("long").alias("v"), F.lit("").alias("out"))
+
+    def digit(acc: Column, _: Column) -> Column:
+        sign = F.char((F.lit(97) + (acc["v"] - 1) % 26).cast("int"))
+        return F.when(acc["v"] > 0, F.struct(
+            F.floor((acc["v"] - 1) / 26).cast("long").alias("v"), F.concat(sign, acc["out"]).alias("out"))).otherwise(acc)
+
+    # seven digits cover any 32-bit counter
+    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, digit, lambda acc: acc["out"])
 
 
 def counter(n: Col, style: str) -> Column:

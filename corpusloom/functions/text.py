@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import Col, col
+from .columns import Col, col, let
 
 # ── fixed values ────────────────────────────────────────────────────────────
 # Whitespace as the web platform defines it; Java's \s alone is ASCII only.
@@ -95,18 +95,18 @@ def _code_point(n: Column) -> Column:
 def unescape_entities(c: Col) -> Column:
     """Named and numeric entities in one pass, so ``&amp;lt;`` yields ``&lt;``."""
 
-    def one(piece: Column) -> Column:
-        body = F.substring(piece, 2, F.length(piece) - 2)
+    def numeric(piece: Column) -> Column:
         is_hex = F.lower(F.substring(piece, 1, 3)) == "&#x"
-        digits = F.when(is_hex, F.substring(piece, 4, F.length(piece) - 4)).otherwise(
-            F.substring(piece, 3, F.length(piece) - 3))
-        number = F.when(F.length(F.ltrim(F.lit("0"), digits)) > 8, F.lit(-1)).otherwise(
+        digits = F.regexp_replace(piece, "^&#[xX]?0*|;$", "")
+        number = F.when(F.length(digits) > 8, F.lit(-1)).otherwise(
             F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"))
-        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        out = F.when(piece.startswith("&#") & piece.endswith(";"),
-                     F.when(valid, _code_point(number)).otherwise(""))
+        return let(number, lambda n: F.when(
+            n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF), _code_point(n)).otherwise(""))
+
+    def one(piece: Column) -> Column:
+        out = F.when(~piece.startswith("&") | ~piece.endswith(";"), piece).when(piece.startswith("&#"), numeric(piece))
         for name, char in ENTITIES.items():
-            out = out.when(body.eqNullSafe(name) & piece.startswith("&") & piece.endswith(";"), char)
+            out = out.when(piece == f"&{name};", char)
         return out.otherwise(piece)
 
     pieces = F.regexp_extract_all(col(c), F.lit(ENTITY_PIECE), F.lit(0))
@@ -124,13 +124,17 @@ def tidy_fragments(fragments: Col) -> Column:
     def retext(frag: Column, text: Column) -> Column:
         return frag.withField("text", text)
 
+    def trim_first(frags: Column) -> Column:
+        return F.transform(frags, lambda f, i: F.when(i == 0, retext(f, ltrim_ws(f["text"]))).otherwise(f))
+
+    def trim_last(frags: Column) -> Column:
+        return let(F.size(frags) - 1, lambda n: F.transform(
+            frags, lambda f, i: F.when(i == n, retext(f, rtrim_ws(f["text"]))).otherwise(f)))
+
     cleaned = F.filter(
         F.transform(col(fragments), lambda f: retext(f, strip_soft_hyphen_ws(f["text"]))),
         lambda f: f["text"] != "")
-    first = F.transform(cleaned, lambda f, i: F.when(i == 0, retext(f, ltrim_ws(f["text"]))).otherwise(f))
-    last = F.transform(first, lambda f, i: F.when(i == F.size(first) - 1, retext(f, rtrim_ws(f["text"])))
-                       .otherwise(f))
-    return F.filter(last, lambda f: f["text"] != "")
+    return F.filter(let(trim_first(cleaned), trim_last), lambda f: f["text"] != "")
 
 
 def one_line(c: Col) -> Column:

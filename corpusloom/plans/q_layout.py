@@ -1,3 +1,98 @@
-"""Registered plans: layout."""
+"""Registered plans: runs to rows, lines and blocks."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.faces import needs_unicode
+from ..operators import layout, prose
+from ..sources.layout import PAGE_H, PAGE_W, page_counts
+from .registry import plan
+from .views import Views
+
+
+@plan
+def p7_split_by_angle(v: Views) -> DataFrame:
+    return layout.split_by_angle(v.runs).groupBy("doc_id", "page_no", "turned").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+
+
+@plan
+def w1_group_rows(v: Views) -> DataFrame:
+    return layout.group_rows(v.runs.select("doc_id", "page_no", "baseline", "x", "row_no", "run_no", "size")).select(
+        "doc_id", "page_no", "row_no", "run_no", "row")
+
+
+@plan
+def w2_to_text_lines(v: Views) -> DataFrame:
+    return layout.to_text_lines(v.runs)
+
+
+@plan
+def w2_tracked_lines(v: Views) -> DataFrame:
+    return layout.to_text_lines(v.tracked).select("doc_id", "seg", "text", "n_runs")
+
+
+@plan
+def w3_space_threshold(v: Views) -> DataFrame:
+    return layout.space_threshold(v.tracked).select("doc_id", "n", "singles", F.round("threshold", 9).alias("threshold"))
+
+
+@plan
+def w3_prose_threshold(v: Views) -> DataFrame:
+    return layout.space_threshold(v.runs)
+
+
+@plan
+def w4_to_blocks(v: Views) -> DataFrame:
+    return layout.to_blocks(layout.to_text_lines(v.runs)).select("doc_id", "page_no", "row_no", "seg", "block")
+
+
+@plan
+def a1_body_size(v: Views) -> DataFrame:
+    return prose.body_size(layout.to_text_lines(v.runs))
+
+
+@plan
+def a2_lower_median(v: Views) -> DataFrame:
+    return v.lines.withColumn("n", F.length("line").cast("long")).groupBy("doc_id").agg(layout.lower_median("n").cast("long").alias("median"))
+
+
+@plan
+def a4_align_of(v: Views) -> DataFrame:
+    lines = layout.to_text_lines(v.runs).where("seg = 0")
+    return layout.block_shape(lines, ["doc_id", "page_no"], "row_no").select("doc_id", "page_no", "n_lines", "align")
+
+
+@plan
+def a14_doc_facts(v: Views) -> DataFrame:
+    return prose.doc_facts(v.documents.select("doc_id", "n_chars"), page_counts(v.documents), v.boxes, PAGE_W, PAGE_H)
+
+
+@plan
+def a15_faces_needed(v: Views) -> DataFrame:
+    return prose.faces_needed(v.scripted.select(F.col("source").alias("face"), needs_unicode("text").alias("wide")))
+
+
+@plan
+def a16_leading(v: Views) -> DataFrame:
+    return layout.block_shape(layout.to_text_lines(v.runs).where("seg = 0"), ["doc_id", "page_no"], "row_no").select(
+        "doc_id", "page_no", "leading", "size", "x0", "x1")
+
+
+@plan
+def j10_reading_order(v: Views) -> DataFrame:
+    """Odd rows come first in the content stream; turned runs are missing from it."""
+    lines = layout.to_text_lines(v.runs).where("seg = 0").select(
+        "doc_id", "page_no", F.col("row_no").alias("block"), "x0", "baseline")
+    content = v.runs.where("angle = 0").select(
+        "doc_id", "page_no", "x", "baseline", ((1 - F.col("row_no") % 2) * 100000 + F.col("row_no") * 100 + F.col("run_no")).alias("idx"))
+    return layout.reading_order(lines, content)
+
+
+@plan
+def o1_order_blocks(v: Views) -> DataFrame:
+    blocks = layout.to_text_lines(v.runs).select(
+        "doc_id", "page_no", "row_no", F.col("baseline").alias("y"), F.col("x0").alias("x"), F.col("seg").alias("id"))
+    return layout.order_blocks(blocks)

@@ -1,3 +1,132 @@
-"""Registered plans: prose."""
+"""Registered plans: boilerplate, hyphens, paragraphs, headings, chunks, spans."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import slug
+from ..operators import layout, prose
+from ..sources.layout import page_counts
+from .registry import plan
+from .views import L, Views
+
+
+def text_lines(v: Views) -> DataFrame:
+    return layout.to_text_lines(v.runs).where("seg = 0")
+
+
+def sheet_items(v: Views) -> DataFrame:
+    """Wrapped lines as items, three to a sheet; very short ones stand as headings."""
+    return v.wrapped.select("doc_id", F.col("vline").alias("seq"), (L(F.floor(F.col("vline") / 3)) + 1).alias("page"),
+                            F.when(F.length("text") <= 12, "h1").otherwise("p").alias("tag"), "text")
+
+
+def line_items(v: Views) -> DataFrame:
+    """Document lines as items; short lines are headings."""
+    return v.lines.where("line <> ''").join(page_counts(v.documents).withColumnRenamed("n_pages", "sheets"), "doc_id").select(
+        "doc_id", F.col("line_no").alias("item"), F.when(F.length("line") <= 60, "h1").otherwise("p").alias("tag"),
+        F.col("line").alias("text"), "sheets")
+
+
+@plan
+def a7_furniture_keys(v: Views) -> DataFrame:
+    edges = v.lines.where(prose.edge_lines(v.lines)).withColumn("key", prose.furniture_key("line"))
+    return prose.furniture_keys(edges, "source", "doc_id", "key")
+
+
+@plan
+def c1_drop_furniture(v: Views) -> DataFrame:
+    return prose.drop_furniture(v.lines, prose.edge_lines(v.lines), "source", "doc_id", "line")
+
+
+@plan
+def c1_removed_per_source(v: Views) -> DataFrame:
+    kept = c1_drop_furniture(v).groupBy("source").agg(F.count(F.lit(1)).alias("n_kept"))
+    every = v.lines.groupBy("source").agg(F.count(F.lit(1)).alias("n_lines"))
+    return every.join(kept, "source", "left").select(
+        "source", "n_lines", (F.col("n_lines") - F.coalesce("n_kept", F.lit(0))).alias("n_removed"))
+
+
+@plan
+def a13_compounds(v: Views) -> DataFrame:
+    return prose.compounds(v.wrapped)
+
+
+@plan
+def w5_paragraphs(v: Views) -> DataFrame:
+    lines = text_lines(v)
+    align = layout.block_shape(lines, ["doc_id", "page_no"], "row_no").select("doc_id", "page_no", "align")
+    return prose.paragraphs(lines.join(align, ["doc_id", "page_no"]), ["doc_id", "page_no"], ["row_no"]).select(
+        "doc_id", "page_no", "row_no", "para")
+
+
+@plan
+def w6_stitch(v: Views) -> DataFrame:
+    return prose.stitch(sheet_items(v), prose.compounds(v.wrapped))
+
+
+@plan
+def w7_bridge(v: Views) -> DataFrame:
+    bridged = prose.bridge(v.wrapped, prose.compounds(v.wrapped), ["doc_id"], ["vline"])
+    return prose.join_lines(bridged, ["doc_id"], "vline", n_lines=F.count(F.lit(1)))
+
+
+@plan
+def w8_classify(v: Views) -> DataFrame:
+    lines = text_lines(v)
+    items = lines.select("doc_id", "row_no", "text", "size", F.lit(1).cast("long").alias("n_lines"))
+    return prose.classify(items, prose.body_size(lines)).select("doc_id", "row_no", "size", "tag")
+
+
+@plan
+def w9_chunk(v: Views) -> DataFrame:
+    return prose.chunk(line_items(v)).select("doc_id", "item", "tag", "chunk")
+
+
+@plan
+def w9_chunk_small(v: Views) -> DataFrame:
+    return prose.chunk(line_items(v), limit=2000).select("doc_id", "item", "tag", "chunk")
+
+
+@plan
+def w10_toc(v: Views) -> DataFrame:
+    titles = v.documents.select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"))
+    return prose.toc(prose.chunk(line_items(v), limit=2000), titles)
+
+
+@plan
+def w11_merge_runs(v: Views) -> DataFrame:
+    spans = v.runs.select("doc_id", "row_no", "run_no", F.concat("text", F.lit(" ")).alias("text"),
+                          F.when(F.col("bold"), F.lit(True)).alias("bold"), "italic")
+    return prose.merge_runs(spans, ["doc_id", "row_no"], ["run_no"], ["bold", "italic"])
+
+
+@plan
+def w12_absorb_spaces(v: Views) -> DataFrame:
+    pieces = v.lines.select("doc_id", "line_no", F.posexplode(
+        F.regexp_extract_all("line", F.lit(" +|[^ ]+"), F.lit(0))).alias("seq", "text"))
+    return prose.absorb_spaces(pieces, ["doc_id", "line_no"], "seq")
+
+
+@plan
+def w13_squeeze_blanks(v: Views) -> DataFrame:
+    return prose.squeeze_blanks(v.gappy, ["doc_id"], "line_no")
+
+
+@plan
+def w23_unique_names(v: Views) -> DataFrame:
+    return prose.unique_names(v.labels_of_fields, "doc_id", "line_no", "label", slug("label"))
+
+
+@plan
+def w25_eol_lines(v: Views) -> DataFrame:
+    ends = v.lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("seq", "w"),
+                          F.size(F.split("line", " ")).alias("n"))
+    items = ends.select("doc_id", "line_no", "seq", F.concat("w", F.lit("_")).alias("text"), (F.col("seq") == F.col("n") - 1).alias("eol"))
+    return prose.eol_lines(items, ["doc_id"], ["line_no", "seq"])
+
+
+@plan
+def w27_strip_instructions(v: Views) -> DataFrame:
+    return prose.strip_instructions(v.tokens, ["doc_id"], ["line_no", "word_no"])
