@@ -14,12 +14,12 @@ ROMAN = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC
 
 
 def roman(n: Col) -> Column:
-    """Roman numeral by quotient and remainder over the sign table."""
-    left, parts = col(n).cast("long"), []
-    for value, sign in ROMAN:
-        parts.append(F.repeat(F.lit(sign), F.floor(left / value).cast("int")))
-        left = left % value
-    return F.concat(*parts)
+    """Roman numeral by quotient and remainder along the sign table."""
+    table = F.array(*[F.struct(F.lit(value).alias("value"), F.lit(sign).alias("sign")) for value, sign in ROMAN])
+    start = F.struct(col(n).cast("long").alias("left"), F.lit("").alias("out"))
+    return F.aggregate(table, start, lambda acc, t: F.struct(
+        (acc["left"] % t["value"]).alias("left"),
+        F.concat(acc["out"], F.repeat(t["sign"], F.floor(acc["left"] / t["value"]).cast("int"))).alias("out")), lambda acc: acc["out"])
 
 
 def letters(n: Col) -> Column:

@@ -19,10 +19,10 @@ def redact(runs: DataFrame, boxes: DataFrame) -> DataFrame:
     Painting is strict: touching edges do not count. The page equality keeps
     this a hash join however many boxes there are.
     """
-    b = boxes.select("doc_id", "page_no", *[F.col(c).alias(f"_{c}") for c in ("x", "y", "w", "h")])
+    b = boxes.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "page_no", "x", "y", "w", "h")])
     top = F.col("baseline") - F.col("size")
     r = runs.withColumn("_top", top)
-    hit = ((r["doc_id"] == b["doc_id"]) & (r["page_no"] == b["page_no"])
+    hit = ((F.col("doc_id") == F.col("_doc_id")) & (F.col("page_no") == F.col("_page_no"))
            & (F.col("x") < F.col("_x") + F.col("_w")) & (F.col("x") + F.col("w") > F.col("_x"))
            & (F.col("_top") < F.col("_y") + F.col("_h")) & (F.col("baseline") > F.col("_y")))
     kept = r.join(b, hit, "left_anti").drop("_top")

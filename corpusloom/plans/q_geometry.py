@@ -1,3 +1,66 @@
-"""Registered plans: geometry."""
+"""Registered plans: overlap, hit tests, redaction, merging."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import geometry, redaction
+from .registry import plan
+from .views import L, Views
+
+
+def selections(v: Views) -> DataFrame:
+    """One mark action per day, selecting that day's signup rectangles."""
+    days = v.events.select(F.col("event_id").alias("rect_id"), F.date_format("ts", "yyyy-MM-dd").alias("action"))
+    return v.rects.where("variant = 'signup'").join(days, "rect_id").select("action", "page", "rect_id", *geometry.BOX)
+
+
+@plan
+def j1_text_in(v: Views) -> DataFrame:
+    return geometry.text_in(v.runs, v.boxes)
+
+
+@plan
+def j2_match_marks(v: Views) -> DataFrame:
+    return geometry.match_marks(v.rects, ["page", "variant"], "rect_id")
+
+
+@plan
+def j3_toggle_marks(v: Views) -> DataFrame:
+    return geometry.toggle_marks(v.rects.where("variant = 'view'"), selections(v))
+
+
+@plan
+def j4_hit_test(v: Views) -> DataFrame:
+    return geometry.hit_test(v.rects, v.points, "rect_id")
+
+
+@plan
+def j5_overlapping_pairs(v: Views) -> DataFrame:
+    return geometry.overlapping_pairs(v.rects, ["page"], "rect_id")
+
+
+@plan
+def j6_redact(v: Views) -> DataFrame:
+    return redaction.redact(v.runs, v.boxes).groupBy("doc_id", "page_no", "flattened").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("x") * 31 + F.col("run_no")).alias("digest"))
+
+
+@plan
+def w17_merge_rects(v: Views) -> DataFrame:
+    rects = v.runs.select("doc_id", "page_no", "x", (F.col("baseline") - F.col("size")).alias("y"), "w", F.col("size").alias("h"))
+    return geometry.merge_rects(rects, ["doc_id", "page_no"])
+
+
+@plan
+def a3_extent(v: Views) -> DataFrame:
+    parts = v.rects.withColumn("pad", L(F.when(F.col("variant") == "click", 3).otherwise(0)))
+    return geometry.extent(parts, ["page"])
+
+
+@plan
+def p14_drop_trivial(v: Views) -> DataFrame:
+    marks = v.rects.select("rect_id", F.when(F.col("variant") == "click", "ink").otherwise("shape").alias("kind"),
+                           (F.col("rect_id") % 4).alias("n_points"), (F.col("w") % 7).alias("w"), (F.col("h") % 9).alias("h"))
+    return geometry.drop_trivial(marks)

@@ -1,3 +1,52 @@
-"""SQL: geometry."""
+"""SQL: overlap, hit tests, redaction, merging."""
 
-SQL: dict[str, str] = {}
+_SHAPES = "SELECT {keys}, x, y, w, h, min(rect_id) AS id, count(*) AS copies FROM {rects} GROUP BY ALL"
+
+
+def _pairs(keys: str, rects: str = "v_rects") -> str:
+    s = _SHAPES.format(keys=keys, rects=rects)
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    cols = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    return f"""
+        SELECT {cols}, a.id AS a, b.id AS b, a.copies AS a_copies, b.copies AS b_copies, a.w * a.h AS aa, b.w * b.h AS ba,
+               (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS shared
+        FROM ({s}) a JOIN ({s}) b ON {on} AND (a.id < b.id OR (a.id = b.id AND a.copies > 1))
+             AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h"""
+
+
+_SEL = "SELECT strftime(e.ts, '%Y-%m-%d') AS action, r.* FROM v_rects r JOIN events e ON r.rect_id = e.event_id WHERE variant = 'signup'"
+_HITS = f"""
+    SELECT DISTINCT s.action, m.page, m.rect_id FROM ({_SEL}) s JOIN v_rects m ON m.variant = 'view' AND m.page = s.page
+      AND s.x < m.x + m.w AND m.x < s.x + s.w AND s.y < m.y + m.h AND m.y < s.y + s.h
+    WHERE (least(s.x + s.w, m.x + m.w) - greatest(s.x, m.x)) * (least(s.y + s.h, m.y + m.h) - greatest(s.y, m.y)) >= 0.6 * least(s.w * s.h, m.w * m.h)"""
+
+SQL: dict[str, str] = {
+    "j1_text_in": """
+        SELECT r.doc_id, r.page_no, trim(regexp_replace(string_agg(text, ' ' ORDER BY (baseline - size) // 30, r.x, run_no), '\\s+', ' ', 'g')) AS text,
+               (arg_min(size, ((baseline - size) // 30) * 100000 + r.x) + 5) // 10 AS size, arg_min(bold, ((baseline - size) // 30) * 100000 + r.x) AS bold, count(*) AS n_runs
+        FROM v_runs r JOIN v_boxes b ON r.doc_id = b.doc_id AND r.page_no = b.page_no
+             AND r.x + r.w >= b.x AND r.x <= b.x + b.w AND baseline >= b.y AND baseline - size <= b.y + b.h GROUP BY 1, 2""",
+    "j2_match_marks": f"""
+        SELECT page, variant, a, b, a_copies, b_copies FROM ({_pairs('page, variant')}) WHERE shared / aa >= 0.6 OR shared / ba >= 0.6""",
+    "j3_toggle_marks": f"""
+        SELECT action, page, rect_id, 'remove' AS op FROM ({_HITS})
+        UNION ALL SELECT action, page, rect_id, 'insert' FROM ({_SEL}) WHERE action NOT IN (SELECT action FROM ({_HITS}))""",
+    "j4_hit_test": """
+        SELECT point_id, max(rect_id) AS hit FROM v_points p LEFT JOIN v_rects r ON p.page = r.page AND px BETWEEN x AND x + w AND py BETWEEN y AND y + h GROUP BY 1""",
+    "j5_overlapping_pairs": f"SELECT page, a, b, a_copies, b_copies FROM ({_pairs('page')})",
+    "j6_redact": """
+        SELECT doc_id, page_no, flattened, count(*) AS n, sum(w)::BIGINT AS w, sum(x * 31 + run_no)::BIGINT AS digest FROM (
+          SELECT r.*, b.doc_id IS NOT NULL AS flattened,
+                 b.doc_id IS NOT NULL AND r.x < b.x + b.w AND r.x + r.w > b.x AND baseline - size < b.y + b.h AND baseline > b.y AS gone
+          FROM v_runs r LEFT JOIN v_boxes b ON r.doc_id = b.doc_id AND r.page_no = b.page_no) WHERE NOT gone GROUP BY 1, 2, 3""",
+    "w17_merge_rects": """
+        SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y) - 1 AS line, x, y, w, h FROM (
+          SELECT doc_id, page_no, min(x) AS x, min(baseline - size) AS y, max(x + w) - min(x) AS w, min(size) AS h FROM v_runs GROUP BY doc_id, page_no, row_no)""",
+    "a3_extent": """
+        SELECT page, x, y, x1 - x AS w, y1 - y AS h FROM (
+          SELECT page, min(x - p) AS x, min(y - p) AS y, max(x + w + p) AS x1, max(y + h + p) AS y1
+          FROM (SELECT *, CASE WHEN variant = 'click' THEN 3 ELSE 0 END AS p FROM v_rects) GROUP BY 1)""",
+    "p14_drop_trivial": """
+        SELECT * FROM (SELECT rect_id, CASE WHEN variant = 'click' THEN 'ink' ELSE 'shape' END AS kind, rect_id % 4 AS n_points, w % 7 AS w, h % 9 AS h FROM v_rects)
+        WHERE CASE WHEN kind = 'ink' THEN n_points >= 2 ELSE w >= 4 OR h >= 4 END""",
+}
