@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DESCRIPTIVE = ("title", "author", "subject", "keywords", "producer", "creator")
@@ -13,19 +13,27 @@ def strip_metadata(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit("") for c in DESCRIPTIVE if c in df.columns})
 
 
+def _painted(boxes: DataFrame) -> tuple[DataFrame, Column]:
+    """Boxes under private names and the strict overlap test; touching edges do not count."""
+    b = boxes.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "page_no", "x", "y", "w", "h")])
+    hit = ((F.col("doc_id") == F.col("_doc_id")) & (F.col("page_no") == F.col("_page_no"))
+           & (F.col("x") < F.col("_x") + F.col("_w")) & (F.col("x") + F.col("w") > F.col("_x"))
+           & (F.col("baseline") - F.col("size") < F.col("_y") + F.col("_h")) & (F.col("baseline") > F.col("_y")))
+    return b, hit
+
+
 def redact(runs: DataFrame, boxes: DataFrame) -> DataFrame:
     """Runs that no box overlaps; a page with any box stops being selectable text.
 
-    Painting is strict: touching edges do not count. The page equality keeps
-    this a hash join however many boxes there are.
+    The page equality keeps this a hash join however many boxes there are.
     """
-    b = boxes.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "page_no", "x", "y", "w", "h")])
-    top = F.col("baseline") - F.col("size")
-    r = runs.withColumn("_top", top)
-    hit = ((F.col("doc_id") == F.col("_doc_id")) & (F.col("page_no") == F.col("_page_no"))
-           & (F.col("x") < F.col("_x") + F.col("_w")) & (F.col("x") + F.col("w") > F.col("_x"))
-           & (F.col("_top") < F.col("_y") + F.col("_h")) & (F.col("baseline") > F.col("_y")))
-    kept = r.join(b, hit, "left_anti").drop("_top")
+    b, hit = _painted(boxes)
     flagged = boxes.select("doc_id", "page_no").distinct().withColumn("flattened", F.lit(True))
-    return (kept.join(flagged, ["doc_id", "page_no"], "left")
+    return (runs.join(b, hit, "left_anti").join(flagged, ["doc_id", "page_no"], "left")
             .withColumn("flattened", F.coalesce("flattened", F.lit(False))))
+
+
+def leaks(released: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Released runs a box should have removed; empty for a sound release."""
+    b, hit = _painted(boxes)
+    return released.join(b, hit, "left_semi")

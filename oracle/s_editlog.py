@@ -1,3 +1,45 @@
-"""SQL: editlog."""
+"""SQL: state folded from edit logs."""
 
-SQL: dict[str, str] = {}
+_STATE = """
+    SELECT doc, name, kind, value, is_on, event_id, false AS seeded FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc, name ORDER BY ts DESC, event_id DESC) AS rn FROM v_field_log WHERE NOT seed)
+    WHERE rn = 1 AND NOT (kind = 'text' AND value = '')
+    UNION ALL
+    SELECT doc, name, kind, value, CASE WHEN kind IN ('text', 'choice') THEN is_on ELSE true END, event_id, true FROM (
+      SELECT s.*, row_number() OVER (PARTITION BY s.doc, s.name ORDER BY s.ts, s.event_id) AS rn FROM v_field_log s
+      LEFT JOIN (SELECT * FROM v_field_log WHERE NOT seed QUALIFY row_number() OVER (PARTITION BY doc, name ORDER BY ts DESC, event_id DESC) = 1) e
+        ON s.doc = e.doc AND s.name = e.name
+      WHERE s.seed AND s.value <> '' AND (e.doc IS NULL OR (e.kind = 'text' AND e.value = '' AND (s.ts, s.event_id) > (e.ts, e.event_id)))) WHERE rn = 1"""
+
+_BOXES = """
+    SELECT doc, name, widget_id, least(x0, x1) AS x, least(y0, y1) AS y FROM v_widgets
+    WHERE NOT hidden AND NOT push_button AND abs(x1 - x0) >= 3 AND abs(y1 - y0) >= 3 AND NOT (read_only AND field_value = '')"""
+
+SQL: dict[str, str] = {
+    "t2_field_state": _STATE,
+    "t3_live_annots": """
+        SELECT l.doc, id, page, event_id FROM (
+          SELECT * FROM v_annot_log WHERE op IN ('add', 'remove') QUALIFY row_number() OVER (PARTITION BY doc, id ORDER BY ts DESC, event_id DESC) = 1) l
+        LEFT JOIN (SELECT doc, max(ts) AS cleared FROM v_annot_log WHERE op = 'clear' GROUP BY 1) c ON l.doc = c.doc
+        WHERE op = 'add' AND (cleared IS NULL OR ts > cleared)""",
+    "t4_changed_pages": """
+        SELECT DISTINCT doc, strftime(t, '%Y-%m-%d %H') AS "commit", page FROM (
+          SELECT doc, ts AS t, page FROM v_annot_log WHERE op = 'add'
+          UNION ALL
+          SELECT a.doc, e.ts, a.page FROM v_annot_log a, LATERAL (
+            SELECT n.ts, n.op FROM v_annot_log n WHERE n.doc = a.doc AND n.ts > a.ts AND (n.op = 'clear' OR (n.id = a.id AND n.op IN ('add', 'remove')))
+            ORDER BY n.ts LIMIT 1) e WHERE a.op = 'add' AND e.op <> 'add')""",
+    "t5_coalesce_bursts": """
+        SELECT doc, strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01'), '%Y-%m-%d %H:%M') AS tick, count(*) AS n, arg_max(event_id, ts) AS last_id
+        FROM v_field_log GROUP BY 1, 2""",
+    "t6_handoff": """
+        SELECT doc, event_id, CASE WHEN p IN ('click', 'view') THEN 'file' || pid END AS value FROM (
+          SELECT user_id AS doc, event_id, event_type, lag(event_type) OVER o AS p, lag(event_id) OVER o AS pid FROM events WHERE event_type <> 'signup'
+          WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type IN ('purchase', 'error')""",
+    "t7_dedupe_payload": "SELECT doc, stamp, arg_min(event_id, ts) AS payload_id, count(*) AS n_snapshots FROM v_revisions GROUP BY 1, 2",
+    "t8_restore_cost": """
+        SELECT doc, event_id, p = stamp AS cheap FROM (SELECT *, lag(stamp) OVER (PARTITION BY doc ORDER BY ts, event_id) AS p FROM v_revisions) WHERE p IS NOT NULL""",
+    "a5_completion": f"""
+        SELECT doc, count(*) AS touched, count(*) FILTER (CASE WHEN kind IN ('check', 'radio') THEN is_on ELSE value <> '' END) AS filled FROM ({_STATE}) GROUP BY 1""",
+    "p10_mirror_values": f"SELECT b.*, s.value, s.is_on FROM ({_BOXES}) b JOIN ({_STATE}) s ON b.doc = s.doc AND b.name = s.name",
+}
