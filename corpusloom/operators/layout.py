@@ -51,16 +51,20 @@ def split_by_angle(runs: DataFrame) -> DataFrame:
 # runs → rows ------------------------------------------------------------------
 
 
-def _rows_of_page(baseline: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _rows_of_page(baseline: np.ndarray, size: np.ndarray, turned: np.ndarray) -> np.ndarray:
     """Label runs (already in baseline, x order) with the first row whose anchor is near enough.
 
     Anchors only grow along a sorted page, so rows whose anchor lies further
-    back than the widest tolerance can never match again.
+    back than the widest tolerance can never match again. A turned run is a row
+    of its own, numbered below zero.
     """
     out = np.zeros(len(baseline), dtype=np.int64)
     anchors: list[tuple[float, float]] = []
     reach, start = SAME_LINE * size.max() if len(size) else 0.0, 0
     for i, (b, s) in enumerate(zip(baseline, size)):
+        if turned[i]:
+            out[i] = -1 - i
+            continue
         while start < len(anchors) and b - anchors[start][0] >= reach:
             start += 1
         for j in range(start, len(anchors)):
@@ -77,13 +81,13 @@ def group_rows(runs: DataFrame) -> DataFrame:
     """Add ``row``: runs on one baseline, judged against the row's first run."""
 
     @F.pandas_udf("array<long>")
-    def label(baselines: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([_rows_of_page(np.asarray(b, dtype=float), np.asarray(s, dtype=float))
-                          for b, s in zip(baselines, sizes)])
+    def label(baselines: pd.Series, sizes: pd.Series, angles: pd.Series) -> pd.Series:
+        return pd.Series([_rows_of_page(np.asarray(b, dtype=float), np.asarray(s, dtype=float), np.abs(np.asarray(a)) >= UPRIGHT_DEGREES)
+                          for b, s, a in zip(baselines, sizes, angles)])
 
     rest = [c for c in runs.columns if c not in (*PAGE, "baseline", "x")]
     pages = runs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("baseline", "x", *rest))).alias("r"))
-    labelled = pages.withColumn("row", label(F.col("r.baseline"), F.col("r.size")))
+    labelled = pages.withColumn("row", label(F.col("r.baseline"), F.col("r.size"), F.col("r.angle")))
     return labelled.select(*PAGE, F.inline(F.transform(
         F.arrays_zip("r", "row"), lambda z: F.struct(*[z["r"][c].alias(c) for c in ("baseline", "x", *rest)],
                                                      z["row"].alias("row")))))
@@ -155,43 +159,52 @@ def to_text_lines(runs: DataFrame, row: str = "row_no") -> DataFrame:
 # lines → blocks ---------------------------------------------------------------
 
 
-def _blocks_of_page(baseline, x0, x1, size, bullet) -> np.ndarray:
-    """Label a page's lines (in reading order); a line joins the block above or starts one."""
-    out, block, gaps = np.zeros(len(baseline), dtype=np.int64), 0, []
-    for i in range(1, len(baseline)):
-        p = i - 1
-        gap = baseline[i] - baseline[p]
-        typical = sorted(gaps)[(len(gaps) - 1) // 2] if gaps else size[p] * LEADING
-        shared = min(x1[p], x1[i]) - max(x0[p], x0[i])
-        narrower = min(x1[p] - x0[p], x1[i] - x0[i])
-        big = max(size[p], size[i])
-        slack = EDGE_SLACK * big
-        joined = (
-            not bullet[i] and 0 < gap <= LINE_GAP * typical
-            and narrower > 0 and shared / narrower >= OVERLAP
-            and abs(size[p] - size[i]) / big <= SIZE_JUMP
-            and (abs(x0[p] - x0[i]) < slack or abs(x1[p] - x1[i]) < slack
-                 or abs((x0[p] + x1[p]) / 2 - (x0[i] + x1[i]) / 2) < slack))
-        if joined:
-            gaps.append(gap)
-        else:
+def _blocks_of_page(baseline, x0, x1, size, bullet, turned) -> np.ndarray:
+    """Label a page's lines (in reading order); a line joins the block above or starts one.
+
+    Turned lines are blocks of their own and interrupt nothing.
+    """
+    out, block, gaps, p, turns = np.zeros(len(baseline), dtype=np.int64), -1, [], None, 0
+    for i in range(len(baseline)):
+        if turned[i]:
+            turns += 1
+            out[i] = -turns
+            continue
+        if p is None or bullet[i] or not _joins(baseline, x0, x1, size, p, i, gaps):
             block, gaps = block + 1, []
-        out[i] = block
+        else:
+            gaps.append(baseline[i] - baseline[p])
+        out[i], p = block, i
     return out
 
 
-def to_blocks(lines: DataFrame) -> DataFrame:
+def _joins(baseline, x0, x1, size, p: int, i: int, gaps: list) -> bool:
+    gap = baseline[i] - baseline[p]
+    typical = sorted(gaps)[(len(gaps) - 1) // 2] if gaps else size[p] * LEADING
+    narrower = min(x1[p] - x0[p], x1[i] - x0[i])
+    big = max(size[p], size[i])
+    near = EDGE_SLACK * big
+    axis = abs((x0[p] + x1[p]) - (x0[i] + x1[i])) / 2
+    return bool(
+        0 < gap <= LINE_GAP * typical
+        and narrower > 0 and (min(x1[p], x1[i]) - max(x0[p], x0[i])) / narrower >= OVERLAP
+        and abs(size[p] - size[i]) / big <= SIZE_JUMP
+        and min(abs(x0[p] - x0[i]), abs(x1[p] - x1[i]), axis) < near)
+
+
+def to_blocks(lines: DataFrame, turned: Column | None = None) -> DataFrame:
     """Add ``block`` to each line of a page, in reading order."""
 
     @F.pandas_udf("array<long>")
-    def label(baseline: pd.Series, x0: pd.Series, x1: pd.Series, size: pd.Series, bullet: pd.Series) -> pd.Series:
-        return pd.Series([_blocks_of_page(*page) for page in zip(baseline, x0, x1, size, bullet)])
+    def label(baseline: pd.Series, x0: pd.Series, x1: pd.Series, size: pd.Series, bullet: pd.Series, turned: pd.Series) -> pd.Series:
+        return pd.Series([_blocks_of_page(*page) for page in zip(baseline, x0, x1, size, bullet, turned)])
 
     lead = ["baseline", "x0"]
     rest = [c for c in lines.columns if c not in (*PAGE, *lead)]
-    marked = lines.withColumn("_bullet", F.col("text").rlike(BULLET))
-    pages = marked.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*lead, *rest, "_bullet"))).alias("l"))
-    labelled = pages.withColumn("block", label("l.baseline", "l.x0", "l.x1", "l.size", "l._bullet"))
+    marked = (lines.withColumn("_bullet", F.col("text").rlike(BULLET))
+              .withColumn("_turned", F.lit(False) if turned is None else turned))
+    pages = marked.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*lead, *rest, "_bullet", "_turned"))).alias("l"))
+    labelled = pages.withColumn("block", label("l.baseline", "l.x0", "l.x1", "l.size", "l._bullet", "l._turned"))
     return labelled.select(*PAGE, F.inline(F.transform(
         F.arrays_zip("l", "block"), lambda z: F.struct(*[z["l"][c].alias(c) for c in (*lead, *rest)],
                                                        z["block"].alias("block")))))
@@ -203,24 +216,41 @@ def block_shape(lines: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     The last line of three or more is left out of the right-edge test.
     """
     along = Window.partitionBy(*keys).orderBy(order)
-    last = F.lead(F.lit(1)).over(along).isNull()
     body = F.when(~F.col("_last"), F.col("x1"))
     n = F.col("n_lines")
     mid = (F.col("x0") + F.col("x1")) / 2
-    shape = lines.withColumn("_last", last).groupBy(*keys).agg(
+    shape = lines.withColumn("_last", F.lead(F.lit(1)).over(along).isNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_lines"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
         F.min("baseline").alias("first_base"), F.max("baseline").alias("last_base"),
         F.min_by("size", order).alias("size"),
         (F.max("x0") - F.min("x0")).alias("_left"), (F.max(mid) - F.min(mid)).alias("_mid"),
         (F.max("x1") - F.min("x1")).alias("_right"), (F.max(body) - F.min(body)).alias("_body"))
-    slack = EDGE_SLACK * F.col("size")
-    flush_left = F.col("_left") < slack
-    flush_right = F.when(n > 2, F.col("_body")).otherwise(F.col("_right")) < slack
-    align = (F.when(n == 1, "left").when(flush_left & flush_right, "justify")
-             .when((F.col("_mid") < slack) & ~flush_left, "center").when(flush_right & ~flush_left, "right").otherwise("left"))
     leading = F.when(n == 1, F.col("size") * LEADING).otherwise(
         (F.col("last_base") - F.col("first_base")) / (n - 1))
-    return shape.withColumn("align", align).withColumn("leading", leading).drop("_left", "_mid", "_right", "_body")
+    return (shape.withColumn("align", _align(n, *[F.col(c) for c in ("size", "_left", "_mid", "_right", "_body")]))
+            .withColumn("leading", leading).drop("_left", "_mid", "_right", "_body"))
+
+
+def _align(n: Column, size: Column, left: Column, mid: Column, right: Column, body: Column) -> Column:
+    slack = EDGE_SLACK * size
+    flush_left, flush_right = left < slack, F.when(n > 2, body).otherwise(right) < slack
+    return (F.when(n == 1, "left").when(flush_left & flush_right, "justify")
+            .when((mid < slack) & ~flush_left, "center").when(flush_right & ~flush_left, "right").otherwise("left"))
+
+
+def with_align(lines: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Add each line's block alignment in the same pass that orders the block."""
+    whole = Window.partitionBy(*keys)
+    along = whole.orderBy(order)
+    body = F.when(~F.col("_last"), F.col("x1"))
+    mid = (F.col("x0") + F.col("x1")) / 2
+
+    def spread(c: Column) -> Column:
+        return F.max(c).over(whole) - F.min(c).over(whole)
+
+    size = F.first("size").over(along)
+    align = _align(F.count(F.lit(1)).over(whole), size, spread(F.col("x0")), spread(mid), spread(F.col("x1")), spread(body))
+    return lines.withColumn("_last", F.lead(F.lit(1)).over(along).isNull()).withColumn("align", align).drop("_last")
 
 
 def order_blocks(blocks: DataFrame, y: str = "y", x: str = "x", tie: str = "id") -> DataFrame:

@@ -85,6 +85,15 @@ def body_size(lines: DataFrame, size: str = "size", text: str = "text", order: s
         F.max_by("k", F.struct("n", -F.col("first"))), F.lit(DEFAULT_BODY)).cast("long").alias("body"))
 
 
+def with_body_size(lines: DataFrame, size: str = "size", text: str = "text", order: str = "row_no") -> DataFrame:
+    """Add the document's body size to every line without a second pass over the lines."""
+    by_size = Window.partitionBy("doc_id", "_k")
+    weight = F.struct(F.sum(F.length(text)).over(by_size).alias("n"), (-F.min(order).over(by_size)).alias("first"))
+    half_point = (F.floor(F.col(size) / 5 + 0.5) * 5).cast("long")
+    return (lines.withColumn("_k", half_point).withColumn("_w", weight)
+            .withColumn("body", F.max_by("_k", "_w").over(Window.partitionBy("doc_id"))).drop("_k", "_w"))
+
+
 def compounds(lines: DataFrame, text: str = "text") -> DataFrame:
     """Hyphenated compounds seen whole inside a line, per document."""
     found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(COMPOUND), F.lit(1))))
@@ -177,18 +186,19 @@ def stitch_groups(items: DataFrame) -> DataFrame:
 
 
 def stitch(items: DataFrame, seen: DataFrame) -> DataFrame:
-    """Paragraphs rejoined across sheet boundaries: doc, item, tag, page, text."""
+    """Paragraphs rejoined across sheet boundaries: doc, item, tag, page, text (and sheets, if given)."""
     grouped = stitch_groups(items)
     bridged = bridge(grouped, seen, ["doc_id", "item"], ["seq"])
-    return join_lines(bridged, ["doc_id", "item"], "seq", tag=F.min_by("tag", "seq"), page=F.max("page"))
+    extra = {"sheets": F.max("sheets")} if "sheets" in items.columns else {}
+    return join_lines(bridged, ["doc_id", "item"], "seq", tag=F.min_by("tag", "seq"), page=F.max("page"), **extra)
 
 
-def classify(items: DataFrame, bodies: DataFrame) -> DataFrame:
-    """h1, h2 or p from the size of short texts relative to the body size."""
+def classify(items: DataFrame) -> DataFrame:
+    """h1, h2 or p from the size of short texts relative to the document's ``body`` size."""
     short = (F.length("text") <= HEADING_CHARS) & (F.col("n_lines") <= HEADING_LINES)
     tag = (F.when(~short, "p").when(F.col("size") >= F.col("body") * H1_RATIO, "h1")
            .when(F.col("size") >= F.col("body") * H2_RATIO, "h2").otherwise("p"))
-    return items.join(bodies, "doc_id").withColumn("tag", tag).drop("body")
+    return items.withColumn("tag", tag).drop("body")
 
 
 # paragraphs → chunks ------------------------------------------------------------

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import let
-from ..functions.text import trim_ws
-
 # ── fixed values ────────────────────────────────────────────────────────────
 MIN_HIT = 2
 # ────────────────────────────────────────────────────────────────────────────
@@ -20,21 +17,15 @@ def find(runs: DataFrame, queries: list[str]) -> DataFrame:
     is not found. The query list is a literal, so the scan stays narrow: no
     join, no shuffle.
     """
-    needles = F.filter(F.transform(F.array(*map(F.lit, queries)), lambda q: F.lower(trim_ws(q))), lambda q: q != "")
-    lower = F.lower("text")
-    asked = (runs.withColumn("_lower", lower).withColumn("q", F.explode(needles)).where(F.col("_lower").contains(F.col("q"))))
-    pieces = F.transform(F.split(F.col("_lower"), F.concat(F.lit(r"\Q"), F.col("q"), F.lit(r"\E")), -1), lambda p: F.length(p))
-
-    def starts(sizes: Column) -> Column:
-        n, k = F.size(sizes) - 1, F.length("q")
-        walk = F.aggregate(
-            F.slice(sizes, F.lit(1), n), F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
-            lambda acc, size: F.struct((acc["pos"] + size + k).cast("int").alias("pos"), F.concat(acc["out"], F.array(acc["pos"] + size)).alias("out")))
-        return walk["out"]
-
+    needles = [q for q in (q.strip().lower() for q in queries) if q]
+    matching = F.array_compact(F.array(*[F.when(F.col("_lower").contains(q), F.lit(q)) for q in needles]))
+    asked = (runs.withColumn("_lower", F.lower("text")).withColumn("q", F.explode(matching))
+             .withColumn("_pieces", F.split(F.col("_lower"), F.concat(F.lit(r"\Q"), F.col("q"), F.lit(r"\E")), -1))
+             .withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_pieces") - 1))))
+    # a hit starts where the pieces before it, rejoined, end
+    hits = asked.withColumn("pos", F.length(F.call_function("array_join", F.slice("_pieces", F.lit(1), F.col("_i")), F.col("q"))).cast("long"))
     unit = F.col("w") / F.greatest(F.lit(1), F.length("text"))
-    hits = asked.withColumn("pos", F.explode(let(pieces, starts)))
-    return hits.select("doc_id", "page_no", "row_no", "run_no", "q", F.col("pos").cast("long").alias("pos"),
+    return hits.select("doc_id", "page_no", "row_no", "run_no", "q", "pos",
                        (F.col("x") + unit * F.col("pos")).alias("x"), F.greatest(unit * F.length("q"), F.lit(float(MIN_HIT))).alias("w"))
 
 

@@ -9,6 +9,7 @@ from ..functions.guards import looks_binary
 from ..functions.text import strip_soft_hyphen_ws, trim_ws
 from ..operators import catalogue as cat
 from ..operators import layout, prose, redaction
+from ..session import cut_lineage
 from ..sources import html, manifest, sinks
 
 # ── fixed values: block box around its baselines, in ems and tenths of a point ──
@@ -18,14 +19,10 @@ ASCENT, DESCENT, PAD = 0.92, 0.28, 15
 
 def page_lines(runs: DataFrame) -> DataFrame:
     """Runs to lines with their block; each turned run is a line and a block of its own."""
-    marked = layout.split_by_angle(runs)
-    cols = ["doc_id", "page_no", "text", "x0", "x1", "baseline", "size", "block"]
-    upright = layout.group_rows(marked.where("NOT turned").select("doc_id", "page_no", "baseline", "x", "w", "run_no", "text", "size"))
-    lines = layout.to_blocks(layout.to_text_lines(upright, row="row")).select(*cols)
-    turned = marked.where("turned").select(
-        "doc_id", "page_no", "text", F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"), "baseline", "size",
-        (F.lit(1_000_000) + F.col("row_no") * 1000 + F.col("run_no")).alias("block"))
-    return lines.unionByName(turned)
+    rows = layout.group_rows(runs.select("doc_id", "page_no", "baseline", "x", "w", "run_no", "text", "size", "angle"))
+    lines = layout.to_text_lines(rows, row="row")
+    return layout.to_blocks(lines, turned=F.col("row") < 0).select(
+        "doc_id", "page_no", "text", "x0", "x1", "baseline", "size", "block")
 
 
 def without_furniture(lines: DataFrame, page_height: int) -> DataFrame:
@@ -44,23 +41,26 @@ def corpus_to_chunks(runs: DataFrame, page_height: int, limit: int = prose.CHUNK
     Two whole-document statistics (body size, compounds) are small aggregates
     joined back by document.
     """
-    lines = without_furniture(page_lines(runs), page_height)
+    # read several times below, so written once; everything after it is keyed by document
+    sheets = F.max("page_no").over(Window.partitionBy("doc_id"))
+    written = cut_lineage(without_furniture(page_lines(runs).withColumn("sheets", sheets), page_height))
+    lines = prose.with_body_size(written.repartition("doc_id"), order="page_no")
     content = runs.select("doc_id", "page_no", "x", "baseline", (F.col("row_no") * 1000 + F.col("run_no")).alias("idx"))
     order = layout.reading_order(lines.select("doc_id", "page_no", "block", "x0", "baseline"), content)
-    bodies, seen = prose.body_size(lines, order="page_no"), prose.compounds(lines)
+    seen = prose.compounds(written)
 
     block = ["doc_id", "page_no", "block"]
-    align = layout.block_shape(lines, block, "baseline").select(*block, "align")
-    paras = prose.paragraphs(lines.join(align, block), block, ["baseline", "x0"])
+    paras = prose.paragraphs(layout.with_align(lines, block, "baseline"), block, ["baseline", "x0"])
     joined = prose.bridge(paras, seen, [*block, "para"], ["baseline", "x0"])
     text = F.expr("listagg(joined, '') WITHIN GROUP (ORDER BY baseline, x0)")
     items = joined.groupBy(*block, "para").agg(
-        text.alias("raw"), layout.lower_median("size").cast("long").alias("size"), F.count(F.lit(1)).alias("n_lines"))
+        text.alias("raw"), layout.lower_median("size").cast("long").alias("size"), F.max("body").alias("body"), F.max("sheets").alias("sheets"),
+        F.count(F.lit(1)).alias("n_lines"))
     items = items.withColumn("text", trim_ws(strip_soft_hyphen_ws("raw"))).where("text <> ''").drop("raw")
-    tagged = prose.classify(items, bodies).join(order.select(*block, "sort_key"), block)
-    ordered = tagged.select("doc_id", F.struct("page_no", "sort_key", "block", "para").alias("seq"), F.col("page_no").alias("page"), "tag", "text")
-    sheets = runs.groupBy("doc_id").agg(F.max("page_no").alias("sheets"))
-    return prose.chunk(prose.stitch(ordered, seen).join(sheets, "doc_id"), limit).select("doc_id", "chunk", "item", "page", "tag", "text")
+    tagged = prose.classify(items).join(order.select(*block, "sort_key"), block)
+    ordered = tagged.select("doc_id", F.struct("page_no", "sort_key", "block", "para").alias("seq"), F.col("page_no").alias("page"), "tag", "text", "sheets")
+    stitched = cut_lineage(prose.stitch(ordered, seen))  # labelled, then joined to its labels
+    return prose.chunk(stitched, limit).select("doc_id", "chunk", "item", "page", "tag", "text")
 
 
 def ingest(files: DataFrame, previous: DataFrame, generated: str) -> DataFrame:

@@ -16,7 +16,7 @@ from .views import L, Views
 
 @plan
 def c2_corpus_to_chunks(v: Views) -> DataFrame:
-    return pipelines.corpus_to_chunks(v.runs.unionByName(v.foot_runs), PAGE_H)
+    return pipelines.corpus_to_chunks(v.runs_with_folios, PAGE_H)
 
 
 @plan

@@ -20,7 +20,8 @@ def p7_split_by_angle(v: Views) -> DataFrame:
 
 @plan
 def w1_group_rows(v: Views) -> DataFrame:
-    return layout.group_rows(v.runs.select("doc_id", "page_no", "baseline", "x", "row_no", "run_no", "size")).select(
+    runs = v.runs.select("doc_id", "page_no", "baseline", "x", "row_no", "run_no", "size", F.lit(0).alias("angle"))
+    return layout.group_rows(runs).select(
         "doc_id", "page_no", "row_no", "run_no", "row")
 
 
@@ -56,7 +57,7 @@ def a1_body_size(v: Views) -> DataFrame:
 
 @plan
 def a2_lower_median(v: Views) -> DataFrame:
-    return v.lines.withColumn("n", F.length("line").cast("long")).groupBy("doc_id").agg(layout.lower_median("n").cast("long").alias("median"))
+    return v.doc_lines.withColumn("n", F.length("line").cast("long")).groupBy("doc_id").agg(layout.lower_median("n").cast("long").alias("median"))
 
 
 @plan

@@ -24,7 +24,8 @@ def sheet_items(v: Views) -> DataFrame:
 
 def line_items(v: Views) -> DataFrame:
     """Document lines as items; short lines are headings."""
-    return v.lines.where("line <> ''").join(page_counts(v.documents).withColumnRenamed("n_pages", "sheets"), "doc_id").select(
+    sheets = page_counts(v.texts).withColumnRenamed("n_pages", "sheets")
+    return v.doc_lines.where("line <> ''").join(sheets, "doc_id").select(
         "doc_id", F.col("line_no").alias("item"), F.when(F.length("line") <= 60, "h1").otherwise("p").alias("tag"),
         F.col("line").alias("text"), "sheets")
 
@@ -55,10 +56,8 @@ def a13_compounds(v: Views) -> DataFrame:
 
 @plan
 def w5_paragraphs(v: Views) -> DataFrame:
-    lines = text_lines(v)
-    align = layout.block_shape(lines, ["doc_id", "page_no"], "row_no").select("doc_id", "page_no", "align")
-    return prose.paragraphs(lines.join(align, ["doc_id", "page_no"]), ["doc_id", "page_no"], ["row_no"]).select(
-        "doc_id", "page_no", "row_no", "para")
+    lines = layout.with_align(text_lines(v), ["doc_id", "page_no"], "row_no")
+    return prose.paragraphs(lines, ["doc_id", "page_no"], ["row_no"]).select("doc_id", "page_no", "row_no", "para")
 
 
 @plan
@@ -74,9 +73,8 @@ def w7_bridge(v: Views) -> DataFrame:
 
 @plan
 def w8_classify(v: Views) -> DataFrame:
-    lines = text_lines(v)
-    items = lines.select("doc_id", "row_no", "text", "size", F.lit(1).cast("long").alias("n_lines"))
-    return prose.classify(items, prose.body_size(lines)).select("doc_id", "row_no", "size", "tag")
+    items = prose.with_body_size(text_lines(v)).withColumn("n_lines", L(1))
+    return prose.classify(items).select("doc_id", "row_no", "size", "tag")
 
 
 @plan
@@ -104,7 +102,7 @@ def w11_merge_runs(v: Views) -> DataFrame:
 
 @plan
 def w12_absorb_spaces(v: Views) -> DataFrame:
-    pieces = v.lines.select("doc_id", "line_no", F.posexplode(
+    pieces = v.doc_lines.select("doc_id", "line_no", F.posexplode(
         F.regexp_extract_all("line", F.lit(" +|[^ ]+"), F.lit(0))).alias("seq", "text"))
     return prose.absorb_spaces(pieces, ["doc_id", "line_no"], "seq")
 
@@ -121,7 +119,7 @@ def w23_unique_names(v: Views) -> DataFrame:
 
 @plan
 def w25_eol_lines(v: Views) -> DataFrame:
-    ends = v.lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("seq", "w"),
+    ends = v.doc_lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("seq", "w"),
                           F.size(F.split("line", " ")).alias("n"))
     items = ends.select("doc_id", "line_no", "seq", F.concat("w", F.lit("_")).alias("text"), (F.col("seq") == F.col("n") - 1).alias("eol"))
     return prose.eol_lines(items, ["doc_id"], ["line_no", "seq"])

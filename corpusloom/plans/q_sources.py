@@ -42,7 +42,7 @@ def s5_html_blocks(v: Views) -> DataFrame:
 
 @plan
 def s6_layout_runs(v: Views) -> DataFrame:
-    return v.runs
+    return layout.layout_runs(v.documents)
 
 
 @plan

@@ -47,21 +47,40 @@ class Views:
     def documents(self) -> DataFrame:
         return self.table("documents")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents hashed by id before anything is exploded out of them.
+
+        The text crosses the network once, in its compact form; lines, words
+        and runs keep this partitioning, so windows, groupings and joins on
+        (document, …) below need no shuffle of their own.
+        """
+        # a megabyte of text explodes into many of runs, so the partition count is
+        # fixed by the session and not merged down by the bytes in it
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.documents.select("doc_id", "source", "text").repartition(n, "doc_id")
+
     @cached_property
     def lines(self) -> DataFrame:
+        """Lines for whole-corpus or per-source work: straight off the scan."""
         return layout.raw_lines(self.documents)
 
+    @cached_property
+    def doc_lines(self) -> DataFrame:
+        """Lines for per-document work."""
+        return layout.raw_lines(self.texts)
+
     @cached_property
     def words(self) -> DataFrame:
-        return layout.words(self.documents)
+        return layout.words(self.texts)
 
     @cached_property
     def runs(self) -> DataFrame:
-        return layout.layout_runs(self.documents)
+        return layout.layout_runs(self.texts)
 
     @cached_property
-    def foot_runs(self) -> DataFrame:
-        return layout.foot_runs(self.documents)
+    def runs_with_folios(self) -> DataFrame:
+        return layout.layout_runs(self.texts, folios=True)
 
     @cached_property
     def tracked(self) -> DataFrame:
@@ -102,7 +121,7 @@ class Views:
             return F.array_join(F.filter(parts, lambda p: p != ""), " ")
 
         n = F.ceil(F.size("ws") / F.lit(8)).cast("int")
-        return (self.documents.select("doc_id", ws.alias("ws")).where(F.size("ws") > 0)
+        return (self.texts.select("doc_id", ws.alias("ws")).where(F.size("ws") > 0)
                 .select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), line)).alias("vline", "text"))
                 .withColumn("vline", L(F.col("vline"))))
 
@@ -123,7 +142,7 @@ class Views:
     def gappy(self) -> DataFrame:
         """Documents with runs of blank lines between sentences and at both ends."""
         text = F.concat(F.lit("\n \n"), F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n\t\n")), F.lit("\n\n"))
-        return (self.documents.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+        return (self.texts.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
                 .withColumn("line_no", L(F.col("line_no"))))
 
     # pages -----------------------------------------------------------------
@@ -376,4 +395,4 @@ class Views:
     def labels_of_fields(self) -> DataFrame:
         """Form labels: the first word of each line of a document."""
         first = F.regexp_extract("line", "[^ ]+", 0)
-        return self.lines.select("doc_id", "line_no", first.alias("label")).where("label <> ''")
+        return self.doc_lines.select("doc_id", "line_no", first.alias("label")).where("label <> ''")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 # ── fixed values: the layout rule, in tenths of a point ─────────────────────
 LEFT, TOP, PITCH, ROWS_PER_PAGE, WORDS_PER_ROW = 560, 600, 154, 40, 10
 CHAR, BODY, TITLE, TITLE_CHARS, INDENT = 60, 110, 240, 140, 120
@@ -58,46 +60,49 @@ def _visual_rows(text: Column) -> Column:
     return F.filter(F.flatten(F.transform(F.split(text, "\n"), rows_of)), lambda r: F.size(r["ws"]) > 0)
 
 
-def layout_runs(documents: DataFrame) -> DataFrame:
-    """Documents to positioned runs: box, size, face flags, angle."""
-    rows = (documents.select("doc_id", F.posexplode(_visual_rows(F.col("text"))).alias("row_no", "r"))
-            .withColumn("row_no", F.col("row_no").cast("long")))
-    runs = rows.select("doc_id", "row_no", "r", F.posexplode("r.ws").alias("run_no", "text"))
-    k = F.col("run_no")
+def layout_runs(documents: DataFrame, folios: bool = False) -> DataFrame:
+    """Documents to positioned runs: box, size, face flags, angle.
+
+    With ``folios`` every page also carries one run reading ``Page n of N`` near
+    its foot, made in the same row as the text so that no union is needed.
+    """
+    rows_of_text = F.transform(_visual_rows(F.col("text")), lambda r: r.withField("folio", F.lit(0).cast("long")))
+    if folios:
+        rows_of_text = let(rows_of_text, lambda rows: F.when(F.size(rows) == 0, rows).otherwise(F.concat(rows, F.transform(
+            F.sequence(F.lit(1), F.ceil(F.size(rows) / F.lit(ROWS_PER_PAGE)).cast("int")),
+            lambda n: _folio_row(n.cast("long"), F.ceil(F.size(rows) / F.lit(ROWS_PER_PAGE)).cast("long"))))))
+    rows = (documents.select("doc_id", F.posexplode(rows_of_text).alias("pos", "r"))
+            .withColumn("folio", F.col("r.folio"))
+            .withColumn("row_no", F.when(F.col("folio") > 0, F.col("folio") * ROWS_PER_PAGE - 1).otherwise(F.col("pos").cast("long"))))
+    runs = rows.select("doc_id", "row_no", "folio", "r", F.posexplode("r.ws").alias("run_no", "text"))
+    k, foot = F.col("run_no"), F.col("folio") > 0
     before = F.length(F.array_join(F.slice("r.ws", F.lit(1), k), " ")) + F.when(k > 0, 1).otherwise(0)
     word_no = F.col("r.part") * WORDS_PER_ROW + k
-    indent = F.when((F.col("r.part") == 0) & (F.col("row_no") > 0), INDENT).otherwise(0)
+    indent = F.when((F.col("r.part") == 0) & (F.col("row_no") > 0) & ~foot, INDENT).otherwise(0)
     shift = F.when((k >= 5) & (F.col("row_no") % 9 == 4), COLUMN_SHIFT).otherwise(0)
-    return runs.select(
+    title = (F.col("row_no") == 0) & (F.col("r.line_len") <= TITLE_CHARS) & ~foot
+    out = runs.select(
         "doc_id",
         (F.floor(F.col("row_no") / ROWS_PER_PAGE) + 1).cast("long").alias("page_no"),
-        "row_no", k.cast("long").alias("run_no"), "text",
+        "row_no", (k + F.when(foot, WORDS_PER_ROW).otherwise(0)).cast("long").alias("run_no"), "text",
         (LEFT + indent + shift + CHAR * before).cast("long").alias("x"),
         (CHAR * F.length("text")).cast("long").alias("w"),
-        (TOP + PITCH * (F.col("row_no") % ROWS_PER_PAGE)).cast("long").alias("baseline"),
-        F.when((F.col("row_no") == 0) & (F.col("r.line_len") <= TITLE_CHARS), TITLE)
-        .otherwise(BODY).cast("long").alias("size"),
-        ((F.col("doc_id") + word_no) % 7 == 0).alias("bold"),
-        (word_no % 11 == 0).alias("italic"),
-        F.when(((F.col("doc_id") + F.col("row_no")) % 97 == 0) & (F.size("r.ws") == 1), 90)
+        F.when(foot, FOOT).otherwise(TOP + PITCH * (F.col("row_no") % ROWS_PER_PAGE)).cast("long").alias("baseline"),
+        F.when(title, TITLE).otherwise(BODY).cast("long").alias("size"),
+        (((F.col("doc_id") + word_no) % 7 == 0) & ~foot).alias("bold"),
+        ((word_no % 11 == 0) & ~foot).alias("italic"),
+        F.when(((F.col("doc_id") + F.col("row_no")) % 97 == 0) & (F.size("r.ws") == 1) & ~foot, 90)
         .otherwise(0).cast("long").alias("angle"))
+    return out
+
+
+def _folio_row(n: Column, total: Column) -> Column:
+    zero = F.lit(0).cast("long")
+    return F.struct(zero.alias("line_no"), zero.alias("part"), zero.alias("line_len"),
+                    F.array(F.format_string("Page %d of %d", n, total)).alias("ws"), n.alias("folio"))
 
 
 def page_counts(documents: DataFrame) -> DataFrame:
     """Pages per document under the layout rule."""
     n = F.ceil(F.size(_visual_rows(F.col("text"))) / F.lit(ROWS_PER_PAGE)).cast("long")
     return documents.select("doc_id", n.alias("n_pages"))
-
-
-def foot_runs(documents: DataFrame) -> DataFrame:
-    """One folio per page, ``Page n of N``, shaped like :func:`layout_runs`."""
-    pages = page_counts(documents).where("n_pages > 0").select(
-        "doc_id", "n_pages", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_pages"))).alias("page_no"))
-    text = F.format_string("Page %d of %d", F.col("page_no"), F.col("n_pages"))
-    zero = F.lit(0).cast("long")
-    return pages.select(
-        "doc_id", "page_no", (F.col("page_no") * ROWS_PER_PAGE - 1).alias("row_no"),
-        F.lit(WORDS_PER_ROW).cast("long").alias("run_no"), text.alias("text"),
-        F.lit(LEFT).cast("long").alias("x"), (CHAR * F.length(text)).cast("long").alias("w"),
-        F.lit(FOOT).cast("long").alias("baseline"), F.lit(BODY).cast("long").alias("size"),
-        F.lit(False).alias("bold"), F.lit(False).alias("italic"), zero.alias("angle"))

@@ -23,10 +23,7 @@ SQL: dict[str, str] = {
                round(CASE WHEN count(*) >= 5 AND quantile_disc(r, 0.5) > 0.18 THEN least(quantile_disc(r, 0.5) * 1.45::DOUBLE, 1.44) ELSE 0.18 END, 9) AS threshold
         FROM (SELECT doc_id, CASE WHEN gap > 0 AND gap / 110 < 1.6 THEN gap / 110 END AS r
               FROM (SELECT doc_id, x - lag(x + w) OVER (PARTITION BY doc_id ORDER BY x) AS gap FROM v_tracked)) GROUP BY 1""",
-    "w3_prose_threshold": """
-        SELECT doc_id, page_no, row_no, n, singles, CASE WHEN n >= 5 AND singles / n >= 0.6 AND m > 0.18 THEN least(m * 1.45::DOUBLE, 1.6::DOUBLE * 0.9) ELSE 0.18::DOUBLE END AS threshold
-        FROM (SELECT doc_id, page_no, row_no, count(*) AS n, count(*) FILTER (length(text) = 1) AS singles,
-                     coalesce(quantile_disc(CASE WHEN gap > 0 AND gap / em < 1.6 THEN gap / em END, 0.5), 0) AS m FROM v_gaps GROUP BY 1, 2, 3)""",
+    "w3_prose_threshold": "SELECT * FROM v_spaces",
     "w4_to_blocks": rf"""
         SELECT doc_id, page_no, row_no, seg, count(*) FILTER (brk) OVER (PARTITION BY doc_id, page_no ORDER BY baseline, x0) AS block FROM (
           SELECT *, prev IS NOT NULL AND (bullet OR baseline - pb <= 0 OR least(x1, px1) - greatest(x0, px0) < 0.4 * least(x1 - x0, px1 - px0)

@@ -159,17 +159,22 @@ VIEWS: dict[str, str] = {
                462::BIGINT AS h FROM v_pages WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)""",
     "v_field_labels": """
         SELECT doc_id, line_no, regexp_extract(line, '[^ ]+') AS label FROM v_lines WHERE regexp_extract(line, '[^ ]+') <> ''""",
-    # text lines rebuilt from runs: a gap wider than 1.6 em breaks, any other gap over 0.18 em is a space
+    # text lines rebuilt from runs: a gap wider than 1.6 em breaks, any other gap over the row's threshold is a space
     "v_gaps": """
         SELECT *, x - lag(x + w) OVER r AS gap, greatest(size, lag(size) OVER r) AS em FROM v_runs
         WINDOW r AS (PARTITION BY doc_id, page_no, row_no ORDER BY x, run_no)""",
     "v_segs": """
         SELECT *, count(*) FILTER (gap > 1.6 * em) OVER (PARTITION BY doc_id, page_no, row_no ORDER BY x, run_no) AS seg FROM v_gaps""",
+    "v_spaces": """
+        SELECT doc_id, page_no, row_no, n, singles,
+               CASE WHEN n >= 5 AND singles / n >= 0.6 AND m > 0.18 THEN least(m * 1.45::DOUBLE, 1.6::DOUBLE * 0.9) ELSE 0.18::DOUBLE END AS threshold
+        FROM (SELECT doc_id, page_no, row_no, count(*) AS n, count(*) FILTER (length(text) = 1) AS singles,
+                     coalesce(quantile_disc(CASE WHEN gap > 0 AND gap / em < 1.6 THEN gap / em END, 0.5), 0) AS m FROM v_gaps GROUP BY 1, 2, 3)""",
     "v_tlines": """
         SELECT doc_id, page_no, row_no, seg,
-               string_agg(CASE WHEN gap > 0.18 * em AND gap <= 1.6 * em THEN ' ' ELSE '' END || text, '' ORDER BY x, run_no) AS text,
+               string_agg(CASE WHEN gap > threshold * em AND gap <= 1.6 * em THEN ' ' ELSE '' END || text, '' ORDER BY x, run_no) AS text,
                min(x) AS x0, max(x + w) AS x1, min(baseline) AS baseline, min(size) AS size, count(*) AS n_runs
-        FROM v_segs GROUP BY 1, 2, 3, 4""",
+        FROM v_segs JOIN v_spaces USING (doc_id, page_no, row_no) GROUP BY 1, 2, 3, 4""",
 }
 
 
