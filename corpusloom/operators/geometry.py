@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .layout import lower_median
+
 # ── fixed values ────────────────────────────────────────────────────────────
 SAME_PASSAGE = 0.6
 TRIVIAL_POINTS, TRIVIAL_SIDE = 2, 4
@@ -150,42 +152,41 @@ def drop_trivial(marks: DataFrame) -> DataFrame:
 # merging a selection's rectangles -------------------------------------------------
 
 
-def _merge(rects: Sequence) -> list[tuple]:
-    """Rectangles in (y, x) order to one per line; a line's height and bottom are lower medians."""
-    active, done = [], []
-    for r in rects:
-        x, y, w, h = r["x"], r["y"], r["w"], r["h"]
+def _lines_of_page(x, y, w, h) -> list[int]:
+    """Label rectangles in (y, x) order with their line, judged by the line's lower medians so far."""
+    active, out, n = [], [], 0
+    for top, tall in zip(y, h):
         live, home = [], None
         for line in active:
             bottom = line["b"][(len(line["b"]) - 1) // 2]
-            if bottom <= y:  # later rectangles start lower still, so this line is finished
+            if bottom <= top:  # later rectangles start lower still, so this line is finished
                 continue
             live.append(line)
-            tall = line["h"][(len(line["h"]) - 1) // 2]
-            if home is None and min(bottom, y + h) - max(bottom - tall, y) > min(tall, h) * 0.5:
+            typical = line["h"][(len(line["h"]) - 1) // 2]
+            if home is None and min(bottom, top + tall) - max(bottom - typical, top) > min(typical, tall) * 0.5:
                 home = line
         active = live
         if home is None:
-            home = {"x": x, "r": x + w, "h": [h], "b": [y + h]}
+            home = {"n": n, "h": [tall], "b": [top + tall]}
             active.append(home)
-            done.append(home)
+            n += 1
         else:
-            home["x"], home["r"] = min(home["x"], x), max(home["r"], x + w)
-            insort(home["h"], h), insort(home["b"], y + h)
-    out = []
-    for i, line in enumerate(done):
-        tall, bottom = line["h"][(len(line["h"]) - 1) // 2], line["b"][(len(line["b"]) - 1) // 2]
-        out.append((i, line["x"], bottom - tall, line["r"] - line["x"], tall))
+            insort(home["h"], tall), insort(home["b"], top + tall)
+        out.append(home["n"])
     return out
 
 
 def merge_rects(rects: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One rectangle per line of a page's selection."""
-    schema = "array<struct<line:long,x:long,y:long,w:long,h:long>>"
+    """One rectangle per line of a page's selection; its height and bottom are lower medians."""
 
-    @F.pandas_udf(schema)
-    def merge(pages: pd.Series) -> pd.Series:
-        return pd.Series([_merge(p) for p in pages])
+    @F.pandas_udf("array<long>")
+    def label(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([_lines_of_page(*page) for page in zip(x, y, w, h)])
 
     pages = rects.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "x", "w", "h"))).alias("r"))
-    return pages.select(*keys, F.inline(merge("r")))
+    lined = pages.select(*keys, F.explode(F.arrays_zip("r", label("r.x", "r.y", "r.w", "r.h").alias("line"))).alias("z")).select(
+        *keys, F.col("z.line").alias("line"), "z.r.*")
+    merged = lined.withColumn("_bottom", F.col("y") + F.col("h")).groupBy(*keys, "line").agg(
+        F.min("x").alias("x"), F.max(F.col("x") + F.col("w")).alias("_right"),
+        lower_median("h").cast("long").alias("h"), lower_median("_bottom").cast("long").alias("_b"))
+    return merged.select(*keys, "line", "x", (F.col("_b") - F.col("h")).alias("y"), (F.col("_right") - F.col("x")).alias("w"), "h")

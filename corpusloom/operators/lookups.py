@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,49 +44,55 @@ def resolve_order(listed: DataFrame, relations: DataFrame, parts: DataFrame, pat
 def resolve_styles(styles: DataFrame, properties: list[str], defaults: dict) -> DataFrame:
     """Each style with everything it inherits: the nearest definition wins.
 
-    Pointer doubling: after r rounds a style has read 2**r ancestors, so even a
-    long chain needs few joins. Chains visit distinct styles, which bounds the
-    rounds by the logarithm of the table and makes cycles harmless.
+    Pointer doubling: after r rounds a style has read 2**r ancestors, so a long
+    chain needs few joins and a cycle is harmless. A round that fills nothing
+    is the last: a value still out of reach would pass through some style at
+    exactly this round's distance from it.
     """
-    state = styles.select("id", "parent", *properties)
-    rounds = math.ceil(math.log2(max(2, styles.count()))) + 1
-    gaps = F.lit(False)
-    for p in properties:
-        gaps = gaps | F.col(p).isNull()
-    for _ in range(rounds):
-        state = cut_lineage(state)
-        if state.where(gaps & F.col("parent").isNotNull()).isEmpty():
-            break
+    state = cut_lineage(styles.select("id", "parent", *properties))
+    while True:
         above = state.select(F.col("id").alias("parent"), F.col("parent").alias("_next"), *[F.col(p).alias(f"_{p}") for p in properties])
-        state = state.join(above, "parent", "left").select(
-            "id", F.col("_next").alias("parent"), *[F.coalesce(p, f"_{p}").alias(p) for p in properties])
+        filled = F.lit(False)
+        for p in properties:
+            filled = filled | (F.col(p).isNull() & F.col(f"_{p}").isNotNull())
+        state = cut_lineage(state.join(above, "parent", "left").select(
+            "id", F.col("_next").alias("parent"), *[F.coalesce(p, f"_{p}").alias(p) for p in properties], filled.alias("_filled")))
+        if state.where("_filled").isEmpty():
+            break
+        state = state.drop("_filled")
     return state.select("id", *[F.coalesce(p, F.lit(defaults[p])).alias(p) for p in properties])
 
 
-def expand_blocks(inserts: DataFrame, root: int) -> DataFrame:
+def expand_blocks(inserts: DataFrame, root: int, levels: int = 4) -> DataFrame:
     """Every block reached from ``root`` and how many copies of it are drawn.
 
-    One join per nesting level over the frontier alone. An insert that would
-    put a block inside itself is cut; one arrayed past the copy limit is an
-    error row, not a crash, and is not descended into.
+    One join per nesting level over the frontier alone, ``levels`` of them per
+    job. An insert that would put a block inside itself is cut; one arrayed
+    past the copy limit is an error row, not a crash, and is not descended into.
     """
     edges = inserts.select("block", "child", (F.col("cols") * F.col("rows")).alias("copies"))
-    spark = inserts.sparkSession
-    frontier = spark.range(1).select(F.lit(root).cast("long").alias("block"), F.lit(1).cast("long").alias("n"),
-                                     F.array(F.lit(root).cast("long")).alias("path"), F.lit(0).cast("long").alias("depth"),
-                                     F.lit("ok").alias("status"))
-    reached = [frontier]
+
+    def descend(frontier: DataFrame) -> DataFrame:
+        return (frontier.where("status = 'ok'").join(edges, "block").where(~F.array_contains("path", F.col("child")))
+                .select(F.col("child").alias("block"), (F.col("n") * F.col("copies")).alias("n"), F.concat("path", F.array("child")).alias("path"),
+                        (F.col("depth") + 1).alias("depth"), F.when(F.col("copies") > MAX_COPIES, "refused").otherwise("ok").alias("status")))
+
+    frontier = inserts.sparkSession.range(1).select(
+        F.lit(root).cast("long").alias("block"), F.lit(1).cast("long").alias("n"), F.array(F.lit(root).cast("long")).alias("path"),
+        F.lit(0).cast("long").alias("depth"), F.lit("ok").alias("status"))
+    out, depth = frontier, 0
     while True:
-        nxt = (frontier.where("status = 'ok'").join(edges, "block").where(~F.array_contains("path", F.col("child")))
-               .select(F.col("child").alias("block"), (F.col("n") * F.col("copies")).alias("n"), F.concat("path", F.array("child")).alias("path"),
-                       (F.col("depth") + 1).alias("depth"), F.when(F.col("copies") > MAX_COPIES, "refused").otherwise("ok").alias("status")))
-        frontier = cut_lineage(nxt)
+        steps = [descend(frontier)]
+        for _ in range(levels - 1):
+            steps.append(descend(steps[-1]))
+        step = steps[0]
+        for s in steps[1:]:
+            step = step.unionByName(s)
+        step = cut_lineage(step)
+        out, depth = out.unionByName(step), depth + levels
+        frontier = step.where(F.col("depth") == depth)
         if frontier.isEmpty():
             break
-        reached.append(frontier)
-    out = reached[0]
-    for level in reached[1:]:
-        out = out.unionByName(level)
     return out.groupBy("block", "status").agg(F.sum("n").alias("copies"), F.min("depth").alias("depth"))
 
 

@@ -57,20 +57,39 @@ def furniture_keys(edges: DataFrame, doc: str, sheet: str, key: str) -> DataFram
     return once.groupBy(doc, key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def repeated_keys(at_edge: DataFrame, sheets: DataFrame, doc: str, sheet: str, key: str = "_key") -> DataFrame:
+    """Keys on enough of a document's sheets: three, or all of two or three."""
+    enough = F.when(F.col("_sheets") > ENOUGH_SHEETS, ENOUGH_SHEETS).otherwise(F.col("_sheets"))
+    counted = sheets.select(doc, sheet).distinct().groupBy(doc).agg(F.count(F.lit(1)).alias("_sheets"))
+    return (furniture_keys(at_edge, doc, sheet, key).where("n >= 2")
+            .join(counted, doc).where(F.col("n") >= enough).select(doc, key))
+
+
 def drop_furniture(lines: DataFrame, edge: Column, doc: str, sheet: str, text: str) -> DataFrame:
-    """Remove edge lines repeated across a document's sheets.
+    """Remove edge lines repeated across a document's sheets; one-sheet documents are left alone.
 
-    Seen on three sheets is enough, or on all of two or three; a document of
-    one sheet is left alone. Only keys that reach the threshold are joined back.
+    Only edge lines take part in the join; the body of every sheet passes
+    through untouched.
     """
-    # only edge lines take part in the join; the body of every sheet passes through untouched
     at_edge = lines.where(edge).withColumn("_key", furniture_key(text))
-    body = lines.where(~edge)
-    sheets = lines.select(doc, sheet).distinct().groupBy(doc).agg(F.count(F.lit(1)).alias("_sheets"))
-    enough = F.when(F.col("_sheets") > ENOUGH_SHEETS, ENOUGH_SHEETS).otherwise(F.col("_sheets"))
-    repeated = (furniture_keys(at_edge, doc, sheet, "_key").where("n >= 2")
-                .join(sheets, doc).where(F.col("n") >= enough).select(doc, "_key"))
-    return body.unionByName(at_edge.join(repeated, [doc, "_key"], "left_anti").select(*lines.columns))
+    repeated = repeated_keys(at_edge, lines, doc, sheet)
+    return lines.where(~edge).unionByName(at_edge.join(repeated, [doc, "_key"], "left_anti").select(*lines.columns))
+
+
+def removed_counts(documents: DataFrame, doc: str = "source", sheet: str = "doc_id", text: str = "text") -> DataFrame:
+    """Lines, and how many :func:`drop_furniture` would remove, per document of sheets.
+
+    A sheet's edges are read straight from its text, so at most two rows per
+    sheet are ever made.
+    """
+    lines = F.split(text, "\n")
+    sheets = documents.select(doc, sheet, F.size(lines).alias("n"), F.element_at(lines, 1).alias("_first"), F.element_at(lines, -1).alias("_last"))
+    edges = F.when(F.col("n") == 1, F.array("_first")).otherwise(F.array("_first", "_last"))
+    at_edge = sheets.select(doc, sheet, F.explode(edges).alias("_line")).select(doc, sheet, furniture_key("_line").alias("_key"))
+    removed = (at_edge.join(repeated_keys(at_edge, documents, doc, sheet), [doc, "_key"], "left_semi")
+               .groupBy(doc).agg(F.count(F.lit(1)).alias("n_removed")))
+    return (sheets.groupBy(doc).agg(F.sum("n").alias("n_lines")).join(removed, doc, "left")
+            .withColumn("n_removed", F.coalesce("n_removed", F.lit(0))))
 
 
 # whole-document statistics ------------------------------------------------------

@@ -41,12 +41,13 @@ def corpus_to_chunks(runs: DataFrame, page_height: int, limit: int = prose.CHUNK
     Two whole-document statistics (body size, compounds) are small aggregates
     joined back by document.
     """
-    # read several times below, so written once; everything after it is keyed by document
+    # both tables are read several times below, so each is written once
     sheets = F.max("page_no").over(Window.partitionBy("doc_id"))
-    written = cut_lineage(without_furniture(page_lines(runs).withColumn("sheets", sheets), page_height))
+    every = cut_lineage(page_lines(runs).withColumn("sheets", sheets))
+    written = cut_lineage(without_furniture(every, page_height))
     lines = prose.with_body_size(written.repartition("doc_id"), order="page_no")
     content = runs.select("doc_id", "page_no", "x", "baseline", (F.col("row_no") * 1000 + F.col("run_no")).alias("idx"))
-    order = layout.reading_order(lines.select("doc_id", "page_no", "block", "x0", "baseline"), content)
+    order = layout.reading_order(written.select("doc_id", "page_no", "block", "x0", "baseline"), content)
     seen = prose.compounds(written)
 
     block = ["doc_id", "page_no", "block"]

@@ -68,7 +68,7 @@ def a4_align_of(v: Views) -> DataFrame:
 
 @plan
 def a14_doc_facts(v: Views) -> DataFrame:
-    return prose.doc_facts(v.documents.select("doc_id", "n_chars"), page_counts(v.documents), v.boxes, PAGE_W, PAGE_H)
+    return prose.doc_facts(v.documents.select("doc_id", "n_chars"), page_counts(v.texts), v.boxes, PAGE_W, PAGE_H)
 
 
 @plan

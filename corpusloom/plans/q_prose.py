@@ -43,10 +43,7 @@ def c1_drop_furniture(v: Views) -> DataFrame:
 
 @plan
 def c1_removed_per_source(v: Views) -> DataFrame:
-    kept = c1_drop_furniture(v).groupBy("source").agg(F.count(F.lit(1)).alias("n_kept"))
-    every = v.lines.groupBy("source").agg(F.count(F.lit(1)).alias("n_lines"))
-    return every.join(kept, "source", "left").select(
-        "source", "n_lines", (F.col("n_lines") - F.coalesce("n_kept", F.lit(0))).alias("n_removed"))
+    return prose.removed_counts(v.documents)
 
 
 @plan
