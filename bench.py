@@ -25,7 +25,7 @@ HEADLINE = [
     "w8_classify", "w9_chunk", "w11_merge_runs", "w14_number_items", "w17_merge_rects", "w19_related",
     "j1_text_in", "j2_match_marks", "j4_hit_test", "j5_overlapping_pairs", "j11_collisions",
     "j13_resolve_styles", "j14_expand_blocks", "j15_props_at", "x1_find", "x2_hit_pages",
-    "t2_field_state", "t3_live_annots", "t4_changed_pages", "t6_handoff",
+    "t1_replay", "t2_field_state", "t3_live_annots", "t4_changed_pages", "t6_handoff",
 ]
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import editlog, lookups
+from ..operators import editlog, lookups, undo
+from ..operators.ordered import hour_block
 from ..sources.fields import scan_fields
 from .registry import plan
 from .views import Views
@@ -17,6 +18,17 @@ def mailbox(v: Views) -> DataFrame:
     return v.events.select(F.col("user_id").alias("doc"), "ts", "event_id", op.alias("op"), F.concat(F.lit("file"), F.col("event_id").cast("string")).alias("value"))
 
 
+@plan
+def t1_replay(v: Views) -> DataFrame:
+    return undo.replay(v.edits, hour_block())
+
+
+@plan
+def t1_replay_shallow(v: Views) -> DataFrame:
+    """The same log with a history of three steps, so the limit bites everywhere."""
+    return undo.replay(v.edits.where("op <> 'clear'"), hour_block(), limit=3)
+
+
 @plan
 def t2_field_state(v: Views) -> DataFrame:
     return editlog.field_state(v.field_log).select("doc", "name", "kind", "value", F.col("on").alias("is_on"), "event_id", "seeded")

@@ -15,7 +15,27 @@ _BOXES = """
     SELECT doc, name, widget_id, least(x0, x1) AS x, least(y0, y1) AS y FROM v_widgets
     WHERE NOT hidden AND NOT push_button AND abs(x1 - x0) >= 3 AND abs(y1 - y0) >= 3 AND NOT (read_only AND field_value = '')"""
 
+
+
+def _replay(limit: int, edits: str) -> str:
+    """The history carried row by row."""
+    return f"""
+        WITH RECURSIVE steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS rn FROM ({edits})),
+        walk AS (
+          SELECT session, 0::BIGINT AS rn, []::VARCHAR[] AS past, 0::BIGINT AS redo FROM (SELECT DISTINCT session FROM steps)
+          UNION ALL
+          SELECT w.session, s.rn,
+                 CASE s.op WHEN 'push' THEN CASE WHEN len(past) = {limit} THEN list_append(past[2:], s.label) ELSE list_append(past, s.label) END
+                      WHEN 'undo' THEN past[1:(len(past) - 1)] WHEN 'redo' THEN CASE WHEN redo > 0 THEN list_append(past, '') ELSE past END ELSE [] END,
+                 CASE s.op WHEN 'undo' THEN redo + CASE WHEN len(past) > 0 THEN 1 ELSE 0 END WHEN 'redo' THEN greatest(redo - 1, 0) ELSE 0 END
+          FROM walk w JOIN steps s ON s.session = w.session AND s.rn = w.rn + 1)
+        SELECT session, len(past)::BIGINT AS depth, redo, coalesce(past[len(past)], '') AS label FROM walk
+        WHERE (session, rn) IN (SELECT (session, max(rn)) FROM steps GROUP BY session)"""
+
+
 SQL: dict[str, str] = {
+    "t1_replay": _replay(200, "SELECT * FROM v_edits"),
+    "t1_replay_shallow": _replay(3, "SELECT * FROM v_edits WHERE op <> 'clear'"),
     "t2_field_state": _STATE,
     "t3_live_annots": """
         SELECT l.doc, id, page, event_id FROM (
