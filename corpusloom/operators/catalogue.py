@@ -84,9 +84,8 @@ def ranked(catalogue: DataFrame, popular: DataFrame, key: str = "seq") -> DataFr
     ``popular`` is (key, rank). Order by (rank, seq); unlisted rows keep theirs.
     """
     listed = popular.select(key, F.col("rank").cast("long").alias("_rank"))
-    length = popular.agg(F.count(F.lit(1)).alias("_len"))
-    return (catalogue.join(listed, key, "left").crossJoin(F.broadcast(length))  # one row
-            .withColumn("rank", F.coalesce("_rank", "_len")).drop("_rank", "_len"))
+    length = popular.agg(F.count(F.lit(1))).scalar()
+    return catalogue.join(listed, key, "left").withColumn("rank", F.coalesce(F.col("_rank"), length)).drop("_rank")
 
 
 def popularity_list(sold: DataFrame) -> DataFrame:
@@ -119,16 +118,24 @@ def related(catalogue: DataFrame, k: int = RELATED_ITEMS) -> DataFrame:
 
 
 def related_edges(edges: DataFrame, k: int = RELATED_EDGES) -> DataFrame:
-    """Neighbours of an edge: its own category first, then popular ones from the others."""
-    near = top_k(edges.select("cat", "seq"), ["cat"], [F.col("seq")], k + 1).select(
-        "cat", F.col("seq").alias("related"), F.lit(0).alias("tier"))
-    best = top_k(edges.where("pop").select("cat", "seq"), ["cat"], [F.col("seq")], k).select(F.col("cat").alias("other"), "seq")
-    cats = edges.select("cat").distinct()
-    elsewhere = cats.join(best, F.col("cat") != F.col("other")).select("cat", F.col("seq").alias("related"), F.lit(1).alias("tier"))
-    elsewhere = top_k(elsewhere, ["cat"], [F.col("related")], k).drop("position")
-    shelf = near.unionByName(elsewhere)
-    pairs = edges.select("cat", "seq").join(shelf, "cat").where(F.col("seq") != F.col("related"))
-    return top_k(pairs, ["seq"], [F.col("tier"), F.col("related")], k).select("seq", "related", "position")
+    """Neighbours of an edge: its own category first, then popular ones from the others.
+
+    Both candidate lists are short and fixed in length whatever the catalogue:
+    k+1 of each category, and the first 2k popular ones overall once no
+    category may take more than k of them. Every edge then reads two arrays.
+    """
+
+    listed = F.array_sort(F.collect_list(F.struct("seq", "cat")))
+    near = (top_k(edges.select("cat", "seq"), ["cat"], [F.col("seq")], k + 1)
+            .groupBy("cat").agg(listed.alias("near")))
+    popular = top_k(edges.where("pop").select("cat", "seq"), ["cat"], [F.col("seq")], k)
+    shelf = popular.orderBy("seq").limit(2 * k).agg(listed).scalar()
+    others = F.filter("shelf", lambda e: e["cat"] != F.col("cat"))
+    own = F.filter("near", lambda e: e["seq"] != F.col("seq"))
+    picked = F.slice(F.concat(own, others), F.lit(1), F.lit(k))
+    lists = near.select("cat", "near", shelf.alias("shelf"))
+    return (edges.select("cat", "seq").join(lists, "cat").select("seq", F.posexplode(picked).alias("position", "e"))
+            .select("seq", F.col("e.seq").alias("related"), (F.col("position") + 1).cast("long").alias("position")))
 
 
 def collisions(defs: DataFrame) -> DataFrame:

@@ -259,16 +259,18 @@ def toc(chunked: DataFrame, titles: DataFrame) -> DataFrame:
 
     A document without headings gets one line carrying its title.
     """
-    doc = Window.partitionBy("doc_id").orderBy("item")
+    whole = Window.partitionBy("doc_id")
+    doc = whole.orderBy("item")
     in_chunk = Window.partitionBy("doc_id", "chunk").orderBy("item")
+    heading = F.col("tag") == "h1"
+    marked = (chunked.withColumn("_first", F.row_number().over(in_chunk) == 1).withColumn("_h", F.count_if(heading).over(doc))
+              .withColumn("_all", F.count_if(heading).over(whole)).withColumn("_lead", F.row_number().over(doc) == 1)
+              .where(heading | ((F.col("_all") == 0) & F.col("_lead"))))
     file = F.concat(F.lit("c"), F.lpad(F.col("chunk").cast("string"), 3, "0"), F.lit(".xhtml"))
-    entries = (chunked.withColumn("_first", F.row_number().over(in_chunk) == 1)
-               .withColumn("_h", F.count_if(F.col("tag") == "h1").over(doc)).where("tag = 'h1'")
-               .select("doc_id", F.col("_h").alias("entry"), F.when(F.col("_first"), file).otherwise(
-                   F.concat(file, F.lit("#h"), F.col("_h").cast("string"))).alias("href"), F.col("text").alias("label")))
-    bare = (titles.join(chunked.where("tag = 'h1'").select("doc_id").distinct(), "doc_id", "left_anti")
-            .select("doc_id", F.lit(1).cast("long").alias("entry"), F.lit("c001.xhtml").alias("href"), F.col("title").alias("label")))
-    return entries.unionByName(bare)
+    anchor = F.when(F.col("_first"), "").otherwise(F.concat(F.lit("#h"), F.col("_h").cast("string")))
+    return marked.join(titles, "doc_id", "left").select(
+        "doc_id", F.greatest("_h", F.lit(1)).alias("entry"), F.concat(file, anchor).alias("href"),
+        F.when(heading, F.col("text")).otherwise(F.col("title")).alias("label"))
 
 
 # spans and lines ----------------------------------------------------------------

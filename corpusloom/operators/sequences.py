@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import SAME_POINT
 from .layout import lower_median
-from .ordered import carry_forward, previous, running_total
+from .ordered import previous, running_total
 
 # ── fixed values ────────────────────────────────────────────────────────────
 PALETTE_LEVELS, PALETTE_SIZE = 4, 48
@@ -19,12 +19,23 @@ CELL_PAD = 140
 
 
 def number_items(items: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str]) -> DataFrame:
-    """Continue list numbering: an explicit ``value`` restarts the count from itself."""
-    counted = running_total(items, keys, block, order, F.lit(1), "_n")
-    anchor = F.when(F.col("value").isNotNull(), F.struct(F.col("value").alias("v"), F.col("_n").alias("n")))
-    anchored = carry_forward(counted, keys, block, order, anchor, "_anchor")
-    number = F.when(F.col("_anchor").isNull(), F.col("_n")).otherwise(F.col("_anchor.v") + F.col("_n") - F.col("_anchor.n"))
-    return anchored.withColumn("number", number).drop("_n", "_anchor")
+    """Continue list numbering: an explicit ``value`` restarts the count from itself.
+
+    One summary per block carries both how many items came before it and the
+    last explicit value with the item it stood on.
+    """
+    local = Window.partitionBy(*keys, "_block").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = items.withColumn("_block", block).withColumn("_n", F.row_number().over(local))
+    valued = F.when(F.col("value").isNotNull(), F.struct(F.col("value").alias("v"), F.col("_n").alias("n")))
+    summary = (placed.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_count"), F.max_by(valued, F.when(F.col("value").isNotNull(), F.col("_n"))).alias("_last"))
+               .withColumn("_off", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+               .withColumn("_anchor", F.last(F.col("_last.v") - F.col("_last.n") - F.col("_off"), ignorenulls=True).over(before))
+               .select(*keys, "_block", "_off", "_anchor"))
+    joined = placed.join(summary, [*keys, "_block"])
+    own = F.last(F.when(F.col("value").isNotNull(), F.col("value") - F.col("_n") - F.col("_off")), ignorenulls=True).over(local)
+    base = F.coalesce(own, F.col("_anchor"), F.lit(0))
+    return joined.withColumn("number", base + F.col("_n") + F.col("_off")).drop("_block", "_n", "_off", "_anchor")
 
 
 def to_records(lines: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str]) -> DataFrame:
@@ -104,7 +115,6 @@ def remap_pages(marks: DataFrame, edits: DataFrame, doc: str = "doc") -> DataFra
 
 def column_stops(cells: DataFrame, char: int, room: int) -> DataFrame:
     """Tab stops of each table: widest cell per column, squeezed to the page, running total."""
-    from pyspark.sql import Window
     widths = cells.groupBy("tbl", "col").agg(F.max(char * F.length("text") + CELL_PAD).alias("width"))
     table = Window.partitionBy("tbl")
     total = F.sum("width").over(table)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug
 from ..operators import layout, prose
-from ..sources.layout import page_counts
+from ..sources.layout import n_pages
 from .registry import plan
 from .views import L, Views
 
@@ -24,10 +24,9 @@ def sheet_items(v: Views) -> DataFrame:
 
 def line_items(v: Views) -> DataFrame:
     """Document lines as items; short lines are headings."""
-    sheets = page_counts(v.texts).withColumnRenamed("n_pages", "sheets")
-    return v.doc_lines.where("line <> ''").join(sheets, "doc_id").select(
-        "doc_id", F.col("line_no").alias("item"), F.when(F.length("line") <= 60, "h1").otherwise("p").alias("tag"),
-        F.col("line").alias("text"), "sheets")
+    counted = v.texts.withColumn("sheets", n_pages()).select("doc_id", "sheets", F.posexplode(F.split("text", "\n")).alias("item", "text"))
+    return counted.where("text <> ''").select("doc_id", L(F.col("item")).alias("item"),
+                                              F.when(F.length("text") <= 60, "h1").otherwise("p").alias("tag"), "text", "sheets")
 
 
 @plan

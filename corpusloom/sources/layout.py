@@ -102,7 +102,10 @@ def _folio_row(n: Column, total: Column) -> Column:
                     F.array(F.format_string("Page %d of %d", n, total)).alias("ws"), n.alias("folio"))
 
 
+def n_pages(text: str = "text") -> Column:
+    """Pages a text takes under the layout rule."""
+    return F.ceil(F.size(_visual_rows(F.col(text))) / F.lit(ROWS_PER_PAGE)).cast("long")
+
+
 def page_counts(documents: DataFrame) -> DataFrame:
-    """Pages per document under the layout rule."""
-    n = F.ceil(F.size(_visual_rows(F.col("text"))) / F.lit(ROWS_PER_PAGE)).cast("long")
-    return documents.select("doc_id", n.alias("n_pages"))
+    return documents.select("doc_id", n_pages().alias("n_pages"))
