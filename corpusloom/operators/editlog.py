@@ -33,15 +33,17 @@ def field_state(log: DataFrame) -> DataFrame:
     edits = log.where("NOT seed").groupBy("doc", "name").agg(
         F.max_by(F.struct(*cells, *ORDER), stamp()).alias("e"))
     cleared = (F.col("e.kind") == "text") & (F.col("e.value") == "")
-    present = edits.where(~cleared).select("doc", "name", "e.*", F.lit(False).alias("seeded"))
     seeds = log.where(F.col("seed") & (F.col("value") != "") & (texty | (F.col("value") != "Off")))
-    open_ = (seeds.join(edits.select("doc", "name", "e"), ["doc", "name"], "left")
+    open_ = (seeds.join(edits, ["doc", "name"], "left")
              .where(F.col("e").isNull() | (cleared & (F.struct(*ORDER) > F.struct("e.ts", "e.event_id")))))
-    first = (open_.groupBy("doc", "name").agg(F.min_by(F.struct(*cells, *ORDER), stamp()).alias("s"))
-             .select("doc", "name", "s.*", F.lit(True).alias("seeded")))
+    first = open_.groupBy("doc", "name").agg(F.min_by(F.struct(*cells, *ORDER), stamp()).alias("s"))
+    both = edits.join(first, ["doc", "name"], "full_outer")
+    present = F.col("e").isNotNull() & ~cleared
+    chosen = (both.withColumn("seeded", ~F.coalesce(present, F.lit(False)))
+              .withColumn("v", F.when(F.col("seeded"), F.col("s")).otherwise(F.col("e"))).where("v IS NOT NULL")
+              .select("doc", "name", "v.*", "seeded"))
     # a seeded tick box is on
-    first = first.withColumn("on", F.when(texty, F.col("on")).otherwise(F.lit(True)))
-    return present.unionByName(first)
+    return chosen.withColumn("on", F.when(F.col("seeded") & ~texty, F.lit(True)).otherwise(F.col("on")))
 
 
 def completion(state: DataFrame) -> DataFrame:

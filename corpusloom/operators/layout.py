@@ -148,8 +148,10 @@ def to_text_lines(runs: DataFrame, row: str = "row_no") -> DataFrame:
               & ~F.col("_prev").rlike(f"{WS}$") & ~F.col("text").rlike(f"^{WS}"))
     pieces = (marked.withColumn("seg", F.count_if(breaks).over(along))
               .withColumn("_text", F.concat(F.when(spaced, " ").otherwise(""), F.col("text"))))
+    # a content-stream position, if the runs carry one, is that of the line's first run
+    extra = [F.min(F.struct("x", "idx"))["idx"].alias("idx")] if "idx" in runs.columns else []
     return (pieces.groupBy(*PAGE, row, "seg")
-            .agg(F.expr("listagg(_text, '') WITHIN GROUP (ORDER BY x, run_no)").alias("text"),
+            .agg(*extra, F.expr("listagg(_text, '') WITHIN GROUP (ORDER BY x, run_no)").alias("text"),
                  F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"),
                  F.min_by("baseline", F.struct("x", "run_no")).alias("baseline"), lower_median("size").alias("size"),
                  F.count(F.lit(1)).alias("n_runs"))

@@ -9,7 +9,7 @@ from ..functions.guards import looks_binary
 from ..functions.text import strip_soft_hyphen_ws, trim_ws
 from ..operators import catalogue as cat
 from ..operators import layout, prose, redaction
-from ..session import cut_lineage
+from ..session import cut_lineage, hashed_by
 from ..sources import html, manifest, sinks
 
 # ── fixed values: block box around its baselines, in ems and tenths of a point ──
@@ -19,10 +19,11 @@ ASCENT, DESCENT, PAD = 0.92, 0.28, 15
 
 def page_lines(runs: DataFrame) -> DataFrame:
     """Runs to lines with their block; each turned run is a line and a block of its own."""
-    rows = layout.group_rows(runs.select("doc_id", "page_no", "baseline", "x", "w", "run_no", "text", "size", "angle"))
+    idx = F.col("row_no") * 1000 + F.col("run_no")
+    rows = layout.group_rows(runs.select("doc_id", "page_no", "baseline", "x", "w", "run_no", "text", "size", "angle", idx.alias("idx")))
     lines = layout.to_text_lines(rows, row="row")
     return layout.to_blocks(lines, turned=F.col("row") < 0).select(
-        "doc_id", "page_no", "text", "x0", "x1", "baseline", "size", "block")
+        "doc_id", "page_no", "text", "x0", "x1", "baseline", "size", "block", "idx")
 
 
 def without_furniture(lines: DataFrame, page_height: int) -> DataFrame:
@@ -38,16 +39,16 @@ def without_furniture(lines: DataFrame, page_height: int) -> DataFrame:
 def corpus_to_chunks(runs: DataFrame, page_height: int, limit: int = prose.CHUNK_CHARS) -> DataFrame:
     """Positioned runs to ordered, stitched, classified and chunked text.
 
-    Two whole-document statistics (body size, compounds) are small aggregates
-    joined back by document.
+    Two whole-document statistics feed back into the lines: body size rides
+    along as a window, compounds seen whole join by document and word.
     """
     # both tables are read several times below, so each is written once
     sheets = F.max("page_no").over(Window.partitionBy("doc_id"))
     every = cut_lineage(page_lines(runs).withColumn("sheets", sheets))
     written = cut_lineage(without_furniture(every, page_height))
-    lines = prose.with_body_size(written.repartition("doc_id"), order="page_no")
-    content = runs.select("doc_id", "page_no", "x", "baseline", (F.col("row_no") * 1000 + F.col("run_no")).alias("idx"))
-    order = layout.reading_order(written.select("doc_id", "page_no", "block", "x0", "baseline"), content)
+    # a block is read where its earliest run came in the content stream
+    place = F.min("idx").over(Window.partitionBy("doc_id", "page_no", "block"))
+    lines = prose.with_body_size(hashed_by(written, "doc_id"), order="page_no").withColumn("place", place)
     seen = prose.compounds(written)
 
     block = ["doc_id", "page_no", "block"]
@@ -55,11 +56,11 @@ def corpus_to_chunks(runs: DataFrame, page_height: int, limit: int = prose.CHUNK
     joined = prose.bridge(paras, seen, [*block, "para"], ["baseline", "x0"])
     text = F.expr("listagg(joined, '') WITHIN GROUP (ORDER BY baseline, x0)")
     items = joined.groupBy(*block, "para").agg(
-        text.alias("raw"), layout.lower_median("size").cast("long").alias("size"), F.max("body").alias("body"), F.max("sheets").alias("sheets"),
-        F.count(F.lit(1)).alias("n_lines"))
+        text.alias("raw"), layout.lower_median("size").cast("long").alias("size"), F.max("body").alias("body"),
+        F.max("sheets").alias("sheets"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n_lines"))
     items = items.withColumn("text", trim_ws(strip_soft_hyphen_ws("raw"))).where("text <> ''").drop("raw")
-    tagged = prose.classify(items).join(order.select(*block, "sort_key"), block)
-    ordered = tagged.select("doc_id", F.struct("page_no", "sort_key", "block", "para").alias("seq"), F.col("page_no").alias("page"), "tag", "text", "sheets")
+    ordered = prose.classify(items).select(
+        "doc_id", F.struct("page_no", "place", "block", "para").alias("seq"), F.col("page_no").alias("page"), "tag", "text", "sheets")
     stitched = cut_lineage(prose.stitch(ordered, seen))  # labelled, then joined to its labels
     return prose.chunk(stitched, limit).select("doc_id", "chunk", "item", "page", "tag", "text")
 

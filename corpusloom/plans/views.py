@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug
 from ..operators.ordered import hour_block, ordinal_block, running_total
+from ..session import hashed_by
 from ..sources import layout, tables
 
 # ── fixed values ────────────────────────────────────────────────────────────
@@ -55,10 +56,7 @@ class Views:
         and runs keep this partitioning, so windows, groupings and joins on
         (document, …) below need no shuffle of their own.
         """
-        # a megabyte of text explodes into many of runs, so the partition count is
-        # fixed by the session and not merged down by the bytes in it
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return self.documents.select("doc_id", "source", "text").repartition(n, "doc_id")
+        return hashed_by(self.documents.select("doc_id", "source", "text"), "doc_id")
 
     @cached_property
     def lines(self) -> DataFrame:

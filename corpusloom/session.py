@@ -47,3 +47,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hashed_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ahead of keyed work, at the session's shuffle width.
+
+    The width is fixed because rows are about to grow: merging partitions by
+    the bytes they hold now would leave too few for the work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
