@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guards
 from ..operators import routing
 from ..sources import fields, files, html, layout, manifest, sinks, tables
+from ..session import shared_folder
 from .registry import plan
 from .views import Views
 
@@ -50,6 +53,16 @@ def s7_scan_fields(v: Views) -> DataFrame:
     return fields.scan_fields(v.widgets)
 
 
+@plan
+def k1_write_chunks(v: Views) -> DataFrame:
+    """Document lines written as bounded files per language, then read back whole."""
+    path = f"{shared_folder(v.spark)}/chunks-{uuid.uuid4().hex}"
+    lines = v.documents.select("doc_id", F.col("lang").alias("bucket"), F.explode(F.split("text", "\n")).alias("line"))
+    sinks.write_chunks(lines, path, max_records=2000)
+    back = v.spark.read.schema(lines.schema).parquet(path)
+    return back.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
 @plan
 def k2_sitemap(v: Views) -> DataFrame:
     return sinks.sitemap(v.routes, "https://example.org", "2024-01-01")

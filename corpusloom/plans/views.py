@@ -383,9 +383,7 @@ class Views:
     def boxes(self) -> DataFrame:
         """One redaction box on every page of every document labelled low quality."""
         low = self.table("labels").where("quality = 0").select("doc_id")
-        pages = layout.page_counts(self.texts.join(low, "doc_id", "left_semi")).where("n_pages > 0")
-        return (pages
-                .select("doc_id", F.explode(F.sequence(L(1), F.col("n_pages"))).alias("page_no"))
+        return (layout.page_numbers(self.texts.join(low, "doc_id", "left_semi"))
                 .select("doc_id", "page_no", L(1000).alias("x"), L(600 + 154 * 5 - 100).alias("y"),
                         L(2000).alias("w"), L(154 * 3).alias("h")))
 

@@ -103,9 +103,17 @@ def _folio_row(n: Column, total: Column) -> Column:
 
 
 def n_pages(text: str = "text") -> Column:
-    """Pages a text takes under the layout rule."""
-    return F.ceil(F.size(_visual_rows(F.col(text))) / F.lit(ROWS_PER_PAGE)).cast("long")
+    """Pages a text takes under the layout rule, counted without building its rows."""
+    rows = F.aggregate(F.split(F.col(text), "\n"), F.lit(0).cast("long"), lambda n, line: n + F.ceil(
+        F.size(split_words(line)) / F.lit(WORDS_PER_ROW)).cast("long"))
+    return F.ceil(rows / F.lit(ROWS_PER_PAGE)).cast("long")
 
 
 def page_counts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", n_pages().alias("n_pages"))
+
+
+def page_numbers(documents: DataFrame) -> DataFrame:
+    """One row per page of each document; the count is evaluated once."""
+    numbers = let(n_pages(), lambda n: F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))
+    return documents.select("doc_id", F.explode(numbers).alias("page_no"))

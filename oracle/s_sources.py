@@ -33,6 +33,8 @@ SQL: dict[str, str] = {
                  least(x0, x1) AS x, least(y0, y1) AS y, abs(x1 - x0) AS w, abs(y1 - y0) AS h, read_only, field_value AS initial
           FROM v_widgets WHERE NOT hidden AND NOT push_button)
         WHERE w >= 3 AND h >= 3 AND NOT (read_only AND initial = '')""",
+    "k1_write_chunks": """
+        SELECT lang AS bucket, count(*) AS n, sum(length(line))::BIGINT AS chars FROM v_lines JOIN documents USING (doc_id) GROUP BY 1""",
     "k2_sitemap": """
         SELECT 'https://example.org/' || route AS loc, '2024-01-01' AS lastmod, coalesce(f, 'monthly') AS changefreq, coalesce(p, '0.8') AS priority
         FROM (SELECT route, f, p FROM (VALUES ('', NULL, '1.0'), ('editor.html', NULL, '0.9'), ('converter.html', 'weekly', '0.9'),
