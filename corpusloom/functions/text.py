@@ -12,6 +12,7 @@ from .columns import Col, col, let
 WS_CHARS = (r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
             r"\x{3000}\x{feff}")
 WS = f"[{WS_CHARS}]"
+WS_NOT_SPACE = "[" + WS_CHARS.replace(" ", "") + "]"
 HORIZONTAL_WS = "[" + WS_CHARS.replace(r"\n", "") + "]"
 CONTROLS = r"[\x00-\x08\x0b-\x1f\x7f-\x9f]"
 CONTROLS_AND_NBSP = r"[\x00-\x08\x0b-\x1f\x7f-\x9f\xa0]"
@@ -47,8 +48,13 @@ def trim_ws(c: Col) -> Column:
 
 
 def squash_ws(c: Col) -> Column:
-    """Every run of whitespace becomes one space."""
-    return F.regexp_replace(col(c), f"{WS}+", " ")
+    """Every run of whitespace becomes one space (a lone space is left as it is)."""
+    return F.regexp_replace(col(c), f"{WS}{{2,}}|{WS_NOT_SPACE}", " ")
+
+
+def squash_trim(c: Col) -> Column:
+    """One space between words and none at the ends; only plain spaces are left to trim."""
+    return F.trim(squash_ws(c))
 
 
 def clean_html_text(c: Col) -> Column:
@@ -138,7 +144,7 @@ def tidy_fragments(fragments: Col) -> Column:
 
 
 def one_line(c: Col) -> Column:
-    return F.substring(trim_ws(squash_ws(F.coalesce(col(c), F.lit("")))), 1, 200)
+    return F.substring(squash_trim(F.coalesce(col(c), F.lit(""))), 1, 200)
 
 
 def clean_title(title: Col, name: Col) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import Col, col
 from ..functions.geometry import points_to_mm
-from ..functions.text import human_bytes, ltrim_ws, squash_ws, tidy_line, trim_ws
+from ..functions.text import human_bytes, ltrim_ws, squash_trim, tidy_line, trim_ws
 
 # ── fixed values ────────────────────────────────────────────────────────────
 ENOUGH_SHEETS = 3
@@ -39,7 +39,7 @@ BASE_FACES = ["helvetica", "helvetica-bold"]
 
 def furniture_key(line: Col) -> Column:
     """Digits masked, whitespace collapsed, lower case."""
-    return F.lower(trim_ws(squash_ws(F.regexp_replace(col(line), "[0-9]+", "#"))))
+    return F.lower(squash_trim(F.regexp_replace(col(line), "[0-9]+", "#")))
 
 
 def edge_lines(lines: DataFrame) -> Column:
@@ -85,7 +85,9 @@ def removed_counts(documents: DataFrame, doc: str = "source", sheet: str = "doc_
     lines = F.split(text, "\n")
     sheets = documents.select(doc, sheet, F.size(lines).alias("n"), F.element_at(lines, 1).alias("_first"), F.element_at(lines, -1).alias("_last"))
     edges = F.when(F.col("n") == 1, F.array("_first")).otherwise(F.array("_first", "_last"))
-    at_edge = sheets.select(doc, sheet, F.explode(edges).alias("_line")).select(doc, sheet, furniture_key("_line").alias("_key"))
+    # masked and filtered inside the array, so each key is worked out once
+    keys = F.filter(F.transform(edges, furniture_key), lambda k: k != "")
+    at_edge = sheets.select(doc, sheet, F.explode(keys).alias("_key"))
     removed = (at_edge.join(repeated_keys(at_edge, documents, doc, sheet), [doc, "_key"], "left_semi")
                .groupBy(doc).agg(F.count(F.lit(1)).alias("n_removed")))
     return (sheets.groupBy(doc).agg(F.sum("n").alias("n_lines")).join(removed, doc, "left")

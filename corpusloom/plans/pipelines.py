@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import looks_binary
-from ..functions.text import strip_soft_hyphen_ws, trim_ws
+from ..functions.text import strip_soft_hyphen_ws
 from ..operators import catalogue as cat
 from ..operators import layout, prose, redaction
 from ..session import cut_lineage, hashed_by
@@ -58,7 +58,7 @@ def corpus_to_chunks(runs: DataFrame, page_height: int, limit: int = prose.CHUNK
     items = joined.groupBy(*block, "para").agg(
         text.alias("raw"), layout.lower_median("size").cast("long").alias("size"), F.max("body").alias("body"),
         F.max("sheets").alias("sheets"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n_lines"))
-    items = items.withColumn("text", trim_ws(strip_soft_hyphen_ws("raw"))).where("text <> ''").drop("raw")
+    items = items.withColumn("text", F.trim(strip_soft_hyphen_ws("raw"))).where("text <> ''").drop("raw")
     ordered = prose.classify(items).select(
         "doc_id", F.struct("page_no", "place", "block", "para").alias("seq"), F.col("page_no").alias("page"), "tag", "text", "sheets")
     stitched = cut_lineage(prose.stitch(ordered, seen))  # labelled, then joined to its labels

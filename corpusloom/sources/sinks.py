@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squash_ws, trim_ws
+from ..functions.text import squash_trim
 
 # ── fixed values ────────────────────────────────────────────────────────────
 FIXED_ROUTES = ["", "editor.html", "converter.html", "forms.html", "privacy.html", "terms.html"]
@@ -45,7 +45,7 @@ def qa_jsonld(pages: DataFrame, question: str, answer: str) -> DataFrame:
     """
 
     def plain(c: Column) -> Column:
-        return trim_ws(squash_ws(F.regexp_replace(c, "<[^>]+>", "")))
+        return squash_trim(F.regexp_replace(c, "<[^>]+>", ""))
 
     head = plain(F.regexp_extract("html", question, 1))
     answers = F.transform(F.regexp_extract_all("html", F.lit(answer), F.lit(1)), plain)
