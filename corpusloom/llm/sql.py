@@ -10,15 +10,15 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 NEAR = rf"""
 with recursive words as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}'), x -> x <> '') as w
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}'), lambda x: x <> '') as w
   from documents),
 sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(0, len(w) - 3), i -> array_to_string(w[i + 1:i + 4], ' '))) end as s
+    else list_distinct(list_transform(range(0, len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' '))) end as s
   from words),
 held as (select doc_id, len(s) as n, unnest(s) as x from sets),
 pairs as (
-  select a.doc_id as a, b.doc_id as b from held a join held b on a.x = b.x and a.doc_id <> b.doc_id
+  select a.doc_id as a, b.doc_id as b from held a join held b on a.x = b.x and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
   group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 reach(a, b) as (select doc_id, doc_id from sets union select r.a, p.b from reach r join pairs p on p.a = r.b),
 named as (select a as doc_id, min(b) as component_id from reach group by a)
@@ -46,11 +46,11 @@ from drawn d join parts p on d.source is not distinct from p.source
 
 SHARDS = """
 with crc_table as (
-  select list(list_reduce(list_prepend(n, range(8)), (c, b) -> case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by n) as t from range(256) r(n)),
+  select list(list_reduce(list_prepend(n, range(8)), lambda c, b: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by n) as t from range(256) r(n)),
 sized as (
   select doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::bigint as size,
-    xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), h -> ('0x' || h)::bigint)),
-      (c, b) -> xor(c // 256, t[1 + (xor(c, b) % 256)]))) as text_crc32
+    xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint)),
+      lambda c, b: xor(c // 256, t[1 + (xor(c, b) % 256)]))) as text_crc32
   from documents, crc_table),
 summed as (select *, sum(size) over (order by doc_id, text_crc32 rows unbounded preceding) as upto, sum(size) over () as total from sized),
 placed as (select *, least(15, (2 * upto - size) * 16 // (2 * total))::int as shard from summed)
