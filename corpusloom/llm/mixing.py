@@ -53,7 +53,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("level", (F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
     rows = rows.withColumn("capped", F.col("level") * F.col("weight") >= F.col("cap"))
-    level = F.min_by(F.when(~F.col("capped"), F.col("level")), F.when(~F.col("capped"), F.col("cap") / F.col("weight"))).over(every)
+    rows = rows.withColumn("nth", F.row_number().over(order))
+    level = F.min_by("level", F.when(~F.col("capped"), F.col("nth"))).over(every)
     target = F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("weight"))
     rows = rows.withColumn("target", target)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")

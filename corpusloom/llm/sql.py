@@ -33,10 +33,10 @@ with sized as (
 sources as (select source, sum(size)::bigint as source_size from sized group by source),
 ranked as (select *, ([{", ".join(map(str, WEIGHTS))}])[1 + (row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)}] as weight, 2.0 * source_size as cap from sources),
 levels as (
-  select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over ahead, 0.0)) / (sum(weight) over () - coalesce(sum(weight) over ahead, 0)) as level
+  select *, row_number() over (order by cap / weight, source nulls last) as nth, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over ahead, 0.0)) / (sum(weight) over () - coalesce(sum(weight) over ahead, 0)) as level
   from ranked window ahead as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 goals as (
-  select *, case when level * weight >= cap then cap else weight * min_by(level, cap / weight) filter (where level * weight < cap) over () end as target
+  select *, case when level * weight >= cap then cap else weight * min_by(level, nth) filter (where level * weight < cap) over () end as target
   from levels),
 parts as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from goals),
 drawn as (select *, sum(size) over (partition by source order by {_KEY}, doc_id, size rows unbounded preceding) as upto from sized)
