@@ -210,12 +210,14 @@ def _links_in_large(large: DataFrame, info: DataFrame, known: DataFrame, near: N
         if open_members.isEmpty():
             return edges
     found = components(known.unionByName(edges))
-    rows = open_members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).join(facts.select("id", "sig"), "id")
+    others = open_members.groupBy("id").agg(F.collect_set("bucket").alias("where"))  # at most one a band
+    rows = open_members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).join(facts.select("id", "sig").join(others, "id"), "id")
     most = "least(" + ", ".join(f"least(i{r}_a, i{r}_b) + least(n_a - alone_a - i{r}_a, n_b - alone_b - i{r}_b)" for r in range(ROUNDS)) + ")"
     possible = (
         f"a < b and part_a <> part_b and {_linked(near, most)}"
         f" and {near.percent} * (alone_a + alone_b) <= {room} * least(n_a - alone_a, n_b - alone_b) and {_agreeing()} >= {near.agree}"
+        " and bucket = array_min(array_intersect(where_a, where_b))"  # each pair in one bucket only
     )
-    columns = ("n", "alone", "part", "sig", *[f"i{r}" for r in range(ROUNDS)])
-    rest = _side(rows, "a", *columns).join(_side(rows, "b", *columns), "bucket").where(possible).select("a", "b", "n_a", "n_b").distinct()
+    columns = ("n", "alone", "part", "sig", "where", *[f"i{r}" for r in range(ROUNDS)])
+    rest = _side(rows, "a", *columns).join(_side(rows, "b", *columns), "bucket").where(possible).select("a", "b", "n_a", "n_b")
     return edges.unionByName(_edges(cut_lineage(confirmed(rest, info)), near))
