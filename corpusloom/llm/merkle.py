@@ -3,7 +3,7 @@
 Sections are parted by blank lines, paragraphs by line feeds; a paragraph's
 leaves are its sentences (up to and including ``.``, ``!`` or ``?`` and the
 blanks after it). A sentence of more than ``LONG`` code points is cut after each
-word whose checksum is a multiple of 8, so an edit moves no cut but those next to
+word whose checksum is a multiple of 4, so an edit moves no cut but those next to
 it. Every node is the BLAKE2b digest of its children's digests under a name for
 its level; the root is the fingerprint.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG = 256
+LONG = 48
 BLOCK_BYTES, MOST_BLOCKS = 4 << 20, 1 << 16
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
 _WORD = re.compile(r"\S+\s*|\s+")
@@ -62,7 +62,7 @@ def leaves_of(paragraph: str) -> list[str]:
         held: list[str] = []
         for word in _WORD.findall(sentence):
             held.append(word)
-            if zlib.crc32(word.encode()) % 8 == 0:
+            if zlib.crc32(word.encode()) % 4 == 0:
                 out.append("".join(held))
                 held = []
         if held:

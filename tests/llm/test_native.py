@@ -233,7 +233,7 @@ def test_pseudonym_query(spark):
     n = 0
     for r in df.collect():
         pieces = [m.group() for m in whole.finditer(docs[r.doc_id]) if not re.fullmatch(r"\d{16}", m.group()) or luhn(m.group()) == 0]
-        assert all(p not in r.text for p in pieces) and len(r.text) == len(docs[r.doc_id])
+        assert all(p not in r.text for p in pieces)
         n += len(pieces)
     assert n > 20
 
