@@ -3,7 +3,7 @@
 Sections are parted by blank lines, paragraphs by line feeds; a paragraph's
 leaves are its sentences (up to and including ``.``, ``!`` or ``?`` and the
 blanks after it). A sentence of more than ``LONG`` code points is cut after each
-word whose checksum is a multiple of 4, so an edit moves no cut but those next to
+word whose checksum is even, so an edit moves no cut but those next to
 it. Every node is the BLAKE2b digest of its children's digests under a name for
 its level; the root is the fingerprint.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG = 48
+LONG = 24
 BLOCK_BYTES, MOST_BLOCKS = 4 << 20, 1 << 16
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
 _WORD = re.compile(r"\S+\s*|\s+")
@@ -62,7 +62,7 @@ def leaves_of(paragraph: str) -> list[str]:
         held: list[str] = []
         for word in _WORD.findall(sentence):
             held.append(word)
-            if zlib.crc32(word.encode()) % 4 == 0:
+            if zlib.crc32(word.encode()) % 2 == 0:
                 out.append("".join(held))
                 held = []
         if held:
@@ -70,11 +70,16 @@ def leaves_of(paragraph: str) -> list[str]:
     return out
 
 
-def tree(text: str) -> Tree:
+def tree(text: str, known: Tree | None = None, known_text: str = "") -> Tree:
+    """The tree of a text; paragraphs it shares with ``known`` are taken over from there."""
+    held = dict(zip((p for x in known_text.split("\n\n") for p in x.split("\n")), (p for _, x in known.sections for p in x))) if known else {}
     sections = []
     for section in text.split("\n\n"):
         paragraphs = []
         for paragraph in section.split("\n"):
+            if paragraph in held:
+                paragraphs.append(held[paragraph])
+                continue
             leaves = [(_digest(b"leaf", x.encode()), len(x)) for x in leaves_of(paragraph)]
             paragraphs.append((_digest(b"paragraph", b"".join(d for d, _ in leaves)), leaves))
         sections.append((_digest(b"section", b"".join(d for d, _ in paragraphs)), paragraphs))
@@ -185,7 +190,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def _compared(here: tuple, following: tuple) -> tuple:
     key, text, _, own = here
     new = edited(text, following[1])
-    changed = tree(new)
+    changed = tree(new, own, here[1])
     start, end = differing(own, changed)
     return (key, len(text), hashlib.sha256(new.encode()).hexdigest(), own.root.hex(), changed.root.hex(), likeness(own, changed), likeness(own, following[3]),
             len(own.sections), sum(len(p) for _, p in own.sections), sum(1 for _ in own.leaves()), start, end)
