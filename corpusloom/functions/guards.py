@@ -19,7 +19,6 @@ HEIC_BRANDS = ["heic", "heix", "hevc", "mif1", "heim"]
 PNG_FULL = "89504E470D0A1A0A"
 ZIP = "504B0304"
 OLE = "D0CF11E0A1B11AE1"
-BINARY_SAMPLE = 4096
 BINARY_SHARE = 0.05
 # Code-point bands no embedded face covers, and what to call them.
 SCRIPT_BANDS = [
@@ -60,9 +59,9 @@ def embeddable_image(head: Col) -> Column:
     return F.when(h == PNG_FULL, "png").when(h.startswith("FFD8FF"), "jpeg")
 
 
-def looks_binary(text: Col) -> Column:
-    """More than one in twenty of the sampled characters is a control or U+FFFD."""
-    sample = F.substring(col(text), 1, BINARY_SAMPLE)
+def looks_binary(text: Col, sample: int | None = None) -> Column:
+    """More than one in twenty characters is a control or U+FFFD: of the whole text, or of the first ``sample``."""
+    sample = col(text) if sample is None else F.substring(col(text), 1, sample)
     bad = F.regexp_count(sample, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]"))
     return bad > F.length(sample) * F.lit(BINARY_SHARE)
 

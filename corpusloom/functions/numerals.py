@@ -31,8 +31,8 @@ def letters(n: Col) -> Column:
         return F.when(acc["v"] > 0, F.struct(
             F.floor((acc["v"] - 1) / 26).cast("long").alias("v"), F.concat(sign, acc["out"]).alias("out"))).otherwise(acc)
 
-    # seven digits cover any 32-bit counter
-    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, digit, lambda acc: acc["out"])
+    # fourteen digits cover any 64-bit counter
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, digit, lambda acc: acc["out"])
 
 
 def counter(n: Col, style: str) -> Column:

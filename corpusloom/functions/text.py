@@ -143,17 +143,19 @@ def tidy_fragments(fragments: Col) -> Column:
     return F.filter(let(trim_first(cleaned), trim_last), lambda f: f["text"] != "")
 
 
-def one_line(c: Col) -> Column:
-    return F.substring(squash_trim(F.coalesce(col(c), F.lit(""))), 1, 200)
+def one_line(c: Col, most: int | None = 200) -> Column:
+    """White space squashed; ``most`` characters, or all of them."""
+    whole = squash_trim(F.coalesce(col(c), F.lit("")))
+    return whole if most is None else F.substring(whole, 1, most)
 
 
-def clean_title(title: Col, name: Col) -> Column:
+def clean_title(title: Col, name: Col, most: int | None = None) -> Column:
     """A usable title: producer artefacts stripped, junk replaced by the file name."""
     claimed = trim_ws(F.regexp_replace(
-        F.regexp_replace(one_line(title), PRODUCER_PREFIX, ""), PRODUCER_SUFFIX, ""))
+        F.regexp_replace(one_line(title, most), PRODUCER_PREFIX, ""), PRODUCER_SUFFIX, ""))
     junk = (claimed == "") | claimed.rlike(JUNK_TITLE)
     return F.when(~junk, claimed).otherwise(
-        F.coalesce(F.nullif(one_line(name), F.lit("")), F.lit("Untitled")))
+        F.coalesce(F.nullif(one_line(name, most), F.lit("")), F.lit("Untitled")))
 
 
 def bcp47(c: Col) -> Column:

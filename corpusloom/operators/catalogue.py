@@ -89,8 +89,15 @@ def ranked(catalogue: DataFrame, popular: DataFrame, key: str = "seq") -> DataFr
 
 
 def popularity_list(sold: DataFrame) -> DataFrame:
-    """Rank a short top list (already limited) by quantity."""
-    return sold.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("qty"), "seq")) - 1).cast("long"))
+    """Rank by quantity, ties by ``seq``, lists of any length.
+
+    Quantities are counted first; only the counts (one row per distinct quantity)
+    are put in order as a whole, rows only within their own quantity.
+    """
+    ahead = F.coalesce(F.sum("count").over(Window.orderBy(F.desc("qty")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = sold.groupBy("qty").count().select("qty", ahead.alias("_ahead"))
+    nth = F.row_number().over(Window.partitionBy("qty").orderBy("seq")) - 1
+    return sold.join(above, "qty").withColumn("rank", (F.col("_ahead") + nth).cast("long")).drop("_ahead")
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# ── fixed values ────────────────────────────────────────────────────────────
-MAX_COPIES = 10_000
-# ────────────────────────────────────────────────────────────────────────────
-
 
 def natural_number(name: Column, pattern: str) -> Column:
     """The number inside a part name; null when the name is not a part."""
@@ -63,19 +59,20 @@ def resolve_styles(styles: DataFrame, properties: list[str], defaults: dict) ->
     return state.select("id", *[F.coalesce(p, F.lit(defaults[p])).alias(p) for p in properties])
 
 
-def expand_blocks(inserts: DataFrame, root: int, levels: int = 4) -> DataFrame:
+def expand_blocks(inserts: DataFrame, root: int, levels: int = 4, most_copies: int | None = None) -> DataFrame:
     """Every block reached from ``root`` and how many copies of it are drawn.
 
     One join per nesting level over the frontier alone, ``levels`` of them per
     job. An insert that would put a block inside itself is cut; one arrayed
-    past the copy limit is an error row, not a crash, and is not descended into.
+    more than ``most_copies`` times (default: no limit) is flagged ``refused``,
+    and what is in it still counted.
     """
     edges = inserts.select("block", "child", (F.col("cols") * F.col("rows")).alias("copies"))
 
     def descend(frontier: DataFrame) -> DataFrame:
-        return (frontier.where("status = 'ok'").join(edges, "block").where(~F.array_contains("path", F.col("child")))
+        return (frontier.join(edges, "block").where(~F.array_contains("path", F.col("child")))
                 .select(F.col("child").alias("block"), (F.col("n") * F.col("copies")).alias("n"), F.concat("path", F.array("child")).alias("path"),
-                        (F.col("depth") + 1).alias("depth"), F.when(F.col("copies") > MAX_COPIES, "refused").otherwise("ok").alias("status")))
+                        (F.col("depth") + 1).alias("depth"), F.when(F.col("copies") > (most_copies or (1 << 62)), "refused").otherwise("ok").alias("status")))
 
     frontier = inserts.sparkSession.range(1).select(
         F.lit(root).cast("long").alias("block"), F.lit(1).cast("long").alias("n"), F.array(F.lit(root).cast("long")).alias("path"),

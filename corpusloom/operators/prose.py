@@ -83,15 +83,16 @@ def removed_counts(documents: DataFrame, doc: str = "source", sheet: str = "doc_
     sheet are ever made.
     """
     lines = F.split(text, "\n")
-    sheets = documents.select(doc, sheet, F.size(lines).alias("n"), F.element_at(lines, 1).alias("_first"), F.element_at(lines, -1).alias("_last"))
+    sheets = documents.select(doc, F.size(lines).alias("n"), F.element_at(lines, 1).alias("_first"), F.element_at(lines, -1).alias("_last"))
+    totals = sheets.groupBy(doc).agg(F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("_sheets"))
     edges = F.when(F.col("n") == 1, F.array("_first")).otherwise(F.array("_first", "_last"))
-    # masked and filtered inside the array, so each key is worked out once
-    keys = F.filter(F.transform(edges, furniture_key), lambda k: k != "")
-    at_edge = sheets.select(doc, sheet, F.explode(keys).alias("_key"))
-    removed = (at_edge.join(repeated_keys(at_edge, documents, doc, sheet), [doc, "_key"], "left_semi")
-               .groupBy(doc).agg(F.count(F.lit(1)).alias("n_removed")))
-    return (sheets.groupBy(doc).agg(F.sum("n").alias("n_lines")).join(removed, doc, "left")
-            .withColumn("n_removed", F.coalesce("n_removed", F.lit(0))))
+    # masked and filtered inside the array, so each key is worked out once; a sheet's equal edges are one row that counts two
+    keys = sheets.select(doc, F.filter(F.transform(edges, furniture_key), lambda k: k != "").alias("_keys"))
+    per_sheet = keys.select(doc, F.explode(F.array_distinct("_keys")).alias("_key"), F.size("_keys").alias("_n"), F.size(F.array_distinct("_keys")).alias("_d"))
+    counted = per_sheet.groupBy(doc, "_key").agg(F.count(F.lit(1)).alias("_on"), F.sum(F.when(F.col("_d") == 1, F.col("_n")).otherwise(1)).alias("_lines")).where("_on >= 2")
+    enough = F.when(F.col("_sheets") > ENOUGH_SHEETS, ENOUGH_SHEETS).otherwise(F.col("_sheets"))
+    removed = F.sum(F.when(F.col("_on") >= enough, F.col("_lines")))
+    return totals.join(counted, doc, "left").groupBy(doc).agg(F.first("n_lines").alias("n_lines"), F.coalesce(removed, F.lit(0)).alias("n_removed"))
 
 
 # whole-document statistics ------------------------------------------------------
@@ -256,6 +257,12 @@ def chunk(items: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
     return items.join(labels, ["doc_id", "item"])
 
 
+def zero_padded(n: str, width: int) -> Column:
+    """Leading zeros up to a width; longer numbers stay whole."""
+    digits = F.col(n).cast("string")
+    return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(width) - F.length(digits), F.lit(0))), digits)
+
+
 def toc(chunked: DataFrame, titles: DataFrame) -> DataFrame:
     """Contents: every h1 linked to its chunk file or an anchor inside it.
 
@@ -268,7 +275,7 @@ def toc(chunked: DataFrame, titles: DataFrame) -> DataFrame:
     marked = (chunked.withColumn("_first", F.row_number().over(in_chunk) == 1).withColumn("_h", F.count_if(heading).over(doc))
               .withColumn("_all", F.count_if(heading).over(whole)).withColumn("_lead", F.row_number().over(doc) == 1)
               .where(heading | ((F.col("_all") == 0) & F.col("_lead"))))
-    file = F.concat(F.lit("c"), F.lpad(F.col("chunk").cast("string"), 3, "0"), F.lit(".xhtml"))
+    file = F.concat(F.lit("c"), zero_padded("chunk", 3), F.lit(".xhtml"))
     anchor = F.when(F.col("_first"), "").otherwise(F.concat(F.lit("#h"), F.col("_h").cast("string")))
     return marked.join(titles, "doc_id", "left").select(
         "doc_id", F.greatest("_h", F.lit(1)).alias("entry"), F.concat(file, anchor).alias("href"),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import running_sums
+
 # ── fixed values ────────────────────────────────────────────────────────────
-MIN_HIT = 2
+MIN_HIT = 20  # two points, in tenths
 # ────────────────────────────────────────────────────────────────────────────
 
 
@@ -20,10 +22,10 @@ def find(runs: DataFrame, queries: list[str]) -> DataFrame:
     needles = [q for q in (q.strip().lower() for q in queries) if q]
     matching = F.array_compact(F.array(*[F.when(F.col("_lower").contains(q), F.lit(q)) for q in needles]))
     asked = (runs.withColumn("_lower", F.lower("text")).withColumn("q", F.explode(matching))
-             .withColumn("_pieces", F.split(F.col("_lower"), F.concat(F.lit(r"\Q"), F.col("q"), F.lit(r"\E")), -1))
-             .withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_pieces") - 1))))
-    # a hit starts where the pieces before it, rejoined, end
-    hits = asked.withColumn("pos", F.length(F.call_function("array_join", F.slice("_pieces", F.lit(1), F.col("_i")), F.col("q"))).cast("long"))
+             .withColumn("_steps", F.transform(F.split(F.col("_lower"), F.concat(F.lit(r"\Q"), F.col("q"), F.lit(r"\E")), -1), lambda p: F.length(p) + F.length("q"))))
+    # a hit ends where the pieces up to it, each followed by a hit, end; the last piece is followed by none
+    hits = (asked.withColumn("_end", F.explode(running_sums(F.slice("_steps", F.lit(1), F.size("_steps") - 1))))
+            .withColumn("pos", F.col("_end") - F.length("q")))
     unit = F.col("w") / F.greatest(F.lit(1), F.length("text"))
     return hits.select("doc_id", "page_no", "row_no", "run_no", "q", "pos",
                        (F.col("x") + unit * F.col("pos")).alias("x"), F.greatest(unit * F.length("q"), F.lit(float(MIN_HIT))).alias("w"))

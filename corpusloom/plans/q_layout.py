@@ -20,9 +20,9 @@ def p7_split_by_angle(v: Views) -> DataFrame:
 
 @plan
 def w1_group_rows(v: Views) -> DataFrame:
-    runs = v.runs.select("doc_id", "page_no", "baseline", "x", "row_no", "run_no", "size", F.lit(0).alias("angle"))
+    runs = v.runs.select("doc_id", "page_no", "baseline", "x", "row_no", "run_no", "size", "angle")
     return layout.group_rows(runs).select(
-        "doc_id", "page_no", "row_no", "run_no", "row")
+        "doc_id", "page_no", "row_no", "run_no", "angle", "row")
 
 
 @plan
@@ -62,8 +62,8 @@ def a2_lower_median(v: Views) -> DataFrame:
 
 @plan
 def a4_align_of(v: Views) -> DataFrame:
-    lines = layout.to_text_lines(v.runs).where("seg = 0")
-    return layout.block_shape(lines, ["doc_id", "page_no"], "row_no").select("doc_id", "page_no", "n_lines", "align")
+    lines = layout.to_blocks(layout.to_text_lines(v.runs))
+    return layout.block_shape(lines, ["doc_id", "page_no", "block"], "row_no").select("doc_id", "page_no", "block", "n_lines", "align")
 
 
 @plan
@@ -78,15 +78,14 @@ def a15_faces_needed(v: Views) -> DataFrame:
 
 @plan
 def a16_leading(v: Views) -> DataFrame:
-    return layout.block_shape(layout.to_text_lines(v.runs).where("seg = 0"), ["doc_id", "page_no"], "row_no").select(
-        "doc_id", "page_no", "leading", "size", "x0", "x1")
+    return layout.block_shape(layout.to_blocks(layout.to_text_lines(v.runs)), ["doc_id", "page_no", "block"], "row_no").select(
+        "doc_id", "page_no", "block", "leading", "size", "x0", "x1")
 
 
 @plan
 def j10_reading_order(v: Views) -> DataFrame:
     """Odd rows come first in the content stream; turned runs are missing from it."""
-    lines = layout.to_text_lines(v.runs).where("seg = 0").select(
-        "doc_id", "page_no", F.col("row_no").alias("block"), "x0", "baseline")
+    lines = layout.to_blocks(layout.to_text_lines(v.runs)).select("doc_id", "page_no", "block", "x0", "baseline")
     content = v.runs.where("angle = 0").select(
         "doc_id", "page_no", "x", "baseline", ((1 - F.col("row_no") % 2) * 100000 + F.col("row_no") * 100 + F.col("run_no")).alias("idx"))
     return layout.reading_order(lines, content)

@@ -78,7 +78,7 @@ def x1_find_lines(v: Views) -> DataFrame:
     """Whole lines as runs, so phrases and repeated letters occur."""
     runs = v.lines.select("doc_id", L(F.lit(1)).alias("page_no"), F.col("line_no").alias("row_no"), L(F.lit(0)).alias("run_no"),
                           F.col("line").alias("text"), L(F.lit(0)).alias("x"), L(F.length("line") * 60).alias("w"))
-    return search.find(runs, QUERIES[:5]).groupBy("doc_id", "row_no", "q").agg(
+    return search.find(runs, QUERIES).groupBy("doc_id", "row_no", "q").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"), F.max("x").alias("last_x"), F.max("w").alias("w"))
 
 

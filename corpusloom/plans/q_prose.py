@@ -13,7 +13,8 @@ from .views import L, Views
 
 
 def text_lines(v: Views) -> DataFrame:
-    return layout.to_text_lines(v.runs).where("seg = 0")
+    """Every line of every column, with its block on the page."""
+    return layout.to_blocks(layout.to_text_lines(v.runs))
 
 
 def sheet_items(v: Views) -> DataFrame:
@@ -52,8 +53,9 @@ def a13_compounds(v: Views) -> DataFrame:
 
 @plan
 def w5_paragraphs(v: Views) -> DataFrame:
-    lines = layout.with_align(text_lines(v), ["doc_id", "page_no"], "row_no")
-    return prose.paragraphs(lines, ["doc_id", "page_no"], ["row_no"]).select("doc_id", "page_no", "row_no", "para")
+    block = ["doc_id", "page_no", "block"]
+    lines = layout.with_align(text_lines(v), block, "row_no")
+    return prose.paragraphs(lines, block, ["row_no"]).select(*block, "row_no", "seg", "para")
 
 
 @plan
@@ -69,8 +71,8 @@ def w7_bridge(v: Views) -> DataFrame:
 
 @plan
 def w8_classify(v: Views) -> DataFrame:
-    items = prose.with_body_size(text_lines(v)).withColumn("n_lines", L(1))
-    return prose.classify(items).select("doc_id", "row_no", "size", "tag")
+    items = prose.with_body_size(layout.to_text_lines(v.runs)).withColumn("n_lines", L(1))
+    return prose.classify(items).select("doc_id", "row_no", "seg", "size", "tag")
 
 
 @plan

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from math import isfinite
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,9 +47,10 @@ def _collapse(s: str) -> str:
 
 def _number(value: str | None) -> int | None:
     try:
-        return int(float(value)) if value else None
+        number = float(value) if value else None
     except ValueError:
         return None
+    return int(number) if number is not None and isfinite(number) and abs(number) < 1 << 53 else None
 
 
 class _Blocks(HTMLParser):
@@ -192,11 +195,19 @@ def parse_blocks(html: str | None) -> list[tuple]:
     return p.out
 
 
+def _blocks_or_error(html: str | None) -> list[tuple]:
+    """The blocks of a page; a page the parser can't take is one row that says so."""
+    try:
+        return parse_blocks(html or "")
+    except Exception as e:  # any page of the web may come in; one must not end the job
+        return [("error", f"{type(e).__name__}: {e}", 0, False, None)]
+
+
 def _page_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["page_id", "seq", "kind", "text", "indent", "quoted", "marker"]
     for pdf in batches:
         rows = [(page, i, *block) for page, html in zip(pdf["page_id"], pdf["html"])
-                for i, block in enumerate(parse_blocks(html))]
+                for i, block in enumerate(_blocks_or_error(html))]
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -205,11 +216,15 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(_page_blocks, _BLOCK_SCHEMA)
 
 
+#: Charsets that need no Python; all others are decoded there, on the rows that declare them.
+_IN_JVM = ["utf-8", "utf-16le", "utf-16be", "windows-1252", "iso-8859-1", "latin1", "ascii", "us-ascii"]
+
+
 def pick_charset(content: Col) -> Column:
     """Charset of raw bytes: byte-order mark, then declaration, then valid UTF-8, then Windows-1252."""
     b = col(content)
     lead = F.hex(F.substring(b, 1, 3))
-    head = F.decode(F.substring(b, 1, 2048), "ISO-8859-1")
+    head = F.decode(F.substring_index(b.cast("string"), "</head>", 1).cast("binary"), "ISO-8859-1")
     declared = F.lower(F.regexp_extract(head, r"""(?i)<meta[^>]+?charset\s*=\s*["']?\s*([\w:.-]+)""", 1))
     return (F.when(lead == "EFBBBF", "utf-8").when(lead.startswith("FFFE"), "utf-16le")
             .when(lead.startswith("FEFF"), "utf-16be")
@@ -217,6 +232,19 @@ def pick_charset(content: Col) -> Column:
             .when(F.is_valid_utf8(b.cast("string")), "utf-8").otherwise("windows-1252"))
 
 
+@F.pandas_udf("string")
+def _decoded(content: pd.Series, charset: pd.Series) -> pd.Series:
+    """Bytes in any charset that the standard codecs know; null for other names."""
+
+    def one(b: bytes | None, name: str | None) -> str | None:
+        try:
+            return None if b is None or name is None else codecs.decode(b, name, "replace")
+        except (LookupError, ValueError, TypeError, AssertionError):
+            return None
+
+    return pd.Series([one(b, c) for b, c in zip(content, charset)], dtype=object)
+
+
 def decode_html(content: Col, charset: Col) -> Column:
     """Text of raw bytes in the picked charset; an unknown name falls back to UTF-8 or Windows-1252."""
     b, c = col(content), col(charset)
@@ -227,5 +255,5 @@ def decode_html(content: Col, charset: Col) -> Column:
     return (F.when(c == "utf-8", no_bom)
             .when(c == "utf-16le", F.regexp_replace(F.decode(b, "UTF-16LE"), r"^\x{feff}", ""))
             .when(c == "utf-16be", F.regexp_replace(F.decode(b, "UTF-16BE"), r"^\x{feff}", ""))
-            .when(c.isin("windows-1252", "iso-8859-1", "latin1", "ascii", "us-ascii"), western)
-            .when(F.is_valid_utf8(b.cast("string")), no_bom).otherwise(western))
+            .when(c.isin(*_IN_JVM[3:]), western)
+            .otherwise(F.coalesce(_decoded(F.when(~c.isin(*_IN_JVM), b), c), F.when(F.is_valid_utf8(b.cast("string")), no_bom).otherwise(western))))

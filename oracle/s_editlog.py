@@ -35,7 +35,7 @@ def _replay(limit: int, edits: str) -> str:
 
 SQL: dict[str, str] = {
     "t1_replay": _replay(200, "SELECT * FROM v_edits"),
-    "t1_replay_shallow": _replay(3, "SELECT * FROM v_edits WHERE op <> 'clear'"),
+    "t1_replay_shallow": _replay(3, "SELECT * FROM v_edits"),
     "t2_field_state": _STATE,
     "t3_live_annots": """
         SELECT l.doc, id, page, event_id FROM (

@@ -6,7 +6,7 @@ _Q = "(VALUES ('the'), ('und'), ('de la'), ('aa'), ('the'), ('e')) t(q)"
 def _hits(runs: str) -> str:
     """Occurrences by splitting on the query: each piece but the last is followed by a hit."""
     return f"""
-        SELECT *, (lens - length(q))::BIGINT AS pos, x + (w / greatest(1, length(text))) * (lens - length(q)) AS hx, greatest((w / greatest(1, length(text))) * length(q), 2)::DOUBLE AS hw FROM (
+        SELECT *, (lens - length(q))::BIGINT AS pos, x + (w / greatest(1, length(text))) * (lens - length(q)) AS hx, greatest((w / greatest(1, length(text))) * length(q), 20)::DOUBLE AS hw FROM (
           SELECT *, sum(length(p) + length(q)) OVER (PARTITION BY doc_id, row_no, run_no, qi ORDER BY i) AS lens FROM (
             SELECT r.*, q, qi, unnest(range(0, len(ps))) AS i, unnest(ps) AS p, len(ps) AS n FROM (
               SELECT r.*, q, qi, string_split(lower(text), q) AS ps FROM ({runs}) r, (SELECT q, row_number() OVER () AS qi FROM {_Q}) WHERE contains(lower(text), q)) r)
@@ -44,7 +44,7 @@ SQL: dict[str, str] = {
     "x1_find": f"""
         SELECT doc_id, row_no, q, count(*) AS n, sum(pos)::BIGINT AS pos, sum(hx) AS x, sum(hw) AS w FROM ({_hits('SELECT * FROM v_runs')}) GROUP BY 1, 2, 3""",
     "x1_find_lines": f"""
-        SELECT doc_id, row_no, q, count(*) AS n, sum(pos)::BIGINT AS pos, max(hx) AS last_x, max(hw) AS w FROM ({_hits(_LINE_RUNS)}) WHERE q <> 'e' GROUP BY 1, 2, 3""",
+        SELECT doc_id, row_no, q, count(*) AS n, sum(pos)::BIGINT AS pos, max(hx) AS last_x, max(hw) AS w FROM ({_hits(_LINE_RUNS)}) GROUP BY 1, 2, 3""",
     "x2_hit_pages": f"""
         SELECT doc_id, page_no, q, count(*) AS n, min(row_no) AS first_row, arg_min(hx, row_no * 1000000000 + run_no * 10000000 + pos) AS first_x FROM ({_hits('SELECT * FROM v_runs')}) GROUP BY 1, 2, 3""",
 }

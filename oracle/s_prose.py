@@ -1,5 +1,6 @@
 """SQL: boilerplate, hyphens, paragraphs, headings, chunks, spans."""
 
+from .s_layout import BLOCK_LINES
 from .s_layout import SQL as LAYOUT
 
 _EDGES = r"""
@@ -60,12 +61,12 @@ SQL: dict[str, str] = {
         LEFT JOIN (SELECT source, count(*) AS n_kept FROM ({_KEPT}) GROUP BY 1) USING (source)""",
     "a13_compounds": _COMPOUNDS,
     "w5_paragraphs": f"""
-        SELECT doc_id, page_no, row_no, count(*) FILTER (rn > 1 AND align NOT IN ('center', 'right') AND
-               ((ind AND NOT coalesce(next_ind, false)) OR (align = 'justify' AND px1 < xr - size * 3))) OVER (PARTITION BY doc_id, page_no ORDER BY row_no) AS para
-        FROM (SELECT *, lead(ind) OVER o AS next_ind, lag(x1) OVER o AS px1, row_number() OVER o AS rn, max(x1) OVER (PARTITION BY doc_id, page_no) AS xr
-          FROM (SELECT t.*, align, x0 - min(x0) OVER (PARTITION BY doc_id, page_no) > size * 0.5 AS ind
-                FROM (SELECT * FROM v_tlines WHERE seg = 0) t JOIN ({LAYOUT['a4_align_of']}) USING (doc_id, page_no))
-          WINDOW o AS (PARTITION BY doc_id, page_no ORDER BY row_no))""",
+        SELECT doc_id, page_no, block, row_no, seg, count(*) FILTER (rn > 1 AND align NOT IN ('center', 'right') AND
+               ((ind AND NOT coalesce(next_ind, false)) OR (align = 'justify' AND px1 < xr - size * 3))) OVER (PARTITION BY doc_id, page_no, block ORDER BY row_no) AS para
+        FROM (SELECT *, lead(ind) OVER o AS next_ind, lag(x1) OVER o AS px1, row_number() OVER o AS rn, max(x1) OVER (PARTITION BY doc_id, page_no, block) AS xr
+          FROM (SELECT t.*, align, x0 - min(x0) OVER (PARTITION BY doc_id, page_no, block) > size * 0.5 AS ind
+                FROM ({BLOCK_LINES}) t JOIN ({LAYOUT['a4_align_of']}) USING (doc_id, page_no, block))
+          WINDOW o AS (PARTITION BY doc_id, page_no, block ORDER BY row_no))""",
     "w6_stitch": f"""
         SELECT doc_id, item, string_agg(joined, '' ORDER BY seq) AS text, arg_min(tag, seq) AS tag, max(page) AS page
         FROM ({bridged(_STITCHED, 'doc_id, item', 'seq')}) GROUP BY 1, 2""",
@@ -73,14 +74,14 @@ SQL: dict[str, str] = {
         SELECT doc_id, string_agg(joined, '' ORDER BY vline) AS text, count(*) AS n_lines
         FROM ({bridged('SELECT * FROM v_wrapped', 'doc_id', 'vline')}) GROUP BY 1""",
     "w8_classify": f"""
-        SELECT doc_id, row_no, size, CASE WHEN length(text) > 140 THEN 'p' WHEN size >= body * 1.45 THEN 'h1' WHEN size >= body * 1.15 THEN 'h2' ELSE 'p' END AS tag
-        FROM v_tlines JOIN ({LAYOUT['a1_body_size'].replace('FROM v_tlines', 'FROM v_tlines WHERE seg = 0')}) USING (doc_id) WHERE seg = 0""",
+        SELECT doc_id, row_no, seg, size, CASE WHEN length(text) > 140 THEN 'p' WHEN size >= body * 1.45 THEN 'h1' WHEN size >= body * 1.15 THEN 'h2' ELSE 'p' END AS tag
+        FROM v_tlines JOIN ({LAYOUT['a1_body_size']}) USING (doc_id)""",
     "w9_chunk": f"{chunked(40000)} SELECT doc_id, item, tag, chunk FROM chunks",
     "w9_chunk_small": f"{chunked(2000)} SELECT doc_id, item, tag, chunk FROM chunks",
     "w10_toc": f"""{chunked(2000)}, marked AS (
           SELECT *, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY item) AS pos,
                  count(*) FILTER (tag = 'h1') OVER (PARTITION BY doc_id ORDER BY item) AS h FROM chunks)
-        SELECT doc_id, h AS entry, 'c' || lpad(chunk::VARCHAR, 3, '0') || '.xhtml' || CASE WHEN pos = 1 THEN '' ELSE '#h' || h END AS href, text AS label
+        SELECT doc_id, h AS entry, 'c' || lpad(chunk::VARCHAR, greatest(3, length(chunk::VARCHAR))::INT, '0') || '.xhtml' || CASE WHEN pos = 1 THEN '' ELSE '#h' || h END AS href, text AS label
         FROM marked WHERE tag = 'h1'
         UNION ALL SELECT doc_id, 1, 'c001.xhtml', 'Document ' || doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunks WHERE tag = 'h1')""",
     "w11_merge_runs": """

@@ -78,7 +78,7 @@ SQL: dict[str, str] = {
                 FROM (SELECT *, {KIND} AS k FROM v_heads) h
                 LEFT JOIN (VALUES {_WANTED}) r(rs, wanted) ON claimed = rs LEFT JOIN (VALUES {_HINTS}) s(hk, hint) ON k = hk))""",
     "p3_looks_binary": r"""
-        SELECT doc_id, len(regexp_extract_all(text[1:4096], '[\x01-\x08\x0b\x0c\x0e-\x1f\x{fffd}]')) > length(text[1:4096]) * 0.05::DOUBLE AS is_binary FROM v_noisy""",
+        SELECT doc_id, len(regexp_extract_all(text, '[\x01-\x08\x0b\x0c\x0e-\x1f\x{fffd}]')) > length(text) * 0.05::DOUBLE AS is_binary FROM v_noisy""",
     "p4_script_share": rf"""
         SELECT doc_id, solid AS n_solid, missing AS n_missing, CASE WHEN solid > 0 AND missing * 20 > solid THEN CASE {_BAND_NAME} END END AS script
         FROM (SELECT doc_id, length(regexp_replace(text, '[\x01-\x20]', '', 'g')) AS solid,

@@ -117,7 +117,7 @@ VIEWS: dict[str, str] = {
                p_brand AS tag1, p_partkey AS seq, (p_size % 7)::BIGINT AS pages, p_size::BIGINT AS fields FROM part""",
     "v_popular": """
         SELECT seq, qty, row_number() OVER (ORDER BY qty DESC, seq) - 1 AS rank FROM (
-          SELECT l_partkey AS seq, sum(l_quantity) AS qty FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40)""",
+          SELECT l_partkey AS seq, sum(l_quantity) AS qty FROM lineitem GROUP BY 1)""",
     "v_notes": """
         SELECT replace(p_name, ' ', '-') || '-' || p_partkey AS slug, 'About ' || p_name AS about,
                CASE WHEN p_size > 8 THEN 'Buyers of ' || p_brand END AS who FROM part WHERE p_size <= 17""",
