@@ -69,27 +69,38 @@ def _negated(c: str) -> Column:
     return -F.unix_micros(F.col(c).cast("timestamp")) if c == "ts" else -F.col(c)
 
 
-def changed_pages(log: DataFrame, commit: Column) -> DataFrame:
-    """Pages each commit repaints: every add's page, and a removed or cleared mark's own page.
+def changed_pages(log: DataFrame, commit: Column, block: Column | None = None) -> DataFrame:
+    """Pages each commit repaints: every add's page, and a touched, removed or cleared mark's own page.
 
     An add is followed to its end: the next add or remove of its id, or the
     document's next clear, whichever is first. Both searches run backwards in
     blocks.
     """
     log = log.withColumn("commit", commit).withColumn("_t", _negated("ts")).withColumn("_e", _negated("event_id"))
-    back = ["_t", "_e"]
-    block = -hour_block()
+    back, onward = ["_t", "_e"], hour_block() if block is None else block
+    log, block = log.withColumn("_b", onward), -F.col("_b")
     own = log.where(F.col("op").isin("add", "remove"))
     ended = carry_forward(own, ["doc", "id"], block, back, F.struct("ts", "event_id", "op", "commit"), "_own", inclusive=False)
     clears = F.when(F.col("op") == "clear", F.struct("ts", "event_id", "op", "commit"))
-    relevant = ended.select("doc", "id", "op", "page", "ts", "event_id", "commit", "_t", "_e", "_own").unionByName(
-        log.where("op = 'clear'").select("doc", "id", "op", "page", "ts", "event_id", "commit", "_t", "_e"), allowMissingColumns=True)
+    relevant = ended.select("doc", "id", "op", "page", "ts", "event_id", "commit", "_t", "_e", "_b", "_own").unionByName(
+        log.where("op = 'clear'").select("doc", "id", "op", "page", "ts", "event_id", "commit", "_t", "_e", "_b"), allowMissingColumns=True)
     both = carry_forward(relevant, ["doc"], block, back, clears, "_clear", inclusive=False)
     end = F.when(F.col("_own").isNull(), F.col("_clear")).when(F.col("_clear").isNull(), F.col("_own")).otherwise(F.least("_own", "_clear"))
     adds = both.where("op = 'add'").withColumn("_end", end)
     shown = adds.select("doc", "commit", "page")
     gone = adds.where(F.col("_end.op").isin("remove", "clear")).select("doc", F.col("_end.commit").alias("commit"), "page")
-    return shown.unionByName(gone).distinct()
+    return shown.unionByName(gone).unionByName(_touched_pages(log)).distinct()
+
+
+def _touched_pages(log: DataFrame) -> DataFrame:
+    """The page of the mark that stands where a touch comes: the last add of its id, unless removed or cleared since."""
+    marks = log.where(F.col("op").isin("add", "remove", "touch"))
+    event = F.struct("ts", "event_id", "op", "page")
+    held = carry_forward(marks, ["doc", "id"], F.col("_b"), ORDER, F.when(F.col("op") != "touch", event), "_mark", inclusive=False).where("op = 'touch'")
+    both = held.select("doc", "op", *ORDER, "commit", "_b", "_mark").unionByName(log.where("op = 'clear'").select("doc", "op", *ORDER, "commit", "_b"), allowMissingColumns=True)
+    met = carry_forward(both, ["doc"], F.col("_b"), ORDER, F.when(F.col("op") == "clear", F.struct(*ORDER)), "_clear", inclusive=False)
+    standing = (F.col("_mark.op") == "add") & (F.col("_clear").isNull() | (F.struct("_mark.ts", "_mark.event_id") > F.col("_clear")))
+    return met.where((F.col("op") == "touch") & standing).select("doc", "commit", F.col("_mark.page").alias("page"))
 
 
 # bursts, hand-off, revisions --------------------------------------------------------
@@ -102,13 +113,13 @@ def coalesce_bursts(log: DataFrame, tick: str) -> DataFrame:
             .select("doc", F.col("w.start").alias("tick"), "n", "last_id"))
 
 
-def handoff(log: DataFrame) -> DataFrame:
+def handoff(log: DataFrame, block: Column | None = None) -> DataFrame:
     """A one-slot mailbox: a take gets the value parked since the last take, or nothing.
 
     Among parks and takes, that is whatever the row just before the take parked.
     """
     ops = log.where(F.col("op").isin("park", "take"))
-    before = previous(ops, ["doc"], hour_block(), ORDER, ["op", "value"], "_p")
+    before = previous(ops, ["doc"], hour_block() if block is None else block, ORDER, ["op", "value"], "_p")
     return before.where("op = 'take'").select("doc", "event_id", F.when(F.col("_p.op") == "park", F.col("_p.value")).alias("value"))
 
 
@@ -117,7 +128,7 @@ def dedupe_payload(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("doc", "stamp").agg(F.min_by("event_id", stamp()).alias("payload_id"), F.count(F.lit(1)).alias("n_snapshots"))
 
 
-def restore_cost(snapshots: DataFrame) -> DataFrame:
+def restore_cost(snapshots: DataFrame, block: Column | None = None) -> DataFrame:
     """Whether stepping back from each snapshot only repaints (same revision) or reopens."""
-    before = previous(snapshots, ["doc"], hour_block(), ORDER, ["stamp"], "_p")
+    before = previous(snapshots, ["doc"], hour_block() if block is None else block, ORDER, ["stamp"], "_p")
     return before.where("_p IS NOT NULL").select("doc", "event_id", (F.col("_p.stamp") == F.col("stamp")).alias("cheap"))

@@ -116,21 +116,23 @@ def hit_test(rects: DataFrame, points: DataFrame, id_col: str, cell: int = 64) -
 
 
 def text_in(runs: DataFrame, boxes: DataFrame) -> DataFrame:
-    """The text under each box, in reading order; size and face from the first run.
+    """The text under each box (``box_id``), in reading order; size and face from the first run.
 
-    Any contact counts. Baselines within three points read as one line.
+    Any contact counts. Baselines within three points read as one line. Blank
+    runs say nothing and are skipped; a box that covers no text has an empty one.
     """
-    b = boxes.select("doc_id", "page_no", *[F.col(c).alias(f"b_{c}") for c in BOX])
-    r = runs.withColumn("y", F.col("baseline") - F.col("size"))
+    b = boxes.select("doc_id", "page_no", "box_id", *[F.col(c).alias(f"b_{c}") for c in BOX])
+    r = runs.where(~F.col("text").rlike(r"^\s*$")).withColumn("y", F.col("baseline") - F.col("size"))
     apart = ((F.col("x") + F.col("w") < F.col("b_x")) | (F.col("x") > F.col("b_x") + F.col("b_w"))
              | (F.col("baseline") < F.col("b_y")) | (F.col("y") > F.col("b_y") + F.col("b_h")))
     order = F.struct(F.floor(F.col("y") / READING_BUCKET).alias("band"), "x", "run_no", "text", "size", "bold")
-    found = (r.join(b, ["doc_id", "page_no"]).where(~apart).select("doc_id", "page_no", "b_x", "b_y", order.alias("hit"))
-             .groupBy("doc_id", "page_no", "b_x", "b_y").agg(F.array_sort(F.collect_list("hit")).alias("hits")))
+    found = (r.join(b, ["doc_id", "page_no"]).where(~apart).select("box_id", order.alias("hit"))
+             .groupBy("box_id").agg(F.array_sort(F.collect_list("hit")).alias("hits")))
     joined = F.array_join(F.transform("hits", lambda h: h["text"]), " ")
-    return found.select("doc_id", "page_no", F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("text"),
-                        F.floor(F.col("hits")[0]["size"] / 10 + 0.5).alias("size"), F.col("hits")[0]["bold"].alias("bold"),
-                        F.size("hits").cast("long").alias("n_runs"))
+    first = F.get(F.col("hits"), F.lit(0))
+    return boxes.select("box_id", "doc_id", "page_no").join(found, "box_id", "left").select(
+        "box_id", "doc_id", "page_no", F.coalesce(F.trim(F.regexp_replace(joined, r"\s+", " ")), F.lit("")).alias("text"),
+        F.floor(first["size"] / 10 + 0.5).alias("size"), first["bold"].alias("bold"), F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_runs"))
 
 
 def extent(parts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import editlog, lookups, undo
-from ..operators.ordered import hour_block
 from ..sources.fields import scan_fields
 from .registry import plan
 from .views import Views
@@ -15,18 +14,18 @@ from .views import Views
 def mailbox(v: Views) -> DataFrame:
     """Clicks and views park a file, purchases and errors take it."""
     op = F.when(F.col("event_type").isin("click", "view"), "park").when(F.col("event_type").isin("purchase", "error"), "take")
-    return v.events.select(F.col("user_id").alias("doc"), "ts", "event_id", op.alias("op"), F.concat(F.lit("file"), F.col("event_id").cast("string")).alias("value"))
+    return v.logged.select(F.col("user_id").alias("doc"), "block", "ts", "event_id", op.alias("op"), F.concat(F.lit("file"), F.col("event_id").cast("string")).alias("value"))
 
 
 @plan
 def t1_replay(v: Views) -> DataFrame:
-    return undo.replay(v.edits, hour_block())
+    return undo.replay(v.edits, F.col("block"))
 
 
 @plan
 def t1_replay_shallow(v: Views) -> DataFrame:
     """The same log with a history of three steps, so the limit bites everywhere."""
-    return undo.replay(v.edits, hour_block(), limit=3)
+    return undo.replay(v.edits, F.col("block"), limit=3)
 
 
 @plan
@@ -41,7 +40,7 @@ def t3_live_annots(v: Views) -> DataFrame:
 
 @plan
 def t4_changed_pages(v: Views) -> DataFrame:
-    return editlog.changed_pages(v.annot_log, F.date_format("ts", "yyyy-MM-dd HH"))
+    return editlog.changed_pages(v.annot_log, F.date_format("ts", "yyyy-MM-dd HH"), F.col("block"))
 
 
 @plan
@@ -52,7 +51,7 @@ def t5_coalesce_bursts(v: Views) -> DataFrame:
 
 @plan
 def t6_handoff(v: Views) -> DataFrame:
-    return editlog.handoff(mailbox(v))
+    return editlog.handoff(mailbox(v), F.col("block"))
 
 
 @plan
@@ -62,7 +61,7 @@ def t7_dedupe_payload(v: Views) -> DataFrame:
 
 @plan
 def t8_restore_cost(v: Views) -> DataFrame:
-    return editlog.restore_cost(v.revisions)
+    return editlog.restore_cost(v.revisions, F.col("block"))
 
 
 @plan

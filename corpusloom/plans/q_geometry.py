@@ -18,7 +18,12 @@ def selections(v: Views) -> DataFrame:
 
 @plan
 def j1_text_in(v: Views) -> DataFrame:
-    return geometry.text_in(v.runs, v.boxes)
+    """Per page a box, a wider one with the same corner, and one off the page that covers nothing."""
+    base = L(F.col("doc_id") * 3000 + F.col("page_no") * 3)
+    wide = v.boxes.withColumn("w", F.col("w") * 2)
+    aside = v.boxes.withColumn("x", F.col("x") - 50_000)
+    boxes = v.boxes.withColumn("box_id", base).unionByName(wide.withColumn("box_id", base + 1)).unionByName(aside.withColumn("box_id", base + 2))
+    return geometry.text_in(v.runs, boxes)
 
 
 @plan

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import sequences
-from ..operators.ordered import hour_block, ordinal_block
+from ..operators.ordered import ordinal_block
 from .registry import plan
 from .views import L, Views
 
@@ -15,7 +15,7 @@ TS = ["ts", "event_id"]
 
 @plan
 def w14_number_items(v: Views) -> DataFrame:
-    return sequences.number_items(v.list_items, ["list", "level"], hour_block(), ["ts", "seq"]).select("list", "level", "seq", "number")
+    return sequences.number_items(v.list_items, ["list", "level"], F.col("block"), ["ts", "seq"]).select("list", "level", "seq", "number")
 
 
 @plan
@@ -25,7 +25,7 @@ def w15_remap_pages(v: Views) -> DataFrame:
 
 @plan
 def w16_erase(v: Views) -> DataFrame:
-    return sequences.erase(v.strokes, ["stroke"], hour_block(), TS)
+    return sequences.erase(v.strokes, ["stroke"], F.col("block"), TS)
 
 
 @plan
@@ -42,9 +42,9 @@ def w24_to_records(v: Views) -> DataFrame:
 
 @plan
 def w26_simplify_paths(v: Views) -> DataFrame:
-    closed = v.strokes.select("stroke", "ts", "event_id", (F.col("x") / 5).cast("long").alias("x"), "y",
+    closed = v.strokes.select("stroke", "block", "ts", "event_id", (F.col("x") / 5).cast("long").alias("x"), "y",
                               (F.col("stroke") % 2 == 0).alias("closed"))
-    return sequences.simplify_paths(closed, ["stroke"], hour_block(), TS)
+    return sequences.simplify_paths(closed, ["stroke"], F.col("block"), TS)
 
 
 @plan

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
-from ..operators.ordered import hour_block, ordinal_block, running_total
+from ..operators.ordered import measured_blocks, ordinal_block, running_total
 from ..session import hashed_by
 from ..sources import layout, tables
 
@@ -167,6 +167,11 @@ class Views:
     def events(self) -> DataFrame:
         return self.table("events").withColumn("k", F.get_json_object("props", "$.k").cast(LONG))
 
+    @cached_property
+    def logged(self) -> DataFrame:
+        """Events with ``block``: each user's hours, crowded ones cut by measured counts."""
+        return measured_blocks(self.events, ["user_id"])
+
     @cached_property
     def heads(self) -> DataFrame:
         n, e = len(SAMPLE_HEADS), F.col("event_id")
@@ -195,8 +200,8 @@ class Views:
     @cached_property
     def strokes(self) -> DataFrame:
         """Pen points per user in time order; a point is erased on an error event."""
-        return self.events.select(
-            F.col("user_id").alias("stroke"), "ts", "event_id", L(F.col("k") % 6).alias("x"),
+        return self.logged.select(
+            F.col("user_id").alias("stroke"), "block", "ts", "event_id", L(F.col("k") % 6).alias("x"),
             L(F.floor("value") % 3).alias("y"), (F.col("event_type") == "error").alias("erased"))
 
     @cached_property
@@ -204,7 +209,7 @@ class Views:
         op = (F.when(F.col("event_type").isin("click", "view"), "push")
               .when(F.col("event_type") == "purchase", "undo")
               .when(F.col("event_type") == "error", "redo").otherwise("clear"))
-        return self.events.select(F.col("user_id").alias("session"), "ts", "event_id", op.alias("op"),
+        return self.logged.select(F.col("user_id").alias("session"), "block", "ts", "event_id", op.alias("op"),
                                   F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("label"))
 
     @cached_property
@@ -240,20 +245,20 @@ class Views:
         op = (F.when(F.col("event_type").isin("click", "view"), "add")
               .when(F.col("event_type") == "error", "remove")
               .when(F.col("event_type") == "signup", "clear").otherwise("touch"))
-        return self.events.select(F.col("user_id").alias("doc"), L(e % 25).alias("id"), op.alias("op"),
+        return self.logged.select(F.col("user_id").alias("doc"), "block", L(e % 25).alias("id"), op.alias("op"),
                                   L(F.floor("value").cast(LONG) % 9 + 1).alias("page"), "ts", "event_id")
 
     @cached_property
     def revisions(self) -> DataFrame:
         """Snapshots with the revision they belong to: structural edits so far, per document."""
-        log = self.events.select(F.col("user_id").alias("doc"), "ts", "event_id", "event_type")
-        return running_total(log, ["doc"], hour_block(), ["ts", "event_id"],
+        log = self.logged.select(F.col("user_id").alias("doc"), "block", "ts", "event_id", "event_type")
+        return running_total(log, ["doc"], F.col("block"), ["ts", "event_id"],
                              F.when(F.col("event_type") == "purchase", 1).otherwise(0), "stamp")
 
     @cached_property
     def list_items(self) -> DataFrame:
         e = F.col("event_id")
-        return self.events.select(F.col("user_id").alias("list"), L(e % 2).alias("level"), "ts", e.alias("seq"),
+        return self.logged.select(F.col("user_id").alias("list"), "block", L(e % 2).alias("level"), "ts", e.alias("seq"),
                                   F.when(e % 11 == 0, F.col("k")).alias("value"))
 
     @cached_property

@@ -48,7 +48,11 @@ SQL: dict[str, str] = {
           UNION ALL
           SELECT a.doc, e.ts, a.page FROM v_annot_log a, LATERAL (
             SELECT n.ts, n.op FROM v_annot_log n WHERE n.doc = a.doc AND n.ts > a.ts AND (n.op = 'clear' OR (n.id = a.id AND n.op IN ('add', 'remove')))
-            ORDER BY n.ts LIMIT 1) e WHERE a.op = 'add' AND e.op <> 'add')""",
+            ORDER BY n.ts LIMIT 1) e WHERE a.op = 'add' AND e.op <> 'add'
+          UNION ALL
+          SELECT t.doc, t.ts, m.page FROM v_annot_log t, LATERAL (
+            SELECT n.op, n.page FROM v_annot_log n WHERE n.doc = t.doc AND n.ts < t.ts AND (n.op = 'clear' OR (n.id = t.id AND n.op IN ('add', 'remove')))
+            ORDER BY n.ts DESC LIMIT 1) m WHERE t.op = 'touch' AND m.op = 'add')""",
     "t5_coalesce_bursts": """
         SELECT doc, strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01'), '%Y-%m-%d %H:%M') AS tick, count(*) AS n, arg_max(event_id, ts) AS last_id
         FROM v_field_log GROUP BY 1, 2""",

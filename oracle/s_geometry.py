@@ -22,10 +22,13 @@ _HITS = f"""
 
 SQL: dict[str, str] = {
     "j1_text_in": """
-        SELECT r.doc_id, r.page_no, trim(regexp_replace(string_agg(text, ' ' ORDER BY (baseline - size) // 30, r.x, run_no), '\\s+', ' ', 'g')) AS text,
-               (arg_min(size, ((baseline - size) // 30) * 100000 + r.x) + 5) // 10 AS size, arg_min(bold, ((baseline - size) // 30) * 100000 + r.x) AS bold, count(*) AS n_runs
-        FROM v_runs r JOIN v_boxes b ON r.doc_id = b.doc_id AND r.page_no = b.page_no
-             AND r.x + r.w >= b.x AND r.x <= b.x + b.w AND baseline >= b.y AND baseline - size <= b.y + b.h GROUP BY 1, 2""",
+        WITH b AS (SELECT doc_id * 3000 + page_no * 3 + k AS box_id, doc_id, page_no, CASE WHEN k = 2 THEN x - 50000 ELSE x END AS x, y, CASE WHEN k = 1 THEN 2 * w ELSE w END AS w, h
+                   FROM v_boxes, (SELECT unnest([0, 1, 2]) AS k))
+        SELECT b.box_id, any_value(b.doc_id) AS doc_id, any_value(b.page_no) AS page_no,
+               coalesce(trim(regexp_replace(string_agg(text, ' ' ORDER BY (baseline - size) // 30, r.x, run_no), '\\s+', ' ', 'g')), '') AS text,
+               (arg_min(size, ((baseline - size) // 30) * 100000 + r.x) + 5) // 10 AS size, arg_min(bold, ((baseline - size) // 30) * 100000 + r.x) AS bold, count(text) AS n_runs
+        FROM b LEFT JOIN v_runs r ON r.doc_id = b.doc_id AND r.page_no = b.page_no AND trim(text) <> ''
+             AND r.x + r.w >= b.x AND r.x <= b.x + b.w AND baseline >= b.y AND baseline - size <= b.y + b.h GROUP BY 1""",
     "j2_match_marks": f"""
         SELECT page, variant, a, b, a_copies, b_copies FROM ({_pairs('page, variant')}) WHERE shared / aa >= 0.6 OR shared / ba >= 0.6""",
     "j3_toggle_marks": f"""

@@ -1,5 +1,7 @@
 """Hand-made pages carrying the failures the grouping rules exist to prevent."""
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import layout
 from corpusloom.plans.pipelines import page_lines
 
@@ -98,3 +100,44 @@ def test_merge_rects_follows_the_running_median(spark):
     df = spark.createDataFrame(rows, "page long, x long, y long, w long, h long")
     got = [tuple(r)[1:] for r in merge_rects(df, ["page"]).orderBy("line").collect()]
     assert len(got) == 2 and got[1][1:] == (0, 114, 50, 10)
+
+
+def _bytes(spark, raw):
+    from corpusloom.sources import html
+
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(raw)], "page_id long, raw binary").withColumn("charset", html.pick_charset("raw"))
+    return [(r.charset, r.text) for r in rows.select("page_id", "charset", html.decode_html("raw", F.col("charset")).alias("text")).orderBy("page_id").collect()]
+
+
+def test_declared_charsets(spark):
+    def page(name, text):
+        return f'<html><head>{" " * 3000}<meta charset="{name}"></head><body>{text}</body></html>'
+
+    cases = [("windows-1251", "Привет"), ("shift_jis", "日本語テスト"), ("gb18030", "中文"), ("iso-8859-2", "Łódź"), ("koi8-r", "мир")]
+    for (name, text), (charset, got) in zip(cases, _bytes(spark, [page(n, t).encode(n) for n, t in cases])):
+        assert charset == name and text in got
+    unknown, cyrillic = _bytes(spark, [page("no-such-name", "é").encode("latin1"), page("zip", "plain").encode()])
+    assert unknown[0] == "no-such-name" and "é" in unknown[1]
+    assert "plain" in cyrillic[1]
+
+
+def test_pages_of_the_web(spark):
+    from corpusloom.sources import html
+
+    pages = ['<ol start="1e999"><li>a<li value="inf">b<li value="nan">c</ol>', '<ol start="-2"><li>x</ol>', None, "<p>fine"]
+    rows = html.html_blocks(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()
+    assert {r.page_id for r in rows} >= {0, 1, 3}
+    assert [r.text for r in rows if r.page_id == 0] == ["a", "b", "c"] and not [r for r in rows if r.kind == "error"]
+
+
+def test_counters_and_padding_keep_every_digit(spark):
+    from corpusloom.functions.numerals import letters
+    from corpusloom.operators.prose import zero_padded
+
+    n = 9_000_000_000_000_000_000
+    want, left = "", n
+    while left:
+        left, r = divmod(left - 1, 26)
+        want = chr(97 + r) + want
+    row = spark.range(1).select(letters(F.lit(n)).alias("l"), F.lit(1000).alias("k"), F.lit(7).alias("j")).select("l", zero_padded("k", 3).alias("k"), zero_padded("j", 3).alias("j")).first()
+    assert tuple(row) == (want, "1000", "007")
