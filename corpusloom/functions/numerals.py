@@ -29,7 +29,7 @@ def letters(n: Col) -> Column:
     def digit(acc: Column, _: Column) -> Column:
         sign = F.char((F.lit(97) + (acc["v"] - 1) % 26).cast("int"))
         return F.when(acc["v"] > 0, F.struct(
-            F.floor((acc["v"] - 1) / 26).cast("long").alias("v"), F.concat(sign, acc["out"]).alias("out"))).otherwise(acc)
+            F.call_function("div", acc["v"] - 1, F.lit(26)).alias("v"), F.concat(sign, acc["out"]).alias("out"))).otherwise(acc)
 
     # fourteen digits cover any 64-bit counter
     return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, digit, lambda acc: acc["out"])

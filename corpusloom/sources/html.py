@@ -11,6 +11,7 @@ from math import isfinite
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import Col, col
 
@@ -232,7 +233,7 @@ def pick_charset(content: Col) -> Column:
             .when(F.is_valid_utf8(b.cast("string")), "utf-8").otherwise("windows-1252"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decoded(content: pd.Series, charset: pd.Series) -> pd.Series:
     """Bytes in any charset that the standard codecs know; null for other names."""
 
