@@ -51,8 +51,11 @@ def resolve_styles(styles: DataFrame, properties: list[str], defaults: dict) ->
         filled = F.lit(False)
         for p in properties:
             filled = filled | (F.col(p).isNull() & F.col(f"_{p}").isNotNull())
-        state = cut_lineage(state.join(above, "parent", "left").select(
-            "id", F.col("_next").alias("parent"), *[F.coalesce(p, f"_{p}").alias(p) for p in properties], filled.alias("_filled")))
+        # a style that has read its whole chain has no parent left; all those would meet in one partition of the join
+        read = state.where("parent IS NULL").withColumn("_filled", F.lit(False))
+        met = state.where("parent IS NOT NULL").join(above, "parent", "left").select(
+            "id", F.col("_next").alias("parent"), *[F.coalesce(p, f"_{p}").alias(p) for p in properties], filled.alias("_filled"))
+        state = cut_lineage(met.unionByName(read))
         if state.where("_filled").isEmpty():
             break
         state = state.drop("_filled")

@@ -76,6 +76,19 @@ def drop_furniture(lines: DataFrame, edge: Column, doc: str, sheet: str, text: s
     return lines.where(~edge).unionByName(at_edge.join(repeated, [doc, "_key"], "left_anti").select(*lines.columns))
 
 
+def repeated_edge(edge: Column, doc: str, sheet: str, text: str) -> Column:
+    """Whether :func:`drop_furniture` would remove a line, as windows over its document.
+
+    For lines that are partitioned by document already. Only edge lines carry a
+    key, so a window holds one key of one document, or the document's other lines.
+    """
+    key = F.when(edge, F.nullif(furniture_key(text), F.lit("")))
+    on = F.size(F.collect_set(sheet).over(Window.partitionBy(doc, key)))
+    sheets = F.size(F.collect_set(sheet).over(Window.partitionBy(doc)))
+    enough = F.when(sheets > ENOUGH_SHEETS, ENOUGH_SHEETS).otherwise(sheets)
+    return F.coalesce(key.isNotNull() & (on >= 2) & (on >= enough), F.lit(False))
+
+
 def removed_counts(documents: DataFrame, doc: str = "source", sheet: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines, and how many :func:`drop_furniture` would remove, per document of sheets.
 
@@ -122,6 +135,13 @@ def compounds(lines: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("doc_id", found.alias("compound")).distinct()
 
 
+def with_compounds(lines: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``seen``: the document's hyphenated compounds, for :func:`bridge`, without a second pass over the lines."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(COMPOUND), F.lit(1))
+    return (lines.withColumn("_found", F.when(F.size(found) > 0, F.array_distinct(found)))
+            .withColumn("seen", F.array_distinct(F.flatten(F.collect_list("_found").over(Window.partitionBy("doc_id"))))).drop("_found"))
+
+
 def doc_facts(documents: DataFrame, pages: DataFrame, marks: DataFrame, width: int, height: int) -> DataFrame:
     """Pages, size, marks and paper size of each document (tenths of a point)."""
     n_marks = marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_marks"))
@@ -160,12 +180,13 @@ def _joint(head_text: Column, next_text: Column) -> tuple[Column, Column, Column
     return head, tail, F.lower(F.concat(head, F.lit("-"), tail))
 
 
-def bridge(lines: DataFrame, seen: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text") -> DataFrame:
+def bridge(lines: DataFrame, seen: DataFrame | None, keys: Sequence[str], order: Sequence[str], text: str = "text") -> DataFrame:
     """Add ``joined``: each line's text as it reads once the next line follows it.
 
     Inside ``keys`` (which start with ``doc_id``) an end-of-line hyphen goes,
     unless the word was seen whole in the document or a capital follows; any
-    other line gets a space.
+    other line gets a space. ``seen`` is the table of compounds, or None where
+    the lines carry them (``with_compounds``).
     """
     along = Window.partitionBy(*keys).orderBy(*order)
     following = lines.withColumn("_next", F.lead(text).over(along))
@@ -174,12 +195,16 @@ def bridge(lines: DataFrame, seen: DataFrame, keys: Sequence[str], order: Sequen
     marked = (following.withColumn("_pair", F.coalesce(paired, F.lit(False)))
               .withColumn("_capital", F.coalesce(tail.rlike(r"^\p{Lu}"), F.lit(False)))
               .withColumn("_word", F.when(F.col("_pair") & ~F.col("_capital"), compound)))
-    known = seen.select("doc_id", F.col("compound").alias("_word"), F.lit(True).alias("_whole"))
+    if seen is None:
+        met = marked.withColumn("_whole", F.when(F.array_contains("seen", F.col("_word")), True))
+    else:
+        known = seen.select("doc_id", F.col("compound").alias("_word"), F.lit(True).alias("_whole"))
+        met = marked.join(known, ["doc_id", "_word"], "left")
     joined = (F.when(F.col("_next").isNull() | (F.col(text) == ""), F.col(text))
               .when(F.col("_pair") & (F.col("_capital") | F.col("_whole").isNotNull()), F.col(text))
               .when(F.col("_pair"), F.substring(F.col(text), F.lit(1), F.length(text) - 1))
               .when(F.col(text).rlike(r"\s$"), F.col(text)).otherwise(F.concat(F.col(text), F.lit(" "))))
-    return (marked.join(known, ["doc_id", "_word"], "left").withColumn("joined", joined)
+    return (met.withColumn("joined", joined)
             .drop("_next", "_pair", "_capital", "_word", "_whole"))
 
 
@@ -207,7 +232,7 @@ def stitch_groups(items: DataFrame) -> DataFrame:
     return flagged.withColumn("item", F.count_if("_new").over(along)).drop("_new")
 
 
-def stitch(items: DataFrame, seen: DataFrame) -> DataFrame:
+def stitch(items: DataFrame, seen: DataFrame | None) -> DataFrame:
     """Paragraphs rejoined across sheet boundaries: doc, item, tag, page, text (and sheets, if given)."""
     grouped = stitch_groups(items)
     bridged = bridge(grouped, seen, ["doc_id", "item"], ["seq"])
@@ -248,13 +273,13 @@ def chunk(items: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
     def label(is_h1: pd.Series, length: pd.Series, sheets: pd.Series) -> pd.Series:
         return pd.Series([_chunks_of_doc(*doc, limit) for doc in zip(is_h1, length, sheets)])
 
-    # only lengths and flags travel to Python; texts are joined back on their own key
-    slim = F.struct("item", (F.col("tag") == "h1").alias("h1"), F.length("text").cast("long").alias("n"))
-    docs = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(slim)).alias("i"), F.max("sheets").alias("s"))
-    labels = docs.select("doc_id", F.explode(F.arrays_zip(
-        F.col("i.item").alias("item"), label("i.h1", "i.n", "s").alias("chunk"))).alias("z")).select(
-        "doc_id", F.col("z.item").alias("item"), (F.col("z.chunk") + 1).alias("chunk"))
-    return items.join(labels, ["doc_id", "item"])
+    # only lengths and flags travel to Python; the items wait in their document's array
+    rest = [c for c in items.columns if c not in ("doc_id", "item")]
+    whole = F.struct("item", *rest, (F.col("tag") == "h1").alias("_h1"), F.length("text").cast("long").alias("_n"))
+    docs = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(whole), lambda a, b: F.when(a["item"] < b["item"], -1).otherwise(1)).alias("i"), F.max("sheets").alias("s"))
+    labelled = docs.withColumn("chunk", label("i._h1", "i._n", "s"))
+    return labelled.select("doc_id", F.inline(F.transform(F.arrays_zip("i", "chunk"), lambda z: F.struct(
+        *[z["i"][c].alias(c) for c in ("item", *rest)], (z["chunk"] + 1).alias("chunk")))))
 
 
 def zero_padded(n: str, width: int) -> Column:

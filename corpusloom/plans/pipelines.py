@@ -9,7 +9,6 @@ from ..functions.guards import looks_binary
 from ..functions.text import strip_soft_hyphen_ws
 from ..operators import catalogue as cat
 from ..operators import layout, prose, redaction
-from ..session import cut_lineage, hashed_by
 from ..sources import html, manifest, sinks
 
 # ── fixed values: block box around its baselines, in ems and tenths of a point ──
@@ -33,36 +32,45 @@ def without_furniture(lines: DataFrame, page_height: int) -> DataFrame:
     top = F.col("baseline") - F.col("size") * ASCENT - PAD
     bottom = F.col("baseline") + F.col("size") * DESCENT + PAD
     edge = (F.col("n_lines") == 1) & ((top < page_height * prose.EDGE_SHARE) | (bottom > page_height * (1 - prose.EDGE_SHARE)))
-    return prose.drop_furniture(sized, edge, "doc_id", "page_no", "text").drop("n_lines")
+    marked = sized.withColumn("edge", edge).withColumn("repeated", prose.repeated_edge(F.col("edge"), "doc_id", "page_no", "text"))
+    return marked.where("NOT repeated").drop("n_lines", "edge", "repeated")
 
 
-def corpus_to_chunks(runs: DataFrame, page_height: int, limit: int = prose.CHUNK_CHARS) -> DataFrame:
-    """Positioned runs to ordered, stitched, classified and chunked text.
+def corpus_to_items(runs: DataFrame, page_height: int) -> DataFrame:
+    """Positioned runs to ordered, stitched and classified items of each document.
 
-    Two whole-document statistics feed back into the lines: body size rides
-    along as a window, compounds seen whole join by document and word.
+    Runs come hashed by document, and every step is a window, a grouping or an
+    array of one document: nothing is shuffled again, joined or written. What
+    the whole document decides (body size, compounds seen whole, repeated edge
+    lines) rides along as windows.
     """
-    # both tables are read several times below, so each is written once
     sheets = F.max("page_no").over(Window.partitionBy("doc_id"))
-    every = cut_lineage(page_lines(runs).withColumn("sheets", sheets))
-    written = cut_lineage(without_furniture(every, page_height))
+    kept = without_furniture(page_lines(runs).withColumn("sheets", sheets), page_height)
     # a block is read where its earliest run came in the content stream
     place = F.min("idx").over(Window.partitionBy("doc_id", "page_no", "block"))
-    lines = prose.with_body_size(hashed_by(written, "doc_id"), order="page_no").withColumn("place", place)
-    seen = prose.compounds(written)
+    lines = prose.with_compounds(prose.with_body_size(kept.withColumn("sighted", F.col("page_no") * 1_000_000_000 + F.col("idx")), order="sighted").drop("sighted")).withColumn("place", place)
 
     block = ["doc_id", "page_no", "block"]
     paras = prose.paragraphs(layout.with_align(lines, block, "baseline"), block, ["baseline", "x0"])
-    joined = prose.bridge(paras, seen, [*block, "para"], ["baseline", "x0"])
+    joined = prose.bridge(paras, None, [*block, "para"], ["baseline", "x0"])
     text = F.expr("listagg(joined, '') WITHIN GROUP (ORDER BY baseline, x0)")
     items = joined.groupBy(*block, "para").agg(
         text.alias("raw"), layout.lower_median("size").cast("long").alias("size"), F.max("body").alias("body"),
-        F.max("sheets").alias("sheets"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n_lines"))
+        F.max("sheets").alias("sheets"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n_lines"), F.first("seen").alias("seen"))
     items = items.withColumn("text", F.trim(strip_soft_hyphen_ws("raw"))).where("text <> ''").drop("raw")
     ordered = prose.classify(items).select(
-        "doc_id", F.struct("page_no", "place", "block", "para").alias("seq"), F.col("page_no").alias("page"), "tag", "text", "sheets")
-    stitched = cut_lineage(prose.stitch(ordered, seen))  # labelled, then joined to its labels
-    return prose.chunk(stitched, limit).select("doc_id", "chunk", "item", "page", "tag", "text")
+        "doc_id", F.struct("page_no", "place", "block", "para").alias("seq"), F.col("page_no").alias("page"), "tag", "text", "sheets", "seen")
+    return prose.stitch(ordered, None)
+
+
+def corpus_to_chunks(runs: DataFrame, page_height: int, limit: int = prose.CHUNK_CHARS) -> DataFrame:
+    """The items of :func:`corpus_to_items`, cut into chunks."""
+    return prose.chunk(corpus_to_items(runs, page_height), limit).select("doc_id", "chunk", "item", "page", "tag", "text")
+
+
+def contents(chunks: DataFrame, titles: DataFrame) -> DataFrame:
+    """Contents list of chunked documents: each h1 linked to its chunk, or the title where there is none."""
+    return prose.toc(chunks, titles)
 
 
 def ingest(files: DataFrame, previous: DataFrame, generated: str) -> DataFrame:

@@ -19,6 +19,13 @@ def c2_corpus_to_chunks(v: Views) -> DataFrame:
     return pipelines.corpus_to_chunks(v.runs_with_folios, PAGE_H)
 
 
+@plan
+def c2_contents(v: Views) -> DataFrame:
+    """Contents lists of the same chunks."""
+    titles = v.documents.select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"))
+    return pipelines.contents(pipelines.corpus_to_chunks(v.runs_with_folios, PAGE_H), titles)
+
+
 @plan
 def c3_ingest(v: Views) -> DataFrame:
     e = F.col("event_type")
