@@ -66,6 +66,19 @@ def overlapping_pairs(rects: DataFrame, keys: Sequence[str], id_col: str, cell:
         *keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_copies", "b_copies")
 
 
+def overlap_summary(rects: DataFrame, keys: Sequence[str], id_col: str, cell: int = 64) -> DataFrame:
+    """One row per shape that overlaps anything: how many rectangles, what area in all, and with which shape the most.
+
+    Linear in its output where :func:`overlapping_pairs` gives a row per pair;
+    the pairs of a cell are summed where they are found.
+    """
+    s = shapes(rects, keys, id_col)
+    others = F.col("b_copies") - (F.col("a_id") == F.col("b_id")).cast("long")
+    pairs = shape_pairs(s, s, keys, cell).withColumn("_n", others).where("_n > 0")
+    return pairs.groupBy(*keys, F.col("a_id").alias("shape"), F.col("a_copies").alias("copies")).agg(
+        F.sum("_n").alias("n_others"), F.sum(F.col("shared") * F.col("_n")).alias("shared"), F.max_by("b_id", F.struct("shared", -F.col("b_id"))).alias("best"))
+
+
 def _same_passage() -> Column:
     a_area, b_area = F.col("a_w") * F.col("a_h"), F.col("b_w") * F.col("b_h")
     return (F.col("shared") / a_area >= SAME_PASSAGE) | (F.col("shared") / b_area >= SAME_PASSAGE)

@@ -46,6 +46,11 @@ def j5_overlapping_pairs(v: Views) -> DataFrame:
     return geometry.overlapping_pairs(v.rects, ["page"], "rect_id")
 
 
+@plan
+def j5_overlap_summary(v: Views) -> DataFrame:
+    return geometry.overlap_summary(v.rects, ["page"], "rect_id")
+
+
 @plan
 def j6_redact(v: Views) -> DataFrame:
     return redaction.redact(v.runs, v.boxes).groupBy("doc_id", "page_no", "flattened").agg(

@@ -37,6 +37,10 @@ SQL: dict[str, str] = {
     "j4_hit_test": """
         SELECT point_id, max(rect_id) AS hit FROM v_points p LEFT JOIN v_rects r ON p.page = r.page AND px BETWEEN x AND x + w AND py BETWEEN y AND y + h GROUP BY 1""",
     "j5_overlapping_pairs": f"SELECT page, a, b, a_copies, b_copies FROM ({_pairs('page')})",
+    "j5_overlap_summary": f"""
+        SELECT page, a AS shape, a_copies AS copies, sum(n)::BIGINT AS n_others, sum(shared * n)::BIGINT AS shared, arg_max(b, shared * 1000000000 - b) AS best
+        FROM (SELECT page, a, b, a_copies, b_copies - (a = b)::INT AS n, shared FROM ({_pairs('page')})
+              UNION ALL SELECT page, b, a, b_copies, a_copies, shared FROM ({_pairs('page')}) WHERE a <> b) GROUP BY 1, 2, 3""",
     "j6_redact": """
         SELECT doc_id, page_no, flattened, count(*) AS n, sum(w)::BIGINT AS w, sum(x * 31 + run_no)::BIGINT AS digest FROM (
           SELECT r.*, b.doc_id IS NOT NULL AS flattened,
