@@ -21,8 +21,11 @@ from ..operators.undo import UNDO_LIMIT
 DELAY = "1 hour"
 
 
-def _ordered(initial: dict, step: Callable[[dict, dict], None], emit: Callable[[dict], tuple], columns: list[str]):
-    """A stateful function folding ``columns`` of each event, in event-time order, per key."""
+def _ordered(initial: dict, step: Callable[[dict, dict], None], emit: Callable[[dict], tuple | list], columns: list[str]):
+    """A stateful function folding ``columns`` of each event, in event-time order, per key.
+
+    ``emit`` gives the row of a key's new state, or a list of rows (none is fine).
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {"fold": initial, "wait": [], "late": 0, "applied": 0}
@@ -40,11 +43,12 @@ def _ordered(initial: dict, step: Callable[[dict, dict], None], emit: Callable[[
         for e in ready:
             step(held["fold"], dict(zip(["ts", "event_id", *columns], e)))
         held["applied"] += len(ready)
-        state.update((json.dumps(held),))
         if held["wait"]:
             state.setTimeoutTimestamp(max(held["wait"][0][0] // 1000, passed) + 1)
-        if ready:
-            yield pd.DataFrame([(*key, *emit(held["fold"]), held["applied"], held["late"])])
+        made = emit(held["fold"]) if ready else []
+        state.update((json.dumps(held),))
+        if made:
+            yield pd.DataFrame([(*key, *row, held["applied"], held["late"]) for row in (made if isinstance(made, list) else [made])])
 
     return run
 
@@ -120,11 +124,48 @@ def coalesce_bursts(log: DataFrame, tick: str) -> DataFrame:
             .select("doc", F.col("w.start").alias("tick"), "n", "last_id"))
 
 
-def changed_pages(log: DataFrame, commit: str = DELAY) -> DataFrame:
-    """Pages touched by adds and removes per document and commit window."""
-    return (log.where(F.col("op").isin("add", "remove")).withWatermark("ts", DELAY)
-            .groupBy("doc", F.window("ts", commit).alias("w")).agg(F.array_sort(F.collect_set("page")).alias("pages"))
-            .select("doc", F.col("w.start").alias("commit"), "pages"))
+def _mark_step(commit_ms: int | None) -> Callable[[dict, dict], None]:
+    """Fold one annotation event into the standing marks; pages repainted go to ``out`` with their commit."""
+
+    def step(s: dict, e: dict) -> None:
+        marks, name, pages = s["marks"], str(e["id"]), []
+        if e["op"] == "add":
+            marks[name] = [e["page"], e["event_id"]]
+            pages = [e["page"]]
+        elif e["op"] == "clear":
+            pages = [p for p, _ in marks.values()]
+            marks.clear()
+        elif name in marks and e["op"] in ("remove", "touch"):
+            pages = [(marks.pop(name) if e["op"] == "remove" else marks[name])[0]]
+        if commit_ms is not None:
+            s["out"] += [[e["ts"] // 1000 // commit_ms * commit_ms, p] for p in pages]
+
+    return step
+
+
+def changed_pages(log: DataFrame, commit_seconds: int = 3600) -> DataFrame:
+    """(doc, commit, page) of every page an add, touch, remove or clear repaints, as the watermark passes it.
+
+    ``commit`` is the start of the event's stretch of ``commit_seconds``. A row
+    may come again in a later batch; its distinct rows are the batch answer.
+    """
+
+    def emit(s: dict) -> list:
+        out, s["out"] = sorted({tuple(x) for x in s["out"]}), []
+        return [(pd.Timestamp(ms, unit="ms"), page) for ms, page in out]
+
+    fn = _ordered({"marks": {}, "out": []}, _mark_step(commit_seconds * 1000), emit, ["op", "id", "page"])
+    return _fold(log, ["doc"], "doc long", "commit timestamp, page long", fn)
+
+
+def live_annots(log: DataFrame) -> DataFrame:
+    """Per document its standing marks, as an array of (id, page, event_id) that grows and shrinks with the log."""
+
+    def emit(s: dict) -> tuple:
+        return (sorted((int(k), int(p), int(e)) for k, (p, e) in s["marks"].items()),)
+
+    fn = _ordered({"marks": {}, "out": []}, _mark_step(None), emit, ["op", "id", "page"])
+    return _fold(log, ["doc"], "doc long", "marks array<struct<id:bigint,page:bigint,event_id:bigint>>", fn)
 
 
 def upsert_latest(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:

@@ -83,3 +83,32 @@ def test_handoff_stream_takes_once(spark, tmp_path):
     drain(folds.handoff(stream), src, tmp_path / "out", tmp_path / "cp")
     got = folds.latest(spark.read.parquet(str(tmp_path / "out")), ["doc"]).where("doc = 1").first()
     assert (got.take_id, got.value, got.applied) == (4, None, 4)
+
+
+def _annotations(spark, views, tmp_path, files):
+    """The annotation log as a stream, then two rows per document that only move the watermark."""
+    log = views.annot_log.drop("block").withColumn("ts", F.col("ts").cast("timestamp"))
+    src = tmp_path / "in"
+    stream = as_stream(spark, log, src, files)
+    for days in (40, 80):
+        end = log.groupBy("doc").agg(F.max("ts").alias("ts")).select("doc", F.lit(0).cast("long").alias("id"), F.lit("flush").alias("op"), F.lit(0).cast("long").alias("page"),
+                                                                     (F.col("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts"), F.lit(10**12).cast("long").alias("event_id"))
+        end.select(*log.columns).coalesce(1).write.mode("append").parquet(str(src))
+    return log, stream
+
+
+def test_changed_pages_stream_equals_batch(spark, views, tmp_path):
+    for files in (2, 5):
+        log, stream = _annotations(spark, views, tmp_path / str(files), files)
+        drain(folds.changed_pages(stream), None, tmp_path / str(files) / "out", tmp_path / str(files) / "cp")
+        out = spark.read.parquet(str(tmp_path / str(files) / "out"))
+        assert out.agg(F.max("late")).first()[0] == 0
+        got = {(r.doc, r.commit, r.page) for r in out.select("doc", F.date_format("commit", "yyyy-MM-dd HH").alias("commit"), "page").collect()}
+        assert got == {tuple(r) for r in editlog.changed_pages(log, F.date_format("ts", "yyyy-MM-dd HH")).select("doc", "commit", "page").collect()}
+
+
+def test_live_annotations_stream_equals_batch(spark, views, tmp_path):
+    log, stream = _annotations(spark, views, tmp_path, 3)
+    drain(folds.live_annots(stream), None, tmp_path / "out", tmp_path / "cp")
+    last = folds.latest(spark.read.parquet(str(tmp_path / "out")), ["doc"]).select("doc", F.explode("marks").alias("m")).select("doc", "m.*")
+    assert sorted(map(tuple, last.collect())) == sorted((r.doc, r.id, r.page, r.event_id) for r in editlog.live_annots(log).collect())
