@@ -62,7 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it again."""
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     rows = docs.select("doc_id", "lang", "source", "text")
-    coded = byte_bpe.decode(byte_bpe.encode(rows, ranks, pattern), ranks, pattern)
+    coded = byte_bpe.round_trip(rows, ranks, pattern)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -47,6 +47,7 @@ def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, most:
         for batch in batches:
             for part in text_slices(batch, column, most):
                 yield fn(part)
+        pa.default_memory_pool().release_unused()  # workers are used again, for other steps
 
     return run
 

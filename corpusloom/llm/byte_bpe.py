@@ -99,34 +99,57 @@ def decode_ids(codec, ids: np.ndarray, leaf: int = LEAF) -> bytes:
 
 
 
+def _encoded(codec, sizes: list[int], texts: list[str], leaf: int) -> pa.ListArray:
+    return list_array([np.array(encode_text(codec, sizes, t, leaf=leaf), dtype=np.int32) for t in texts], pa.int32())
+
+
+def _decoded(codec, lists: pa.ListArray, leaf: int) -> pa.Array:
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    return pa.array([decode_ids(codec, flat[a:b], leaf) for a, b in zip([0, *ends[:-1]], ends)], pa.binary())
+
+
+def _kept(df: DataFrame, *added: str) -> list[str]:
+    return [c for c in df.columns if c not in added]
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", leaf: int = LEAF) -> DataFrame:
     """Add ``ids``: the tokens of each whole text by the ranks at ``path``, without special tokens."""
-    ranks = broadcast_ranks(df.sparkSession, path, pattern)
-    keep = [c for c in df.columns if c != "ids"]
+    ranks, keep = broadcast_ranks(df.sparkSession, path, pattern), _kept(df, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, sizes = ranks_of(ranks).codec, ranks_of(ranks).sizes
+        own = ranks_of(ranks)
         for batch in batches:
             for part in text_slices(batch, text):
-                ids = [np.array(encode_text(codec, sizes, t, leaf=leaf), dtype=np.int32) for t in texts_of(part, text)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), list_array(ids, pa.int32())], [*keep, "ids"])
+                ids = _encoded(own.codec, own.sizes, texts_of(part, text), leaf)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], [*keep, "ids"])
 
-    return df.select(*keep).mapInArrow(run, df.select(*keep, F.lit(None).cast("array<int>").alias("ids")).schema)
+    return df.mapInArrow(run, df.select(*keep, F.lit(None).cast("array<int>").alias("ids")).schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", leaf: int = LEAF) -> DataFrame:
     """Add ``decoded``: the bytes that each list of tokens stands for."""
-    ranks = broadcast_ranks(df.sparkSession, path, pattern)
-    keep = [c for c in df.columns if c != "decoded"]
+    ranks, keep = broadcast_ranks(df.sparkSession, path, pattern), _kept(df, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ranks_of(ranks).codec
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                lists = part.column(ids)
-                flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))))
-                out = [decode_ids(codec, flat[a:b], leaf) for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _decoded(codec, part.column(ids), leaf)], [*keep, "decoded"])
+
+    return df.mapInArrow(run, df.select(*keep, F.lit(None).cast("binary").alias("decoded")).schema)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", leaf: int = LEAF) -> DataFrame:
+    """Add ``ids`` and ``decoded`` in one Python step, so a task needs one worker and one codec."""
+    ranks, keep = broadcast_ranks(df.sparkSession, path, pattern), _kept(df, "ids", "decoded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ranks_of(ranks)
+        for batch in batches:
+            for part in text_slices(batch, text):
+                ids = _encoded(own.codec, own.sizes, texts_of(part, text), leaf)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, _decoded(own.codec, ids, leaf)], [*keep, "ids", "decoded"])
 
-    return df.select(*keep).mapInArrow(run, df.select(*keep, F.lit(None).cast("binary").alias("decoded")).schema)
+    return df.mapInArrow(run, df.select(*keep, F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("binary").alias("decoded")).schema)

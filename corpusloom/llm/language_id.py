@@ -141,7 +141,7 @@ def train(docs: DataFrame, fit: Fit = Fit(), key: str = "doc_id", text: str = "t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "t", 8 << 20):
+            for part in text_slices(batch, "t"):
                 of = part.column(1).to_numpy(zero_copy_only=False)
                 for codes, owner in grams(*bytes_of(part, "t")):
                     for lang in np.unique(of):

@@ -59,4 +59,5 @@ def test_awkward_rows(spark, ranks):
     assert rows.columns == [*docs.columns, "ids", "decoded"]
     for r in rows.collect():
         assert r.ids == ranks.codec.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "")
-    assert byte_bpe.encode(empty(spark), PATH, PATTERN).count() == 0
+    assert sorted(map(str, byte_bpe.round_trip(docs, PATH, PATTERN).collect())) == sorted(map(str, rows.collect()))
+    assert byte_bpe.encode(empty(spark), PATH, PATTERN).count() == 0 and byte_bpe.round_trip(empty(spark), PATH, PATTERN).count() == 0
