@@ -146,7 +146,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Rows are dealt into blocks of consecutive keys. The first row of a block goes
     to the block before as well, so each row meets its successor in one shuffle.
-    A task streams its blocks in order and holds two texts at a time. A null key
+    A task streams one block in order and holds two texts at a time. A null key
     comes first; rows with one key are ordered by text.
     """
     base = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("o"))
@@ -183,7 +183,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         if rows:
             yield _batch(rows)
 
-    dealt = base.mapInArrow(deal, "k bigint, t string, o bigint, block bigint, guest int").repartition(max(len(starts), 1), "block").sortWithinPartitions("block", "guest", "o", "t")
+    dealt = base.mapInArrow(deal, "k bigint, t string, o bigint, block bigint, guest int").repartitionById(len(starts), F.col("block").cast("int")).sortWithinPartitions("block", "guest", "o", "t")
     return dealt.mapInArrow(walk, "k bigint, " + _OUT).withColumnRenamed("k", key)
 
 
