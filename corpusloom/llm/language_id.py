@@ -17,7 +17,9 @@ language's fill allows: (hits / n - p) / (1 - p) with p = fill ** PROBES. The
 largest corrected share decides (ties: the first language by name); ``score`` is
 its part of the sum of all shares. A text without letters, or null, is ``und``
 with score 0. A text with letters but no hit gets the most frequent language of
-the training sample and score 0.
+the training sample and score 0. As ``score`` compares languages only, it is 1/k
+at least for k languages once anything hits; ``share``, the largest corrected
+share, and ``n_grams`` tell how like the language the text is at all.
 """
 
 from __future__ import annotations
@@ -108,7 +110,8 @@ class Filter:
             out = out & self.table[b]
         return out
 
-    def decide(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    def decide(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: language, score, largest corrected share, number of n-grams."""
         n, k = len(offsets) - 1, len(self.languages)
         hits, total = np.zeros((n, k)), np.zeros(n)
         for codes, owner in grams(data, offsets):
@@ -120,8 +123,9 @@ class Filter:
                 hits[:, j] += counted[bounds[1:]] - counted[bounds[:-1]]
         share = np.clip((hits / np.maximum(total, 1)[:, None] - self.p) / (1 - self.p), 0, None)
         best, sums = share.argmax(axis=1) if k else np.zeros(n, int), share.sum(axis=1)
-        score = np.where(sums > 0, share.max(axis=1, initial=0) / np.where(sums > 0, sums, 1), 0.0)
-        return [self.languages[b] if s > 0 else self.fallback for b, s in zip(best, sums)], score
+        top = share.max(axis=1, initial=0)
+        score = np.where(sums > 0, top / np.where(sums > 0, sums, 1), 0.0)
+        return [self.languages[b] if s > 0 else self.fallback for b, s in zip(best, sums)], score, top, total.astype(np.int64)
 
 
 def train(docs: DataFrame, fit: Fit = Fit(), key: str = "doc_id", text: str = "text", language: str = "lang") -> Filter:
@@ -161,15 +165,16 @@ def train(docs: DataFrame, fit: Fit = Fit(), key: str = "doc_id", text: str = "t
 
 
 def predict(docs: DataFrame, model: Filter, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row: the columns ``keep``, ``lang_pred`` and ``score``, from the text alone."""
+    """Per row: the columns ``keep``, ``lang_pred``, ``score``, ``share`` and ``n_grams``, from the text alone."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.fallback, model.table, model.p))  # of fixed size: see Fit
     rows = docs.select(*keep, F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        names, score = Filter(*sent.value).decide(*bytes_of(part, "_text"))
+        names, score, share, total = Filter(*sent.value).decide(*bytes_of(part, "_text"))
         some = np.array(part.column("_letter").to_pylist(), dtype=bool)
         pred = pa.array([n if s else "und" for n, s in zip(names, some)], pa.string())
-        return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pred, pa.array(np.where(some, score, 0.0), pa.float64())], [*keep, "lang_pred", "score"])
+        told = [pred, pa.array(np.where(some, score, 0.0), pa.float64()), pa.array(np.where(some, share, 0.0), pa.float64()), pa.array(total, pa.int64())]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *told], [*keep, "lang_pred", "score", "share", "n_grams"])
 
-    out = rows.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    out = rows.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("share"), F.lit(0).cast("bigint").alias("n_grams")).schema
     return rows.mapInArrow(per_slice(one, "_text"), out)

@@ -1,5 +1,6 @@
 """The pipeline: every stage's decisions, its awkward rows, and the whole run."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -42,3 +43,15 @@ def test_awkward_rows_pass_every_stage(spark):
 def test_repeated_rows_become_one(spark):
     ids = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, awkward(spark), SMALL).collect()]
     assert sorted(map(str, ids)) == sorted(map(str, [1, 3, 4, 5, 6, 7, 8, 9, 10, None]))
+
+
+def test_texts_unlike_every_language_go(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rnd = random.Random(5)
+    noise = [" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(n)) for n in (3, 10, 100, 1000) for _ in range(5)]
+    strange = ["Это обычный русский текст про погоду", "Η γρήγορη αλεπού πηδά", "这是一个关于天气和城市的普通中文文本。", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności"]
+    clean = [" ".join(r.text.split()[:6]) for r in docs.where("text is not null and lang is not null").orderBy("doc_id").limit(20).collect()]
+    texts = {-1 - i: t for i, t in enumerate(noise + strange + clean)}
+    more = spark.createDataFrame([(i, t, None, "a", len(t)) for i, t in texts.items()], docs.schema)
+    kept = {texts[r.doc_id] for r in corpus_pipeline.language(spark, docs.unionByName(more), SMALL).where("doc_id < 0").collect()}
+    assert kept == set(clean)
