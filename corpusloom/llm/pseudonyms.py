@@ -34,12 +34,21 @@ YEARS, DAYS, DAY_ROWS, DAY_COLUMNS = (1800, 2200), 146_097, 189, 773
 
 # ── fixed values: how personal data is written ──────────────────────────────
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)"
+_IP = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\w)"
+_SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+_SEP = r"[ ./\u00a0\u202f-]?"
+_DIGIT = rf"{_SEP}(?:\((?=\d{{1,5}}\)))?\d(?:\)(?={_SEP}\d))?"
+_OTHER = rf"(?![ ](?:{_DATE}|{_IP}|{_SSN}|\+|\d{{13,19}}(?!\d)|(?:\d{{4}}[ -]){{3}}\d{{1,7}}(?![ -]?\d)|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}\b))"
+#: Of the plans +1, +33 and +34 the length is known; others take up to 15 digits, and stop before something of another kind if they can.
+_ABROAD = rf"(?<![\w+])\+(?:(?:1(?:{_DIGIT}){{10}}|3[34](?:{_SEP}\(0\))?(?:{_DIGIT}){{9}})(?!\w)|\d(?:{_OTHER}{_DIGIT}){{6,14}}(?!\w)|\d(?:{_DIGIT}){{6,14}}(?!\w))"
+_COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
-    "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\w)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<![\w(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)",
+    "date": _DATE,
+    "ip": _IP,
+    "ssn": _SSN,
+    "phone": rf"{_ABROAD}|(?<![\w(])(?:\(\d{{3}}\) ?|\d{{3}}[.-])\d{{3}}[.-]\d{{4}}(?!\w)|(?<![\w(])(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{{4}}(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)",
 }
@@ -198,9 +207,10 @@ def _ssn(m: Column, secret: str) -> Column:
 
 
 def _phone(m: Column, secret: str) -> Column:
-    d, abroad = _digits(m), m.startswith("+")
-    code = F.regexp_extract(m, r"^\+(\d{1,3}?)(?=[ .(-]|\d{10}$|$)", 1)
-    country = F.when(~abroad, F.lit("1")).when(code == "", d.substr(1, 1)).otherwise(code)
+    """The trunk digit in "+44 (0)20" is not part of the number: it is left out, and stays where it is."""
+    own = F.regexp_replace(m, r"\(0\)", "(o)")
+    d, abroad = _digits(own), m.startswith("+")
+    country = F.when(abroad, F.regexp_extract(d, f"^({_COUNTRY})", 1)).otherwise(F.lit("1"))
 
     def permuted(at: Column) -> Column:
         national, area, exchange = at["national"], _int(at["national"], 1, 3), _int(at["national"], 4, 3)
@@ -208,7 +218,8 @@ def _phone(m: Column, secret: str) -> Column:
         new = permuted_pair((area - 200) * 800 + exchange - 200, _int(national, 7, 4), 640_000, 10_000, secret, "phone")
         there = _let(new, lambda to: F.concat(_padded(F.floor(to["l"] / 800) + 200, 3), _padded(F.pmod(to["l"], F.lit(800)) + 200, 3), _padded(to["r"], 4)))
         to = F.when(plan, there).otherwise(permuted_string(national, secret, "phone"))
-        return F.when(F.length(national).between(6, 15), _laid_out(m, F.concat(F.when(abroad, at["country"]).otherwise(F.lit("")), to), "0-9"))
+        spelled = _laid_out(own, F.concat(F.when(abroad, at["country"]).otherwise(F.lit("")), to), "0-9")
+        return F.when(F.length(national) > 0, F.regexp_replace(spelled, r"\(o\)", "(0)"))
 
     return _let(F.struct(country.alias("country"), F.when(abroad, d.substr(F.length(country) + 1, F.length(d))).otherwise(d).alias("national")), permuted)
 

@@ -212,6 +212,18 @@ def test_spellings_of_one_value_stay_linked(spark):
     assert [*map(int, local.split("/"))] == [d, m, y] == [*map(int, padded.split("."))] and len(padded) == 10
 
 
+def test_phones_in_any_grouping(spark):
+    cases = [("+33 1 42 68 53 00", "33"), ("+33 6 12 34 56 78", "33"), ("+33 (0)6 12 34 56 78", "33"), ("+49 151 12 34 56 78", "49"), ("+49 (0)30/1234567", "49"), ("+358 40 123 4567", "358"), ("415 555 2671", "")]
+    texts, want = [], []
+    for phone, country in cases:
+        digits = re.sub(r"\D", "", phone.replace("(0)", ""))
+        new = country + string(digits[len(country):], "phone") if country else re.sub(r"\D", "", expected("415-555-2671"))
+        spelled = fill(phone.replace("(0)", "(o)"), new, "0-9").replace("(o)", "(0)")
+        texts += [f"call {phone}, x", f"call +{digits if country else '1' + digits}, x", f"call {phone} 4524132264652876 2020-02-29"]
+        want += [f"call {spelled}, x", f"call +{new if country else '1' + new}, x", f"call {spelled} {expected('4524132264652876')} {expected('2020-02-29')}"]
+    assert replaced(spark, texts) == want
+
+
 def test_permutations_are_bijections():
     for a, b in ((189, 773), (7, 3), (1, 5)):
         seen = {pair(l, r, a, b, "date") for l in range(a) for r in range(b)}
