@@ -43,13 +43,17 @@ _OTHER = rf"(?![ ](?:{_DATE}|{_IP}|{_SSN}|\+|\d{{13,19}}(?!\d)|(?:\d{{4}}[ -]){{
 #: Of the plans +1, +33 and +34 the length is known; others take up to 15 digits, and stop before something of another kind if they can.
 _ABROAD = rf"(?<![\w+])\+(?:(?:1(?:{_DIGIT}){{10}}|3[34](?:{_SEP}\(0\))?(?:{_DIGIT}){{9}})(?!\w)|\d(?:{_OTHER}{_DIGIT}){{6,14}}(?!\w)|\d(?:{_DIGIT}){{6,14}}(?!\w))"
 _COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+#: Registered lengths; others are taken as long as they go.
+_IBANS = {15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+          24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_GROUPED = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?:[A-Z0-9]{{{n - 4}}}|(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{f' [A-Z0-9]{{{n % 4}}}' if n % 4 else ''})" for n, c in _IBANS.items())
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "date": _DATE,
     "ip": _IP,
     "ssn": _SSN,
     "phone": rf"{_ABROAD}|(?<![\w(])(?:\(\d{{3}}\) ?|\d{{3}}[.-])\d{{3}}[.-]\d{{4}}(?!\w)|(?<![\w(])(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{{4}}(?!\w)",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
+    "iban": rf"(?<!\w)(?=[A-Z]{{2}}\d{{2}})(?:{_GROUPED})(?!\w)|" r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)",
 }
 # ────────────────────────────────────────────────────────────────────────────

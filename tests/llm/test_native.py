@@ -224,6 +224,13 @@ def test_phones_in_any_grouping(spark):
     assert replaced(spark, texts) == want
 
 
+def test_ibans_end_at_their_country_s_length(spark):
+    ibans = ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606"]
+    tails = ["", " BIC CAIXESBB", " 2020", " EUR 12", " ES91 2100 0418 4502 0005 1332"]
+    got = replaced(spark, [f"to {i}{t}" for i in ibans for t in tails])
+    assert got == [f"to {expected(i)}{' ' + expected(t[1:]) if len(t) > 20 else t}" for i in ibans for t in tails]
+
+
 def test_permutations_are_bijections():
     for a, b in ((189, 773), (7, 3), (1, 5)):
         seen = {pair(l, r, a, b, "date") for l in range(a) for r in range(b)}
