@@ -6,13 +6,18 @@ searched for all kinds, then unwrapped into new layers wherever it holds
 * percent escapes (the layer with all of them decoded),
 * backslash or numeric character escapes (likewise),
 * base64 runs, whose bytes are text, or gzip, zlib, bzip2, xz or zstd data,
-  which is unpacked, again and again while it is still compressed.
+  which is unpacked, again and again while it is still compressed. As a run may
+  touch other characters of its alphabet, it is read from each of its first four
+  characters on, stretches of text in the bytes count (``STRETCH`` characters or
+  more; no secret is shorter), and compressed data may start after any ``/``,
+  ``-``, ``_`` or line break. Runs are joined over line breaks; unless that gives
+  one text, their lines are read one by one, too.
 
 This goes on until nothing new appears. A layer already seen for the same place
 of the source is not taken again, so archives and escapes that contain
 themselves end. Each layer knows the piece of its parent behind every stretch
 of it; a finding is carried down those pieces to code points of the source (the
-whole run, for base64). Unpacked data is read in blocks of ``BLOCK`` bytes that
+whole run, or the part of it that was read, for base64). Unpacked data is read in blocks of ``BLOCK`` bytes that
 overlap by ``OVERLAP``, so a small archive that unpacks to gigabytes is scanned
 in bounded memory; all its blocks map to the same run.
 
@@ -23,7 +28,6 @@ once, with the smallest depth. Columns other than the two named are not read.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -31,6 +35,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +43,7 @@ from pyspark.sql import DataFrame
 from .batches import per_slice, texts_of
 
 BLOCK, OVERLAP = 4 << 20, 1 << 16
+STRETCH, SHORTEST = 12, 16
 
 # ── fixed values: what counts as a secret ───────────────────────────────────
 WORDS = "password|passwd|secret|token|api_?key"
@@ -54,7 +60,10 @@ _ESCAPE = re.compile(
     r"\\u[dD][89aAbB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u\{[0-9a-fA-F]{1,6}\}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}"
     r"|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
 )
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{60,80}\r?\n)+[A-Za-z0-9+/]{1,80}={0,2}(?![A-Za-z0-9+/=])|[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){%d,}" % STRETCH)
 _SCHEMA = "findings array<struct<kind:string,start:bigint,end:bigint,depth:int>>, n_layers bigint"
 _FINDINGS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("depth", pa.int32())]))
 
@@ -162,14 +171,37 @@ def unpacked(raw: bytes, block: int = BLOCK, overlap: int = OVERLAP) -> Iterator
         carry, fresh = whole[-overlap:], False
 
 
-def _base64_bytes(run: str) -> bytes:
-    body = run.replace("\r", "").replace("\n", "").rstrip("=").translate({45: 43, 95: 47})
-    if len(body) % 4 == 1:
-        return b""
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return b""
+def _is_text(run: str) -> bool:
+    """Whether all of a base64 run is one text."""
+    body = "".join(_LINE.findall(run)).translate({45: 43, 95: 47})
+    return len(body) % 4 != 1 and _TEXT.fullmatch(base64.b64decode(body + "=" * (-len(body) % 4))) is not None
+
+
+def _base64(run: str) -> Iterator[tuple[str, int, int]]:
+    """The texts that a base64 run holds, each with the stretch of the run behind it."""
+    lines = [m.span() for m in _LINE.finditer(run)]
+    body = "".join(run[a:b] for a, b in lines)
+    firsts = [0, *accumulate(b - a for a, b in lines)]
+
+    def place(k: int) -> int:
+        i = bisect_right(firsts, k) - 1
+        return lines[i][0] + k - firsts[i] if i < len(lines) else len(run)
+
+    starts = sorted({m.end() for m in re.finditer("[/_-]", body)} | set(firsts[:-1]))
+    plain, seen = body.translate({45: 43, 95: 47}), set()
+    for at in range(4):
+        part = plain[at: len(plain) - ((len(plain) - at) % 4 == 1)]
+        raw, whole = base64.b64decode(part + "=" * (-len(part) % 4)), False
+        for k in starts:
+            first = (k - at) * 3 // 4
+            if k >= at and (k - at) % 4 == 0 and (k == 0 or _packed(raw[first: first + 6]) is not None):
+                for text in _texts(raw[first:], False, seen):
+                    whole = whole or k == 0
+                    yield text, place(k), len(run)
+        for m in _TEXT.finditer(raw):
+            if not (whole and m.end() - m.start() == len(raw)):
+                end = at - (-m.end() * 4 // 3)
+                yield m.group().decode("utf-8", "replace"), place(at + m.start() * 4 // 3), place(end - 1) + 1 if end < len(body) else len(run)
 
 
 def _texts(raw: bytes, unzipped: bool, seen: set) -> Iterator[str]:
@@ -199,11 +231,17 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         yield x
     if ("\\" in layer.text or "&#" in layer.text) and (x := _rewritten(layer, _ESCAPE, _escape)):
         yield x
-    for m in _BASE64.finditer(layer.text):
-        if raw := _base64_bytes(m.group()):
-            for text in _texts(raw, False, set()):
+    joined: list[tuple[int, int]] = []
+    for pattern in (_WRAPPED, _BASE64):
+        for m in pattern.finditer(layer.text):
+            i = bisect_right(joined, (m.start(), len(layer.text))) - 1
+            if m.end() - m.start() < SHORTEST or i >= 0 and pattern is _BASE64 and m.end() <= joined[i][1]:
+                continue
+            for text, a, b in _base64(m.group()):
                 if text:
-                    yield Layer(text, layer, [0], [(m.start(), m.end(), False)])
+                    yield Layer(text, layer, [0], [(m.start() + a, m.start() + b, False)])
+            if pattern is _WRAPPED and _is_text(m.group()):
+                joined.append(m.span())
 
 
 def findings(text: str) -> tuple[list[tuple[int, int, int, int]], int]:

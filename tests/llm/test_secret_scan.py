@@ -56,6 +56,28 @@ def test_compressed_layers_map_to_the_run(pack):
     assert found(text) == [(a, 0, b), (a, 1, b)]
 
 
+def wrapped(run, n):
+    return "\n".join(run[i: i + n] for i in range(0, len(run), n))
+
+
+@pytest.mark.parametrize("pack", [bytes, *PACKERS])
+def test_base64_beside_its_own_characters(pack):
+    for extra in range(3):
+        run = b64(pack(f"key is {KEY} or password = swordfish1".encode() + b"!" * extra)).rstrip("=")
+        for before, after in (("https://example.com/", ""), ("id-", ""), ("v1_", " x"), ("a/b/", ","), ("", "\nRegards, x"), ("", "\nHello, x"), ("Data\n", "\n")):
+            got = [(a, b) for a, k, b in found(f"{before}{run}{after}") if k == 1]
+            assert any(a <= len(before) and b >= len(before) + len(run) - 5 for a, b in got), (before, after)
+        for n in (20, 32, 57, 76):
+            text = f"see <{wrapped(run, n)}> here"
+            assert {(5, 0, text.index("> here")), (5, 1, text.index("> here"))} <= set(found(text))
+
+
+def test_text_among_other_bytes():
+    run = b64(b"\xff\xfe\x00\x01" + f"token={KEY}".encode() + b"\x80\x81\x00")
+    assert {k for _, k, _ in found(f"<{run}>")} == {0, 1}
+    assert 1 in {k for _, k, _ in found(b64(f"key {KEY} is here".encode()).rstrip("=")[:-1])}
+
+
 def test_escapes_map_to_their_own_characters():
     text = "go password%3Dabc%31%32%33 end"
     assert (3, 0, text.index(" end")) in found(text)
