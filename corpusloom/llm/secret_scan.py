@@ -18,8 +18,10 @@ of the source is not taken again, so archives and escapes that contain
 themselves end. Each layer knows the piece of its parent behind every stretch
 of it; a finding is carried down those pieces to code points of the source (the
 whole run, or the part of it that was read, for base64). Unpacked data is read in blocks of ``BLOCK`` bytes that
-overlap by ``OVERLAP``, so a small archive that unpacks to gigabytes is scanned
-in bounded memory; all its blocks map to the same run.
+overlap by ``OVERLAP``, one at a time and through all archives inside each
+other, so a small archive that unpacks to gigabytes is scanned in bounded
+memory; all its blocks map to the same run. All members of appended data are
+read as one.
 
 Null and empty texts have no findings. Equal findings of several layers count
 once, with the smallest depth. Columns other than the two named are not read.
@@ -35,7 +37,8 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import partial
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame
 from .batches import per_slice, texts_of
 
 BLOCK, OVERLAP = 4 << 20, 1 << 16
-STRETCH, SHORTEST = 12, 16
+STRETCH, SHORTEST, PIECE = 12, 16, 1 << 16
 
 # ── fixed values: what counts as a secret ───────────────────────────────────
 WORDS = "password|passwd|secret|token|api_?key"
@@ -126,49 +129,95 @@ def _escape(s: str) -> list[tuple[str, int]]:
     return [(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�", len(s))]
 
 
-def _packed(raw: bytes):
-    """A function that reads the next bytes of compressed data, or None for anything else."""
-    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2]) % 31 == 0):
-        d = zlib.decompressobj(47)
-        return lambda n, feed=[raw]: _next(d, feed, n, lambda x: x.unconsumed_tail)
-    if raw[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-        return lambda n, feed=[raw]: _next(d, feed, n, lambda x: b"")
-    if raw[:6] == b"\xfd7zXZ\x00":
-        d = lzma.LZMADecompressor()
-        return lambda n, feed=[raw]: _next(d, feed, n, lambda x: b"")
-    if raw[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
+class _Source:
+    """Bytes of an iterator of pieces, none of them empty, that can be looked at before they are read."""
 
-        return zstandard.ZstdDecompressor().stream_reader(raw).read
-    return None
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, b""
 
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and (more := next(self.pieces, b"")):
+            self.held += more
+        return self.held[:n]
 
-def _next(d, feed: list[bytes], n: int, tail) -> bytes:
-    if d.eof:
-        return b""
-    out = d.decompress(feed[0], n)
-    feed[0] = tail(d)
-    return out
+    def read(self, n: int) -> bytes:
+        out = self.held or next(self.pieces, b"")
+        out, self.held = out[:n], out[n:]
+        return out
 
 
-def unpacked(raw: bytes, block: int = BLOCK, overlap: int = OVERLAP) -> Iterator[bytes]:
-    """Blocks of what compressed data holds; damaged data gives what comes before the damage."""
-    read, carry, fresh = _packed(raw), b"", True
-    while read is not None:
-        got, short = [], block - len(carry)
-        try:
-            while short > 0 and (piece := read(short)):
-                got.append(piece)
-                short -= len(piece)
-        except Exception:  # the codecs each raise their own; damage ends the data
-            read = None
-        if not got and not fresh:
+def _packed(head: bytes) -> str | None:
+    """The kind of compressed data that starts like this, or None for anything else."""
+    if head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and len(head) > 1 and int.from_bytes(head[:2]) % 31 == 0):
+        return "zlib"
+    return next((kind for kind, start in (("bz2", b"BZh"), ("xz", b"\xfd7zXZ\x00"), ("zstd", b"\x28\xb5\x2f\xfd")) if head.startswith(start)), None)
+
+
+def _member(kind: str, source: _Source) -> Iterator[bytes]:
+    """What one member of compressed data holds (all frames, for zstd); the source is left at its end."""
+    if kind == "zstd":
+        import zstandard
+
+        reader = zstandard.ZstdDecompressor().stream_reader(source, read_size=PIECE, read_across_frames=True)
+        while out := reader.read1(PIECE):
+            yield out
+        return
+    d, data = {"zlib": lambda: zlib.decompressobj(47), "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind](), b""
+    while not d.eof:
+        out = d.decompress(data, PIECE)
+        data = d.unconsumed_tail if kind == "zlib" else b""
+        if out:
+            yield out
+        elif not data and not d.eof and (kind == "zlib" or d.needs_input) and not (data := source.read(PIECE)):
             return
-        yield (whole := carry + b"".join(got))
-        if short > 0:
+    source.held = d.unused_data + source.held
+
+
+def _members(source: _Source) -> Iterator[bytes]:
+    """What all members hold, one after the other. Damage ends it; bytes after the last member come as they are."""
+    try:
+        while kind := _packed(source.peek(6)):
+            yield from _member(kind, source)
+            while source.peek(1) == b"\0":  # padding between members
+                source.held = source.held.lstrip(b"\0")
+        while out := source.read(PIECE):
+            yield out
+    except Exception:  # the codecs each raise their own
+        return
+
+
+def unpacked(raw: bytes, block: int = BLOCK, overlap: int = OVERLAP, seen: set | None = None) -> Iterator[bytes]:
+    """Blocks of what compressed data holds, unpacked until it is not compressed; damaged data gives what comes before the damage.
+
+    Archives are told apart by their first ``block`` bytes; one in ``seen`` gives nothing again.
+    """
+    seen, source = set() if seen is None else seen, _Source(raw[i: i + PIECE] for i in range(0, len(raw), PIECE))
+    while _packed(source.peek(6)):
+        start, held = [], 0
+        while held < block and (piece := source.read(PIECE)):
+            start.append(piece)
+            held += len(piece)
+        key = hashlib.blake2b(b"".join(start), digest_size=16).digest()
+        if key in seen:
             return
-        carry, fresh = whole[-overlap:], False
+        seen.add(key)
+        inner = _members(_Source(chain(iter(start), iter(partial(source.read, PIECE), b""))))
+        # A small archive is unpacked at once, so that many small ones inside each other are no deep chain of readers.
+        start, held = [], 0
+        while held < block and (piece := next(inner, b"")):
+            start.append(piece)
+            held += len(piece)
+        source = _Source(iter(start) if held < block else chain(start, inner))
+    carry, more, fresh = b"", True, True
+    while more:
+        got, short = [], block - len(carry)
+        while short > 0 and (piece := source.read(short)):
+            got.append(piece)
+            short -= len(piece)
+        if got or fresh:
+            yield (whole := carry + b"".join(got))
+            carry, fresh = whole[-overlap:], False
+        more = short <= 0
 
 
 def _is_text(run: str) -> bool:
@@ -195,7 +244,7 @@ def _base64(run: str) -> Iterator[tuple[str, int, int]]:
         for k in starts:
             first = (k - at) * 3 // 4
             if k >= at and (k - at) % 4 == 0 and (k == 0 or _packed(raw[first: first + 6]) is not None):
-                for text in _texts(raw[first:], False, seen):
+                for text in _texts(raw[first:], seen):
                     whole = whole or k == 0
                     yield text, place(k), len(run)
         for m in _TEXT.finditer(raw):
@@ -204,25 +253,17 @@ def _base64(run: str) -> Iterator[tuple[str, int, int]]:
                 yield m.group().decode("utf-8", "replace"), place(at + m.start() * 4 // 3), place(end - 1) + 1 if end < len(body) else len(run)
 
 
-def _texts(raw: bytes, unzipped: bool, seen: set) -> Iterator[str]:
+def _texts(raw: bytes, seen: set) -> Iterator[str]:
     """The texts that bytes stand for, through any number of compressed layers."""
-    stack = [(raw, unzipped)]
-    while stack:
-        raw, unzipped = stack.pop()
-        if _packed(raw) is not None:
-            key = hashlib.blake2b(raw, digest_size=16).digest()
-            if key not in seen:
-                seen.add(key)
-                stack.extend((b, True) for b in unpacked(raw))
-            continue
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            if not unzipped:
-                continue
-            text = raw.decode("utf-8", "replace")
-        if unzipped or sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text):
-            yield text
+    if _packed(raw[:6]):
+        yield from (block.decode("utf-8", "replace") for block in unpacked(raw, seen=seen))
+        return
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return
+    if sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text):
+        yield text
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
@@ -247,23 +288,24 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
 def findings(text: str) -> tuple[list[tuple[int, int, int, int]], int]:
     """(start, kind number, end, depth) of each secret, in order, and the number of layers inside the text."""
     found: dict[tuple[int, int, int], int] = {}
-    work, seen, n = [Layer(text)], {(hashlib.blake2b(text.encode(), digest_size=16).digest(), 0, len(text))}, 0
+    seen: dict[tuple[bytes, int, int], int] = {}
+    work = [iter([Layer(text)])]  # the layers inside each layer on the way to the current one: none is made before it is needed
     while work:
-        waiting = []
-        for layer in work:
-            for k, (kind, pattern) in enumerate(KINDS.items()):
-                for m in pattern.finditer(layer.text):
-                    if len(m.group(m.lastindex or 0)) >= LEAST[kind] if kind != "assign" else len(m.group(2)) >= LEAST[kind]:
-                        start, end = layer.origin(m.start(), m.end())
-                        found.setdefault((start, k, end), layer.depth)
-            for inner in unwrapped(layer):
-                key = (hashlib.blake2b(inner.text.encode("utf-8", "replace"), digest_size=16).digest(), *inner.origin(0, len(inner.text)))
-                if key not in seen:
-                    seen.add(key)
-                    waiting.append(inner)
-                    n += 1
-        work = waiting
-    return sorted((*k, d) for k, d in found.items()), n
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        key = (hashlib.blake2b(layer.text.encode("utf-8", "replace"), digest_size=16).digest(), *layer.origin(0, len(layer.text)))
+        if layer.depth >= seen.get(key, layer.depth + 1):
+            continue
+        seen[key] = layer.depth
+        for k, (kind, pattern) in enumerate(KINDS.items()):
+            for m in pattern.finditer(layer.text):
+                if len(m.group(m.lastindex or 0)) >= LEAST[kind] if kind != "assign" else len(m.group(2)) >= LEAST[kind]:
+                    place = layer.origin(m.start(), m.end())
+                    place = (place[0], k, place[1])
+                    found[place] = min(layer.depth, found.get(place, layer.depth))
+        work.append(unwrapped(layer))
+    return sorted((*k, d) for k, d in found.items()), len(seen) - 1
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

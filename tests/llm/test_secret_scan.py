@@ -4,7 +4,9 @@ import base64
 import bz2
 import gzip
 import lzma
+import random
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -113,6 +115,28 @@ def test_unpacking_is_read_in_blocks():
     assert list(secret_scan.unpacked(gzip.compress(b"abc" * 1000)[:-20]))  # damaged data gives what it holds
 
 
+@pytest.mark.parametrize("pack", PACKERS)
+def test_every_member_is_read(pack):
+    for parts in ([b"nothing ", KEY.encode()], [b"a", b"pass", b"word = swordfish1 " + KEY.encode(), b"end"]):
+        run = b64(b"".join(map(pack, parts)))
+        assert (0, 1, len(run)) in found(run) and ((0, 0, len(run)) in found(run)) == (len(parts) > 2)
+    padded = b64(gzip.compress(b"x") + bytes(100_000) + gzip.compress(KEY.encode()))
+    assert (0, 1, len(padded)) in found(padded)
+
+
+def test_nested_archives_beyond_one_block():
+    noise = random.Random(3).randbytes(6_000_000)
+    inner = gzip.compress(b64(noise).encode() + f" {KEY} ".encode(), 1)
+    assert len(inner) > secret_scan.BLOCK
+    text = b"".join(secret_scan.unpacked(gzip.compress(inner, 1), overlap=1))
+    assert text.endswith(f" {KEY} ".encode())
+    blocks = secret_scan._texts(gzip.compress(gzip.compress(bytes(300_000_000))), set())
+    tracemalloc.start()
+    assert sum(map(len, blocks)) >= 300_000_000
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+
+
 def test_query(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     n = 0
