@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, fertility, language_id, merkle, mixing, near_dedup, pseudonyms, secret_scan, sharding
+from . import byte_bpe, chat, fertility, hard_negatives, language_id, merkle, mixing, near_dedup, pseudonyms, secret_scan, sharding, url_filter, vector_codes
 
 #: Where the vocabularies lie; read on the driver only.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -99,4 +99,31 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_tokeniser_fertility, op3_pseudonyms, op4_near_dedup, op5_mixing, op6_sharding, op7_merkle_fingerprints, op8_chat_format, op9_language_id, op10_byte_bpe)}
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.encode(table(spark, folder, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256", "label")
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+#: The rules of the URL filter.
+RULES = tuple(url_filter.Rule(*r) for r in (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+))
+WORDS = "word_bpe_49k.json"
+
+
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    url = F.col("url")
+    rows = table(spark, folder, "pages").select("page_id", url_filter.host_of(url).alias("host"), url_filter.path_of(url).alias("path"))
+    words = url_filter.public_words(public_tokenizers.path(WORDS), url_filter.Words.weight)
+    return url_filter.judge(rows, url_filter.train(rows, words), RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_tokeniser_fertility, op3_pseudonyms, op4_near_dedup, op5_mixing, op6_sharding, op7_merkle_fingerprints, op8_chat_format, op9_language_id, op10_byte_bpe, op11_vector_codes, op12_hard_negatives, op13_url_filter)}

@@ -91,4 +91,44 @@ from placed group by conv_id
 """
 
 
-SQL = {"op4_near_dedup": NEAR, "op5_mixing": MIX, "op6_sharding": SHARDS, "op8_chat_format": _chat()}
+_INTEGERS = "list_transform(embedding, lambda x: floor(256 * x::double)::bigint)"
+_WHOLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _codes() -> str:
+    """Three assignments with two updates between them, each spelled out."""
+    def assigned(n: int) -> str:
+        away = " + ".join(f"(a.v[{i}] - b.v[{i}]) * (a.v[{i}] - b.v[{i}])" for i in range(1, 5))
+        return f"""near{n} as (select vec_id, p, min({away}) as d, arg_min(e, ({away}) * 64 + e) as e from parts a join book{n} b using (p) group by vec_id, p)"""
+
+    def moved(n: int) -> str:
+        mean = ", ".join(f"((sum(v[{i}]) - ((sum(v[{i}]) % count(*)) + count(*)) % count(*)) // count(*))::bigint" for i in range(1, 5))
+        return f"""means{n} as (select p, e, [{mean}] as v from parts join near{n} using (vec_id, p) group by p, e),
+book{n + 1} as (select p, e, coalesce(m.v, b.v) as v from book{n} b left join means{n} m using (p, e))"""
+
+    return f"""
+with kept as (select vec_id, label, {_INTEGERS} as q from embeddings where {_WHOLE}),
+parts as (select vec_id, p, q[4 * p + 1:4 * p + 4] as v from kept, range(16) r(p)),
+first as (select vec_id, row_number() over (order by vec_id) - 1 as e from kept order by vec_id limit 64),
+book0 as (select p, e, v from parts join first using (vec_id)),
+{assigned(0)}, {moved(0)}, {assigned(1)}, {moved(1)}, {assigned(2)},
+coded as (select vec_id, string_agg(printf('%02x', e), '' order by p) as code, sum(d)::bigint as error from near2 group by vec_id),
+books as (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) as digest from book2)
+select vec_id, code, error, label, sum(error) over (partition by label)::bigint as label_error, digest as codebooks_sha256 from coded join kept using (vec_id), books
+"""
+
+
+NEGATIVES = f"""
+with kept as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {_INTEGERS} as q
+  from embeddings where label is not null and {_WHOLE}),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.q::double[], b.q::double[])::bigint as score
+  from kept a join kept b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over o as rank, vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over o <= 5 window o as (partition by anchor_id, positive_id order by score desc, vec_id)
+"""
+
+SQL = {"op4_near_dedup": NEAR, "op5_mixing": MIX, "op6_sharding": SHARDS, "op8_chat_format": _chat(), "op11_vector_codes": _codes(), "op12_hard_negatives": NEGATIVES}
