@@ -126,9 +126,9 @@ scored as (
   select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.q::double[], b.q::double[])::bigint as score
   from kept a join kept b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
 positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
-select anchor_id, positive_id, row_number() over o as rank, vec_id as negative_id, positive_score, score as negative_score
+select anchor_id, positive_id, (row_number() over o)::int as rank, vec_id as negative_id, positive_score, score as negative_score
 from positives join scored using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
-qualify row_number() over o <= 5 window o as (partition by anchor_id, positive_id order by score desc, vec_id)
+window o as (partition by anchor_id, positive_id order by score desc, vec_id) qualify row_number() over o <= 5
 """
 
 SQL = {"op4_near_dedup": NEAR, "op5_mixing": MIX, "op6_sharding": SHARDS, "op8_chat_format": _chat(), "op11_vector_codes": _codes(), "op12_hard_negatives": NEGATIVES}
