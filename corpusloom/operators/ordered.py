@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _BLOCK = "_block"
 
 
@@ -66,23 +68,30 @@ def hour_block(ts: str = "ts") -> Column:
 
 
 def measured_blocks(log: DataFrame, keys: Sequence[str], target: int = 1 << 20, cuts: int = 1023, ts: str = "ts") -> DataFrame:
-    """Add ``block``: an hour of a key, cut further where it holds more than ``target`` rows.
-
-    Rows are counted per key and hour first (with map-side combine). Only hours
-    above the target are cut, at up to ``cuts`` quantiles of their own time
-    stamps, so a user with very many events in one hour is many blocks, and logs
-    without such hours pay for one count. Rows of one microsecond stay together.
+    """Add ``block``: a whole key, its hours where it holds more than ``target`` rows, and parts of hours that do.
+
+    Rows are counted per key and hour first, with map-side combine. Where no key
+    holds more than ``target`` rows each is one block and the log stays as it
+    was. Otherwise the keys that do are cut into hours, and hours above the
+    target at up to ``cuts`` quantiles of their own time stamps, so a user with
+    very many events in one hour is many blocks. Rows of one microsecond stay
+    together.
     """
     hour, micros = hour_block(ts).alias("_hour"), F.unix_micros(F.col(ts).cast("timestamp"))
-    log = log.withColumn("_hour", hour)
+    counts = log.groupBy(*keys, hour).agg(F.count(F.lit(1)).alias("_n"))
+    large = counts.groupBy(*keys).agg(F.sum("_n").alias("_n")).where(F.col("_n") > target).select(*keys, F.lit(True).alias("_large"))
+    if large.isEmpty():
+        return log.withColumn("block", F.lit(0).cast("long"))
+    large, log = cut_lineage(large), log.withColumn("_hour", hour)
+    crowded = counts.where(F.col("_n") > target)
     places = F.percentile_approx(F.col("_m"), F.array(*[F.lit(i / (cuts + 1)) for i in range(1, cuts + 1)]), F.lit(100_000))
-    crowded = log.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
     rows = log.select(*keys, "_hour", micros.alias("_m")).join(crowded, [*keys, "_hour"])
     seams = rows.groupBy(*keys, "_hour").agg(places.alias("_all"), F.ceil(F.count(F.lit(1)) / F.lit(target)).alias("_k"))
     step = F.greatest(F.floor(F.lit(cuts + 1) / F.col("_k")), F.lit(1))
-    seams = seams.select(*keys, "_hour", F.array_distinct(F.filter("_all", lambda x, i: (i + 1) % step == 0)).alias("_seams"))
+    seams = cut_lineage(seams.select(*keys, "_hour", F.array_distinct(F.filter("_all", lambda x, i: (i + 1) % step == 0)).alias("_seams")))
     inside = F.coalesce(F.size(F.filter("_seams", lambda x: x <= micros)), F.lit(0))
-    return log.join(seams, [*keys, "_hour"], "left").withColumn("block", F.col("_hour") * (cuts + 1) + F.greatest(inside, F.lit(0))).drop("_hour", "_seams")
+    met = log.join(large, [*keys], "left").join(seams, [*keys, "_hour"], "left")
+    return met.withColumn("block", F.when(F.col("_large"), F.col("_hour") * (cuts + 1) + F.greatest(inside, F.lit(0))).otherwise(0)).drop("_hour", "_seams", "_large")
 
 
 def ordinal_block(seq: str, size: int = 65536) -> Column:

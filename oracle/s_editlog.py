@@ -17,7 +17,7 @@ _BOXES = """
 
 
 
-def _replay(limit: int, edits: str) -> str:
+def _replay(limit: int | None, edits: str) -> str:
     """The history carried row by row."""
     return f"""
         WITH RECURSIVE steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS rn FROM ({edits})),
@@ -25,7 +25,7 @@ def _replay(limit: int, edits: str) -> str:
           SELECT session, 0::BIGINT AS rn, []::VARCHAR[] AS past, 0::BIGINT AS redo FROM (SELECT DISTINCT session FROM steps)
           UNION ALL
           SELECT w.session, s.rn,
-                 CASE s.op WHEN 'push' THEN CASE WHEN len(past) = {limit} THEN list_append(past[2:], s.label) ELSE list_append(past, s.label) END
+                 CASE s.op WHEN 'push' THEN {f'CASE WHEN len(past) = {limit} THEN list_append(past[2:], s.label) ELSE list_append(past, s.label) END' if limit else 'list_append(past, s.label)'}
                       WHEN 'undo' THEN past[1:(len(past) - 1)] WHEN 'redo' THEN CASE WHEN redo > 0 THEN list_append(past, '') ELSE past END ELSE [] END,
                  CASE s.op WHEN 'undo' THEN redo + CASE WHEN len(past) > 0 THEN 1 ELSE 0 END WHEN 'redo' THEN greatest(redo - 1, 0) ELSE 0 END
           FROM walk w JOIN steps s ON s.session = w.session AND s.rn = w.rn + 1)
@@ -34,7 +34,7 @@ def _replay(limit: int, edits: str) -> str:
 
 
 SQL: dict[str, str] = {
-    "t1_replay": _replay(200, "SELECT * FROM v_edits"),
+    "t1_replay": _replay(None, "SELECT * FROM v_edits"),
     "t1_replay_shallow": _replay(3, "SELECT * FROM v_edits"),
     "t2_field_state": _STATE,
     "t3_live_annots": """

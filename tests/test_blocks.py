@@ -27,7 +27,8 @@ def test_no_block_above_the_target(crowded):
     cut = measured_blocks(crowded, ["session"], target=100)
     assert cut.columns == [*crowded.columns, "block"] and cut.count() == crowded.count()
     sizes = [r["count"] for r in cut.groupBy("session", "block").count().collect()]
-    assert max(sizes) <= 150 and len(sizes) > 60
+    assert max(sizes) <= 150 and len(sizes) > 30
+    assert cut.where("session = 2").select("block").distinct().collect() == [(0,)]
     out_of_order = cut.alias("a").join(cut.alias("b"), F.expr("a.session = b.session and a.ts < b.ts and a.block > b.block"))
     assert out_of_order.isEmpty()
 
