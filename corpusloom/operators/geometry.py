@@ -79,38 +79,92 @@ def overlap_summary(rects: DataFrame, keys: Sequence[str], id_col: str, cell: in
         F.sum("_n").alias("n_others"), F.sum(F.col("shared") * F.col("_n")).alias("shared"), F.max_by("b_id", F.struct("shared", -F.col("b_id"))).alias("best"))
 
 
+# marks: one or more rectangles, one per line of the text they lie on ----------------
+
+
+SIGNATURE = ["area", "_n", "_sum", "_xor"]
+
+
+def _signed(rects: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    return rects.groupBy(*keys, F.col(id_col).alias("id")).agg(
+        F.sum(F.col("w") * F.col("h")).alias("area"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.xxhash64(*BOX).cast("decimal(38,0)")).alias("_sum"), F.bit_xor(F.xxhash64(*reversed(BOX))).alias("_xor"))
+
+
+def mark_shapes(rects: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    """The rectangles of distinct marks, with ``id``, ``copies`` and ``area`` of the mark.
+
+    ``rects`` has a row per rectangle, ``id_col`` naming its mark. Marks made of
+    the same rectangles are one, named by the lowest id: equal in number, area and
+    two sums of 64-bit hashes, so a mark's rectangles are never gathered.
+    """
+    distinct = _signed(rects, keys, id_col).groupBy(*keys, *SIGNATURE).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).drop(*SIGNATURE[1:])
+    return rects.select(*keys, F.col(id_col).alias("id"), *BOX).join(distinct, [*keys, "id"])
+
+
+def _shared_area(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: int, apart: bool) -> DataFrame:
+    """Area that two marks share, summed over their rectangles: (keys, a_id, b_id, …, shared) for marks that overlap at all.
+
+    A pair of rectangles counts in the cell of its intersection's corner only;
+    sums leave a cell before they are shuffled. apart: of two marks in one list,
+    the lower id is a's.
+    """
+    def side(d: DataFrame, name: str) -> DataFrame:
+        rest = [c for c in d.columns if c not in keys]
+        return in_cells(d, cell).select(*keys, "_cx", "_cy", *[F.col(c).alias(f"{name}_{c}") for c in rest])
+
+    x0, y0 = F.greatest("a_x", "b_x"), F.greatest("a_y", "b_y")
+    w = F.least(F.col("a_x") + F.col("a_w"), F.col("b_x") + F.col("b_w")) - x0
+    h = F.least(F.col("a_y") + F.col("a_h"), F.col("b_y") + F.col("b_h")) - y0
+    met = side(a, "a").join(side(b, "b"), [*keys, "_cx", "_cy"])
+    met = met.where((w > 0) & (h > 0) & (F.col("_cx") == F.floor(x0 / cell)) & (F.col("_cy") == F.floor(y0 / cell)))
+    met = met.where("a_id < b_id") if apart else met
+    marks = [c for c in met.columns if c not in ("_cx", "_cy", *[f"{s}_{c}" for s in "ab" for c in BOX])]
+    return met.groupBy(*marks).agg(F.sum(w * h).alias("shared"))
+
+
 def _same_passage() -> Column:
-    a_area, b_area = F.col("a_w") * F.col("a_h"), F.col("b_w") * F.col("b_h")
-    return (F.col("shared") / a_area >= SAME_PASSAGE) | (F.col("shared") / b_area >= SAME_PASSAGE)
+    """One covers most of the other; a mark without an area covers nothing."""
+    return F.greatest(*[F.when(F.col(f"{s}_area") > 0, F.col("shared") / F.col(f"{s}_area")).otherwise(0) for s in "ab"]) >= SAME_PASSAGE
 
 
-def match_marks(marks: DataFrame, keys: Sequence[str], id_col: str, cell: int = 64) -> DataFrame:
-    """Shapes covering the same passage: shared area is most of either one."""
-    s = shapes(marks, keys, id_col)
-    pairs = shape_pairs(s, s, keys, cell).where(_same_passage())
-    return pairs.where((F.col("a_id") < F.col("b_id")) | ((F.col("a_id") == F.col("b_id")) & (F.col("a_copies") > 1))).select(
-        *keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_copies", "b_copies")
+def match_marks(rects: DataFrame, keys: Sequence[str], id_col: str, cell: int = 64) -> DataFrame:
+    """Marks that cover the same passage as others: (keys, mark, copies, n_matches, match).
+
+    One row per distinct mark that matches any: ``n_matches`` other marks, its own
+    copies and those of others counted, and ``match``, the lowest of another shape
+    (null where only copies match). No row per pair leaves the operator.
+    """
+    shapes_ = mark_shapes(rects, keys, id_col)
+    pairs = _shared_area(shapes_, shapes_, keys, cell, apart=True).where(_same_passage())
+    ways = [pairs.select(*keys, F.col(f"{s}_id").alias("mark"), F.col(f"{o}_id").alias("_o"), F.col(f"{o}_copies").alias("_c")) for s, o in ("ab", "ba")]
+    others = ways[0].unionByName(ways[1]).groupBy(*keys, "mark").agg(F.sum("_c").alias("_c"), F.min("_o").alias("match"))
+    marks = shapes_.groupBy(*keys, F.col("id").alias("mark")).agg(F.first("copies").alias("copies"))
+    found = marks.join(others, [*keys, "mark"], "left").withColumn("n_matches", F.col("copies") - 1 + F.coalesce("_c", F.lit(0)))
+    return found.where("n_matches > 0").select(*keys, "mark", "copies", "n_matches", "match")
 
 
-def toggle_marks(marks: DataFrame, selection: DataFrame, cell: int = 64) -> DataFrame:
+def toggle_marks(marks: DataFrame, selection: DataFrame, keys: Sequence[str] = ("page",), cell: int = 64) -> DataFrame:
     """A mark action is a switch: any existing match anywhere removes them all, else it inserts.
 
-    ``marks``: page, rect_id and box. ``selection``: action, page, rect_id and
-    box. Never both removes and inserts within one action.
+    ``marks``: keys, mark_id and box, a row per rectangle. ``selection``: action,
+    keys and box, a row per rectangle; what an action selects under the same keys
+    is one selection, and one mark if it is inserted. Gives (action, keys,
+    mark_id, op), mark_id null for inserts. An action never both removes and
+    inserts.
     """
-    m = shapes(marks, ["page"], "rect_id")
-    s = shapes(selection, ["page", "action"], "rect_id")
-    left = in_cells(s, cell).select("page", "_cx", "_cy", "action", *[F.col(c).alias(f"a_{c}") for c in BOX])
-    right = in_cells(m, cell).select("page", "_cx", "_cy", F.col("id").alias("shape"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    w = F.least(F.col("a_x") + F.col("a_w"), F.col("b_x") + F.col("b_w")) - F.greatest("a_x", "b_x")
-    h = F.least(F.col("a_y") + F.col("a_h"), F.col("b_y") + F.col("b_h")) - F.greatest("a_y", "b_y")
-    matched = (left.join(right, ["page", "_cx", "_cy"]).withColumn("shared", w * h)
-               .where((w > 0) & (h > 0) & _same_passage()).select("action", "shape").distinct())
-    members = marks.join(m.withColumnRenamed("id", "shape"), ["page", *BOX]).select("shape", "page", "rect_id")
-    removed = matched.join(members, "shape").select("action", "page", "rect_id", F.lit("remove").alias("op"))
-    inserted = selection.join(matched.select("action").distinct(), "action", "left_anti").select(
-        "action", "page", "rect_id", F.lit("insert").alias("op"))
-    return removed.unionByName(inserted)
+    keys = list(keys)
+    shaped = mark_shapes(marks, keys, "mark_id")
+    areas = selection.groupBy("action", *keys).agg(F.sum(F.col("w") * F.col("h")).alias("area"))
+    chosen = selection.select("action", *keys, *BOX).join(areas, ["action", *keys]).withColumnRenamed("action", "id")
+    matched = _shared_area(chosen, shaped, keys, cell, apart=False).where(_same_passage()).select(F.col("a_id").alias("action"), *keys, F.col("b_id").alias("shape"))
+    signed = _signed(marks, keys, "mark_id")
+    named = signed.groupBy(*keys, *SIGNATURE).agg(F.min("id").alias("shape"))
+    members = signed.join(named, [*keys, *SIGNATURE]).select(*keys, "shape", F.col("id").alias("mark_id"))
+    removed = matched.join(members, [*keys, "shape"]).select("action", *keys, "mark_id", F.lit("remove").alias("op"))
+    kept = areas.join(matched.select("action").distinct(), "action", "left_anti")
+    kind = dict(marks.dtypes)["mark_id"]
+    return removed.unionByName(kept.select("action", *keys, F.lit(None).cast(kind).alias("mark_id"), F.lit("insert").alias("op")))
 
 
 def hit_test(rects: DataFrame, points: DataFrame, id_col: str, cell: int = 64) -> DataFrame:

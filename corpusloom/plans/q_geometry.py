@@ -11,9 +11,11 @@ from .views import L, Views
 
 
 def selections(v: Views) -> DataFrame:
-    """One mark action per day, selecting that day's signup rectangles."""
-    days = v.events.select(F.col("event_id").alias("rect_id"), F.date_format("ts", "yyyy-MM-dd").alias("action"))
-    return v.rects.where("variant = 'signup'").join(days, "rect_id").select("action", "page", "rect_id", *geometry.BOX)
+    """One mark action per hour: its signups select their lines, and part of the lines of every 50th view."""
+    days = v.events.select(F.col("event_id").alias("mark_id"), F.date_format("ts", "yyyy-MM-dd HH").alias("action"))
+    own = v.marks.where("variant = 'signup'")
+    seen = v.marks.where("variant = 'view' AND mark_id % 50 = 0").withColumn("w", F.col("w") - F.col("mark_id") % 30)
+    return own.unionByName(seen).join(days, "mark_id").select("action", "page", *geometry.BOX)
 
 
 @plan
@@ -28,12 +30,12 @@ def j1_text_in(v: Views) -> DataFrame:
 
 @plan
 def j2_match_marks(v: Views) -> DataFrame:
-    return geometry.match_marks(v.rects, ["page", "variant"], "rect_id")
+    return geometry.match_marks(v.marks, ["page", "variant"], "mark_id")
 
 
 @plan
 def j3_toggle_marks(v: Views) -> DataFrame:
-    return geometry.toggle_marks(v.rects.where("variant = 'view'"), selections(v))
+    return geometry.toggle_marks(v.marks.where("variant = 'view'"), selections(v))
 
 
 @plan

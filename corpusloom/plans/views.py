@@ -191,6 +191,14 @@ class Views:
             L(F.floor("value") % 800).alias("y"), L(20 + e % 60).alias("w"),
             L(10 + F.floor(e / 7).cast(LONG) % 30).alias("h"), F.col("event_type").alias("variant"))
 
+    @cached_property
+    def marks(self) -> DataFrame:
+        """Highlights of one to three lines under each other, one rectangle a line; every fourth is drawn a second time, shifted."""
+        e, i = F.col("rect_id"), F.col("i")
+        lines = self.rects.select("page", "variant", "rect_id", F.explode(F.sequence(L(0), e % 3)).alias("i"), "x", "y", "w", "h")
+        again = lines.where(e % 4 == 0).select("page", "variant", (e + 1_000_000_000).alias("rect_id"), "i", (F.col("x") + e % 3 * 8).alias("x"), "y", "w", "h")
+        return lines.unionByName(again).select("page", "variant", e.alias("mark_id"), (F.col("x") - i * 9).alias("x"), (F.col("y") + i * F.col("h")).alias("y"), (F.col("w") + i * 5).alias("w"), "h")
+
     @cached_property
     def points(self) -> DataFrame:
         e = F.col("event_id")

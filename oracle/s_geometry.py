@@ -14,11 +14,21 @@ def _pairs(keys: str, rects: str = "v_rects") -> str:
              AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h"""
 
 
-_SEL = "SELECT strftime(e.ts, '%Y-%m-%d') AS action, r.* FROM v_rects r JOIN events e ON r.rect_id = e.event_id WHERE variant = 'signup'"
+_SEL = """
+    SELECT strftime(e.ts, '%Y-%m-%d %H') AS action, page, x, y, CASE WHEN variant = 'view' THEN w - mark_id % 30 ELSE w END AS w, h
+    FROM v_marks m JOIN events e ON m.mark_id = e.event_id WHERE variant = 'signup' OR (variant = 'view' AND mark_id % 50 = 0)"""
+_SHARED = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
 _HITS = f"""
-    SELECT DISTINCT s.action, m.page, m.rect_id FROM ({_SEL}) s JOIN v_rects m ON m.variant = 'view' AND m.page = s.page
-      AND s.x < m.x + m.w AND m.x < s.x + s.w AND s.y < m.y + m.h AND m.y < s.y + s.h
-    WHERE (least(s.x + s.w, m.x + m.w) - greatest(s.x, m.x)) * (least(s.y + s.h, m.y + m.h) - greatest(s.y, m.y)) >= 0.6 * least(s.w * s.h, m.w * m.h)"""
+    SELECT action, page, mark_id FROM (
+      SELECT a.action, a.page, b.mark_id, sum({_SHARED}) AS shared FROM ({_SEL}) a JOIN v_marks b ON b.variant = 'view' AND a.page = b.page GROUP BY ALL)
+    JOIN (SELECT action, page, sum(w * h) AS sa FROM ({_SEL}) GROUP BY ALL) USING (action, page)
+    JOIN (SELECT mark_id, sum(w * h) AS ma FROM v_marks GROUP BY ALL) USING (mark_id) WHERE shared / sa >= 0.6 OR shared / ma >= 0.6"""
+_MARK_PAIRS = f"""
+    SELECT page, variant, am, bm FROM (
+      SELECT a.page, a.variant, a.mark_id AS am, b.mark_id AS bm, sum({_SHARED}) AS shared FROM v_marks a JOIN v_marks b
+      ON a.page = b.page AND a.variant = b.variant AND a.mark_id <> b.mark_id GROUP BY ALL)
+    JOIN (SELECT mark_id AS am, sum(w * h) AS aa FROM v_marks GROUP BY ALL) USING (am) JOIN (SELECT mark_id AS bm, sum(w * h) AS ba FROM v_marks GROUP BY ALL) USING (bm)
+    WHERE shared / aa >= 0.6 OR shared / ba >= 0.6"""
 
 SQL: dict[str, str] = {
     "j1_text_in": """
@@ -30,10 +40,13 @@ SQL: dict[str, str] = {
         FROM b LEFT JOIN v_runs r ON r.doc_id = b.doc_id AND r.page_no = b.page_no AND trim(text) <> ''
              AND r.x + r.w >= b.x AND r.x <= b.x + b.w AND baseline >= b.y AND baseline - size <= b.y + b.h GROUP BY 1""",
     "j2_match_marks": f"""
-        SELECT page, variant, a, b, a_copies, b_copies FROM ({_pairs('page, variant')}) WHERE shared / aa >= 0.6 OR shared / ba >= 0.6""",
+        WITH shape AS (SELECT page, variant, mark_id, min(mark_id) OVER (PARTITION BY page, variant, boxes) AS rep, count(*) OVER (PARTITION BY page, variant, boxes) AS copies
+                       FROM (SELECT page, variant, mark_id, list_sort(list([x, y, w, h])) AS boxes FROM v_marks GROUP BY ALL))
+        SELECT p.page, p.variant, am AS mark, any_value(a.copies) AS copies, count(*) AS n_matches, min(b.rep) FILTER (b.rep <> am) AS match
+        FROM ({_MARK_PAIRS}) p JOIN shape a ON p.am = a.mark_id JOIN shape b ON p.bm = b.mark_id WHERE a.rep = am GROUP BY 1, 2, 3""",
     "j3_toggle_marks": f"""
-        SELECT action, page, rect_id, 'remove' AS op FROM ({_HITS})
-        UNION ALL SELECT action, page, rect_id, 'insert' FROM ({_SEL}) WHERE action NOT IN (SELECT action FROM ({_HITS}))""",
+        SELECT action, page, mark_id, 'remove' AS op FROM ({_HITS})
+        UNION ALL SELECT DISTINCT action, page, NULL, 'insert' FROM ({_SEL}) WHERE action NOT IN (SELECT action FROM ({_HITS}))""",
     "j4_hit_test": """
         SELECT point_id, max(rect_id) AS hit FROM v_points p LEFT JOIN v_rects r ON p.page = r.page AND px BETWEEN x AND x + w AND py BETWEEN y AND y + h GROUP BY 1""",
     "j5_overlapping_pairs": f"SELECT page, a, b, a_copies, b_copies FROM ({_pairs('page')})",

@@ -78,6 +78,10 @@ VIEWS: dict[str, str] = {
     "v_rects": """
         SELECT event_id AS rect_id, user_id AS page, event_id * 37 % 540 AS x, fv % 800 AS y, 20 + event_id % 60 AS w,
                10 + (event_id // 7) % 30 AS h, event_type AS variant FROM v_events""",
+    "v_marks": """
+        SELECT page, variant, mark_id, x - 9 * i AS x, y + i * h AS y, w + 5 * i AS w, h FROM (
+          SELECT page, variant, rect_id AS mark_id, x, y, w, h, unnest(range(0, rect_id % 3 + 1))::BIGINT AS i FROM v_rects
+          UNION ALL SELECT page, variant, rect_id + 1000000000, x + rect_id % 3 * 8, y, w, h, unnest(range(0, rect_id % 3 + 1)) FROM v_rects WHERE rect_id % 4 = 0)""",
     "v_points": """
         SELECT event_id AS point_id, user_id AS page, event_id * 53 % 560 AS px, fv * 2 % 820 AS py FROM v_events""",
     "v_strokes": """

@@ -15,29 +15,42 @@ def test_redaction_leaves_nothing_under_a_box(views):
     assert not redaction.leaks(views.runs, views.boxes).isEmpty()
 
 
+RECT = "page long, mark_id long, x long, y long, w long, h long"
+
+
+def three_lines(page, mark, x, y, w):
+    return [(page, mark, x - 5 * i, y + 12 * i, w + 10 * i, 12) for i in range(3)]
+
+
 def test_toggling_twice_is_identity(spark):
-    rect = "page long, rect_id long, x long, y long, w long, h long"
-    none = spark.createDataFrame([], rect)
-    sel = spark.createDataFrame([("a", 1, 10, 0, 0, 50, 10), ("a", 2, 11, 0, 0, 40, 10)], f"action string, {rect}")
-    first = geometry.toggle_marks(none, sel)
-    assert {r.op for r in first.collect()} == {"insert"} and first.count() == 2
-    marks = sel.drop("action")
-    second = geometry.toggle_marks(marks, sel)
-    assert sorted((r.op, r.rect_id) for r in second.collect()) == [("remove", 10), ("remove", 11)]
+    sel = spark.createDataFrame([("a", *r) for r in [*three_lines(1, 10, 50, 0, 100), (2, 11, 0, 0, 40, 10)]], f"action string, {RECT}")
+    first = geometry.toggle_marks(spark.createDataFrame([], RECT), sel.drop("mark_id"))
+    assert sorted((r.page, r.op, r.mark_id) for r in first.collect()) == [(1, "insert", None), (2, "insert", None)]
+    second = geometry.toggle_marks(sel.drop("action"), sel.drop("mark_id"))
+    assert sorted((r.op, r.mark_id) for r in second.collect()) == [("remove", 10), ("remove", 11)]
 
 
 def test_one_match_anywhere_removes_and_inserts_nothing(spark):
-    rect = "page long, rect_id long, x long, y long, w long, h long"
-    marks = spark.createDataFrame([(2, 5, 0, 0, 40, 10)], rect)
-    sel = spark.createDataFrame([("a", 1, 10, 0, 0, 50, 10), ("a", 2, 11, 0, 0, 40, 10)], f"action string, {rect}")
-    assert [(r.op, r.rect_id) for r in geometry.toggle_marks(marks, sel).collect()] == [("remove", 5)]
+    marks = spark.createDataFrame([(2, 5, 0, 0, 40, 10), (2, 6, 0, 0, 40, 10), (2, 7, 300, 0, 40, 10)], RECT)
+    sel = spark.createDataFrame([("a", 1, 0, 0, 50, 10), ("a", 2, 0, 0, 40, 10)], "action string, page long, x long, y long, w long, h long")
+    assert sorted((r.op, r.mark_id) for r in geometry.toggle_marks(marks, sel).collect()) == [("remove", 5), ("remove", 6)]
+
+
+def test_marks_of_several_lines_count_as_a_whole(spark):
+    """A line of a paragraph lies wholly under it; one line more or less of three is still the same; half of each is not."""
+    whole = three_lines(1, 1, 100, 100, 400)
+    marks = [*whole, *[(1, 2, *r[2:]) for r in whole[1:]], (1, 3, *whole[0][2:]), (1, 4, 100, 100, 200, 12), (1, 4, 95, 112, 205, 12), (1, 4, 700, 500, 450, 12), (1, 5, 0, 0, 0, 0), (1, 5, 0, 0, 0, 0)]
+    got = {r.mark: (r.n_matches, r.match) for r in geometry.match_marks(spark.createDataFrame(marks, RECT), ["page"], "mark_id").collect()}
+    assert got == {1: (2, 2), 2: (1, 1), 3: (1, 1)}
+    for cell in (7, 1000):
+        again = geometry.match_marks(spark.createDataFrame(marks, RECT), ["page"], "mark_id", cell=cell).collect()
+        assert {r.mark: (r.n_matches, r.match) for r in again} == got
 
 
 def test_copies_cost_one_shape(spark):
-    rect = "page long, rect_id long, x long, y long, w long, h long"
-    marks = spark.createDataFrame([(1, i, 0, 0, 40, 10) for i in range(500)], rect)
-    got = geometry.match_marks(marks, ["page"], "rect_id").collect()
-    assert [(r.a, r.b, r.a_copies) for r in got] == [(0, 0, 500)]
+    marks = spark.createDataFrame([r for i in range(500) for r in three_lines(1, i, 50, 0, 100)], RECT)
+    got = geometry.match_marks(marks, ["page"], "mark_id").collect()
+    assert [(r.mark, r.copies, r.n_matches, r.match) for r in got] == [(0, 500, 499, None)]
 
 
 def test_blocked_scans_equal_plain_windows(spark):
