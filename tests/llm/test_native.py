@@ -306,3 +306,30 @@ def test_chat_awkward_rows(spark):
     got = {r.conv_id: [tuple(x) for x in r.back] for r in made.collect()}
     assert got == {1: [("user", "late"), ("", ""), ("", ""), ("to[INST]ol", "a</s>")], None: [("user", "x")], 2: [("assistant", "<s>" * 5000)]}
     assert chat.chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string, segments int")).count() == 0
+
+
+def test_long_texts_of_any_kind_end_soon(spark):
+    """A million characters of labels, dots, digits and separators neither exhaust the stack nor take long; half of it about half."""
+    import time
+
+    units = ["a.", "a@", "x@a.", "1.", "12/", "+1", "+33 1 ", "(1)", "1-", "12-34-", "FR14 ", "FR76 3000 ", "4111 ", "4111-", "192.168.", "é.", "%+-._", "A1", " ", "-"]
+
+    def seconds(n):
+        texts = {i: "x@" + u * (n // len(u)) + "1" for i, u in enumerate(units)}
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+        start = time.time()
+        out = {r.doc_id: r.n for r in pseudonyms.pseudonymise(docs, "key").select("doc_id", F.length("text").alias("n")).collect()}
+        assert all(out[i] >= len(t) // 2 for i, t in texts.items())
+        return time.time() - start
+
+    seconds(1000)
+    half, whole = seconds(500_000), seconds(1_000_000)
+    assert whole < 3 * half + 10
+
+
+def test_addresses_of_many_labels(spark):
+    texts = ["x@" + "a." * n + "com" for n in (1, 50, 120, 126, 2000, 6000)] + ["a" * 64 + "@b.org", "a" * 65 + "@b.org", "me x@a.com...then", "x@a..com", "x@a.com1", "x@a.com."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text != texts[r.doc_id], r.text) for r in pseudonyms.pseudonymise(rows, "key").collect()}
+    assert [got[i][0] for i in range(12)] == [True, True, True, True, False, False, True, False, True, False, True, True]
+    assert got[8][1].endswith(".com...then") and got[8][1].startswith("me ") and got[11][1].endswith(".com.")
