@@ -151,8 +151,18 @@ def link(docs: DataFrame, near: Near = Near(), key: str = "doc_id", text: str =
     whole = rows.where("id is not null and n > 0")
     heads = whole.groupBy("digest").agg(F.min("id").alias("head"))
     copies = whole.join(heads, "digest").where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
-    of_id = heads.groupBy(F.col("head").alias("id")).agg(F.min("digest").alias("digest"))
-    reps = whole.join(of_id, ["id", "digest"]).dropDuplicates(["id"])
+    of_id = heads.groupBy(F.col("head").alias("id")).agg(F.min("digest").alias("digest"), F.count("*").alias("sets"))
+    reps = whole.join(of_id.drop("sets"), ["id", "digest"]).dropDuplicates(["id"])
+    # an id that heads several sets stands for the least; the others get numbers of their own beyond all ids, tied to it by an edge
+    several = of_id.where("sets > 1").select(F.col("id").alias("head"), F.col("digest").alias("least"))
+    others = cut_lineage(heads.join(several, "head").where("digest <> least").select("head", "digest", F.monotonically_increasing_id().alias("nth")))
+    if not others.isEmpty():
+        beyond = rows.agg(F.max("id")).first()[0] + 1
+        others = others.select(F.col("head").alias("id"), "digest", (F.lit(beyond) + F.col("nth")).alias("own"))
+        more = whole.join(others, ["id", "digest"]).dropDuplicates(["own"])
+        reps = reps.unionByName(more.withColumn("id", F.col("own")).drop("own"))
+        base = base.unionByName(base.join(others.select("id", "own"), "id").select(F.col("own").alias("id"), "t"))
+        copies = copies.unionByName(others.select(F.col("own").alias("u"), F.col("id").alias("v")))
     links = _representative_links(base, reps, near)
     found = components(copies.unionByName(links))
     out = rows.select("id", F.col("n").alias("n_shingles")).join(found.select(F.col("node").alias("id"), "component"), "id", "left")

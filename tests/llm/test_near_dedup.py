@@ -93,3 +93,13 @@ def test_components(spark):
     want = {x: find(x) for x in list(root)}
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: c for x, c in want.items() if x != c}
+
+
+def test_one_id_with_several_texts(spark):
+    """A link between single rows stands even where an exact copy of each is headed by an id that has other texts, too."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    c = " ".join(f"c{k}" for k in range(60))
+    rows = [(5, a), (5, b), (5, c), (9, a), (10, a + " x"), (11, b), (12, b + " y"), (13, c + " z"), (20, "nothing like it at all here"), (None, a), (5, a)]
+    got = near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.id, r.component) for r in got.collect()} == {(5, 5), (9, 5), (10, 5), (11, 5), (12, 5), (13, 5), (20, 20), (None, None)}
+    assert got.count() == len(rows)
