@@ -20,6 +20,12 @@ with score 0. A text with letters but no hit gets the most frequent language of
 the training sample and score 0. As ``score`` compares languages only, it is 1/k
 at least for k languages once anything hits; ``share``, the largest corrected
 share, and ``n_grams`` tell how like the language the text is at all.
+
+The filter takes one bit a slot and language (``Fit.slots`` x languages / 8
+bytes), its only growth; up to ``Fit.most_languages`` are learned. Long texts are
+read whole, n-gram by n-gram in slices of a bounded size; repeated rows get the
+same answer, an empty training table a filter that knows nothing, and an empty
+table no rows. Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -32,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .batches import bytes_of, per_slice, text_slices
 from .wordhash import mixed
 
 ORDERS = (3, 5)
+WORD = 64  # languages a mask
 PROBES = 3
 
 
@@ -48,7 +56,7 @@ class Fit:
     slots: int = 1 << 21
     least: int = 3
     contrast: float = 0.05
-    most_languages: int = 64
+    most_languages: int = 1024
 
 
 def letters_of(data: np.ndarray) -> np.ndarray:
@@ -88,26 +96,35 @@ def slots_of(codes: np.ndarray, slots: int) -> list[np.ndarray]:
 
 
 class Filter:
-    """The bit-sliced Bloom filter and the languages of its bits."""
+    """The bit-sliced Bloom filter and the languages of its bits: a table of masks for every 64 languages."""
 
-    def __init__(self, languages: list[str], fallback: str, table: np.ndarray, p: np.ndarray):
-        self.languages, self.fallback, self.table, self.p = languages, fallback, table, p
+    def __init__(self, languages: list[str], fallback: str, tables: list[np.ndarray], p: np.ndarray):
+        self.languages, self.fallback, self.tables, self.p = languages, fallback, tables, p
 
     @classmethod
     def empty(cls, languages: list[str], fallback: str, slots: int) -> Filter:
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= max(1, len(languages)))
-        return cls(languages, fallback, np.zeros(slots, dtype=kind), np.zeros(len(languages)))
-
-    def add(self, codes: np.ndarray, masks: np.ndarray) -> None:
-        for at in slots_of(codes, len(self.table)):
-            np.bitwise_or.at(self.table, at, masks.astype(self.table.dtype))
-        self.p = np.array([((self.table >> k) & 1).mean() ** PROBES for k in range(len(self.languages))])
-
-    def masks(self, codes: np.ndarray) -> np.ndarray:
-        a, *rest = slots_of(codes, len(self.table))
-        out = self.table[a]
+        tables = []
+        for k in range(0, max(1, len(languages)), WORD):
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= min(WORD, max(1, len(languages)) - len(tables) * WORD))
+            tables.append(np.zeros(slots, dtype=kind))
+        return cls(languages, fallback, tables, np.zeros(len(languages)))
+
+    def add(self, codes: np.ndarray, *masks: np.ndarray) -> None:
+        """Enter n-grams with their masks, one array of masks for every 64 languages."""
+        for table, of in zip(self.tables, masks, strict=True):
+            for at in slots_of(codes, len(table)):
+                np.bitwise_or.at(table, at, of.astype(table.dtype))
+        self.p = np.array([self._bit(self.tables[k // WORD], k).mean() ** PROBES for k in range(len(self.languages))])
+
+    @staticmethod
+    def _bit(masks: np.ndarray, k: int) -> np.ndarray:
+        return (masks >> masks.dtype.type(k % WORD)) & masks.dtype.type(1)
+
+    def masks(self, codes: np.ndarray) -> list[np.ndarray]:
+        a, *rest = slots_of(codes, len(self.tables[0]))
+        out = [t[a] for t in self.tables]
         for b in rest:
-            out = out & self.table[b]
+            out = [m & t[b] for m, t in zip(out, self.tables)]
         return out
 
     def decide(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +136,7 @@ class Filter:
             total += np.bincount(owner, minlength=n)
             bounds = np.searchsorted(owner, np.arange(n + 1))
             for j in range(k):
-                counted = np.concatenate(([0], np.cumsum((masks >> j) & 1, dtype=np.int64)))
+                counted = np.concatenate(([0], np.cumsum(self._bit(masks[j // WORD], j), dtype=np.int64)))
                 hits[:, j] += counted[bounds[1:]] - counted[bounds[:-1]]
         share = np.clip((hits / np.maximum(total, 1)[:, None] - self.p) / (1 - self.p), 0, None)
         best, sums = share.argmax(axis=1) if k else np.zeros(n, int), share.sum(axis=1)
@@ -134,7 +151,7 @@ def train(docs: DataFrame, fit: Fit = Fit(), key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(language).alias("l")).where("l is not null and t is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(fit.most_languages + 1).collect()}
     if len(sizes) > fit.most_languages:
-        raise ValueError(f"more than {fit.most_languages} languages")
+        raise ValueError(f"more than {fit.most_languages} languages: the filter holds a bit for each in each slot; raise most_languages for more")
     languages = sorted(sizes)
     out = Filter.empty(languages, max(languages, key=lambda x: (sizes[x], x), default="und"), fit.slots)
     if not languages:
@@ -152,21 +169,25 @@ def train(docs: DataFrame, fit: Fit = Fit(), key: str = "doc_id", text: str = "t
                         g, c = np.unique(codes[of[owner] == lang], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), lang, np.int32)), pa.array(c.astype(np.int64))], ["g", "n", "c"])
 
-    counts = sample.mapInArrow(count, "g bigint, n int, c bigint").groupBy("g").agg(*[F.sum(F.when(F.col("n") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in range(len(languages))])
+    counts = cut_lineage(sample.mapInArrow(count, "g bigint, n int, c bigint").groupBy("g").agg(*[F.sum(F.when(F.col("n") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in range(len(languages))]))
     totals = counts.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(languages))]).first()
     rate = [F.col(f"c{i}") / F.lit(float(totals[i] or 1)) for i in range(len(languages))]
     top = F.greatest(*rate) if len(rate) > 1 else rate[0]
-    mask: Column = F.lit(0).cast("bigint")
-    for i, r in enumerate(rate):
-        mask = mask.bitwiseOR(F.when((F.col(f"c{i}") >= fit.least) & (r >= fit.contrast * top), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    best = counts.select("g", mask.alias("m"), top.alias("top")).where("m <> 0").orderBy(F.desc("top"), "g").limit(fit.most_grams).select("g", "m").toArrow()
-    out.add(best.column("g").to_numpy().view(np.uint64), best.column("m").to_numpy().view(np.uint64))
+    masks = []
+    for start in range(0, len(languages), WORD):
+        mask: Column = F.lit(0).cast("bigint")
+        for i, r in enumerate(rate[start: start + WORD]):
+            mask = mask.bitwiseOR(F.when((F.col(f"c{start + i}") >= fit.least) & (r >= fit.contrast * top), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        masks.append(mask.alias(f"m{start // WORD}"))
+    names = [f"m{w}" for w in range(len(masks))]
+    best = counts.select("g", *masks, top.alias("top")).where(" or ".join(f"{m} <> 0" for m in names)).orderBy(F.desc("top"), "g").limit(fit.most_grams).select("g", *names).toArrow()
+    out.add(best.column("g").to_numpy().view(np.uint64), *[best.column(m).to_numpy().view(np.uint64) for m in names])
     return out
 
 
 def predict(docs: DataFrame, model: Filter, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: the columns ``keep``, ``lang_pred``, ``score``, ``share`` and ``n_grams``, from the text alone."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.fallback, model.table, model.p))  # of fixed size: see Fit
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.fallback, model.tables, model.p))  # of fixed size: see Fit
     rows = docs.select(*keep, F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -151,8 +151,8 @@ def test_filters_return_every_language_of_a_gram(spark):
     masks = rng.integers(1, 16, 20_000, dtype=np.uint64)
     f = language_id.Filter.empty(["a", "b", "c", "d"], "a", 1 << 18)
     f.add(codes, masks)
-    assert ((f.masks(codes) & masks.astype(np.uint8)) == masks).all()
-    strange = f.masks(rng.integers(0, 1 << 62, 20_000, dtype=np.uint64))
+    assert ((f.masks(codes)[0] & masks.astype(np.uint8)) == masks).all()
+    strange = f.masks(rng.integers(0, 1 << 62, 20_000, dtype=np.uint64))[0]
     for k in range(4):
         assert abs(((strange >> k) & 1).mean() - f.p[k]) < 0.01
 
@@ -175,6 +175,49 @@ def test_grams_match_a_plain_walk():
     assert got == want
 
 
+def test_more_languages_than_a_mask_holds(spark):
+    """130 languages of words of their own are told apart, as a plain count of the n-grams of each would."""
+    rng = random.Random(4)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(40)] for k in range(130)}
+    rows = [(i, " ".join(rng.choices(words[name], k=30)), name) for i in range(4) for name in words]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language_id.Fit(most_grams=1 << 17, slots=1 << 18))
+    assert [t.dtype for t in model.tables] == [np.uint64, np.uint64, np.uint8]
+    asked = [(i, " ".join(rng.choices(words[name], k=12)), name) for i, name in enumerate(words)]
+    got = language_id.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model, keep=("lang",)).collect()
+    assert all(r.lang_pred == r.lang for r in got) and len(got) == 130
+
+
+def test_decisions_against_plain_sets(spark):
+    """Training and decision by dictionaries: counts, contrast, and shares of n-grams, which the filter may exceed by chance only."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("text is not null")
+    rows = [(r.text, r.lang) for r in docs.collect()]
+    model = language_id.train(docs)
+
+    def walk(text):
+        low = bytes(b | 32 if chr(b).isascii() and chr(b).isalpha() else b if b >= 128 else 32 for b in text.encode())
+        low = re.sub(rb" +", b" ", b" " + low + b" ")
+        return [low[i: i + n] for n in language_id.ORDERS for i in range(len(low) - n + 1)]
+
+    names = sorted({lang for _, lang in rows if lang})
+    counts = {name: Counter(g for t, lang in rows if lang == name for g in walk(t)) for name in names}
+    totals = {name: sum(c.values()) for name, c in counts.items()}
+    known = {}
+    for g in set().union(*counts.values()):
+        top = max(counts[n][g] / totals[n] for n in names)
+        known[g] = {n for n in names if counts[n][g] >= 3 and counts[n][g] / totals[n] >= 0.05 * top}
+    told = {r.text: r for r in language_id.predict(docs, model, keep=("text",)).collect()}
+    for text, _ in rows:
+        found = walk(text)
+        if not re.search(r"[^\W\d_]", text):
+            assert told[text].lang_pred == "und"
+            continue
+        assert told[text].n_grams == len(found)
+        share = {n: sum(n in known[g] for g in found) / len(found) for n in names}
+        best = max(share.values())
+        assert share[told[text].lang_pred] >= best - 0.02
+        assert told[text].share == pytest.approx(best, abs=0.02)
+
+
 def test_language_awkward_rows(spark):
     docs = awkward(spark)
     model = language_id.train(docs)
