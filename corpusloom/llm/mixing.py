@@ -17,8 +17,10 @@ range) with map-side combine, and only the one range per source where the budget
 ends is sorted. No task sees a source as a whole.
 
 Null text counts 0 words, a null source is a source of its own. Rows with a null
-key share one draw and are ordered by words. Of rows that agree in key and
-words any may come first. An empty table gives an empty mix.
+key are drawn by a digest of their text. Rows of one key are ordered by words; of
+rows that agree in key and words, and of repeated rows, all are taken or none. An
+empty table gives an empty mix. Columns may have any name: only those named are
+read, and ``mixed_rows`` carries the row as one struct.
 """
 
 from __future__ import annotations
@@ -61,20 +63,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("source", "source_size", "target", epochs.alias("epochs"), (F.col("target") - epochs * F.col("source_size")).alias("rest"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
-        most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per row: id, source, size, source_size, target and ``taken``, the words that the mix takes of it.
-
-    ``quality`` holds (doc_id, weight), one row a document; others weigh 1.
-    """
-    rows = docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+def _drawn(docs: DataFrame, quality: DataFrame | None, seed: str, key: Column, text: Column, source: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, source, size, key, bucket and s (the source as a key of joins), with the columns ``keep``."""
+    draw = F.coalesce(key.cast("string"), F.concat(F.lit("text/"), F.sha2(text, 256)))
+    rows = docs.select(*keep, key.alias("id"), source.cast("string").alias("source"), word_count(text).alias("size"), draw.alias("draw"))
     if quality is None:
         rows = rows.withColumn("w", F.lit(1.0))
     else:
         known = quality.select(F.col("doc_id").alias("id"), F.col("weight").cast("double").alias("w"))
-        rows = rows.join(known, "id", "left").withColumn("w", F.coalesce(F.when(F.col("w") > 0, F.col("w")), F.lit(1.0)))
-    drawn = rows.withColumn("key", sampling_key(F.col("id"), F.col("w"), seed))
-    drawn = cut_lineage(drawn.select("id", "source", "size", "key", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("bucket"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s")))
+        named = rows.where("id is not null").join(known, "id", "left").withColumn("w", F.coalesce(F.when(F.col("w") > 0, F.col("w")), F.lit(1.0)))
+        rows = named.unionByName(rows.where("id is null").withColumn("w", F.lit(1.0)))  # one key of a join otherwise
+    drawn = rows.withColumn("key", sampling_key(F.col("draw"), F.col("w"), seed))
+    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    return drawn.select(*keep, "id", "source", "size", "key", bucket.alias("bucket"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s"))
+
+
+def _plan(drawn: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """Per source (s): source_size, target, epochs, the range where its budget ends, and the last row taken there."""
     sums = cut_lineage(drawn.groupBy("s", "source", "bucket").agg(F.sum("size").alias("words")))
     goals = targets(sums.groupBy("source", "s").agg(F.sum("words").alias("source_size")), weights, share, most).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     goals = cut_lineage(goals)
@@ -84,6 +89,27 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", we
     upto = F.sum("size").over(Window.partitionBy("s").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     fits = edge.withColumn("upto", F.col("before") + upto).where("2 * upto - size <= 2 * rest")
     cut = fits.groupBy("s").agg(F.max(F.struct("key", "id", "size")).alias("cut"))
-    plan = goals.select("s", "source_size", "target", "epochs").join(last.select("s", F.col("bucket").alias("edge")), "s", "left").join(cut, "s", "left")
+    return cut_lineage(goals.select("s", "source_size", "target", "epochs").join(last.select("s", F.col("bucket").alias("edge")), "s", "left").join(cut, "s", "left"))
+
+
+def _taken(drawn: DataFrame, plan: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     chosen = F.coalesce((F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.struct("key", "id", "size") <= F.col("cut"))), F.lit(False))
-    return drawn.join(cut_lineage(plan), "s").select("id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + chosen.cast("bigint"))).alias("taken"), (F.col("epochs") + chosen.cast("bigint")).alias("copies"))
+    copies = F.col("epochs") + chosen.cast("bigint")
+    return drawn.join(plan, "s").select(*keep, "id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
+        most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Per row: id, source, size, source_size, target and ``taken``, the words that the mix takes of it.
+
+    ``quality`` holds (doc_id, weight), one row a document; others weigh 1.
+    """
+    drawn = cut_lineage(_drawn(docs, quality, seed, F.col(key), F.col(text), F.col(source)))
+    return _taken(drawn, _plan(drawn, weights, share, most))
+
+
+def mixed_rows(docs: DataFrame, quality: DataFrame | None, row: str, key: Column, text: Column, source: Column, seed: str = "mix",
+               weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The column ``row`` of each row, and how often (``copies``) the mix takes that row; decided row by row, not by key."""
+    plan = _plan(cut_lineage(_drawn(docs, quality, seed, key, text, source)), weights, share, most)
+    return _taken(_drawn(docs, quality, seed, key, text, source, (row,)), plan, (row,)).select(row, "copies")

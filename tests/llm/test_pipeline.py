@@ -45,6 +45,28 @@ def test_repeated_rows_become_one(spark):
     assert sorted(map(str, ids)) == sorted(map(str, [1, 3, 4, 5, 6, 7, 8, 9, 10, None]))
 
 
+def test_texts_that_differ_stay(spark):
+    docs = awkward(spark).where("doc_id = 1 or doc_id = 8 or doc_id is null")
+    more = docs.where("doc_id = 8").limit(1).withColumn("text", F.lit("something else that is clean and has several words in it"))
+    texts = [r.text for r in corpus_pipeline.near_duplicates(spark, docs.unionByName(more), SMALL).where("doc_id = 8").collect()]
+    assert sorted(texts) == ["eins zwei drei vier", "something else that is clean and has several words in it"]
+
+
+def test_rows_without_id_are_drawn_one_by_one(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, " ".join(f"w{i}x{k}" for k in range(5 + i % 7)), "en", "ab"[i % 2], 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, schema)
+    got = Counter(r.text for r in corpus_pipeline.mixture(spark, docs, SMALL).collect())
+    size = {s: sum(len(t.split()) for _, t, _, x, _ in rows if x == s) for s in "ab"}
+    share = 1.5 * sum(size.values())  # by weights 3 and 1, at most twice a source
+    target = {"a": min(2 * size["a"], share * 3 / 4)}
+    target["b"] = share - target["a"]
+    for s in "ab":
+        taken = sum(n * len(t.split()) for t, n in got.items() if any(t == r[1] and r[3] == s for r in rows))
+        assert abs(taken - target[s]) <= 12
+    assert max(got.values()) <= 2 and len(got) > 250
+
+
 def test_texts_unlike_every_language_go(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rnd = random.Random(5)
