@@ -48,12 +48,12 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, and one row of each ``doc_id``."""
+    """Keep one document of each group of near duplicates; of rows with one ``doc_id`` those whose texts differ."""
     linked = near_dedup.link(docs).where("kept and id is not null").groupBy("id").agg(F.count("*").alias("copies"))
     rows = _wrapped(docs)
     met = rows.join(linked, "id")
     once = met.where("copies = 1").select("row")
-    again = met.where("copies > 1").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    again = met.where("copies > 1").groupBy("id", F.sha2("words", 256)).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
     return _unwrapped(once.unionByName(again).unionByName(rows.where("id is null").select("row")), docs)
 
 
@@ -64,9 +64,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Sources at their target weights: documents not drawn go, those drawn twice come twice."""
-    copies = mixing.mix(docs, quality_weights(spark, folder)).groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    met = _wrapped(docs).join(copies.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")))
-    return _unwrapped(met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
+    drawn = mixing.mixed_rows(_wrapped(docs), quality_weights(spark, folder), "row", F.col("id"), F.col("words"), F.col("row")["source"]).where("copies > 0")
+    return _unwrapped(drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
