@@ -4,12 +4,14 @@ Every text is a first layer. A worklist takes layers one by one: each is
 searched for all kinds, then unwrapped into new layers wherever it holds
 
 * percent escapes (the layer with all of them decoded),
-* backslash or numeric character escapes (likewise),
+* backslash or numeric character escapes (likewise). After ``LEVELS`` such layers
+  in a row what is nested deeper is decoded at once, to where no escape is left,
+  so that escapes of escapes cost no more than a few readings of the text,
 * base64 runs, whose bytes are text, or gzip, zlib, bzip2, xz or zstd data,
   which is unpacked, again and again while it is still compressed. As a run may
   touch other characters of its alphabet, it is read from each of its first four
   characters on, stretches of text in the bytes count (``STRETCH`` characters or
-  more; no secret is shorter), and compressed data may start after any ``/``,
+  more, in UTF-8 or UTF-16; no secret is shorter), and compressed data may start after any ``/``,
   ``-``, ``_`` or line break. Runs are joined over line breaks; unless that gives
   one text, their lines are read one by one, too.
 
@@ -23,7 +25,8 @@ other, so a small archive that unpacks to gigabytes is scanned in bounded
 memory; all its blocks map to the same run. All members of appended data are
 read as one.
 
-Null and empty texts have no findings. Equal findings of several layers count
+Null and empty texts have no findings, repeated rows the same ones, and an empty
+table gives no rows. Equal findings of several layers count
 once, with the smallest depth. Columns other than the two named are not read.
 """
 
@@ -47,6 +50,7 @@ from .batches import per_slice, texts_of
 
 BLOCK, OVERLAP = 4 << 20, 1 << 16
 STRETCH, SHORTEST, PIECE = 12, 16, 1 << 16
+LEVELS = 8
 
 # ── fixed values: what counts as a secret ───────────────────────────────────
 WORDS = "password|passwd|secret|token|api_?key"
@@ -67,6 +71,9 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){%d,}" % STRETCH)
+_ZEROS = re.compile(rb"\x00{%d,}" % (STRETCH - 1))
+_PRINTED = re.compile(rb"[\t\n\r\x20-\x7e]{%d,}" % STRETCH)
+_LAST = re.compile(rf"(?:%[0-9A-Fa-f]{{2}}|{_ESCAPE.pattern})\Z")
 _SCHEMA = "findings array<struct<kind:string,start:bigint,end:bigint,depth:int>>, n_layers bigint"
 _FINDINGS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("depth", pa.int32())]))
 
@@ -77,6 +84,7 @@ class Layer:
     def __init__(self, text: str, parent: Layer | None = None, cuts: list[int] | None = None, sources: list[tuple[int, int, bool]] | None = None):
         self.text, self.parent, self.cuts, self.sources = text, parent, cuts, sources
         self.depth: int = parent.depth + 1 if parent else 0
+        self.levels = 0  # escapes undone in a row to get here
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         """Code points of the first text behind text[start:end]."""
@@ -129,6 +137,52 @@ def _escape(s: str) -> list[tuple[str, int]]:
     return [(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�", len(s))]
 
 
+def _settled(layer: Layer) -> Layer | None:
+    """The layer with its escapes decoded until none is left, in one pass: an escape is decoded as soon as its last character stands."""
+    codes: list[int] = []  # bytes from 0x80 on are negative until their run is complete
+    spans: list[tuple[int, int, bool]] = []
+    undone = False
+    for at, c in enumerate(layer.text):
+        codes.append(ord(c))
+        spans.append((at, at + 1, True))
+        while codes[-1] in _ENDS and (m := _LAST.search("".join(chr(max(x, 0)) for x in codes[-12:]))):
+            n = len(m.group())
+            start, end = spans[-n][0], spans[-1][1]
+            del codes[-n:], spans[-n:]
+            code = int(m.group()[1:], 16) if m.group()[0] == "%" else ord(_escape(m.group())[0][0]) if not _SURROGATE.fullmatch(m.group()) else int(m.group()[2:], 16)
+            if 0xDC00 <= code < 0xE000 and codes and 0xD800 <= codes[-1] < 0xDC00:
+                code, start = 0x10000 + ((codes.pop() & 0x3FF) << 10) + (code & 0x3FF), spans.pop()[0]
+            codes.append(-code if m.group()[0] == "%" and code >= 0x80 else code)
+            spans.append((start, end, False))
+            undone = True
+    if not undone:
+        return None
+    out, cuts, sources, size, k = [], [], [], 0, 0
+    while k < len(codes):
+        j = k + 1
+        if codes[k] < 0:
+            while j < len(codes) and codes[j] < 0:
+                j += 1
+            text, span = bytes(-x for x in codes[k:j]).decode("utf-8", "replace"), (spans[k][0], spans[j - 1][1], False)
+        elif spans[k][2]:
+            while j < len(codes) and spans[j][2]:
+                j += 1
+            text, span = layer.text[spans[k][0]: spans[j - 1][1]], (spans[k][0], spans[j - 1][1], True)
+            if len(text) != j - k:  # something decoded to nothing between them
+                j, text, span = k + 1, layer.text[spans[k][0]], spans[k]
+        else:
+            text, span = chr(codes[k]) if not 0xD800 <= codes[k] < 0xE000 else "�", spans[k]
+        out.append(text)
+        cuts.append(size)
+        sources.append(span)
+        size, k = size + len(text), j
+    return Layer("".join(out), layer, cuts, sources)
+
+
+_ENDS = frozenset(map(ord, "0123456789abcdefABCDEF;}"))
+_SURROGATE = re.compile(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}")
+
+
 class _Source:
     """Bytes of an iterator of pieces, none of them empty, that can be looked at before they are read."""
 
@@ -247,16 +301,27 @@ def _base64(run: str) -> Iterator[tuple[str, int, int]]:
                 for text in _texts(raw[first:], seen):
                     whole = whole or k == 0
                     yield text, place(k), len(run)
-        for m in _TEXT.finditer(raw):
-            if not (whole and m.end() - m.start() == len(raw)):
-                end = at - (-m.end() * 4 // 3)
-                yield m.group().decode("utf-8", "replace"), place(at + m.start() * 4 // 3), place(end - 1) + 1 if end < len(body) else len(run)
+        for text, first, last in chain(((m.group().decode("utf-8", "replace"), *m.span()) for m in _TEXT.finditer(raw)), _wide(raw)):
+            if not (whole and last - first == len(raw)):
+                end = at - (-last * 4 // 3)
+                yield text, place(at + first * 4 // 3), place(end - 1) + 1 if end < len(body) else len(run)
+
+
+def _wide(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """Stretches of ASCII in UTF-16 of either order, with their first byte and the one after the last."""
+    for odd in (0, 1) if b"\0" in raw else ():
+        zeros, others = raw[odd::2], raw[1 - odd:: 2]
+        for m in _ZEROS.finditer(zeros):
+            for t in _PRINTED.finditer(others, max(0, m.start() - 1 + odd), m.end() + odd):
+                yield t.group().decode("ascii"), 2 * t.start(), 2 * t.end()
 
 
 def _texts(raw: bytes, seen: set) -> Iterator[str]:
     """The texts that bytes stand for, through any number of compressed layers."""
     if _packed(raw[:6]):
-        yield from (block.decode("utf-8", "replace") for block in unpacked(raw, seen=seen))
+        for block in unpacked(raw, seen=seen):
+            yield block.decode("utf-8", "replace")
+            yield from (text for text, _, _ in _wide(block))
         return
     try:
         text = raw.decode()
@@ -268,9 +333,12 @@ def _texts(raw: bytes, seen: set) -> Iterator[str]:
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers directly inside one."""
-    if "%" in layer.text and (x := _rewritten(layer, _PERCENT, _percent)):
-        yield x
-    if ("\\" in layer.text or "&#" in layer.text) and (x := _rewritten(layer, _ESCAPE, _escape)):
+    if layer.levels < LEVELS:
+        escapes = [_rewritten(layer, _PERCENT, _percent) if "%" in layer.text else None, _rewritten(layer, _ESCAPE, _escape) if "\\" in layer.text or "&#" in layer.text else None]
+    else:
+        escapes = [_settled(layer)] if layer.levels == LEVELS else []
+    for x in filter(None, escapes):
+        x.levels = layer.levels + 1
         yield x
     joined: list[tuple[int, int]] = []
     for pattern in (_WRAPPED, _BASE64):

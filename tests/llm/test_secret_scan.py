@@ -154,3 +154,61 @@ def test_awkward_rows(spark):
     rows = secret_scan.scan(awkward(spark)).collect()
     assert len(rows) == 13 and all(r.findings == [] for r in rows)
     assert secret_scan.scan(empty(spark)).count() == 0
+
+
+SECRET = "password=hunter2secret"
+
+
+@pytest.mark.parametrize("unit", ["%" + "25" * 50_000, "25", "%25", "\\x5c", "\\u005c", "&#38;", "%5C", "\\x25", "QUJD", "a-_/", "=\n", "H4sI", "token=", "\\\\", "%", "&#x"])
+def test_long_nested_escapes_end_soon(unit):
+    """Half a million characters of one thing take seconds, and twice as many about twice as long."""
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        secret_scan.findings(unit * max(1, n // len(unit)))
+        return time.process_time() - start
+
+    once, twice = seconds(100_000), seconds(200_000)
+    assert twice < 3 * once + 1 and twice < 20
+
+
+def test_secrets_deep_below_escapes():
+    for depth in (1, 5, 30, 200):
+        hidden = SECRET.replace("=", "%" + "25" * depth + "3D")
+        assert (4, "assign", 4 + len(hidden)) in {(a, list(secret_scan.KINDS)[k], b) for a, k, b, _ in secret_scan.findings("abc " + hidden + " def")[0]}
+    mark = "%3D"
+    for k in range(40):
+        mark = mark.replace("%", "\\x25") if k % 2 else mark.replace("\\", "%5C")
+    found = secret_scan.findings("abc " + SECRET.replace("=", mark))[0]
+    assert (4, 4 + len(SECRET) - 1 + len(mark)) in {(a, b) for a, _, b, _ in found}
+
+
+def test_settled_text_is_where_layers_end():
+    """One pass over the characters ends where undoing layer after layer does, and maps to the same stretches."""
+    rng = random.Random(8)
+    atoms = ["%25", "%32", "%35", "5", "2", "\\x25", "\\u0025", "&#37;", "&#x25;", "%5C", "\\x5c", "x", "u", "a", " ", "\\u{25}", "3", "%26", "#37;", "%4", "1"]
+    for _ in range(400):
+        text = "".join(rng.choices(atoms, k=rng.randrange(1, 14)))
+        layer = secret_scan.Layer(text)
+        while True:
+            nxt = secret_scan._rewritten(layer, secret_scan._PERCENT, secret_scan._percent) or secret_scan._rewritten(layer, secret_scan._ESCAPE, secret_scan._escape)
+            if nxt is None:
+                break
+            layer = nxt
+        got = secret_scan._settled(secret_scan.Layer(text))
+        assert (got.text if got else text) == layer.text
+        if got:
+            assert got.origin(0, len(got.text)) == (0, len(text))
+            assert "".join(text[slice(*got.origin(i, i + 1))] for i in range(len(got.text))) == text
+
+
+@pytest.mark.parametrize("code", ["utf-16-le", "utf-16-be", "utf-16"])
+def test_wide_text_in_base64(code):
+    import base64
+    import gzip
+
+    raw = f"the {SECRET} is here".encode(code)
+    for data in (raw, gzip.compress(raw), b"\x00\x01\x02\xff\xfe\xfd" + raw):
+        run = base64.b64encode(data).decode()
+        assert any(k == 0 and 2 <= a and b <= 2 + len(run) for a, k, b, _ in secret_scan.findings(f"x {run} y")[0])
