@@ -55,13 +55,34 @@ def completion(state: DataFrame) -> DataFrame:
 # annotations ----------------------------------------------------------------------
 
 
+STEP = [*ORDER, "sub"]
+
+
+def annot_steps(log: DataFrame) -> DataFrame:
+    """The log in single steps, with ``sub`` after (ts, event_id): a load is a clear, then an add of each of its items.
+
+    ``log``: doc, id, op (add, remove, touch, clear, load), page, ts, event_id,
+    and ``items``, an array of (id, page), where there are loads. Works on streams.
+    """
+    if "items" not in log.columns:
+        return log.withColumn("sub", F.lit(0).cast("long"))
+    loaded = F.transform("items", lambda x, i: F.struct(F.lit("add").alias("op"), x["id"].alias("id"), x["page"].alias("page"), (i + 1).cast("long").alias("sub")))
+    ids = dict(log.dtypes)
+    alone = F.struct(F.when(F.col("op") == "load", F.lit("clear")).otherwise(F.col("op")).alias("op"), F.when(F.col("op") != "load", F.col("id")).cast(ids["id"]).alias("id"),
+                     F.when(F.col("op") != "load", F.col("page")).cast(ids["page"]).alias("page"), F.lit(0).cast("long").alias("sub"))
+    steps = F.concat(F.array(alone), F.when(F.col("op") == "load", F.coalesce(loaded, F.array().cast(f"array<struct<op:string,id:{ids['id']},page:{ids['page']},sub:bigint>>")))
+                     .otherwise(F.array().cast(f"array<struct<op:string,id:{ids['id']},page:{ids['page']},sub:bigint>>")))
+    rest = [c for c in log.columns if c not in ("op", "id", "page", "items")]
+    return log.select(*rest, F.explode(steps).alias("s")).select(*rest, "s.*")
+
+
 def live_annots(log: DataFrame) -> DataFrame:
-    """Annotations standing at the end: added last, and after the document's last clear."""
-    cleared = log.where("op = 'clear'").groupBy("doc").agg(F.max(stamp()).alias("_clear"))
-    last = log.where(F.col("op").isin("add", "remove")).groupBy("doc", "id").agg(
-        F.max_by(F.struct("op", "page", *ORDER), stamp()).alias("e"))
+    """Annotations standing at the end: added or loaded last, and after the document's last clear or load."""
+    log, at = annot_steps(log), F.struct(*STEP)
+    cleared = log.where("op = 'clear'").groupBy("doc").agg(F.max(at).alias("_clear"))
+    last = log.where(F.col("op").isin("add", "remove")).groupBy("doc", "id").agg(F.max_by(F.struct("op", "page", *STEP), at).alias("e"))
     return (last.where("e.op = 'add'").join(cleared, "doc", "left")
-            .where(F.col("_clear").isNull() | (F.struct("e.ts", "e.event_id") > F.col("_clear")))
+            .where(F.col("_clear").isNull() | (F.struct(*[f"e.{c}" for c in STEP]) > F.col("_clear")))
             .select("doc", "id", F.col("e.page").alias("page"), F.col("e.event_id").alias("event_id")))
 
 
@@ -70,21 +91,21 @@ def _negated(c: str) -> Column:
 
 
 def changed_pages(log: DataFrame, commit: Column, block: Column | None = None) -> DataFrame:
-    """Pages each commit repaints: every add's page, and a touched, removed or cleared mark's own page.
+    """Pages each commit repaints: every add's page, and a touched, removed, cleared or replaced mark's own page.
 
     An add is followed to its end: the next add or remove of its id, or the
-    document's next clear, whichever is first. Both searches run backwards in
-    blocks.
+    document's next clear or load, whichever is first. Both searches run
+    backwards in blocks.
     """
-    log = log.withColumn("commit", commit).withColumn("_t", _negated("ts")).withColumn("_e", _negated("event_id"))
-    back, onward = ["_t", "_e"], hour_block() if block is None else block
-    log, block = log.withColumn("_b", onward), -F.col("_b")
+    log = annot_steps(log.withColumn("commit", commit).withColumn("_b", hour_block() if block is None else block))
+    log = log.withColumns({f"_{c}": _negated(c) for c in STEP})
+    back, block = [f"_{c}" for c in STEP], -F.col("_b")
+    cells = ["doc", "id", "op", "page", *STEP, "commit", *back, "_b"]
+    event = F.struct(*STEP, "op", "commit")
     own = log.where(F.col("op").isin("add", "remove"))
-    ended = carry_forward(own, ["doc", "id"], block, back, F.struct("ts", "event_id", "op", "commit"), "_own", inclusive=False)
-    clears = F.when(F.col("op") == "clear", F.struct("ts", "event_id", "op", "commit"))
-    relevant = ended.select("doc", "id", "op", "page", "ts", "event_id", "commit", "_t", "_e", "_b", "_own").unionByName(
-        log.where("op = 'clear'").select("doc", "id", "op", "page", "ts", "event_id", "commit", "_t", "_e", "_b"), allowMissingColumns=True)
-    both = carry_forward(relevant, ["doc"], block, back, clears, "_clear", inclusive=False)
+    ended = carry_forward(own, ["doc", "id"], block, back, event, "_own", inclusive=False)
+    relevant = ended.select(*cells, "_own").unionByName(log.where("op = 'clear'").select(*cells), allowMissingColumns=True)
+    both = carry_forward(relevant, ["doc"], block, back, F.when(F.col("op") == "clear", event), "_clear", inclusive=False)
     end = F.when(F.col("_own").isNull(), F.col("_clear")).when(F.col("_clear").isNull(), F.col("_own")).otherwise(F.least("_own", "_clear"))
     adds = both.where("op = 'add'").withColumn("_end", end)
     shown = adds.select("doc", "commit", "page")
@@ -95,11 +116,11 @@ def changed_pages(log: DataFrame, commit: Column, block: Column | None = None) -
 def _touched_pages(log: DataFrame) -> DataFrame:
     """The page of the mark that stands where a touch comes: the last add of its id, unless removed or cleared since."""
     marks = log.where(F.col("op").isin("add", "remove", "touch"))
-    event = F.struct("ts", "event_id", "op", "page")
-    held = carry_forward(marks, ["doc", "id"], F.col("_b"), ORDER, F.when(F.col("op") != "touch", event), "_mark", inclusive=False).where("op = 'touch'")
-    both = held.select("doc", "op", *ORDER, "commit", "_b", "_mark").unionByName(log.where("op = 'clear'").select("doc", "op", *ORDER, "commit", "_b"), allowMissingColumns=True)
-    met = carry_forward(both, ["doc"], F.col("_b"), ORDER, F.when(F.col("op") == "clear", F.struct(*ORDER)), "_clear", inclusive=False)
-    standing = (F.col("_mark.op") == "add") & (F.col("_clear").isNull() | (F.struct("_mark.ts", "_mark.event_id") > F.col("_clear")))
+    event = F.struct(*STEP, "op", "page")
+    held = carry_forward(marks, ["doc", "id"], F.col("_b"), STEP, F.when(F.col("op") != "touch", event), "_mark", inclusive=False).where("op = 'touch'")
+    both = held.select("doc", "op", *STEP, "commit", "_b", "_mark").unionByName(log.where("op = 'clear'").select("doc", "op", *STEP, "commit", "_b"), allowMissingColumns=True)
+    met = carry_forward(both, ["doc"], F.col("_b"), STEP, F.when(F.col("op") == "clear", F.struct(*STEP)), "_clear", inclusive=False)
+    standing = (F.col("_mark.op") == "add") & (F.col("_clear").isNull() | (F.struct(*[f"_mark.{c}" for c in STEP]) > F.col("_clear")))
     return met.where((F.col("op") == "touch") & standing).select("doc", "commit", F.col("_mark.page").alias("page"))
 
 

@@ -249,12 +249,15 @@ class Views:
 
     @cached_property
     def annot_log(self) -> DataFrame:
-        e = F.col("event_id")
+        """Adds, removals, touches, clears, and loads of up to four marks at once; a load may name one mark twice."""
+        e, v = F.col("event_id"), F.floor("value").cast(LONG)
+        signup = F.col("event_type") == "signup"
         op = (F.when(F.col("event_type").isin("click", "view"), "add")
               .when(F.col("event_type") == "error", "remove")
-              .when(F.col("event_type") == "signup", "clear").otherwise("touch"))
-        return self.logged.select(F.col("user_id").alias("doc"), "block", L(e % 25).alias("id"), op.alias("op"),
-                                  L(F.floor("value").cast(LONG) % 9 + 1).alias("page"), "ts", "event_id")
+              .when(signup & (e % 3 == 0), "load").when(signup, "clear").otherwise("touch"))
+        items = F.transform(F.sequence(L(0), e % 5), lambda j: F.struct(L((e + j * (e % 2)) % 25).alias("id"), L((v + j) % 9 + 1).alias("page")))
+        return self.logged.select(F.col("user_id").alias("doc"), "block", L(e % 25).alias("id"), op.alias("op"), L(v % 9 + 1).alias("page"),
+                                  F.when(op == "load", F.slice(items, 1, F.greatest((e % 5).cast("int"), F.lit(0)))).alias("items"), "ts", "event_id")
 
     @cached_property
     def revisions(self) -> DataFrame:

@@ -3,7 +3,10 @@
 Rows may arrive in any order inside the watermark. Each key keeps the events
 the watermark has not passed yet and applies them in (ts, event_id) order once
 it has, so the result is the batch answer for any split into micro-batches and
-any restart. Events older than the watermark are counted, never applied.
+any restart. Events older than the watermark are not applied: Spark takes them
+out ahead of the step and counts them in the query's progress
+(``numRowsDroppedByWatermark``). The log still holds them, and the batch operator
+over the log is the answer with them.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.undo import UNDO_LIMIT
+from ..operators.editlog import annot_steps
 
 DELAY = "1 hour"
 
@@ -26,6 +29,7 @@ def _ordered(initial: dict, step: Callable[[dict, dict], None], emit: Callable[[
 
     ``emit`` gives the row of a key's new state, or a list of rows (none is fine).
     """
+    tie = columns.index("sub") + 2 if "sub" in columns else 1  # steps of one event keep their order
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {"fold": initial, "wait": [], "late": 0, "applied": 0}
@@ -33,11 +37,12 @@ def _ordered(initial: dict, step: Callable[[dict, dict], None], emit: Callable[[
         for pdf in batches:
             micros = pdf["ts"].astype("datetime64[us]").astype("int64")
             for ts, event_id, *rest in zip(micros, pdf["event_id"], *[pdf[c] for c in columns]):
+                event = [int(ts), int(event_id), *[None if v is pd.NaT or v != v else v.item() if hasattr(v, "item") else v for v in rest]]
                 if ts // 1000 < passed:
                     held["late"] += 1
                 else:
-                    held["wait"].append([int(ts), int(event_id), *[v.item() if hasattr(v, "item") else v for v in rest]])
-        held["wait"].sort(key=lambda e: (e[0], e[1]))
+                    held["wait"].append(event)
+        held["wait"].sort(key=lambda e: (e[0], e[1], e[tie]))
         ready = [e for e in held["wait"] if e[0] // 1000 < passed]
         held["wait"] = held["wait"][len(ready):]
         for e in ready:
@@ -66,12 +71,12 @@ def _fold(stream: DataFrame, keys: list[str], key_types: str, out: str, fn) -> D
             .applyInPandasWithState(named, schema, "held string", "update", GroupStateTimeout.EventTimeTimeout))
 
 
-def replay(edits: DataFrame) -> DataFrame:
-    """Undo depth, redo count and undo label per session, updated as the watermark moves."""
+def replay(edits: DataFrame, limit: int | None = None) -> DataFrame:
+    """Undo depth, redo count and undo label per session, updated as the watermark moves; at most ``limit`` steps, if given."""
 
     def step(s: dict, e: dict) -> None:
         if e["op"] == "push":
-            s["past"] = [*s["past"], e["label"]][-UNDO_LIMIT:]
+            s["past"] = [*s["past"], e["label"]][-limit:] if limit else [*s["past"], e["label"]]
             s["redo"] = 0
         elif e["op"] == "undo" and s["past"]:
             s["past"].pop()
@@ -128,10 +133,11 @@ def _mark_step(commit_ms: int | None) -> Callable[[dict, dict], None]:
     """Fold one annotation event into the standing marks; pages repainted go to ``out`` with their commit."""
 
     def step(s: dict, e: dict) -> None:
-        marks, name, pages = s["marks"], str(e["id"]), []
+        marks, pages = s["marks"], []
+        name = None if e["id"] is None else str(int(e["id"]))  # a column with nulls comes as floats
         if e["op"] == "add":
-            marks[name] = [e["page"], e["event_id"]]
-            pages = [e["page"]]
+            marks[name] = [int(e["page"]), e["event_id"]]
+            pages = [int(e["page"])]
         elif e["op"] == "clear":
             pages = [p for p, _ in marks.values()]
             marks.clear()
@@ -144,7 +150,7 @@ def _mark_step(commit_ms: int | None) -> Callable[[dict, dict], None]:
 
 
 def changed_pages(log: DataFrame, commit_seconds: int = 3600) -> DataFrame:
-    """(doc, commit, page) of every page an add, touch, remove or clear repaints, as the watermark passes it.
+    """(doc, commit, page) of every page an add, touch, remove, clear or load repaints, as the watermark passes it.
 
     ``commit`` is the start of the event's stretch of ``commit_seconds``. A row
     may come again in a later batch; its distinct rows are the batch answer.
@@ -154,8 +160,8 @@ def changed_pages(log: DataFrame, commit_seconds: int = 3600) -> DataFrame:
         out, s["out"] = sorted({tuple(x) for x in s["out"]}), []
         return [(pd.Timestamp(ms, unit="ms"), page) for ms, page in out]
 
-    fn = _ordered({"marks": {}, "out": []}, _mark_step(commit_seconds * 1000), emit, ["op", "id", "page"])
-    return _fold(log, ["doc"], "doc long", "commit timestamp, page long", fn)
+    fn = _ordered({"marks": {}, "out": []}, _mark_step(commit_seconds * 1000), emit, ["op", "id", "page", "sub"])
+    return _fold(annot_steps(log), ["doc"], "doc long", "commit timestamp, page long", fn)
 
 
 def live_annots(log: DataFrame) -> DataFrame:
@@ -164,11 +170,11 @@ def live_annots(log: DataFrame) -> DataFrame:
     def emit(s: dict) -> tuple:
         return (sorted((int(k), int(p), int(e)) for k, (p, e) in s["marks"].items()),)
 
-    fn = _ordered({"marks": {}, "out": []}, _mark_step(None), emit, ["op", "id", "page"])
-    return _fold(log, ["doc"], "doc long", "marks array<struct<id:bigint,page:bigint,event_id:bigint>>", fn)
+    fn = _ordered({"marks": {}, "out": []}, _mark_step(None), emit, ["op", "id", "page", "sub"])
+    return _fold(annot_steps(log), ["doc"], "doc long", "marks array<struct<id:bigint,page:bigint,event_id:bigint>>", fn)
 
 
-def upsert_latest(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def upsert_latest(path: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that can be replayed: each batch lands in its own folder.
 
     Read it back with the highest ``applied`` per key; a batch written twice

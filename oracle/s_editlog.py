@@ -39,20 +39,20 @@ SQL: dict[str, str] = {
     "t2_field_state": _STATE,
     "t3_live_annots": """
         SELECT l.doc, id, page, event_id FROM (
-          SELECT * FROM v_annot_log WHERE op IN ('add', 'remove') QUALIFY row_number() OVER (PARTITION BY doc, id ORDER BY ts DESC, event_id DESC) = 1) l
-        LEFT JOIN (SELECT doc, max(ts) AS cleared FROM v_annot_log WHERE op = 'clear' GROUP BY 1) c ON l.doc = c.doc
-        WHERE op = 'add' AND (cleared IS NULL OR ts > cleared)""",
+          SELECT * FROM v_annot_steps WHERE op IN ('add', 'remove') QUALIFY row_number() OVER (PARTITION BY doc, id ORDER BY ts DESC, sub DESC) = 1) l
+        LEFT JOIN (SELECT doc, max(ts) AS cleared FROM v_annot_steps WHERE op = 'clear' GROUP BY 1) c ON l.doc = c.doc
+        WHERE op = 'add' AND (cleared IS NULL OR (ts, sub) > (cleared, 0))""",
     "t4_changed_pages": """
         SELECT DISTINCT doc, strftime(t, '%Y-%m-%d %H') AS "commit", page FROM (
-          SELECT doc, ts AS t, page FROM v_annot_log WHERE op = 'add'
+          SELECT doc, ts AS t, page FROM v_annot_steps WHERE op = 'add'
           UNION ALL
-          SELECT a.doc, e.ts, a.page FROM v_annot_log a, LATERAL (
-            SELECT n.ts, n.op FROM v_annot_log n WHERE n.doc = a.doc AND n.ts > a.ts AND (n.op = 'clear' OR (n.id = a.id AND n.op IN ('add', 'remove')))
-            ORDER BY n.ts LIMIT 1) e WHERE a.op = 'add' AND e.op <> 'add'
+          SELECT a.doc, e.ts, a.page FROM v_annot_steps a, LATERAL (
+            SELECT n.ts, n.op FROM v_annot_steps n WHERE n.doc = a.doc AND (n.ts, n.sub) > (a.ts, a.sub) AND (n.op = 'clear' OR (n.id = a.id AND n.op IN ('add', 'remove')))
+            ORDER BY n.ts, n.sub LIMIT 1) e WHERE a.op = 'add' AND e.op <> 'add'
           UNION ALL
-          SELECT t.doc, t.ts, m.page FROM v_annot_log t, LATERAL (
-            SELECT n.op, n.page FROM v_annot_log n WHERE n.doc = t.doc AND n.ts < t.ts AND (n.op = 'clear' OR (n.id = t.id AND n.op IN ('add', 'remove')))
-            ORDER BY n.ts DESC LIMIT 1) m WHERE t.op = 'touch' AND m.op = 'add')""",
+          SELECT t.doc, t.ts, m.page FROM v_annot_steps t, LATERAL (
+            SELECT n.op, n.page FROM v_annot_steps n WHERE n.doc = t.doc AND n.ts < t.ts AND (n.op = 'clear' OR (n.id = t.id AND n.op IN ('add', 'remove')))
+            ORDER BY n.ts DESC, n.sub DESC LIMIT 1) m WHERE t.op = 'touch' AND m.op = 'add')""",
     "t5_coalesce_bursts": """
         SELECT doc, strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01'), '%Y-%m-%d %H:%M') AS tick, count(*) AS n, arg_max(event_id, ts) AS last_id
         FROM v_field_log GROUP BY 1, 2""",

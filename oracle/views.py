@@ -104,9 +104,15 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_id % 9 = 0 THEN '' ELSE 'v' || event_id END AS value,
                event_type IN ('click', 'purchase') AS is_on, ts, event_id, event_type = 'signup' AS seed FROM v_events""",
     "v_annot_log": """
-        SELECT user_id AS doc, event_id % 25 AS id, CASE WHEN event_type IN ('click', 'view') THEN 'add'
-               WHEN event_type = 'error' THEN 'remove' WHEN event_type = 'signup' THEN 'clear' ELSE 'touch' END AS op,
-               fv % 9 + 1 AS page, ts, event_id FROM v_events""",
+        SELECT user_id AS doc, event_id % 25 AS id, CASE WHEN event_type IN ('click', 'view') THEN 'add' WHEN event_type = 'error' THEN 'remove'
+               WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'load' WHEN event_type = 'signup' THEN 'clear' ELSE 'touch' END AS op,
+               fv % 9 + 1 AS page, ts, event_id, fv FROM v_events""",
+    # a load is a clear, then an add of each of its items
+    "v_annot_steps": """
+        SELECT doc, CASE WHEN op <> 'load' THEN id END AS id, CASE WHEN op = 'load' THEN 'clear' ELSE op END AS op, page, ts, event_id, 0::BIGINT AS sub FROM v_annot_log
+        UNION ALL
+        SELECT doc, (event_id + j * (event_id % 2)) % 25, 'add', (fv + j) % 9 + 1, ts, event_id, j + 1
+        FROM (SELECT *, unnest(range(0, event_id % 5)) AS j FROM v_annot_log WHERE op = 'load')""",
     "v_revisions": """
         SELECT user_id AS doc, ts, event_id, event_type,
                count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stamp FROM events""",

@@ -19,7 +19,7 @@ def as_stream(spark, df, folder, files):
 
 def drain(query_of, path, out, checkpoint):
     q = (query_of.writeStream.outputMode("update").option("checkpointLocation", str(checkpoint))
-         .foreachBatch(folds.upsert_latest(str(out), [])).trigger(availableNow=True).start())
+         .foreachBatch(folds.upsert_latest(str(out))).trigger(availableNow=True).start())
     q.awaitTermination(240)
     assert q.exception() is None
 
@@ -91,7 +91,7 @@ def _annotations(spark, views, tmp_path, files):
     src = tmp_path / "in"
     stream = as_stream(spark, log, src, files)
     for days in (40, 80):
-        end = log.groupBy("doc").agg(F.max("ts").alias("ts")).select("doc", F.lit(0).cast("long").alias("id"), F.lit("flush").alias("op"), F.lit(0).cast("long").alias("page"),
+        end = log.groupBy("doc").agg(F.max("ts").alias("ts")).select("doc", F.lit(0).cast("long").alias("id"), F.lit("flush").alias("op"), F.lit(0).cast("long").alias("page"), F.lit(None).cast(dict(log.dtypes)["items"]).alias("items"),
                                                                      (F.col("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts"), F.lit(10**12).cast("long").alias("event_id"))
         end.select(*log.columns).coalesce(1).write.mode("append").parquet(str(src))
     return log, stream
@@ -112,3 +112,34 @@ def test_live_annotations_stream_equals_batch(spark, views, tmp_path):
     drain(folds.live_annots(stream), None, tmp_path / "out", tmp_path / "cp")
     last = folds.latest(spark.read.parquet(str(tmp_path / "out")), ["doc"]).select("doc", F.explode("marks").alias("m")).select("doc", "m.*")
     assert sorted(map(tuple, last.collect())) == sorted((r.doc, r.id, r.page, r.event_id) for r in editlog.live_annots(log).collect())
+
+
+def test_a_restart_continues_with_loads(spark, tmp_path):
+    """One query is stopped half way and started again; a load comes before the stop, what it loaded is touched after it."""
+    day = "2024-01-01 "
+    rows = [(1, "add", 5, 2, None, day + "00:00:00", 1), (1, "load", None, None, [(7, 3), (8, 4), (7, 9)], day + "01:00:00", 2), (1, "remove", 8, None, None, day + "02:00:00", 3),
+            (1, "touch", 7, None, None, day + "03:00:00", 4), (1, "add", 9, 6, None, "2024-01-05 00:00:00", 5), (1, "add", 9, 6, None, "2024-01-07 00:00:00", 6)]
+    log = spark.createDataFrame(rows, "doc long, op string, id long, page long, items array<struct<id:bigint,page:bigint>>, ts string, event_id long").withColumn("ts", F.to_timestamp("ts"))
+    src = tmp_path / "in"
+    for events in ((1, 2), (3, 4, 5, 6)):
+        for e in events:
+            log.where(F.col("event_id") == e).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+        drain(folds.changed_pages(stream, 86_400), src, tmp_path / "out", tmp_path / "cp")
+    got = {(r.doc, r.day, r.page) for r in spark.read.parquet(str(tmp_path / "out")).select("doc", F.dayofmonth("commit").alias("day"), "page").collect()}
+    assert got == {(1, 1, p) for p in (2, 3, 4, 9)} | {(1, 5, 6)}
+
+
+def test_loads_by_hand(spark):
+    schema = "doc long, op string, id long, page long, items array<struct<id:bigint,page:bigint>>, ts timestamp, event_id long"
+    import datetime
+
+    at = [datetime.datetime(2024, 1, 1, h) for h in range(8)]
+    log = spark.createDataFrame([(1, "add", 1, 1, None, at[0], 1), (1, "add", 2, 2, None, at[1], 2), (1, "load", None, None, [(2, 5), (3, 6), (3, 7)], at[2], 3),
+                                 (1, "touch", 1, None, None, at[3], 4), (1, "touch", 3, None, None, at[4], 5), (1, "load", None, None, [], at[5], 6), (1, "load", None, None, None, at[6], 7), (1, "add", 4, 4, None, at[7], 8)], schema)
+    assert [tuple(r)[:3] for r in editlog.live_annots(log).collect()] == [(1, 4, 4)]
+    assert sorted(tuple(r)[:3] for r in editlog.live_annots(log.where("event_id < 6")).collect()) == [(1, 2, 5), (1, 3, 7)]
+    got = {}
+    for r in editlog.changed_pages(log, F.hour("ts")).collect():
+        got.setdefault(r["commit"], set()).add(r.page)
+    assert got == {0: {1}, 1: {2}, 2: {1, 2, 5, 6, 7}, 4: {7}, 5: {5, 7}, 7: {4}}
