@@ -62,24 +62,61 @@ def resolve_styles(styles: DataFrame, properties: list[str], defaults: dict) ->
     return state.select("id", *[F.coalesce(p, F.lit(defaults[p])).alias(p) for p in properties])
 
 
+#: Copies are counted up to here; beyond, the count stays and is flagged.
+MOST_COPIES = 10**36
+
+
+def _on_cycles(edges: DataFrame) -> DataFrame:
+    """The blocks left when those that nothing is inside of, or that are inside of nothing, are taken away again and again.
+
+    Blocks on cycles are among them, and those between two cycles; none if there
+    is no cycle. Two rounds a job.
+    """
+    left = cut_lineage(edges.select("block", "child").distinct())
+    n = left.count()
+    while n:
+        for _ in range(2):
+            left = left.join(left.select(F.col("child").alias("block")).distinct(), "block", "left_semi").join(left.select(F.col("block").alias("child")).distinct(), "child", "left_semi")
+        left = cut_lineage(left)
+        n, before = left.count(), n
+        if n == before:
+            break
+    return left.select("block").distinct()
+
+
 def expand_blocks(inserts: DataFrame, root: int, levels: int = 4, most_copies: int | None = None) -> DataFrame:
-    """Every block reached from ``root`` and how many copies of it are drawn.
+    """Every block reached from ``root`` and how many copies of it are drawn: (block, status, copies, depth, saturated).
 
     One join per nesting level over the frontier alone, ``levels`` of them per
     job. An insert that would put a block inside itself is cut; one arrayed
     more than ``most_copies`` times (default: no limit) is flagged ``refused``,
-    and what is in it still counted.
+    and what is in it still counted. Only blocks that may lie on a cycle are
+    remembered on the way down, so a block that many others share is one row a
+    level, however many paths lead to it. ``copies`` is a decimal of 38 digits
+    that stays at MOST_COPIES, ``saturated``, rather than overflow.
     """
-    edges = inserts.select("block", "child", (F.col("cols") * F.col("rows")).alias("copies"))
+    wide = "decimal(38,0)"
+    full = F.lit(str(MOST_COPIES)).cast(wide)
+
+    def bounded(c: Column) -> Column:
+        return F.least(F.coalesce(c, full), full)
+
+    per = bounded(F.try_multiply(F.col("cols").cast(wide), F.col("rows").cast(wide)).cast(wide))
+    edges = inserts.where("block <> child").select("block", "child", per.alias("per"))
+    marked = _on_cycles(edges).select(F.col("block").alias("child"), F.lit(True).alias("looped"))
+    edges = cut_lineage(edges.join(marked, "child", "left").withColumn("looped", F.coalesce("looped", F.lit(False))))
+    start = edges.where((F.col("child") == root) & F.col("looped")).limit(1).count() > 0
 
     def descend(frontier: DataFrame) -> DataFrame:
-        return (frontier.join(edges, "block").where(~F.array_contains("path", F.col("child")))
-                .select(F.col("child").alias("block"), (F.col("n") * F.col("copies")).alias("n"), F.concat("path", F.array("child")).alias("path"),
-                        (F.col("depth") + 1).alias("depth"), F.when(F.col("copies") > (most_copies or (1 << 62)), "refused").otherwise("ok").alias("status")))
+        met = frontier.join(edges, "block").where(~F.array_contains("path", F.col("child")))
+        path = F.when(F.col("looped"), F.array_sort(F.concat("path", F.array("child")))).otherwise(F.col("path"))
+        status = F.lit("ok") if most_copies is None else F.when(F.col("per") > most_copies, "refused").otherwise("ok")
+        one = met.select(F.col("child").alias("block"), bounded(F.try_multiply("n", "per").cast(wide)).alias("n"), path.alias("path"), (F.col("depth") + 1).alias("depth"), status.alias("status"))
+        return one.groupBy("block", "path", "depth", "status").agg(bounded(F.try_sum("n").cast(wide)).alias("n"))
 
     frontier = inserts.sparkSession.range(1).select(
-        F.lit(root).cast("long").alias("block"), F.lit(1).cast("long").alias("n"), F.array(F.lit(root).cast("long")).alias("path"),
-        F.lit(0).cast("long").alias("depth"), F.lit("ok").alias("status"))
+        F.lit(root).cast("long").alias("block"), F.array(*([F.lit(root).cast("long")] if start else [])).cast("array<bigint>").alias("path"),
+        F.lit(0).cast("long").alias("depth"), F.lit("ok").alias("status"), F.lit(1).cast(wide).alias("n"))
     out, depth = frontier, 0
     while True:
         steps = [descend(frontier)]
@@ -93,7 +130,8 @@ def expand_blocks(inserts: DataFrame, root: int, levels: int = 4, most_copies: i
         frontier = step.where(F.col("depth") == depth)
         if frontier.isEmpty():
             break
-    return out.groupBy("block", "status").agg(F.sum("n").alias("copies"), F.min("depth").alias("depth"))
+    total = out.groupBy("block", "status").agg(bounded(F.try_sum("n").cast(wide)).alias("copies"), F.min("depth").alias("depth"))
+    return total.withColumn("saturated", F.col("copies") >= full)
 
 
 def props_at(positions: DataFrame, ranges: DataFrame, width: int = 512) -> DataFrame:

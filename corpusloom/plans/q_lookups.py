@@ -47,7 +47,7 @@ def j13_resolve_styles(v: Views) -> DataFrame:
 
 @plan
 def j14_expand_blocks(v: Views) -> DataFrame:
-    return lookups.expand_blocks(v.inserts, 0)
+    return lookups.expand_blocks(v.inserts, 0).withColumn("copies", F.col("copies").cast("bigint"))
 
 
 @plan

@@ -33,7 +33,7 @@ SQL: dict[str, str] = {
           SELECT 0::BIGINT AS block, 1::BIGINT AS n, [0::BIGINT] AS path, 0::BIGINT AS depth
           UNION ALL SELECT i.child, w.n * i.cols * i.n_rows, list_append(w.path, i.child), w.depth + 1
           FROM walk w JOIN v_inserts i ON i.block = w.block WHERE NOT list_contains(w.path, i.child))
-        SELECT block, 'ok' AS status, sum(n)::BIGINT AS copies, min(depth) AS depth FROM walk GROUP BY 1""",
+        SELECT block, 'ok' AS status, sum(n)::BIGINT AS copies, min(depth) AS depth, false AS saturated FROM walk GROUP BY 1""",
     "j15_props_at": """
         SELECT p.doc, p.pos, arg_min(prop, seq) AS prop FROM (
           SELECT DISTINCT doc, pos FROM (SELECT doc, unnest(range(lo, hi + 1, 50)) AS pos FROM v_turn_ranges UNION ALL SELECT doc, hi + 7 FROM v_turn_ranges)) p
