@@ -62,6 +62,16 @@ def previous(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[
     return carry_forward(df, keys, block, order, F.struct(*fields), out, inclusive=False)
 
 
+def neighbours(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], value: Column) -> DataFrame:
+    """Add ``before`` and ``after``: struct<v> of ``value`` on the row before and after along ``order``, null at the ends."""
+    df = df.withColumn(_BLOCK, block).withColumn("_value", F.struct(value.alias("v")))
+    local, along, at = Window.partitionBy(*keys, _BLOCK).orderBy(*_cols(order)), Window.partitionBy(*keys).orderBy(_BLOCK), F.struct(*_cols(order))
+    ends = df.groupBy(*keys, _BLOCK).agg(F.min_by("_value", at).alias("_a"), F.max_by("_value", at).alias("_z"))
+    ends = ends.select(*keys, _BLOCK, F.lag("_z").over(along).alias("_in"), F.lead("_a").over(along).alias("_out"))
+    rows = _joined(df.withColumns({"before": F.lag("_value").over(local), "after": F.lead("_value").over(local)}), ends, keys)
+    return rows.withColumns({"before": F.coalesce("before", "_in"), "after": F.coalesce("after", "_out")}).drop(_BLOCK, "_value", "_in", "_out")
+
+
 def hour_block(ts: str = "ts") -> Column:
     """A block column for timestamped logs: hours since the epoch."""
     return F.floor(F.unix_timestamp(F.col(ts)) / 3600).cast("long")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .geometry import SAME_POINT
 from .layout import lower_median
-from .ordered import previous, running_total
+from .ordered import neighbours, running_total
+from .streamed import grouped, mapped
 
 # ── fixed values ────────────────────────────────────────────────────────────
 PALETTE_LEVELS, PALETTE_SIZE = 4, 48
@@ -54,6 +57,18 @@ def erase(points: DataFrame, keys: Sequence[str], block: Column, order: Sequence
     return pieces.join(touched, [*keys]).where("NOT touched OR n_points > 1").drop("touched")
 
 
+def surviving_points(points: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str]) -> DataFrame:
+    """The points of what :func:`erase` leaves, each with the ``island`` it belongs to.
+
+    A point left alone goes: one with no neighbour that is left. A stroke of a
+    single point that nothing touched stays. So no island is counted or joined.
+    """
+    islands = running_total(points, keys, block, order, F.when(F.col("erased"), 1).otherwise(0), "island")
+    near = neighbours(islands, keys, block, order, F.col("erased"))
+    alone = F.coalesce(F.col("before.v"), F.lit(True)) & F.coalesce(F.col("after.v"), F.lit(True)) & (F.col("before").isNotNull() | F.col("after").isNotNull())
+    return near.where(~F.col("erased") & ~alone).drop("before", "after")
+
+
 def flag_erased(points: DataFrame, nibs: DataFrame, radius: int, key: str = "page") -> DataFrame:
     """Mark points within ``radius`` of any nib; nibs visit the nine cells around them."""
     cell = lambda c: F.floor(F.col(c) / radius)
@@ -75,18 +90,74 @@ def endpoints(points: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return ends.select(*keys, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
 
 
+def kept_points(points: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str]) -> DataFrame:
+    """Points that differ from the last one kept, in order, so that a slow drift is kept step by step; with ``last``, the last of its path.
+
+    Each block is read in order from the point before it, which is first taken
+    to be the last point of the block before. Where the point kept there turns
+    out to be another, that block alone is read again.
+    """
+    rows = points.select(*keys, block.alias("_block"), *order, "x", "y", "closed")
+    at = F.struct(*_columns(order))
+    along = Window.partitionBy(*keys).orderBy("_block")
+    ends = rows.groupBy(*keys, "_block").agg(F.max_by(F.struct("x", "y"), at).alias("_end"))
+    begun = cut_lineage(ends.select(*keys, "_block", F.lag("_end").over(along).alias("_in")))
+    kinds = dict(rows.dtypes)
+    names = [*keys, "_block", *order, "x", "y", "closed"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, group in grouped(batches, [*keys, "_block"], [*order, "x", "y", "closed", "_in"]):
+            last = None
+            for *cells, x, y, closed, incoming in group:
+                if closed is None and incoming is not None:
+                    last = incoming["x"], incoming["y"]
+                elif x is not None and y is not None and (last is None or abs(x - last[0]) >= SAME_POINT or abs(y - last[1]) >= SAME_POINT):
+                    last = x, y
+                    yield *key, *cells, x, y, closed
+
+    def read(some: DataFrame, starts: DataFrame) -> DataFrame:
+        ahead = starts.where("_in is not null").select(*keys, "_block", "_in")
+        both = some.withColumn("closed", F.coalesce("closed", F.lit(False))).unionByName(ahead, allowMissingColumns=True)
+        dealt = both.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", F.col("closed").isNotNull(), *order)
+        return mapped(dealt.select(*names, "_in"), keep, schema)
+
+    out = read(rows, begun)
+    if begun.where("_in is not null").isEmpty():
+        return _with_last(out, keys, order)
+    out = cut_lineage(out)
+    while True:
+        kept = out.groupBy(*keys, "_block").agg(F.max_by(F.struct("x", "y"), at).alias("_kept"))
+        before = along.rowsBetween(Window.unboundedPreceding, -1)
+        known = begun.join(kept, [*keys, "_block"], "left").withColumn("_now", F.last("_kept", ignorenulls=True).over(before))
+        known = cut_lineage(known.select(*keys, "_block", "_in", "_now"))
+        wrong = known.where(~F.col("_in").eqNullSafe(F.col("_now"))).select(*keys, "_block", F.col("_now").alias("_in"))
+        first = cut_lineage(wrong.withColumn("_n", F.row_number().over(along)).where("_n = 1").drop("_n"))  # those after it may yet turn out right
+        if first.isEmpty():
+            return _with_last(out, keys, order)
+        again = read(rows.join(first.select(*keys, "_block"), [*keys, "_block"], "left_semi"), first)
+        out = cut_lineage(out.join(first.select(*keys, "_block"), [*keys, "_block"], "left_anti").unionByName(again))
+        begun = cut_lineage(begun.join(first.withColumnRenamed("_in", "_new"), [*keys, "_block"], "left").select(*keys, "_block", F.coalesce("_new", "_in").alias("_in")))
+
+
+def _with_last(kept: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Without a closing point that repeats the first."""
+    at, xy = F.struct(*_columns(order)), F.struct("x", "y")
+    path = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min_by(xy, at).alias("_a"), F.max_by(F.struct(*order, "x", "y"), at).alias("_b"), F.bool_or("closed").alias("_c"))
+    shut = F.col("_c") & (F.col("_n") > 1) & (F.abs(F.col("_a.x") - F.col("_b.x")) < SAME_POINT) & (F.abs(F.col("_a.y") - F.col("_b.y")) < SAME_POINT)
+    goes = path.where(shut).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in order])
+    return kept.drop("_block").join(goes, [*keys, *order], "left_anti")
+
+
+def _columns(order: Sequence[str]) -> list[Column]:
+    return [F.col(c) for c in order]
+
+
 def simplify_paths(points: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str]) -> DataFrame:
-    """Drop repeated points (and a repeated closing point), then tell lines from polylines."""
-    before = previous(points, keys, block, order, ["x", "y"], "_p")
-    same = (F.abs(F.col("x") - F.col("_p.x")) < SAME_POINT) & (F.abs(F.col("y") - F.col("_p.y")) < SAME_POINT)
-    kept = before.where(~F.coalesce(same, F.lit(False)))
-    at, xy = F.struct(*order), F.struct("x", "y")
-    path = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min_by(xy, at).alias("a"), F.max_by(xy, at).alias("b"),
-                                   F.bool_or("closed").alias("closed"))
-    shut = (F.col("closed") & (F.col("n") > 1) & (F.abs(F.col("a.x") - F.col("b.x")) < SAME_POINT)
-            & (F.abs(F.col("a.y") - F.col("b.y")) < SAME_POINT))
-    n = F.col("n") - F.when(shut, 1).otherwise(0)
-    return path.select(*keys, n.alias("n_points"), F.when(n < 2, "none").when(n == 2, "line").otherwise("polyline").alias("kind"))
+    """Drop repeated points (and a repeated closing point), then tell lines from polylines; ``kind`` is none below two points."""
+    path = kept_points(points, keys, block, order).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
+    n = F.col("n_points")
+    return path.select(*keys, n, F.when(n < 2, "none").when(n == 2, "line").otherwise("polyline").alias("kind"))
 
 
 def remap_pages(marks: DataFrame, edits: DataFrame, doc: str = "doc") -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .streamed import grouped, mapped
 
 # ── fixed values ────────────────────────────────────────────────────────────
 UNDO_LIMIT = 200  # of the editor this follows; pass it as ``limit`` to have its cut
@@ -213,46 +214,6 @@ class Stretch:
         return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
-    """Rows that come sorted by keys, group by group, a batch in memory at a time."""
-    rows = (row for b in batches for row in zip(*[b.column(c).to_pylist() for c in (*keys, *columns)], strict=True))
-    held = next(rows, None)
-    k = len(keys)
-
-    def of(key: tuple) -> Iterator[tuple]:
-        nonlocal held
-        while held is not None and held[:k] == key:
-            yield held[k:]
-            held = next(rows, None)
-
-    while held is not None:
-        key = held[:k]
-        yield key, (group := of(key))
-        for _ in group:
-            pass
-
-
-def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
-    part: list[tuple] = []
-    for row in rows:
-        part.append(row)
-        if len(part) == most:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in part], schema)
-            part = []
-    if part:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in part], schema)
-
-
-def _mapped(df: DataFrame, fn, columns: str) -> DataFrame:
-    """``fn`` from an iterator of batches to rows, as a step over partitions."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = StructType.fromDDL(columns)
-    arrow = to_arrow_schema(schema)
-    return df.mapInArrow(lambda batches: _batched(fn(batches), arrow), schema)
-
-
 def _starts(level: DataFrame, kind: str) -> DataFrame:
     """(session, n, depth, redo) before each summary (session, n, …); n counts from 0 within a session."""
     names = [c.split()[0] for c in SUMMARY.split(", ")]
@@ -277,10 +238,10 @@ def _starts(level: DataFrame, kind: str) -> DataFrame:
     if (level.agg(F.max("n")).first()[0] or 0) < FAN:
         begun = by_group.select("session", "parts", F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("redo"))
     else:
-        upper = cut_lineage(_mapped(by_group, compose, f"session {kind}, n bigint, {SUMMARY}"))
+        upper = cut_lineage(mapped(by_group, compose, f"session {kind}, n bigint, {SUMMARY}"))
         above = _starts(upper, kind).select(F.col("session").alias("s"), F.col("n").alias("of"), "depth", "redo")
         begun = by_group.join(above, F.col("session").eqNullSafe(F.col("s")) & (F.col("g") == F.col("of"))).select("session", "parts", "depth", "redo")
-    return _mapped(begun, walk, f"session {kind}, n bigint, depth bigint, redo bigint")
+    return mapped(begun, walk, f"session {kind}, n bigint, depth bigint, redo bigint")
 
 
 class _Stack:
@@ -324,14 +285,14 @@ def replay(edits: DataFrame, block: Column, limit: int | None = None) -> DataFra
     key = f"session {kinds['session']}, block {kinds['block']}"
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for at, rows in _grouped(batches, ["session", "block"], ["op"]):
+        for at, rows in grouped(batches, ["session", "block"], ["op"]):
             part = Stretch(limit)
             for (op,) in rows:
                 part.step(op)
             yield *at, *part.row()
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for at, rows in _grouped(batches, ["session", "block"], ["op", "label", "depth", "redo", "target"]):
+        for at, rows in grouped(batches, ["session", "block"], ["op", "label", "depth", "redo", "target"]):
             part = _Stack(0, 0, limit)
             for op, label, depth, redo, _ in rows:
                 if op is None:
@@ -341,7 +302,7 @@ def replay(edits: DataFrame, block: Column, limit: int | None = None) -> DataFra
             yield *at, part.depth, part.redo, part.low, part.height, bool(part.own), part.own[-1] if part.own else None
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for at, rows in _grouped(batches, ["session", "block"], ["op", "label", "depth", "redo", "target"]):
+        for at, rows in grouped(batches, ["session", "block"], ["op", "label", "depth", "redo", "target"]):
             _, _, depth, redo, target = next(rows)
             part, found = _Stack(depth, redo, limit), None
             for op, label, *_ in rows:
@@ -364,16 +325,16 @@ def replay(edits: DataFrame, block: Column, limit: int | None = None) -> DataFra
     if live.groupBy("session").agg((F.min("block") < F.max("block")).alias("cut")).where("cut").isEmpty():  # each session is one block
         none = [F.lit(None).cast("bigint").alias(c) for c in ("depth", "redo", "target")]
         whole = live.repartition("session", "block").sortWithinPartitions("session", "block", *order).select("session", "block", "op", "label", *none)
-        return ended(_mapped(whole, follow, answer))
+        return ended(mapped(whole, follow, answer))
 
     dealt = live.select("session", "block", *order, "op").repartition("session", "block").sortWithinPartitions("session", "block", *order).drop(*order)
-    sums = _mapped(dealt, summarise, f"{key}, {SUMMARY}")
+    sums = mapped(dealt, summarise, f"{key}, {SUMMARY}")
     numbered = cut_lineage(sums.withColumn("n", (F.row_number().over(Window.partitionBy("session").orderBy("block")) - 1).cast("bigint")))
     named = numbered.select("session", "n", "block")
     starts = _starts(numbered.drop("block"), kinds["session"]).withColumnRenamed("session", "s").withColumnRenamed("n", "of")
     placed = cut_lineage(named.join(starts, F.col("session").eqNullSafe(F.col("s")) & (F.col("n") == F.col("of"))).select("session", "block", "depth", "redo", F.lit(None).cast("bigint").alias("target")))
 
-    followed = cut_lineage(_mapped(led(placed, live), follow, answer))
+    followed = cut_lineage(mapped(led(placed, live), follow, answer))
     final = followed.groupBy("session").agg(F.max_by(F.struct("depth", "redo", "written", "label"), "block").alias("f"), F.sum("rise").alias("top"))
     done = F.col("f.written") | (F.col("f.depth") == 0)
     early = ended(final.where(done).select("session", "f.*"))
@@ -389,6 +350,6 @@ def replay(edits: DataFrame, block: Column, limit: int | None = None) -> DataFra
     again = placed.drop("target").join(wrote.select(F.col("session").alias("s"), F.col("block").alias("b"), "target"), F.col("session").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
     there = wrote.select(F.col("session").alias("s"), F.col("block").alias("b"))
     rows = live.join(there, F.col("session").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left_semi")
-    labels = _mapped(led(again, rows), find, f"s {kinds['session']}, label string")
+    labels = mapped(led(again, rows), find, f"s {kinds['session']}, label string")
     late = wrote.join(labels, F.col("session").eqNullSafe(F.col("s"))).select("session", F.col("end_depth").alias("depth"), F.col("end_redo").alias("redo"), "label")
     return early.unionByName(late)

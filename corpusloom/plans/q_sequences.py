@@ -28,6 +28,11 @@ def w16_erase(v: Views) -> DataFrame:
     return sequences.erase(v.strokes, ["stroke"], F.col("block"), TS)
 
 
+@plan
+def w16_surviving_points(v: Views) -> DataFrame:
+    return sequences.surviving_points(v.strokes, ["stroke"], F.col("block"), TS).select("stroke", "island", "event_id", "x", "y")
+
+
 @plan
 def w16_flag_erased(v: Views) -> DataFrame:
     points = v.rects.select("page", "x", "y", "rect_id")
@@ -47,6 +52,12 @@ def w26_simplify_paths(v: Views) -> DataFrame:
     return sequences.simplify_paths(closed, ["stroke"], F.col("block"), TS)
 
 
+@plan
+def w26_kept_points(v: Views) -> DataFrame:
+    closed = v.strokes.select("stroke", "block", "ts", "event_id", (F.col("x") / 5).cast("long").alias("x"), "y", (F.col("stroke") % 2 == 0).alias("closed"))
+    return sequences.kept_points(closed, ["stroke"], F.col("block"), TS).select("stroke", "event_id", "x", "y")
+
+
 @plan
 def w26_short_paths(v: Views) -> DataFrame:
     """Paths of a few points each: an order's lines, so lines and dots occur too."""

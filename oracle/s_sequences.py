@@ -30,6 +30,16 @@ SQL: dict[str, str] = {
             SELECT *, count(*) FILTER (erased) OVER (PARTITION BY stroke ORDER BY ts, event_id) AS island, bool_or(erased) OVER (PARTITION BY stroke) AS touched,
                    row_number() OVER (PARTITION BY stroke ORDER BY ts, event_id) AS rn FROM v_strokes) WHERE NOT erased GROUP BY 1, 2)
         WHERE NOT touched OR n_points > 1""",
+    "w16_surviving_points": """
+        SELECT stroke, island, event_id, x, y FROM (
+          SELECT *, count(*) OVER (PARTITION BY stroke, island) AS n, bool_or(cut) OVER (PARTITION BY stroke) AS touched FROM (
+            SELECT stroke, event_id, x, y, false AS cut, count(*) FILTER (erased) OVER (PARTITION BY stroke ORDER BY ts, event_id) AS island, erased FROM v_strokes) WHERE NOT erased)
+        WHERE n > 1 OR stroke NOT IN (SELECT stroke FROM v_strokes WHERE erased)""",
+    "w26_kept_points": """
+        WITH k AS (SELECT *, row_number() OVER (PARTITION BY stroke ORDER BY ts) AS i, count(*) OVER (PARTITION BY stroke) AS n, first_value(x) OVER (PARTITION BY stroke ORDER BY ts) AS fx,
+                          first_value(y) OVER (PARTITION BY stroke ORDER BY ts) AS fy
+                   FROM (SELECT stroke, ts, event_id, x // 5 AS x, y, x // 5 IS DISTINCT FROM lag(x // 5) OVER o OR y IS DISTINCT FROM lag(y) OVER o AS moved FROM v_strokes WINDOW o AS (PARTITION BY stroke ORDER BY ts, event_id)) WHERE moved)
+        SELECT stroke, event_id, x, y FROM k WHERE NOT (stroke % 2 = 0 AND n > 1 AND i = n AND x = fx AND y = fy)""",
     "w16_flag_erased": """
         SELECT rect_id, EXISTS (SELECT 1 FROM v_rects n WHERE n.variant = 'error' AND n.page = p.page
                AND (p.x - n.x - 3) * (p.x - n.x - 3) + (p.y - n.y - 4) * (p.y - n.y - 4) <= 400) AS erased FROM v_rects p""",
