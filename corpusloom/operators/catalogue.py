@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # ── fixed values ────────────────────────────────────────────────────────────
+PLACE_BITS = 33  # of a monotonically increasing id, below the partition
 RELATED_ITEMS, RELATED_EDGES, FEATURED, SKIPPED_SHOWN = 6, 11, 3, 6
 # ────────────────────────────────────────────────────────────────────────────
 
@@ -69,6 +72,11 @@ def status_by_category(edges: DataFrame) -> DataFrame:
     return edges.groupBy("live", "cat").agg(F.count(F.lit(1)).alias("n"), F.count_if("pop").alias("n_popular"))
 
 
+def category_members(edges: DataFrame) -> DataFrame:
+    """Who is counted there: one row per member, named ``src-to-dst``; a list as long as its category stays rows."""
+    return edges.select("live", "cat", F.concat_ws("-to-", "src", "dst").alias("member"))
+
+
 def all_items(*sources: DataFrame) -> DataFrame:
     """Several catalogues as one; ``source_no`` then ``seq`` keeps their order."""
     parts = [s.withColumn("source_no", F.lit(i).cast("long")) for i, s in enumerate(sources)]
@@ -91,13 +99,20 @@ def ranked(catalogue: DataFrame, popular: DataFrame, key: str = "seq") -> DataFr
 def popularity_list(sold: DataFrame) -> DataFrame:
     """Rank by quantity, ties by ``seq``, lists of any length.
 
-    Quantities are counted first; only the counts (one row per distinct quantity)
-    are put in order as a whole, rows only within their own quantity.
+    Rows are dealt by ranges of (quantity, seq) and numbered inside their range;
+    what is ahead of a range is added from the ranges' sizes, one number a
+    partition. So neither the list nor the rows of one quantity meet in a task.
     """
-    ahead = F.coalesce(F.sum("count").over(Window.orderBy(F.desc("qty")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    above = sold.groupBy("qty").count().select("qty", ahead.alias("_ahead"))
-    nth = F.row_number().over(Window.partitionBy("qty").orderBy("seq")) - 1
-    return sold.join(above, "qty").withColumn("rank", (F.col("_ahead") + nth).cast("long")).drop("_ahead")
+    dealt = sold.repartitionByRange(F.desc("qty"), F.asc("seq")).sortWithinPartitions(F.desc("qty"), F.asc("seq"))
+    at = F.monotonically_increasing_id()  # partition, then place in it
+    placed = cut_lineage(dealt.withColumns({"_part": F.shiftright(at, PLACE_BITS).cast("int"), "_nth": at.bitwiseAND((1 << PLACE_BITS) - 1)}))
+    sizes = sorted(tuple(r) for r in placed.groupBy("_part").count().collect())  # a row a partition
+    ahead, so_far = [], 0
+    for part, n in sizes:
+        ahead.append((part, so_far))
+        so_far += n
+    offsets = sold.sparkSession.createDataFrame(ahead, "_part int, _ahead long")
+    return placed.join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_ahead") + F.col("_nth")).drop("_part", "_nth", "_ahead")
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -109,13 +124,14 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
             .where(F.col("position") <= k))
 
 
-def related(catalogue: DataFrame, k: int = RELATED_ITEMS) -> DataFrame:
-    """For every item, the first ``k`` others of its category in rank order.
+def related(catalogue: DataFrame, k: int = RELATED_ITEMS, order: Sequence[Column] | None = None) -> DataFrame:
+    """For every item, the first ``k`` others of its category, by rank or by ``order``.
 
     Whoever the item is, its neighbours are among the first k+1 of the
     category, so only that shelf is joined: k+1 rows a category, never pairs.
+    An order within the category needs no rank over all items.
     """
-    shelf = top_k(catalogue.select("category", "seq", "rank"), ["category"], [F.col("rank"), F.col("seq")], k + 1).select(
+    shelf = top_k(catalogue, ["category"], list(order or [F.col("rank"), F.col("seq")]), k + 1).select(
         "category", F.col("seq").alias("related"), F.col("position").alias("_p"))
     own = shelf.select("category", F.col("related").alias("seq"), F.col("_p").alias("_own"))
     placed = catalogue.select("category", "seq").join(own, ["category", "seq"], "left")

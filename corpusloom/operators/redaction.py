@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FIELD_SIZE, FIELD_ADVANCE = 110, 60
 DESCRIPTIVE = ("title", "author", "subject", "keywords", "producer", "creator")
 
 
@@ -37,3 +38,16 @@ def leaks(released: DataFrame, boxes: DataFrame) -> DataFrame:
     """Released runs a box should have removed; empty for a sound release."""
     b, hit = _painted(boxes)
     return released.join(b, hit, "left_semi")
+
+
+def field_runs(values: DataFrame) -> DataFrame:
+    """Field values as text on the page: filled in before anything is painted over.
+
+    ``values``: doc_id, page_no, field, x, y and value; empty values leave
+    nothing. Coordinates and sizes are those of runs.
+    """
+    whole = lambda n: F.lit(n).cast("long")
+    return values.where("value <> ''").select(
+        "doc_id", "page_no", whole(-1).alias("row_no"), F.col("field").alias("run_no"), F.col("value").alias("text"), F.col("x"),
+        (F.length("value") * FIELD_ADVANCE).cast("long").alias("w"), (F.col("y") + FIELD_SIZE).cast("long").alias("baseline"), whole(FIELD_SIZE).alias("size"),
+        F.lit(False).alias("bold"), F.lit(False).alias("italic"), whole(0).alias("angle"))

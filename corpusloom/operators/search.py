@@ -21,11 +21,15 @@ def find(runs: DataFrame, queries: list[str]) -> DataFrame:
     """
     needles = [q for q in (q.strip().lower() for q in queries) if q]
     matching = F.array_compact(F.array(*[F.when(F.col("_lower").contains(q), F.lit(q)) for q in needles]))
-    asked = (runs.withColumn("_lower", F.lower("text")).withColumn("q", F.explode(matching))
-             .withColumn("_steps", F.transform(F.split(F.col("_lower"), F.concat(F.lit(r"\Q"), F.col("q"), F.lit(r"\E")), -1), lambda p: F.length(p) + F.length("q"))))
-    # a hit ends where the pieces up to it, each followed by a hit, end; the last piece is followed by none
-    hits = (asked.withColumn("_end", F.explode(running_sums(F.slice("_steps", F.lit(1), F.size("_steps") - 1))))
-            .withColumn("pos", F.col("_end") - F.length("q")))
+    asked = runs.withColumn("_lower", F.lower("text")).withColumn("q", F.explode(matching))
+    first = F.expr("cast(locate(q, _lower) AS bigint)")
+    second = F.expr("cast(locate(q, _lower, locate(q, _lower) + length(q)) AS bigint)")
+    third = F.expr("locate(q, _lower, locate(q, _lower, locate(q, _lower) + length(q)) + length(q))")
+    # nearly all runs hold one hit or two; in others a hit ends where the pieces up to it, each followed by a hit, end
+    steps = F.transform(F.split(F.col("_lower"), F.concat(F.lit(r"\Q"), F.col("q"), F.lit(r"\E")), -1), lambda p: F.length(p) + F.length("q"))
+    ends = running_sums(F.slice(steps, F.lit(1), F.size(steps) - 1))
+    places = F.when(second == 0, F.array(first - 1)).when(third == 0, F.array(first - 1, second - 1)).otherwise(F.transform(ends, lambda e: e - F.length("q")))
+    hits = asked.withColumn("pos", F.explode(places))
     unit = F.col("w") / F.greatest(F.lit(1), F.length("text"))
     return hits.select("doc_id", "page_no", "row_no", "run_no", "q", "pos",
                        (F.col("x") + unit * F.col("pos")).alias("x"), F.greatest(unit * F.length("q"), F.lit(float(MIN_HIT))).alias("w"))

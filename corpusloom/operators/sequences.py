@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,13 +12,14 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .geometry import SAME_POINT
 from .layout import lower_median
-from .ordered import neighbours, running_total
+from .ordered import neighbours, ordinal_block, running_total
 from .streamed import grouped, mapped
 
 # ── fixed values ────────────────────────────────────────────────────────────
 PALETTE_LEVELS, PALETTE_SIZE = 4, 48
 UNIFORM_SPREAD = 24
 CELL_PAD = 140
+EDITS_A_BLOCK = 1024
 # ────────────────────────────────────────────────────────────────────────────
 
 
@@ -160,28 +162,80 @@ def simplify_paths(points: DataFrame, keys: Sequence[str], block: Column, order:
     return path.select(*keys, n, F.when(n < 2, "none").when(n == 2, "line").otherwise("polyline").alias("kind"))
 
 
-def remap_pages(marks: DataFrame, edits: DataFrame, doc: str = "doc") -> DataFrame:
+class PageMap:
+    """Where pages go: runs of old numbers with one shift each, or gone. Maps compose, so a stretch of edits is one."""
+
+    FIRST = -(1 << 60)
+
+    def __init__(self, starts=(FIRST,), shifts=(0,), gone=(False,)):
+        self.starts, self.shifts, self.gone = np.array(starts, np.int64), np.array(shifts, np.int64), np.array(gone, bool)
+
+    @classmethod
+    def of(cls, op: str, at: int, to: int | None) -> PageMap:
+        """One edit: delete ``at``, insert behind ``at``, or move ``at`` to ``to``."""
+        if op == "delete":
+            return cls((cls.FIRST, at, at + 1), (0, 0, -1), (False, True, False))
+        if op == "insert":
+            return cls((cls.FIRST, at + 1), (0, 1), (False, False))
+        starts = [cls.FIRST, *sorted({at, at + 1, to, to + 1})]
+        shifts = [to - at if x == at else (x > at) * -1 + (x - (x > at) >= to) for x in starts]
+        return cls(starts, shifts, [False] * len(starts))
+
+    def __call__(self, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.starts, pages, "right") - 1
+        return pages + self.shifts[at], self.gone[at]
+
+    def then(self, later: PageMap) -> PageMap:
+        ends = np.append(self.starts[1:], 1 << 60)
+        cuts = later.starts[1:, None] - self.shifts  # the old numbers that arrive where a later run starts
+        starts = np.union1d(self.starts, cuts[(cuts > self.starts) & (cuts < ends) & ~self.gone])
+        now, gone = self(starts)
+        new, lost = later(now)
+        out = PageMap(starts, new - starts, gone | lost)
+        same = np.append(False, (out.gone[1:] & out.gone[:-1]) | (~out.gone[1:] & ~out.gone[:-1] & (out.shifts[1:] == out.shifts[:-1])))
+        return PageMap(out.starts[~same], out.shifts[~same], out.gone[~same])
+
+
+def remap_pages(marks: DataFrame, edits: DataFrame, doc: str = "doc", block: Column | None = None) -> DataFrame:
     """Follow page numbers through each document's deletes, inserts and moves.
 
-    A mark on a deleted page goes with it. An edit list is as long as its
-    document's history, so it travels as one array per document, and is applied
-    to distinct (document, page) pairs rather than to every mark.
+    A mark on a deleted page goes with it. Edits are cut into blocks by number
+    (``block``, never decreasing along ``seq``); each block is read in order into
+    one map, many blocks of a document at a time. A document's distinct pages
+    then pass its maps, one row a block, and come back to the marks by a join.
     """
-
-    def step(page: Column, e: Column) -> Column:
-        at, to = e["at"], e["to"]
-        deleted = F.when(page == at, F.lit(None)).when(page > at, page - 1).otherwise(page)
-        inserted = F.when(page > at, page + 1).otherwise(page)
-        lifted = F.when(page > at, page - 1).otherwise(page)
-        moved = F.when(page == at, to).otherwise(F.when(lifted >= to, lifted + 1).otherwise(lifted))
-        return (F.when(page.isNull(), F.lit(None)).when(e["op"] == "delete", deleted)
-                .when(e["op"] == "insert", inserted).otherwise(moved)).cast("long")
-
-    script = edits.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("seq", "op", "at", "to"))).alias("edits"))
-    pages = marks.select(doc, "page").distinct().join(script, doc, "left")
-    new = F.when(F.col("edits").isNull(), F.col("page")).otherwise(F.aggregate("edits", F.col("page").cast("long"), step))
-    return (marks.join(pages.select(doc, "page", new.alias("_new")), [doc, "page"])
-            .where("_new IS NOT NULL").drop("page").withColumnRenamed("_new", "page"))
+    kind = dict(marks.dtypes)[doc]
+    block = ordinal_block("seq", EDITS_A_BLOCK) if block is None else block
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, group in grouped(batches, [doc, "_block"], ["op", "at", "to"]):
+            whole = PageMap()
+            for op, at, to in group:
+                if at is not None and not (to is None and op == "move"):
+                    whole = whole.then(PageMap.of(op, at, to))
+            yield *key, whole.starts.tolist(), whole.shifts.tolist(), whole.gone.tolist()
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (key,), group in grouped(batches, [doc], ["page", "starts", "shifts", "gone"]):
+            old, now, lost = [], None, None
+            for page, *one in group:
+                if one[0] is None:
+                    old.append(page)
+                    continue
+                if now is None:
+                    now, lost = np.array(old, np.int64), np.zeros(len(old), bool)
+                now, gone = PageMap(*one)(now)
+                lost |= gone
+            for k, page in enumerate(old):
+                if now is None or not lost[k]:
+                    yield key, page, page if now is None else int(now[k])
+
+    dealt = edits.select(doc, block.alias("_block"), "seq", "op", "at", "to").repartition(doc, "_block").sortWithinPartitions(doc, "_block", "seq")
+    made = mapped(dealt.drop("seq"), maps, f"`{doc}` {kind}, _block bigint, starts array<bigint>, shifts array<bigint>, gone array<boolean>")
+    pages = marks.where("page IS NOT NULL").select(doc, F.col("page").cast("long").alias("page")).distinct()
+    both = pages.unionByName(made, allowMissingColumns=True).repartition(doc).sortWithinPartitions(doc, F.asc_nulls_first("_block"))
+    new = mapped(both.select(doc, "page", "starts", "shifts", "gone"), follow, f"`{doc}` {kind}, page bigint, _new bigint")
+    return marks.join(new, [doc, "page"]).drop("page").withColumnRenamed("_new", "page")
 
 
 def column_stops(cells: DataFrame, char: int, room: int) -> DataFrame:

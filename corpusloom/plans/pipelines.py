@@ -79,6 +79,11 @@ def ingest(files: DataFrame, previous: DataFrame, generated: str) -> DataFrame:
     return manifest.refresh_manifest(checked, previous, generated)
 
 
+def ingest_report(files: DataFrame, previous: DataFrame, generated: str) -> DataFrame:
+    """Count and size of what was kept, is flatten only, has no fields, or was skipped, by reason."""
+    return manifest.manifest_report(ingest(files, previous, generated).withColumnRenamed("reason", "skip_reason"))
+
+
 def publish(items: DataFrame, popular: DataFrame, notes: DataFrame, guide: DataFrame) -> DataFrame:
     """Catalogue pages: ranked, described, annotated, each with its related items."""
     ranked = cat.ranked(items, popular)
@@ -105,8 +110,15 @@ def html_to_text(raw: DataFrame) -> DataFrame:
         "page_id", "charset", status.alias("status"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), "text")
 
 
-def redacted_release(runs: DataFrame, boxes: DataFrame) -> DataFrame:
-    """What is left of each document after redaction, with a proof that nothing leaked."""
+def redacted_release(runs: DataFrame, boxes: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """What is left of each document after redaction, with a proof that nothing leaked.
+
+    ``values`` are the fields' values; they go onto the page first, so that boxes
+    paint over them as over any text.
+    """
+    if values is not None:
+        filled = redaction.field_runs(values)
+        runs = runs.select(*filled.columns).unionByName(filled)
     kept = redaction.redact(runs, boxes)
     leaks = redaction.leaks(kept, boxes).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_leaks"))
     totals = kept.groupBy("doc_id").agg(

@@ -67,6 +67,11 @@ def a12_status_by_category(v: Views) -> DataFrame:
     return cat.status_by_category(v.edges)
 
 
+@plan
+def a12_category_members(v: Views) -> DataFrame:
+    return cat.category_members(v.edges)
+
+
 @plan
 def a6_skipped_report(v: Views) -> DataFrame:
     return cat.skipped_report(v.table("part").select(F.col("p_brand").alias("type")), ["Brand#1", "Brand#5", "Brand#9"])
@@ -118,7 +123,9 @@ def w18_featured(v: Views) -> DataFrame:
 
 @plan
 def w19_related(v: Views) -> DataFrame:
-    return cat.related(ranked_parts(v))
+    """By quantity sold and then number, which is the order of the ranks."""
+    sold = v.catalogue.select("category", "seq").join(v.popular, "seq", "left")
+    return cat.related(sold, order=[F.desc_nulls_last("qty"), F.col("seq")])
 
 
 @plan

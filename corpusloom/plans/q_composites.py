@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import sniff
 from ..operators import catalogue as cat
+from ..operators import editlog
+from ..sources.fields import scan_fields
 from ..sources.layout import PAGE_H
 from . import pipelines
 from .q_catalogue import guide
@@ -26,17 +28,25 @@ def c2_contents(v: Views) -> DataFrame:
     return pipelines.contents(pipelines.corpus_to_chunks(v.runs_with_folios, PAGE_H), titles)
 
 
-@plan
-def c3_ingest(v: Views) -> DataFrame:
+def inventory(v: Views) -> DataFrame:
     e = F.col("event_type")
-    files = v.heads.select(
+    return v.heads.select(
         F.col("file_id").alias("slug"), (e != "signup").alias("present"), sniff("head").alias("kind"), F.col("claimed").alias("expected"),
-        (e != "error").alias("readable"), (~e.isin("view", "error")).alias("writable"), "bytes", (e == "click").alias("cached"))
-    done = pipelines.ingest(files, v.manifest_prev, "2024-01-01")
+        (e != "error").alias("readable"), (~e.isin("view", "error")).alias("writable"), "bytes", (e == "click").alias("cached"), (F.col("file_id") % 6).alias("fields"))
+
+
+@plan
+def c3_ingest(v: Views) -> DataFrame:
+    done = pipelines.ingest(inventory(v), v.manifest_prev, "2024-01-01")
     return done.groupBy("status", F.coalesce("reason", F.lit("")).alias("reason"), "fetched").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
+@plan
+def c3_report(v: Views) -> DataFrame:
+    return pipelines.ingest_report(inventory(v), v.manifest_prev, "2024-01-01")
+
+
 @plan
 def c4_publish(v: Views) -> DataFrame:
     return pipelines.publish(v.catalogue, cat.popularity_list(v.popular), v.notes, guide(v))
@@ -57,4 +67,10 @@ def c5_html_to_text(v: Views) -> DataFrame:
 
 @plan
 def c6_redacted_release(v: Views) -> DataFrame:
-    return pipelines.redacted_release(v.runs, v.boxes)
+    """Every document has the fields of the user of its number, filled in on its first page."""
+    placed = scan_fields(v.widgets).select("doc", "name", "widget_id", "x", "y")
+    state = editlog.field_state(v.field_log).select("doc", "name", "value")
+    known = v.documents.select(F.col("doc_id").alias("doc"))
+    values = placed.join(state, ["doc", "name"]).join(known, "doc", "left_semi").select(
+        F.col("doc").alias("doc_id"), F.lit(1).cast("long").alias("page_no"), F.col("widget_id").alias("field"), (F.col("x") * 10).alias("x"), (F.col("y") * 10).alias("y"), "value")
+    return pipelines.redacted_release(v.runs, v.boxes, values)

@@ -63,6 +63,18 @@ def k1_write_chunks(v: Views) -> DataFrame:
     return back.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
+@plan
+def k1_bundle(v: Views) -> DataFrame:
+    """Documents of a source in chunks of 500 numbers, put in place twice, read back with what the manifest says."""
+    path = f"{shared_folder(v.spark)}/bundle-{uuid.uuid4().hex}"
+    chunks = v.documents.select("source", F.floor(F.col("doc_id") / 500).cast("long").alias("chunk"), "doc_id", "text")
+    sinks.write_bundle(chunks.limit(0), path, ["source", "chunk"])
+    sinks.write_bundle(chunks, path, ["source", "chunk"])
+    told = v.spark.read.schema("source string, chunk long, n_rows long, chars long").json(f"{path}/manifest")
+    read = sinks.read_bundle(v.spark, path, chunks.schema).groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    return told.join(read, ["source", "chunk"], "full_outer")
+
+
 @plan
 def k2_sitemap(v: Views) -> DataFrame:
     return sinks.sitemap(v.routes, "https://example.org", "2024-01-01")

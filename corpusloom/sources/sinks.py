@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import squash_trim
 
@@ -21,6 +25,47 @@ def write_chunks(chunks: DataFrame, path: str, by: str = "bucket", max_records:
     (chunks.write.mode("overwrite").partitionBy(by).option("maxRecordsPerFile", max_records).parquet(path))
 
 
+def write_bundle(chunks: DataFrame, path: str, by: Sequence[str], text: str = "text", max_records: int = 100_000) -> None:
+    """One group of files per chunk and a manifest beside them, put in place as a whole.
+
+    Everything is written to a folder of its own next to ``path`` first: ``data``,
+    a folder per value of ``by``, and ``manifest``, a row per chunk with its rows
+    and characters. Renaming is the commit, so readers see the old bundle or the
+    new one, a second run replaces the first, and a failed one leaves it alone.
+    """
+    spark, stage = chunks.sparkSession, f"{path}.staging-{uuid.uuid4().hex}"
+    try:
+        dealt = chunks.repartition(*by)  # a chunk is bounded by the rule that cut it
+        dealt.write.partitionBy(*by).option("maxRecordsPerFile", max_records).parquet(f"{stage}/data")
+        written = spark.read.schema(chunks.schema).parquet(f"{stage}/data")
+        written.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(text)).alias("chars")).write.json(f"{stage}/manifest")
+        _put_in_place(spark, stage, path)
+    finally:
+        _folder(spark, stage)[0].delete(_folder(spark, stage)[1], True)
+
+
+def read_bundle(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/data").select(*schema.names)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _put_in_place(spark: SparkSession, stage: str, path: str) -> None:
+    fs, target = _folder(spark, path)
+    aside = _folder(spark, f"{stage}-old")[1]
+    replaced = fs.exists(target) and fs.rename(target, aside)
+    if not fs.rename(_folder(spark, stage)[1], target):
+        if replaced:
+            fs.rename(aside, target)
+        raise OSError(f"{stage} can't be moved to {path}")
+    if replaced:
+        fs.delete(aside, True)
+
+
 def sitemap(listing: DataFrame, site: str, stamp: str) -> DataFrame:
     """Fixed routes, then the listed ones in order, with per-route or default attributes."""
 

@@ -21,6 +21,7 @@ SQL: dict[str, str] = {
         LEFT JOIN (SELECT p_type AS category, 'General ' || lower(p_type) AS what, 'Anyone, ' || max(p_brand) AS guide_who FROM part GROUP BY p_type) g ON c.category = g.category""",
     "j8_coverage": "SELECT src, dst, cat, CASE WHEN live THEN 'live' ELSE 'not built' END AS status FROM v_edges",
     "a12_status_by_category": "SELECT live, cat, count(*) AS n, count(*) FILTER (pop) AS n_popular FROM v_edges GROUP BY 1, 2",
+    "a12_category_members": "SELECT live, cat, src || '-to-' || dst AS member FROM v_edges",
     "a6_skipped_report": """
         SELECT p_brand AS type, count(*) AS n FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#5', 'Brand#9') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6""",
     "u1_all_items": """

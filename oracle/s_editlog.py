@@ -1,6 +1,6 @@
 """SQL: state folded from edit logs."""
 
-_STATE = """
+STATE = """
     SELECT doc, name, kind, value, is_on, event_id, false AS seeded FROM (
       SELECT *, row_number() OVER (PARTITION BY doc, name ORDER BY ts DESC, event_id DESC) AS rn FROM v_field_log WHERE NOT seed)
     WHERE rn = 1 AND NOT (kind = 'text' AND value = '')
@@ -11,7 +11,7 @@ _STATE = """
         ON s.doc = e.doc AND s.name = e.name
       WHERE s.seed AND s.value <> '' AND (e.doc IS NULL OR (e.kind = 'text' AND e.value = '' AND (s.ts, s.event_id) > (e.ts, e.event_id)))) WHERE rn = 1"""
 
-_BOXES = """
+BOXES = """
     SELECT doc, name, widget_id, least(x0, x1) AS x, least(y0, y1) AS y FROM v_widgets
     WHERE NOT hidden AND NOT push_button AND abs(x1 - x0) >= 3 AND abs(y1 - y0) >= 3 AND NOT (read_only AND field_value = '')"""
 
@@ -36,7 +36,7 @@ def _replay(limit: int | None, edits: str) -> str:
 SQL: dict[str, str] = {
     "t1_replay": _replay(None, "SELECT * FROM v_edits"),
     "t1_replay_shallow": _replay(3, "SELECT * FROM v_edits"),
-    "t2_field_state": _STATE,
+    "t2_field_state": STATE,
     "t3_live_annots": """
         SELECT l.doc, id, page, event_id FROM (
           SELECT * FROM v_annot_steps WHERE op IN ('add', 'remove') QUALIFY row_number() OVER (PARTITION BY doc, id ORDER BY ts DESC, sub DESC) = 1) l
@@ -64,6 +64,6 @@ SQL: dict[str, str] = {
     "t8_restore_cost": """
         SELECT doc, event_id, p = stamp AS cheap FROM (SELECT *, lag(stamp) OVER (PARTITION BY doc ORDER BY ts, event_id) AS p FROM v_revisions) WHERE p IS NOT NULL""",
     "a5_completion": f"""
-        SELECT doc, count(*) AS touched, count(*) FILTER (CASE WHEN kind IN ('check', 'radio') THEN is_on ELSE value <> '' END) AS filled FROM ({_STATE}) GROUP BY 1""",
-    "p10_mirror_values": f"SELECT b.*, s.value, s.is_on FROM ({_BOXES}) b JOIN ({_STATE}) s ON b.doc = s.doc AND b.name = s.name",
+        SELECT doc, count(*) AS touched, count(*) FILTER (CASE WHEN kind IN ('check', 'radio') THEN is_on ELSE value <> '' END) AS filled FROM ({STATE}) GROUP BY 1""",
+    "p10_mirror_values": f"SELECT b.*, s.value, s.is_on FROM ({BOXES}) b JOIN ({STATE}) s ON b.doc = s.doc AND b.name = s.name",
 }

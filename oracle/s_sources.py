@@ -35,6 +35,8 @@ SQL: dict[str, str] = {
         WHERE w >= 3 AND h >= 3 AND NOT (read_only AND initial = '')""",
     "k1_write_chunks": """
         SELECT lang AS bucket, count(*) AS n, sum(length(line))::BIGINT AS chars FROM v_lines JOIN documents USING (doc_id) GROUP BY 1""",
+    "k1_bundle": """
+        SELECT source, doc_id // 500 AS chunk, count(*) AS n_rows, sum(length(text))::BIGINT AS chars, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1, 2""",
     "k2_sitemap": """
         SELECT 'https://example.org/' || route AS loc, '2024-01-01' AS lastmod, coalesce(f, 'monthly') AS changefreq, coalesce(p, '0.8') AS priority
         FROM (SELECT route, f, p FROM (VALUES ('', NULL, '1.0'), ('editor.html', NULL, '0.9'), ('converter.html', 'weekly', '0.9'),
