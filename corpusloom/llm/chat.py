@@ -17,7 +17,9 @@ number (null first), equal numbers by role and text; repeated rows are turns of
 their own. Columns other than the four named are not read.
 
 One conversation is one row of the result and therefore one group; nothing else
-is gathered.
+is gathered. Long texts are escaped and read back in passes over the text. The
+loss mask is a range within each turn of the output. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -115,14 +117,35 @@ def formatted(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda s: s["text"]), "")
 
 
+def loss_mask(parts: Column) -> Column:
+    """Where each turn's output counts for the loss: struct<start, end> in code points from the turn's start, null for none."""
+
+    def of(i: Column) -> Column:
+        opener, text = F.get(parts, 3 * i), F.get(parts, 3 * i + 1)
+        start = F.length(opener["text"])
+        return F.when(text["loss"], F.struct(start.alias("start"), (start + F.length(text["text"])).alias("end")))
+
+    turns = F.floor(F.size(parts) / 3).cast("int")
+    return F.transform(F.when(turns > 0, F.sequence(F.lit(0), turns - 1)).otherwise(F.array().cast("array<int>")), of)
+
+
+def pieces(text: Column, template: Template = TEMPLATE) -> Column:
+    """A formatted text cut into its turns, found by the template's markers alone."""
+    pattern = "|".join(f"{_quote(t.opener)}[\\s\\S]*?{_quote(t.closer)}" for t in (*template.roles.values(), template.other))
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def under_mask(text: Column, mask: Column, template: Template = TEMPLATE) -> Column:
+    """What a formatted text holds under its loss mask, unescaped, in order."""
+    parts = F.zip_with(pieces(text, template), mask, lambda p, m: F.when(m.isNotNull(), unescaped(p.substr(m["start"] + 1, m["end"] - m["start"]), template)).otherwise(""))
+    return F.array_join(parts, "")
+
+
 def read_back(text: Column, template: Template = TEMPLATE) -> Column:
     """The turns of a formatted text as array<struct<role, text>>, found by the template's markers alone."""
     names = [*template.roles, None]
     kinds = [*template.roles.values(), template.other]
-    quoted = [_quote(t.opener) for t in kinds]
-    stops = [_quote(t.closer) for t in kinds]
-    pattern = "|".join(f"{o}[\\s\\S]*?{c}" for o, c in zip(quoted, stops))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = pieces(text, template)
 
     def turn(x: Column) -> Column:
         name_end = F.position(F.lit(template.other_name_end), x)

@@ -73,11 +73,10 @@ def op7_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     echo = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    made = chat.chats(turns.unionByName(echo)).withColumn("formatted", chat.formatted(F.col("segments")))
+    made = chat.chats(turns.unionByName(echo)).select("*", chat.formatted(F.col("segments")).alias("formatted"), chat.loss_mask(F.col("segments")).alias("mask")).drop("segments")
     rows = made.withColumn("turns", chat.read_back(F.col("formatted")))
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescaped(s["text"])), "")
-    rows = rows.withColumn("learned", learned)
+    rows = rows.withColumn("learned", chat.under_mask(F.col("formatted"), F.col("mask")))
     return rows.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("learned").cast("bigint").alias("loss_chars"),
                        F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", "broken_at")
 
