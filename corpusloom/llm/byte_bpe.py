@@ -18,7 +18,7 @@ is then encoded as a whole: always right, only slower.
 
 Decoding concatenates the bytes of token runs up the same kind of tree.
 
-Null and empty texts have no tokens. Every input column is kept; ``ids`` and
+Null and empty texts have no tokens, repeated rows the same ones. Every input column is kept; ``ids`` and
 ``decoded`` are added (or replaced, when the input has such columns).
 """
 

@@ -16,7 +16,10 @@ one thing repeated for ever), not unusual prose. A text of fewer than
 ``least_tokens`` tokens says too little and is kept.
 
 Words, symbols, repeated lines and windows are counted as in rule lists for web
-text: see ``base_counts``. Null and empty texts have no words and no tokens.
+text: see ``base_counts``. Null and empty texts have no words and no tokens. Texts of any length are
+measured whole, a slice of a bounded size at a time, and repeated rows alike. An
+empty table gives an empty result. Only the columns named are read, so others may
+have any name.
 """
 
 from __future__ import annotations

@@ -12,7 +12,10 @@ digests agree the whole branch is skipped, what differs in both from the front
 and from the back bounds the edit. Likeness is twice the code points in leaves
 that both trees hold (counted with repeats) over the code points of both; it is
 1 for equal roots and 0 without a common leaf. Null counts as the empty text,
-whose tree is one section of one empty paragraph.
+whose tree is one section of one empty paragraph. Texts of any length are read
+whole; a tree is as large as its text. Repeated rows follow each other as
+documents of their own, an empty table gives an empty result, and columns other
+than those named are not read.
 """
 
 from __future__ import annotations
