@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,14 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray
     return raw[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system, where its library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, most: int = SLICE_BYTES):
     """A function for ``mapInArrow`` that applies ``fn`` slice by slice."""
 
@@ -47,7 +56,7 @@ def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, most:
         for batch in batches:
             for part in text_slices(batch, column, most):
                 yield fn(part)
-        pa.default_memory_pool().release_unused()  # workers are used again, for other steps
+        release()  # workers are used again, for other steps
 
     return run
 

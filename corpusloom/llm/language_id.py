@@ -44,6 +44,7 @@ from .wordhash import mixed
 
 ORDERS = (3, 5)
 WORD = 64  # languages a mask
+SLICE = 1 << 18  # bytes of text looked at together; their n-grams take some 100 times as much
 PROBES = 3
 
 
@@ -198,4 +199,4 @@ def predict(docs: DataFrame, model: Filter, text: str = "text", keep: tuple[str,
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *told], [*keep, "lang_pred", "score", "share", "n_grams"])
 
     out = rows.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("share"), F.lit(0).cast("bigint").alias("n_grams")).schema
-    return rows.mapInArrow(per_slice(one, "_text"), out)
+    return rows.mapInArrow(per_slice(one, "_text", SLICE), out)
