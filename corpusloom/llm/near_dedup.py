@@ -32,10 +32,12 @@
 
 Rows with null or wordless text have an empty set and are linked with nothing.
 Rows that share a ``doc_id`` are one document in linking; should they differ in
-text, each text still finds its copies, and the one with the least digest stands
-for them where near copies are sought. A row without
-``doc_id`` takes no part: its component is null and it is kept. Columns other
-than the two named are not read.
+text, each text finds its copies and near copies, and all that are linked with
+one of them are one component. A row without ``doc_id`` takes no part: its
+component is null and it is kept. Repeated rows each get a row of the result.
+Texts of any length are read whole; a document's set and signature are bounded by
+its own text. An empty table gives an empty result. Columns other than the two
+named are not read.
 """
 
 from __future__ import annotations
@@ -153,10 +155,10 @@ def link(docs: DataFrame, near: Near = Near(), key: str = "doc_id", text: str =
     copies = whole.join(heads, "digest").where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
     of_id = heads.groupBy(F.col("head").alias("id")).agg(F.min("digest").alias("digest"), F.count("*").alias("sets"))
     reps = whole.join(of_id.drop("sets"), ["id", "digest"]).dropDuplicates(["id"])
-    # an id that heads several sets stands for the least; the others get numbers of their own beyond all ids, tied to it by an edge
-    several = of_id.where("sets > 1").select(F.col("id").alias("head"), F.col("digest").alias("least"))
-    others = cut_lineage(heads.join(several, "head").where("digest <> least").select("head", "digest", F.monotonically_increasing_id().alias("nth")))
-    if not others.isEmpty():
+    if not whole.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        # an id that heads several sets stands for the least; the others get numbers of their own beyond all ids, tied to it by an edge
+        several = of_id.where("sets > 1").select(F.col("id").alias("head"), F.col("digest").alias("least"))
+        others = cut_lineage(heads.join(several, "head").where("digest <> least").select("head", "digest", F.monotonically_increasing_id().alias("nth")))
         beyond = rows.agg(F.max("id")).first()[0] + 1
         others = others.select(F.col("head").alias("id"), "digest", (F.lit(beyond) + F.col("nth")).alias("own"))
         more = whole.join(others, ["id", "digest"]).dropDuplicates(["own"])
