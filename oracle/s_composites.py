@@ -4,7 +4,6 @@ from .s_catalogue import _RANKED
 from .s_catalogue import SQL as CATALOGUE
 from .s_sources import SQL as SOURCES
 from .s_editlog import BOXES, STATE
-from .s_sources import KIND
 
 SQL: dict[str, str] = {
     "c3_ingest": f"""
