@@ -141,3 +141,39 @@ def test_counters_and_padding_keep_every_digit(spark):
         want = chr(97 + r) + want
     row = spark.range(1).select(letters(F.lit(n)).alias("l"), F.lit(1000).alias("k"), F.lit(7).alias("j")).select("l", zero_padded("k", 3).alias("k"), zero_padded("j", 3).alias("j")).first()
     assert tuple(row) == (want, "1000", "007")
+
+
+def test_pages_without_blocks_lists_or_ends(spark):
+    from corpusloom.sources import html
+
+    pages = ["plain", "", "<nav>x", "<![CDATA[ <![if", "<hr>", "<ul>x<li>a</ul>b", "<pre>\n a\n</pre>c", "<blockquote>q</blockquote>", "<ol start=0><li value=0>z<ul><li>y</ul><li value=4>w<li>v"]
+    want = {0: [("p", "plain", 0, False, None)], 3: [("p", "<![CDATA[ <![if", 0, False, None)], 4: [("rule", "", 0, False, None)],
+            5: [("p", "x", 1, False, None), ("li", "a", 1, False, "•"), ("p", "b", 0, False, None)],
+            6: [("pre", " a", 0, False, None), ("p", "c", 0, False, None)], 7: [("p", "q", 0, False, None)],
+            8: [("li", "z", 1, False, "1."), ("li", "y", 2, False, "–"), ("li", "w", 1, False, "4."), ("li", "v", 1, False, "5.")]}
+    for some in [pages, *[[p] for p in pages]]:  # in one slice and alone
+        rows = html.html_blocks(spark.createDataFrame([(i, p) for i, p in enumerate(pages) if p in some], "page_id long, html string").coalesce(1)).orderBy("page_id", "seq").collect()
+        for i, p in enumerate(pages):
+            assert [tuple(r)[2:] for r in rows if r.page_id == i] == (want.get(i, []) if p in some else [])
+
+
+def test_nesting_costs_in_proportion(spark):
+    from time import perf_counter
+
+    from corpusloom.sources import html
+
+    def seconds(n):
+        page = "<table><td><p>" + "<div><p>x" * n
+        began = perf_counter()
+        assert html.html_blocks(spark.createDataFrame([(1, page)], "page_id long, html string")).count() == n
+        return perf_counter() - began
+
+    seconds(10)
+    assert seconds(80_000) < 5 * seconds(20_000) + 2
+
+
+def test_charset_of_the_first_meta_that_names_one(spark):
+    metas = [("<META name=x><meta http-equiv='Content-Type' content='text/html; charset=Windows-1251'>", "windows-1251"), ("<meta charset = koi8-r />", "koi8-r"),
+             ("<meta charset='utf8'><meta charset=koi8-r>", "utf-8"), ("<meta content='text/html'>", "utf-8"), ("<metal charset=koi8-r>", "utf-8")]
+    got = _bytes(spark, [f"<html><head>{m}</head>x".encode() for m, _ in metas])
+    assert [g[0] for g in got] == [w for _, w in metas]

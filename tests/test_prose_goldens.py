@@ -2,7 +2,7 @@
 
 from corpusloom.functions.text import slug
 from corpusloom.operators import prose
-from corpusloom.sources.html import parse_blocks
+from corpusloom.sources.html import html_blocks
 
 LINE = "doc_id long, n long, text string"
 
@@ -101,9 +101,10 @@ HTML = """<html><head><title>t</title></head><body><header><h1>Ada   Lovelace</h
 </pre><hr><table><tr><td>x<td>y</tr></table></body></html>"""
 
 
-def test_html_blocks():
+def test_html_blocks(spark):
     dot, bullet = chr(0xB7), chr(0x2013)
-    assert parse_blocks(HTML) == [
+    got = html_blocks(spark.createDataFrame([(1, HTML)], "page_id long, html string")).orderBy("seq").collect()
+    assert [tuple(r)[2:] for r in got] == [
         ("h1", "Ada Lovelace", 0, False, None), ("p", "one\ntwo & three", 0, False, None), ("p", "implicit close", 0, False, None),
         ("li", "c", 1, False, "3."), ("li", "g", 1, False, "7."), ("li", "deep", 2, False, bullet), ("li", "h", 1, False, "8."),
         ("p", "quoted", 1, True, None), ("pre", " a\n  b", 0, False, None), ("rule", "", 0, False, None), ("p", f"x {dot} y", 0, False, None)]
