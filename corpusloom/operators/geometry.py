@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.faces import selection_flags
 from .layout import lower_median
 
 # ── fixed values ────────────────────────────────────────────────────────────
@@ -186,20 +187,23 @@ def text_in(runs: DataFrame, boxes: DataFrame) -> DataFrame:
     """The text under each box (``box_id``), in reading order; size and face from the first run.
 
     Any contact counts. Baselines within three points read as one line. Blank
-    runs say nothing and are skipped; a box that covers no text has an empty one.
+    runs say nothing and are skipped; a box that covers no text has an empty one,
+    and neither size nor face. ``bold``, ``serif`` and ``mono`` are read from the
+    name of the face.
     """
     b = boxes.select("doc_id", "page_no", "box_id", *[F.col(c).alias(f"b_{c}") for c in BOX])
     r = runs.where(~F.col("text").rlike(r"^\s*$")).withColumn("y", F.col("baseline") - F.col("size"))
     apart = ((F.col("x") + F.col("w") < F.col("b_x")) | (F.col("x") > F.col("b_x") + F.col("b_w"))
              | (F.col("baseline") < F.col("b_y")) | (F.col("y") > F.col("b_y") + F.col("b_h")))
-    order = F.struct(F.floor(F.col("y") / READING_BUCKET).alias("band"), "x", "run_no", "text", "size", "bold")
+    order = F.struct(F.floor(F.col("y") / READING_BUCKET).alias("band"), "x", "run_no", "text", "size", "face")
     found = (r.join(b, ["doc_id", "page_no"]).where(~apart).select("box_id", order.alias("hit"))
              .groupBy("box_id").agg(F.array_sort(F.collect_list("hit")).alias("hits")))
     joined = F.array_join(F.transform("hits", lambda h: h["text"]), " ")
     first = F.get(F.col("hits"), F.lit(0))
+    flags = [F.when(F.col("hits").isNotNull(), flag).alias(name.removeprefix("is_")) for name, flag in selection_flags(first["face"]).items()]
     return boxes.select("box_id", "doc_id", "page_no").join(found, "box_id", "left").select(
         "box_id", "doc_id", "page_no", F.coalesce(F.trim(F.regexp_replace(joined, r"\s+", " ")), F.lit("")).alias("text"),
-        F.floor(first["size"] / 10 + 0.5).alias("size"), first["bold"].alias("bold"), F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_runs"))
+        F.floor(first["size"] / 10 + 0.5).alias("size"), *flags, F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_runs"))
 
 
 def extent(parts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -25,7 +25,9 @@ def j1_text_in(v: Views) -> DataFrame:
     wide = v.boxes.withColumn("w", F.col("w") * 2)
     aside = v.boxes.withColumn("x", F.col("x") - 50_000)
     boxes = v.boxes.withColumn("box_id", base).unionByName(wide.withColumn("box_id", base + 1)).unionByName(aside.withColumn("box_id", base + 2))
-    return geometry.text_in(v.runs, boxes)
+    faces = F.array(*[F.lit(name) for name in ("Helvetica", "Times-Bold", "CourierNew,Bd", "PTSans-Serif", "NotoSerif-Medium")])
+    faced = v.runs.withColumn("face", F.get(faces, ((F.col("doc_id") + F.col("row_no") + F.col("run_no")) % 5).cast("int")))
+    return geometry.text_in(faced, boxes)
 
 
 @plan

@@ -36,8 +36,9 @@ SQL: dict[str, str] = {
                    FROM v_boxes, (SELECT unnest([0, 1, 2]) AS k))
         SELECT b.box_id, any_value(b.doc_id) AS doc_id, any_value(b.page_no) AS page_no,
                coalesce(trim(regexp_replace(string_agg(text, ' ' ORDER BY (baseline - size) // 30, r.x, run_no), '\\s+', ' ', 'g')), '') AS text,
-               (arg_min(size, ((baseline - size) // 30) * 100000 + r.x) + 5) // 10 AS size, arg_min(bold, ((baseline - size) // 30) * 100000 + r.x) AS bold, count(text) AS n_runs
-        FROM b LEFT JOIN v_runs r ON r.doc_id = b.doc_id AND r.page_no = b.page_no AND trim(text) <> ''
+               (arg_min(size, place) + 5) // 10 AS size, arg_min(face IN (1, 2, 4), place) AS bold, arg_min(face IN (1, 4), place) AS serif, arg_min(face = 2, place) AS mono, count(text) AS n_runs
+        FROM b LEFT JOIN (SELECT *, ((baseline - size) // 30) * 100000 + x AS place, (doc_id + row_no + run_no) % 5 AS face FROM v_runs) r
+             ON r.doc_id = b.doc_id AND r.page_no = b.page_no AND trim(text) <> ''
              AND r.x + r.w >= b.x AND r.x <= b.x + b.w AND baseline >= b.y AND baseline - size <= b.y + b.h GROUP BY 1""",
     "j2_match_marks": f"""
         WITH shape AS (SELECT page, variant, mark_id, min(mark_id) OVER (PARTITION BY page, variant, boxes) AS rep, count(*) OVER (PARTITION BY page, variant, boxes) AS copies

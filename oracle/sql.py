@@ -7,7 +7,7 @@ from importlib import import_module
 from .views import compose
 
 _MODULES = ("s_sources", "s_scalars", "s_prose", "s_layout", "s_geometry", "s_catalogue",
-            "s_sequences", "s_lookups", "s_editlog", "s_composites")
+            "s_pages", "s_sequences", "s_lookups", "s_editlog", "s_composites")
 
 
 def all_sql() -> dict[str, str]:
