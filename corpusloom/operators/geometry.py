@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.faces import selection_flags
+from ..session import cut_lineage
 from .layout import lower_median
 
 # ── fixed values ────────────────────────────────────────────────────────────
@@ -168,19 +170,64 @@ def toggle_marks(marks: DataFrame, selection: DataFrame, keys: Sequence[str] = (
     return removed.unionByName(kept.select("action", *keys, F.lit(None).cast(kind).alias("mark_id"), F.lit("insert").alias("op")))
 
 
-def hit_test(rects: DataFrame, points: DataFrame, id_col: str, cell: int = 64) -> DataFrame:
+CELL = ["page", "_cx", "_cy"]
+
+
+def _located(spots: DataFrame, cell: int) -> DataFrame:
+    return spots.select("page", "px", "py", F.floor(F.col("px") / cell).alias("_cx"), F.floor(F.col("py") / cell).alias("_cy"))
+
+
+def _tested(spots: DataFrame, parts: DataFrame) -> DataFrame:
+    """Each spot against each shape of its cell."""
+    inside = (F.col("px").between(F.col("x"), F.col("x") + F.col("w"))
+              & F.col("py").between(F.col("y"), F.col("y") + F.col("h")))
+    return spots.join(parts, CELL).where(inside).select("page", "px", "py", "hit")
+
+
+def _quartered(parts: DataFrame, cell: int, side: int) -> DataFrame:
+    """The part of each shape in its cell, listed in the smaller cells it touches there."""
+    def span(at: str, lo: str, size: str) -> Column:
+        first, last = F.col(at) * (cell // side), (F.col(at) + 1) * (cell // side) - 1
+        return F.sequence(F.greatest(F.floor(F.col(lo) / side), first), F.least(F.floor((F.col(lo) + F.col(size)) / side), last))
+
+    across = parts.select("page", *BOX, "hit", "_cy", F.explode(span("_cx", "x", "w")).alias("_sx"))
+    return across.select("page", *BOX, "hit", F.col("_sx").alias("_cx"), F.explode(span("_cy", "y", "h")).alias("_cy"))
+
+
+def hit_test(rects: DataFrame, points: DataFrame, id_col: str, cell: int = 64, crowded: int = 1 << 20) -> DataFrame:
     """The last-added rectangle containing each point, edges included; null where none does.
 
-    Points at one spot and rectangles in one place are tested once each.
+    Points at one spot and rectangles in one place are tested once each. A cell
+    where spots times shapes exceed ``crowded`` is cut into sixteen, down to cells
+    of side 1: of the shapes that cover a whole cell only the last matters, and
+    only later ones whose edge runs through the cell go on to the smaller cells,
+    and there only to cells that hold a spot. So shapes piled on each other
+    cost what their edges cost, not a test per spot and shape. Cells that are not
+    crowded are joined as they are.
     """
     top = rects.groupBy("page", *BOX).agg(F.max(id_col).alias("hit"))
-    spots = points.select("page", "px", "py").distinct()
-    located = spots.withColumn("_cx", F.floor(F.col("px") / cell)).withColumn("_cy", F.floor(F.col("py") / cell))
-    inside = (F.col("px").between(F.col("x"), F.col("x") + F.col("w"))
-              & F.col("py").between(F.col("y"), F.col("y") + F.col("h")))
-    hits = (located.join(in_cells(top, cell), ["page", "_cx", "_cy"]).where(inside)
-            .groupBy("page", "px", "py").agg(F.max("hit").alias("hit")))
-    return points.join(hits, ["page", "px", "py"], "left").select("point_id", "hit")
+    spots, parts = _located(points.select("page", "px", "py").distinct(), cell), in_cells(top, cell)
+    found = []
+    while cell > 1 and cell % 4 == 0:
+        pairs = F.col("_spots").cast("double") * F.col("_shapes")
+        hot = (spots.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_spots"))
+               .join(parts.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_shapes")), CELL).where(pairs > crowded).select(*CELL))
+        if hot.isEmpty():
+            break
+        hot = cut_lineage(hot)
+        found.append(_tested(spots.join(hot, CELL, "left_anti"), parts))
+        spots, parts = cut_lineage(spots.join(hot, CELL, "left_semi")), cut_lineage(parts.join(hot, CELL, "left_semi"))
+        whole = F.lit(True)
+        for at, lo, size in (("_cx", "x", "w"), ("_cy", "y", "h")):
+            whole = whole & (F.col(lo) <= F.col(at) * cell) & (F.col(lo) + F.col(size) >= (F.col(at) + 1) * cell)
+        covers = cut_lineage(parts.where(whole).groupBy(*CELL).agg(F.max("hit").alias("cover")))
+        found.append(spots.join(covers, CELL).select("page", "px", "py", F.col("cover").alias("hit")))
+        later = parts.where(~whole).join(covers, CELL, "left").where("cover IS NULL OR hit > cover")
+        spots = _located(spots, cell // 4)
+        parts = cut_lineage(_quartered(later, cell, cell // 4).join(spots.select(*CELL).distinct(), CELL, "left_semi"))
+        cell //= 4
+    last = reduce(DataFrame.unionByName, [*found, _tested(spots, parts)]).groupBy("page", "px", "py").agg(F.max("hit").alias("hit"))
+    return points.join(last, ["page", "px", "py"], "left").select("point_id", "hit")
 
 
 def text_in(runs: DataFrame, boxes: DataFrame) -> DataFrame:
