@@ -100,10 +100,22 @@ SQL: dict[str, str] = {
           SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY line_no) AS p, max(line_no) FILTER (t <> '') OVER (PARTITION BY doc_id) AS z
           FROM (SELECT doc_id, line_no, rtrim(regexp_replace(replace(line, chr(9), ' '), '[\x01-\x1f\x7f]', '', 'g')) AS t FROM v_gappy))
         WHERE (t <> '' OR coalesce(p, '') <> '') AND line_no <= z""",
+    # names are counted per base, but where a suffixed name is also spelled out they are given out line by line
     "w23_unique_names": """
-        SELECT doc_id, line_no, label, base || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS name FROM (
-          SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY line_no) AS n FROM (
-            SELECT *, coalesce(nullif(trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'field') AS base FROM v_field_labels))""",
+        WITH RECURSIVE named AS (
+          SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY line_no) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM (
+            SELECT *, coalesce(nullif(trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'field') AS base FROM v_field_labels)),
+        met AS (SELECT DISTINCT a.doc_id FROM named a JOIN named b ON a.doc_id = b.doc_id AND a.n > 1 AND starts_with(b.base, a.base || '_')
+                WHERE regexp_matches(substr(b.base, length(a.base) + 1), '^(_[0-9]+)+$')),
+        walk AS (
+          SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS line_no, ''::VARCHAR AS label, ''::VARCHAR AS name, []::VARCHAR[] AS used FROM met
+          UNION ALL
+          SELECT doc_id, k, line_no, label, name, list_append(used, name) FROM (
+            SELECT n.doc_id, n.k, n.line_no, n.label, w.used, CASE WHEN NOT list_contains(w.used, n.base) THEN n.base
+                     ELSE n.base || '_' || list_filter(range(2, n.k + 2), lambda i: NOT list_contains(w.used, n.base || '_' || i))[1] END AS name
+            FROM walk w JOIN named n ON n.doc_id = w.doc_id AND n.k = w.k + 1))
+        SELECT doc_id, line_no, label, base || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS name FROM named WHERE doc_id NOT IN (SELECT doc_id FROM met)
+        UNION ALL SELECT doc_id, line_no, label, name FROM walk WHERE k > 0""",
     "w25_eol_lines": "SELECT doc_id, line_no AS line, replace(line, ' ', '_') || '_' AS text FROM v_lines",
     "w27_strip_instructions": """
         SELECT doc_id, line_no, word_no, token FROM (

@@ -168,7 +168,7 @@ VIEWS: dict[str, str] = {
         SELECT doc_id, unnest(range(1, n_pages + 1))::BIGINT AS page_no, 1000::BIGINT AS x, 1270::BIGINT AS y, 2000::BIGINT AS w,
                462::BIGINT AS h FROM v_pages WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)""",
     "v_field_labels": """
-        SELECT doc_id, line_no, regexp_extract(line, '[^ ]+') AS label FROM v_lines WHERE regexp_extract(line, '[^ ]+') <> ''""",
+        SELECT doc_id, line_no, line || CASE WHEN line_no % 3 = 1 THEN ' 2' ELSE '' END AS label FROM v_lines WHERE trim(line) <> ''""",
     # text lines rebuilt from runs: a gap wider than 1.6 em breaks, any other gap over the row's threshold is a space
     "v_gaps": """
         SELECT *, x - lag(x + w) OVER r AS gap, greatest(size, lag(size) OVER r) AS em FROM v_runs
