@@ -97,12 +97,12 @@ def publish_routes(items: DataFrame, site: str, stamp: str) -> DataFrame:
     return sinks.sitemap(items.select(F.concat(F.lit("forms/"), F.col("slug"), F.lit(".html")).alias("route")), site, stamp)
 
 
-def html_to_text(raw: DataFrame) -> DataFrame:
+def html_to_text(raw: DataFrame, closed_references: bool = False) -> DataFrame:
     """Page bytes to clean text: decode, refuse binary, blocks, one text per page."""
     decoded = raw.withColumn("charset", html.pick_charset("raw")).select(
         "page_id", "charset", html.decode_html("raw", F.col("charset")).alias("html"))
     judged = decoded.withColumn("refused", looks_binary("html"))
-    blocks = html.html_blocks(judged.where("NOT refused"))
+    blocks = html.html_blocks(judged.where("NOT refused"), closed_references)
     text = blocks.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_blocks"), F.expr("listagg(text, '\n\n') WITHIN GROUP (ORDER BY seq)").alias("text"))
     status = F.when(F.col("refused"), "binary").when(F.col("text").isNull(), "no text").otherwise("ok")

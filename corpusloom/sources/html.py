@@ -17,7 +17,8 @@ from __future__ import annotations
 import codecs
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 from math import isfinite
 
@@ -62,6 +63,7 @@ SLICE = 1 << 21
 
 _CONTROLS = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0]")
 _INK = re.compile("[^\\s\ufeff]")
+_REFERENCE = re.compile("&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[0-9A-Za-z]+;)?")
 _COLUMNS = ["page_id", "seq", "kind", "text", "indent", "quoted", "marker"]
 _BLOCK_SCHEMA = "page_id long, seq long, kind string, text string, indent long, quoted boolean, marker string"
 
@@ -135,11 +137,16 @@ class _Events(HTMLParser):
         self.rows.append(("page", "", "", 0))
 
 
-def _events_or_error(html: str | None) -> list[tuple]:
+def _closed_only(html: str) -> str:
+    """Markup in which every ampersand that starts no whole reference stands for itself."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else "&amp;" + m[0][1:], html)
+
+
+def _events_or_error(html: str | None, closed: bool = False) -> list[tuple]:
     """The events of a page; a page the parser can't take is one event that says so."""
     parser = _Events()
     try:
-        parser.feed(html or "")
+        parser.feed(_closed_only(html or "") if closed else html or "")
         parser.close()
     except Exception as e:  # any page of the web may come in; one must not end the job
         return [("error", "", f"{type(e).__name__}: {e}", 0), ("page", "", "", 0)]
@@ -199,18 +206,25 @@ def _blocks(events: pd.DataFrame) -> pd.DataFrame:
     return out.assign(seq=out.groupby("page").cumcount(), marker=out["marker"].astype(object).where(out["marker"].notna(), None))
 
 
-def _page_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        pdf = pdf.reset_index(drop=True)
-        for _, pages in pdf.groupby(pdf["html"].map(lambda html: len(html or "")).cumsum() // SLICE):
-            rows = [(page, *event) for page, html in zip(pages.index, pages["html"]) for event in _events_or_error(html)]
-            blocks = _blocks(pd.DataFrame(rows, columns=["page", "event", "tag", "text", "number"]))
-            yield blocks.assign(page_id=pages["page_id"].reindex(blocks["page"]).to_numpy())[_COLUMNS]
+def _page_blocks(closed: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            for _, pages in pdf.groupby(pdf["html"].map(lambda html: len(html or "")).cumsum() // SLICE):
+                rows = [(page, *event) for page, html in zip(pages.index, pages["html"]) for event in _events_or_error(html, closed)]
+                blocks = _blocks(pd.DataFrame(rows, columns=["page", "event", "tag", "text", "number"]))
+                yield blocks.assign(page_id=pages["page_id"].reindex(blocks["page"]).to_numpy())[_COLUMNS]
+
+    return blocks_of
+
 
+def html_blocks(pages: DataFrame, closed_references: bool = False) -> DataFrame:
+    """One row per block: heading, paragraph, list item, preformatted text, rule or table row.
 
-def html_blocks(pages: DataFrame) -> DataFrame:
-    """One row per block: heading, paragraph, list item, preformatted text, rule or table row."""
-    found = pages.select("page_id", "html").mapInPandas(_page_blocks, _BLOCK_SCHEMA)
+    A browser also reads some references without their semicolon (``&amp`` at the
+    end of a cut title); with ``closed_references`` those stay as written.
+    """
+    found = pages.select("page_id", "html").mapInPandas(_page_blocks(closed_references), _BLOCK_SCHEMA)
     text = F.when(F.col("kind") == "pre", rtrim_ws(F.regexp_replace("text", "^\n", ""))).when(F.col("kind") == "error", F.col("text"))
     return found.withColumn("text", text.otherwise(collapse_ws("text")))
 
