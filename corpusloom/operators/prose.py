@@ -23,6 +23,7 @@ EDGE_SHARE = 0.08
 DEFAULT_BODY = 120
 COMPOUND = r"(\p{L}{2,}-\p{L}{2,})"
 HYPHEN_HEAD = r"(\p{L}[\p{L}'\x{2019}]*)-$"
+HYPHEN_LAST = r"-[^\p{L}\p{N}]*$"
 HYPHEN_TAIL = r"^(\p{L}[\p{L}'\x{2019}]*)"
 CLOSED = r"""[.!?:;\x{bb}\x{201d}"')\]]\s*$"""
 CONTINUED = r"^[\p{Ll}\p{Nd}]"
@@ -83,7 +84,7 @@ def repeated_edge(edge: Column, doc: str, sheet: str, text: str) -> Column:
     key, so a window holds one key of one document, or the document's other lines.
     """
     key = F.when(edge, F.nullif(furniture_key(text), F.lit("")))
-    on = F.size(F.collect_set(sheet).over(Window.partitionBy(doc, key)))
+    on = F.size(F.collect_set(F.when(key.isNotNull(), F.col(sheet))).over(Window.partitionBy(doc, key)))
     sheets = F.size(F.collect_set(sheet).over(Window.partitionBy(doc)))
     enough = F.when(sheets > ENOUGH_SHEETS, ENOUGH_SHEETS).otherwise(sheets)
     return F.coalesce(key.isNotNull() & (on >= 2) & (on >= enough), F.lit(False))
@@ -136,10 +137,15 @@ def compounds(lines: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_compounds(lines: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``seen``: the document's hyphenated compounds, for :func:`bridge`, without a second pass over the lines."""
+    """Add ``seen``: the document's hyphenated compounds, for :func:`bridge`, without a second pass over the lines.
+
+    Only lines that a hyphen ends carry them, as no other line asks; on every
+    line they would weigh lines times compounds.
+    """
     found = F.regexp_extract_all(F.lower(text), F.lit(COMPOUND), F.lit(1))
-    return (lines.withColumn("_found", F.when(F.size(found) > 0, F.array_distinct(found)))
-            .withColumn("seen", F.array_distinct(F.flatten(F.collect_list("_found").over(Window.partitionBy("doc_id"))))).drop("_found"))
+    whole = F.collect_list("_found").over(Window.partitionBy("doc_id"))
+    return (lines.withColumn("_found", F.when(F.size(found) > 0, F.array_distinct(found))).withColumn("_all", whole)
+            .withColumn("seen", F.when(F.col(text).rlike(HYPHEN_LAST), F.array_distinct(F.flatten("_all")))).drop("_found", "_all"))
 
 
 def doc_facts(documents: DataFrame, pages: DataFrame, marks: DataFrame, width: int, height: int) -> DataFrame:

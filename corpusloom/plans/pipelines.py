@@ -9,6 +9,7 @@ from ..functions.guards import looks_binary
 from ..functions.text import strip_soft_hyphen_ws
 from ..operators import catalogue as cat
 from ..operators import layout, prose, redaction
+from ..session import hashed_by
 from ..sources import html, manifest, sinks
 
 # ── fixed values: block box around its baselines, in ems and tenths of a point ──
@@ -19,9 +20,9 @@ ASCENT, DESCENT, PAD = 0.92, 0.28, 15
 def page_lines(runs: DataFrame) -> DataFrame:
     """Runs to lines with their block; each turned run is a line and a block of its own."""
     idx = F.col("row_no") * 1000 + F.col("run_no")
-    rows = layout.group_rows(runs.select("doc_id", "page_no", "baseline", "x", "w", "run_no", "text", "size", "angle", idx.alias("idx")))
-    lines = layout.to_text_lines(rows, row="row")
-    return layout.to_blocks(lines, turned=F.col("row") < 0).select(
+    rows = layout.group_rows(runs.select("doc_id", "page_no", "baseline", "x", "w", "run_no", "text", "size", "angle", idx.alias("idx")), along=True)
+    lines = layout.to_text_lines(rows, row="row", ordered=True)
+    return layout.to_blocks(hashed_by(lines, "doc_id"), turned=F.col("row") < 0).select(
         "doc_id", "page_no", "text", "x0", "x1", "baseline", "size", "block", "idx")
 
 
@@ -40,7 +41,7 @@ def corpus_to_items(runs: DataFrame, page_height: int) -> DataFrame:
     """Positioned runs to ordered, stitched and classified items of each document.
 
     Runs come hashed by document, and every step is a window, a grouping or an
-    array of one document: nothing is shuffled again, joined or written. What
+    array of one document: lines are shuffled once, and nothing is joined or written. What
     the whole document decides (body size, compounds seen whole, repeated edge
     lines) rides along as windows.
     """
@@ -56,7 +57,7 @@ def corpus_to_items(runs: DataFrame, page_height: int) -> DataFrame:
     text = F.expr("listagg(joined, '') WITHIN GROUP (ORDER BY baseline, x0)")
     items = joined.groupBy(*block, "para").agg(
         text.alias("raw"), layout.lower_median("size").cast("long").alias("size"), F.max("body").alias("body"),
-        F.max("sheets").alias("sheets"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n_lines"), F.first("seen").alias("seen"))
+        F.max("sheets").alias("sheets"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n_lines"), F.first("seen", ignorenulls=True).alias("seen"))
     items = items.withColumn("text", F.trim(strip_soft_hyphen_ws("raw"))).where("text <> ''").drop("raw")
     ordered = prose.classify(items).select(
         "doc_id", F.struct("page_no", "place", "block", "para").alias("seq"), F.col("page_no").alias("page"), "tag", "text", "sheets", "seen")

@@ -41,3 +41,12 @@ def test_lines_without_windows(spark, views):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", default)
     assert sorted(map(tuple, layout.to_text_lines(views.runs.repartition(5)).collect())) == want
+
+
+def test_compounds_only_where_asked(spark):
+    """Lines that no hyphen ends don't carry their document's compounds."""
+    from corpusloom.operators import prose
+
+    lines = spark.createDataFrame([(1, "a well-known word"), (1, "split well-"), (1, "well-­ "), (2, "none-"), (2, "plain")], "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]): r["seen"] for r in prose.with_compounds(lines).collect()}
+    assert got == {(1, "a well-known word"): None, (1, "split well-"): ["well-known"], (1, "well-­ "): ["well-known"], (2, "none-"): [], (2, "plain"): None}
