@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..functions.faces import selection_flags
 from ..session import cut_lineage
-from .layout import lower_median
 
 # ── fixed values ────────────────────────────────────────────────────────────
 SAME_PASSAGE = 0.6
@@ -272,10 +271,10 @@ def drop_trivial(marks: DataFrame) -> DataFrame:
 # merging a selection's rectangles -------------------------------------------------
 
 
-def _lines_of_page(x, y, w, h) -> list[int]:
-    """Label rectangles in (y, x) order with their line, judged by the line's lower medians so far."""
-    active, out, n = [], [], 0
-    for top, tall in zip(y, h):
+def _lines_of_page(x, y, w, h) -> list[dict]:
+    """Lines of rectangles in (y, x) order, judged by the line's lower medians so far: ends, and medians of height and bottom."""
+    active, lines = [], []
+    for left, top, wide, tall in zip(x.tolist(), y.tolist(), w.tolist(), h.tolist()):
         live, home = [], None
         for line in active:
             bottom = line["b"][(len(line["b"]) - 1) // 2]
@@ -287,26 +286,23 @@ def _lines_of_page(x, y, w, h) -> list[int]:
                 home = line
         active = live
         if home is None:
-            home = {"n": n, "h": [tall], "b": [top + tall]}
+            home = {"x": left, "right": left + wide, "h": [tall], "b": [top + tall]}
             active.append(home)
-            n += 1
+            lines.append(home)
         else:
+            home["x"], home["right"] = min(home["x"], left), max(home["right"], left + wide)
             insort(home["h"], tall), insort(home["b"], top + tall)
-        out.append(home["n"])
-    return out
+    return [{"line": n, "x": e["x"], "right": e["right"], "h": e["h"][(len(e["h"]) - 1) // 2], "b": e["b"][(len(e["b"]) - 1) // 2]}
+            for n, e in enumerate(lines)]
 
 
 def merge_rects(rects: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One rectangle per line of a page's selection; its height and bottom are lower medians."""
 
-    @F.pandas_udf("array<long>")
-    def label(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([_lines_of_page(*page) for page in zip(x, y, w, h)])
+    @F.pandas_udf("array<struct<line: long, x: long, right: long, h: long, b: long>>")
+    def lines(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([_lines_of_page(*page) for page in zip(x, y, w, h)], dtype=object)
 
     pages = rects.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "x", "w", "h"))).alias("r"))
-    lined = pages.select(*keys, F.explode(F.arrays_zip("r", label("r.x", "r.y", "r.w", "r.h").alias("line"))).alias("z")).select(
-        *keys, F.col("z.line").alias("line"), "z.r.*")
-    merged = lined.withColumn("_bottom", F.col("y") + F.col("h")).groupBy(*keys, "line").agg(
-        F.min("x").alias("x"), F.max(F.col("x") + F.col("w")).alias("_right"),
-        lower_median("h").cast("long").alias("h"), lower_median("_bottom").cast("long").alias("_b"))
-    return merged.select(*keys, "line", "x", (F.col("_b") - F.col("h")).alias("y"), (F.col("_right") - F.col("x")).alias("w"), "h")
+    merged = pages.select(*keys, F.inline(lines("r.x", "r.y", "r.w", "r.h")))
+    return merged.select(*keys, "line", "x", (F.col("b") - F.col("h")).alias("y"), (F.col("right") - F.col("x")).alias("w"), "h")

@@ -50,3 +50,16 @@ def test_compounds_only_where_asked(spark):
     lines = spark.createDataFrame([(1, "a well-known word"), (1, "split well-"), (1, "well-­ "), (2, "none-"), (2, "plain")], "doc_id long, text string")
     got = {(r["doc_id"], r["text"]): r["seen"] for r in prose.with_compounds(lines).collect()}
     assert got == {(1, "a well-known word"): None, (1, "split well-"): ["well-known"], (1, "well-­ "): ["well-known"], (2, "none-"): [], (2, "plain"): None}
+
+
+def test_first_hits_without_a_sort_of_all_hits(views):
+    from corpusloom.operators import search
+
+    assert "SortAggregate" not in search.hit_pages(search.find(views.runs, ["e"]))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merged_rects_come_from_one_grouping(spark):
+    from corpusloom.plans.registry import run_query
+
+    plan = run_query("w17_merge_rects", spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect_list" in plan
