@@ -37,6 +37,8 @@ def find(runs: DataFrame, queries: list[str]) -> DataFrame:
 
 def hit_pages(hits: DataFrame) -> DataFrame:
     """Hits per page and query, and where the first one is."""
-    place = F.struct("row_no", "run_no", "pos")
+    # one number, so that the first hit is kept in a hash table; a struct would have all hits sorted
+    step = F.lit(10**10).cast("decimal(11,0)")
+    place = ((F.col("row_no").cast("decimal(10,0)") * step + F.col("run_no")).cast("decimal(20,0)") * step + F.col("pos")).cast("decimal(38,0)")
     return hits.groupBy("doc_id", "page_no", "q").agg(
         F.count(F.lit(1)).alias("n"), F.min("row_no").alias("first_row"), F.min_by("x", place).alias("first_x"))
