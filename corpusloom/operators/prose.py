@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import Col, col
 from ..functions.geometry import points_to_mm
 from ..functions.text import human_bytes, ltrim_ws, squash_trim, tidy_line, trim_ws
+from .streamed import islands
 
 # ── fixed values ────────────────────────────────────────────────────────────
 ENOUGH_SHEETS = 3
@@ -345,12 +346,9 @@ def squeeze_blanks(lines: DataFrame, keys: Sequence[str], order: str, text: str
             .where("_keep").drop("_keep"))
 
 
-def eol_lines(items: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Concatenate items up to and including each end-of-line item."""
-    along = Window.partitionBy(*keys).orderBy(*order)
-    broken = F.coalesce(F.lag("eol").over(along), F.lit(False))
-    lines = items.withColumn("_broken", broken).withColumn("line", F.count_if("_broken").over(along))
-    return lines.groupBy(*keys, "line").agg(F.expr(f"listagg(text, '') WITHIN GROUP (ORDER BY {', '.join(order)})").alias("text"))
+def eol_lines(items: DataFrame, keys: Sequence[str], order: Sequence[str], ordered: bool = False) -> DataFrame:
+    """Concatenate items up to and including each end-of-line item (``ordered``: the items of a key already follow each other)."""
+    return islands(items, keys, order, "line", closes=F.col("eol"), ordered=ordered)
 
 
 def strip_instructions(tokens: DataFrame, keys: Sequence[str], order: Sequence[str],
