@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import Col, col
 from ..functions.geometry import points_to_mm
-from ..functions.text import human_bytes, ltrim_ws, squash_trim, tidy_line, trim_ws
+from ..functions.text import WS_CHARS, human_bytes, ltrim_ws, squash_trim, tidy_line
 from .streamed import islands
 
 # ── fixed values ────────────────────────────────────────────────────────────
@@ -327,13 +327,9 @@ def merge_runs(spans: DataFrame, keys: Sequence[str], order: Sequence[str], look
         F.expr(f"listagg(text, '') WITHIN GROUP (ORDER BY {', '.join(order)})").alias("text"))
 
 
-def absorb_spaces(spans: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Whitespace-only pieces fold into the piece before them."""
-    along = Window.partitionBy(*keys).orderBy(order)
-    lead = F.row_number().over(along) == 1
-    islands = (spans.withColumn("_new", lead | (trim_ws("text") != ""))
-               .withColumn("piece", F.count_if("_new").over(along)))
-    return islands.groupBy(*keys, "piece").agg(F.expr(f"listagg(text, '') WITHIN GROUP (ORDER BY {order})").alias("text"))
+def absorb_spaces(spans: DataFrame, keys: Sequence[str], order: str, ordered: bool = False) -> DataFrame:
+    """Whitespace-only pieces fold into the piece before them (``ordered``: the pieces of a key already follow each other)."""
+    return islands(spans, keys, [order], "piece", first=1, opens=F.col("text").rlike(f"[^{WS_CHARS}]"), ordered=ordered)
 
 
 def squeeze_blanks(lines: DataFrame, keys: Sequence[str], order: str, text: str = "line") -> DataFrame:

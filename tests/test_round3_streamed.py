@@ -26,3 +26,13 @@ def test_eol_lines_without_windows(spark, batch):
         got = prose.eol_lines(given, ["doc"], ["n"], ordered=ordered)
         assert "Window" not in plan_of(got)
         assert sorted(map(tuple, got.collect()), key=lambda r: (r[0] or 0, r[1])) == want
+
+
+def test_absorb_spaces_without_windows(spark, batch):
+    rows = [(1, 0, 0, " "), (1, 0, 1, "a"), (1, 0, 2, "  "), (1, 0, 3, " "), (1, 0, 4, "b"), (1, 1, 0, ""), (1, 1, 1, "c"), (2, 0, 0, None), (2, 0, 1, " "), (2, 0, 2, "d")]
+    pieces = spark.createDataFrame(rows, "doc long, line long, seq long, text string")
+    want = [(1, 0, 1, " "), (1, 0, 2, "a   "), (1, 0, 3, "b"), (1, 1, 1, ""), (1, 1, 2, "c"), (2, 0, 1, " "), (2, 0, 2, "d")]
+    for ordered, given in ((True, pieces.coalesce(1)), (False, pieces.orderBy("text"))):
+        got = prose.absorb_spaces(given, ["doc", "line"], "seq", ordered=ordered)
+        assert "Window" not in plan_of(got)
+        assert sorted(map(tuple, got.collect())) == want
