@@ -18,22 +18,3 @@ def col(c: Col) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``."""
     return F.transform(F.array(value), body)[0]
-
-
-def running_sums(numbers: Column, block: int = 128) -> Column:
-    """Prefix sums of an array of numbers.
-
-    Summed block by block and each block started from the sum before it, so an
-    array of n elements costs about n * block copied numbers, not n squared.
-    """
-
-    def upto(part: Column, start: Column) -> Column:
-        first = F.struct(start.alias("s"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(part, first, lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.array_append(acc["out"], acc["s"] + x).alias("out")), lambda acc: acc["out"])
-
-    n_blocks = F.ceil(F.size(numbers) / block).cast("int")
-    parts = F.transform(F.when(n_blocks > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array().cast("array<int>")), lambda b: F.slice(numbers, b * block + 1, F.lit(block)))
-    zero = F.lit(0).cast("bigint")
-    totals = F.transform(parts, lambda p: F.aggregate(p, zero, lambda acc, x: acc + x))
-    starts = F.concat(F.array(zero), upto(totals, zero))
-    return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), F.slice(starts, F.lit(1), F.greatest(n_blocks, F.lit(0))).alias("s")), lambda z: upto(z["p"], z["s"])))

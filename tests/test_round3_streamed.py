@@ -36,3 +36,16 @@ def test_absorb_spaces_without_windows(spark, batch):
         got = prose.absorb_spaces(given, ["doc", "line"], "seq", ordered=ordered)
         assert "Window" not in plan_of(got)
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_hits_are_found_batch_by_batch(spark, batch):
+    from corpusloom.operators import search
+
+    rows = [(1, "aaaaa"), (2, "The\nthe"), (3, ""), (4, None), (5, "a.c abc 𝒳a.c\0a.c"), (6, "a"), (7, "a")]
+    runs = spark.createDataFrame(rows, "run_no long, text string").selectExpr(
+        "1L doc_id", "1L page_no", "0L row_no", "run_no", "text", "10L x", "60L * length(text) w").coalesce(1)
+    hits = search.find(runs, ["aa", "the", " THE ", "a.c", ""])
+    assert "split" not in plan_of(hits)
+    got = sorted((r.run_no, r.q, r.pos, r.x, r.w) for r in hits.collect())
+    assert got == sorted([(1, "aa", 0, 10.0, 120.0), (1, "aa", 2, 130.0, 120.0)] + 2 * [(2, "the", 0, 10.0, 180.0), (2, "the", 4, 250.0, 180.0)]
+                         + [(5, "a.c", p, 10.0 + 60 * p, 180.0) for p in (0, 9, 13)])
