@@ -6,17 +6,18 @@ source row, so a group is never larger than a text the input already holds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Col, col
 from ..functions.geometry import points_to_mm
 from ..functions.text import WS_CHARS, human_bytes, ltrim_ws, squash_trim, tidy_line
-from .streamed import islands
+from .streamed import in_order, islands
 
 # ── fixed values ────────────────────────────────────────────────────────────
 ENOUGH_SHEETS = 3
@@ -358,40 +359,41 @@ def strip_instructions(tokens: DataFrame, keys: Sequence[str], order: Sequence[s
             .drop("_state"))
 
 
-def unique_names(labels: DataFrame, doc: str, order: str, label: str, slug: Column) -> DataFrame:
+def unique_names(labels: DataFrame, doc: str, order: str, label: str, slug: Column, ordered: bool = False) -> DataFrame:
     """Slugs made unique in document order with ``_2``, ``_3`` … suffixes.
 
-    Counting repeats is exact unless a suffixed name can also be spelled out
-    by a label; only such documents are walked name by name.
+    A suffixed name can also be spelled out by a label, so names are given out
+    one by one; memory is that of a batch and of the names of the longest
+    document (``ordered``: a document's labels already follow each other).
     """
-    named = labels.withColumn("_base", slug)
-    risky = named.where(F.col("_base").rlike("_[0-9]+$")).select(doc).distinct()
-    nth = F.row_number().over(Window.partitionBy(doc, "_base").orderBy(order))
-    counted = (named.join(risky, doc, "left_anti").withColumn("_n", nth)
-               .withColumn("name", F.when(F.col("_n") == 1, F.col("_base")).otherwise(
-                   F.concat("_base", F.lit("_"), F.col("_n").cast("string"))))
-               .select(doc, order, label, "name"))
-
-    @F.pandas_udf("array<string>")
-    def walk(bases: pd.Series) -> pd.Series:
-        return pd.Series([_suffix(b) for b in bases])
-
-    docs = (named.join(risky, doc, "left_semi").groupBy(doc)
-            .agg(F.array_sort(F.collect_list(F.struct(order, label, "_base"))).alias("l")))
-    walked = docs.select(doc, F.explode(F.arrays_zip(F.col("l").alias("l"), walk("l._base").alias("name"))).alias("z")).select(
-        doc, F.col(f"z.l.{order}").alias(order), F.col(f"z.l.{label}").alias(label), F.col("z.name").alias("name"))
-    return counted.unionByName(walked)
-
-
-def _suffix(bases: Sequence[str]) -> list[str]:
-    used: set[str] = set()
-    tries: dict[str, int] = {}
-    out = []
-    for base in bases:
+    named = in_order(labels.select(doc, order, label, slug.alias("_base")), [doc], [order, label], ordered)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, give = None, _Names()
+        for batch in batches:
+            names = []
+            for key, base in zip(batch[doc].to_pylist(), batch["_base"].to_pylist()):
+                if key != last:
+                    last, give = key, _Names()
+                names.append(give(base))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in (doc, order, label)), pa.array(names, pa.string())], [doc, order, label, "name"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in named.schema.fields}
+    return named.mapInArrow(name, ", ".join(f"{c} {kinds[c]}" for c in (doc, order, label)) + ", name string")
+
+
+class _Names:
+    """The names of one document so far."""
+
+    def __init__(self) -> None:
+        self.used: set[str] = set()
+        self.tries: dict[str, int] = {}
+
+    def __call__(self, base: str | None) -> str | None:
         name = base
-        while name in used:
-            tries[base] = tries.get(base, 1) + 1
-            name = f"{base}_{tries[base]}"
-        used.add(name)
-        out.append(name)
-    return out
+        while name in self.used:
+            self.tries[base] = self.tries.get(base, 1) + 1
+            name = f"{base}_{self.tries[base]}"
+        if name is not None:
+            self.used.add(name)
+        return name

@@ -49,3 +49,17 @@ def test_hits_are_found_batch_by_batch(spark, batch):
     got = sorted((r.run_no, r.q, r.pos, r.x, r.w) for r in hits.collect())
     assert got == sorted([(1, "aa", 0, 10.0, 120.0), (1, "aa", 2, 130.0, 120.0)] + 2 * [(2, "the", 0, 10.0, 180.0), (2, "the", 4, 250.0, 180.0)]
                          + [(5, "a.c", p, 10.0 + 60 * p, 180.0) for p in (0, 9, 13)])
+
+
+def test_unique_names_in_one_pass(spark, batch):
+    from corpusloom.functions.text import slug
+
+    labels = ["a", "A 2", "a", "a!", "a 2", "b", None]
+    rows = [(d, n, t) for d in (1, 2) for n, t in enumerate(labels)] + [(3, 0, "a"), (3, 1, "a")]
+    given = spark.createDataFrame(rows, "doc long, n long, label string").coalesce(1)
+    want = [(d, n, t, name) for d in (1, 2) for n, (t, name) in enumerate(zip(labels, ["a", "a_2", "a_3", "a_4", "a_2_2", "b", None]))] + [
+        (3, 0, "a", "a"), (3, 1, "a", "a_2")]
+    for ordered, df in ((True, given), (False, given.orderBy("label"))):
+        got = prose.unique_names(df, "doc", "n", "label", slug("label"), ordered=ordered)
+        assert "Join" not in plan_of(got) and "Window" not in plan_of(got)
+        assert sorted(map(tuple, got.collect())) == want
