@@ -23,6 +23,7 @@ MONO_NAMES = [
     "courier", "consolas", "monaco", "menlo", "liberation mono", "dejavu sans mono",
     "lucida console", "cumberland", "nimbus mono", "source code", "roboto mono", "monospace",
 ]
+LATIN_1 = r"[\x00-\xff]+"
 # Anything outside what a standard Western face can draw: Latin-1 and the Windows-1252 extras.
 NOT_WESTERN = (r"[^\x00-\xff\x{20ac}\x{201a}\x{192}\x{201e}\x{2026}\x{2020}\x{2021}\x{2c6}\x{2030}"
                r"\x{160}\x{2039}\x{152}\x{17d}\x{2018}\x{2019}\x{201c}\x{201d}\x{2022}\x{2013}"
@@ -62,4 +63,5 @@ def selection_flags(face: Col) -> dict[str, Column]:
 
 
 def needs_unicode(c: Col) -> Column:
-    return col(c).rlike(NOT_WESTERN)
+    """Whether a text holds a character beyond a Western face; the many ranges are tried on what is not Latin-1 only."""
+    return F.regexp_replace(col(c), LATIN_1, "").rlike(NOT_WESTERN)

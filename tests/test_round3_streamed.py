@@ -63,3 +63,12 @@ def test_unique_names_in_one_pass(spark, batch):
         got = prose.unique_names(df, "doc", "n", "label", slug("label"), ordered=ordered)
         assert "Join" not in plan_of(got) and "Window" not in plan_of(got)
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_western_text_is_passed_over_before_the_many_ranges(spark):
+    from corpusloom.functions.faces import needs_unicode
+
+    texts = ["", "plain \xff\n", "€5 … Ÿ", "Ā", "a€bœcあ", "a" * 5000 + "\U0001f600", " ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(needs_unicode("text").alias("wide"))
+    assert [r.wide for r in df.collect()] == [False, False, False, True, True, True, True, None]
+    assert r"[\x00-\xff]+" in df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().analyzed().toString()
