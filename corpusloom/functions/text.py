@@ -35,6 +35,11 @@ EXTENSIONS = {
 # ────────────────────────────────────────────────────────────────────────────
 
 
+def _but_ascii(ws: str) -> str:
+    """The same class of white space; a visible ASCII character fails its first test, not each range in turn."""
+    return f"[[^!-~]&&{ws}]"
+
+
 def ltrim_ws(c: Col) -> Column:
     return F.regexp_replace(col(c), f"^{WS}+", "")
 
@@ -49,7 +54,7 @@ def trim_ws(c: Col) -> Column:
 
 def squash_ws(c: Col) -> Column:
     """Every run of whitespace becomes one space (a lone space is left as it is)."""
-    return F.regexp_replace(col(c), f"{WS}{{2,}}|{WS_NOT_SPACE}", " ")
+    return F.regexp_replace(col(c), f"{_but_ascii(WS)}{{2,}}|{_but_ascii(WS_NOT_SPACE)}", " ")
 
 
 def squash_trim(c: Col) -> Column:
@@ -130,17 +135,18 @@ def tidy_fragments(fragments: Col) -> Column:
     def retext(frag: Column, text: Column) -> Column:
         return frag.withField("text", text)
 
-    def trim_first(frags: Column) -> Column:
-        return F.transform(frags, lambda f, i: F.when(i == 0, retext(f, ltrim_ws(f["text"]))).otherwise(f))
+    def trim_ends(frags: Column) -> Column:
+        def trimmed(f: Column, i: Column) -> Column:
+            t, last = f["text"], i == F.size(frags) - 1
+            ends = F.when((i == 0) & last, trim_ws(t)).when(i == 0, ltrim_ws(t)).otherwise(rtrim_ws(t))
+            return F.when((i > 0) & ~last, f).otherwise(retext(f, ends))
 
-    def trim_last(frags: Column) -> Column:
-        return let(F.size(frags) - 1, lambda n: F.transform(
-            frags, lambda f, i: F.when(i == n, retext(f, rtrim_ws(f["text"]))).otherwise(f)))
+        return F.transform(frags, trimmed)
 
     cleaned = F.filter(
         F.transform(col(fragments), lambda f: retext(f, strip_soft_hyphen_ws(f["text"]))),
         lambda f: f["text"] != "")
-    return F.filter(let(trim_first(cleaned), trim_last), lambda f: f["text"] != "")
+    return F.filter(let(cleaned, trim_ends), lambda f: f["text"] != "")
 
 
 def one_line(c: Col, most: int | None = 200) -> Column:

@@ -60,9 +60,9 @@ def f7_strip_soft_hyphen_ws(v: Views) -> DataFrame:
     soft = F.replace(F.col("line"), F.lit("e"), F.lit("e" + chr(0xAD)))
     pieces = F.transform(F.split(soft, " "), lambda w: F.struct(F.concat(F.lit(" "), w, F.lit("  ")).alias("text"),
                                                                 F.lit(False).alias("bold"), F.lit(False).alias("italic")))
-    tidy = text.tidy_fragments(pieces)
-    return v.lines.select("doc_id", "line_no", F.size(tidy).cast("long").alias("n"),
-                          F.array_join(F.transform(tidy, lambda f: f["text"]), "|").alias("out"))
+    tidy = v.lines.select("doc_id", "line_no", text.tidy_fragments(pieces).alias("tidy"))  # worked out once, read twice
+    return tidy.select("doc_id", "line_no", F.size("tidy").cast("long").alias("n"),
+                       F.array_join(F.transform("tidy", lambda f: f["text"]), "|").alias("out"))
 
 
 @plan

@@ -72,3 +72,19 @@ def test_western_text_is_passed_over_before_the_many_ranges(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").select(needs_unicode("text").alias("wide"))
     assert [r.wide for r in df.collect()] == [False, False, False, True, True, True, True, None]
     assert r"[\x00-\xff]+" in df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().analyzed().toString()
+
+
+def test_fragments_are_tidied_once(spark):
+    from corpusloom.functions.text import squash_ws, tidy_fragments
+    from corpusloom.plans.registry import run_query
+    from .conftest import SMALL
+
+    plan = run_query("f7_strip_soft_hyphen_ws", spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f",{chr(0xAD)},") + plan.count(f", {chr(0xAD)},") == 1
+    cases = [([" \xad a 　b ", " ", "c\t "], ["a b ", " ", "c"]), ([" a\xad "], ["a"]), ([" ", "x", "\n"], ["x"]), (["\xad"], []), ([], []), (["~ !"], ["~ !"])]
+    df = spark.createDataFrame([([(t,) for t in given],) for given, _ in cases], "f array<struct<text string>>")
+    assert [[f.text for f in r.t] for r in df.select(tidy_fragments("f").alias("t")).collect()] == [want for _, want in cases]
+    odd = "".join(map(chr, [*range(1, 0x100), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), 0x3000, 0xFEFF]))
+    squashed = "".join(" " if c in "\t\n\x0b\f\r \xa0     　﻿" or 0x2000 <= ord(c) <= 0x200A else c for c in odd)
+    import re
+    assert spark.createDataFrame([(odd,)], "t string").select(squash_ws("t")).first()[0] == re.sub("  +", " ", squashed)
