@@ -37,7 +37,7 @@ def write_bundle(chunks: DataFrame, path: str, by: Sequence[str], text: str = "t
     try:
         dealt = chunks.repartition(*by)  # a chunk is bounded by the rule that cut it
         dealt.write.partitionBy(*by).option("maxRecordsPerFile", max_records).parquet(f"{stage}/data")
-        written = spark.read.schema(chunks.schema).parquet(f"{stage}/data")
+        written = _opened(spark, f"{stage}/data", chunks.schema)
         written.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(text)).alias("chars")).write.json(f"{stage}/manifest")
         _put_in_place(spark, stage, path)
     finally:
@@ -45,7 +45,21 @@ def write_bundle(chunks: DataFrame, path: str, by: Sequence[str], text: str = "t
 
 
 def read_bundle(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/data").select(*schema.names)
+    return _opened(spark, f"{path}/data", schema).select(*schema.names)
+
+
+def _opened(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Parquet below folders of folders, listed by as many tasks a level as there are cores.
+
+    Spark takes a task per folder otherwise, and most of its time for starting them.
+    """
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    default = spark.conf.get(key)
+    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        return spark.read.schema(schema).parquet(path)
+    finally:
+        spark.conf.set(key, default)
 
 
 def _folder(spark: SparkSession, path: str) -> tuple:

@@ -88,3 +88,25 @@ def test_fragments_are_tidied_once(spark):
     squashed = "".join(" " if c in "\t\n\x0b\f\r \xa0     　﻿" or 0x2000 <= ord(c) <= 0x200A else c for c in odd)
     import re
     assert spark.createDataFrame([(odd,)], "t string").select(squash_ws("t")).first()[0] == re.sub("  +", " ", squashed)
+
+
+def test_bundle_is_listed_by_a_task_per_core(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusloom.sources import sinks
+
+    folders = 3 * max(32, spark.sparkContext.defaultParallelism)
+    chunks = spark.range(folders).select(F.col("id").alias("chunk"), F.lit("text").alias("text"))
+    sinks.write_bundle(chunks, str(tmp_path / "bundle"), ["chunk"])
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        back = sinks.read_bundle(spark, str(tmp_path / "bundle"), chunks.schema)
+        status = spark.sparkContext.statusTracker()
+        stages = [s for j in status.getJobIdsForGroup("listing") for s in status.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and all(status.getStageInfo(s).numTasks <= spark.sparkContext.defaultParallelism for s in stages)
+    assert spark.conf.get(key) == before
+    assert back.count() == folders
