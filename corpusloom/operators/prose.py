@@ -132,9 +132,13 @@ def with_body_size(lines: DataFrame, size: str = "size", text: str = "text", ord
             .withColumn("body", F.max_by("_k", "_w").over(Window.partitionBy("doc_id"))).drop("_k", "_w"))
 
 
+def _compounds_of(text: str) -> Column:
+    return F.when(F.col(text).contains("-"), F.regexp_extract_all(F.lower(text), F.lit(COMPOUND), F.lit(1)))
+
+
 def compounds(lines: DataFrame, text: str = "text") -> DataFrame:
     """Hyphenated compounds seen whole inside a line, per document."""
-    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(COMPOUND), F.lit(1))))
+    found = F.explode(F.array_distinct(_compounds_of(text)))
     return lines.select("doc_id", found.alias("compound")).distinct()
 
 
@@ -144,7 +148,7 @@ def with_compounds(lines: DataFrame, text: str = "text") -> DataFrame:
     Only lines that a hyphen ends carry them, as no other line asks; on every
     line they would weigh lines times compounds.
     """
-    found = F.regexp_extract_all(F.lower(text), F.lit(COMPOUND), F.lit(1))
+    found = _compounds_of(text)
     whole = F.collect_list("_found").over(Window.partitionBy("doc_id"))
     return (lines.withColumn("_found", F.when(F.size(found) > 0, F.array_distinct(found))).withColumn("_all", whole)
             .withColumn("seen", F.when(F.col(text).rlike(HYPHEN_LAST), F.array_distinct(F.flatten("_all")))).drop("_found", "_all"))
@@ -183,8 +187,9 @@ def paragraphs(lines: DataFrame, block: Sequence[str], order: Sequence[str]) ->
 
 
 def _joint(head_text: Column, next_text: Column) -> tuple[Column, Column, Column]:
-    head = F.regexp_extract(head_text, HYPHEN_HEAD, 1)
-    tail = F.regexp_extract(ltrim_ws(next_text), HYPHEN_TAIL, 1)
+    # few lines hold a hyphen, and the next line is only asked about behind those
+    head = F.when(head_text.contains("-"), F.regexp_extract(head_text, HYPHEN_HEAD, 1)).otherwise("")
+    tail = F.when(head != "", F.regexp_extract(ltrim_ws(next_text), HYPHEN_TAIL, 1)).otherwise("")
     return head, tail, F.lower(F.concat(head, F.lit("-"), tail))
 
 

@@ -122,3 +122,13 @@ def test_rows_are_labelled_in_arrow(views):
     columns = [10, 11, 60, 10, 10, 60], [10] * 6, [0, 0, 0, 0, 45, 0]
     assert layout._rows_of_pages(*map(pa.array, columns), [3, 0, 3]).tolist() == [0, 0, 1, 0, -2, 1]
     assert layout._rows_of_pages(*(pa.array([], pa.int64()) for _ in columns), [0]).tolist() == []
+
+
+@pytest.mark.parametrize("name", ["w7_bridge", "w6_stitch"])
+def test_wrapped_lines_are_made_once(spark, name):
+    from corpusloom.plans.registry import run_query
+
+    from .conftest import SMALL
+
+    plan = run_query(name, spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
