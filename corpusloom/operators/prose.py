@@ -79,15 +79,16 @@ def drop_furniture(lines: DataFrame, edge: Column, doc: str, sheet: str, text: s
     return lines.where(~edge).unionByName(at_edge.join(repeated, [doc, "_key"], "left_anti").select(*lines.columns))
 
 
-def repeated_edge(edge: Column, doc: str, sheet: str, text: str) -> Column:
+def repeated_edge(edge: Column, doc: str, sheet: str, text: Col, sheets: Column | None = None) -> Column:
     """Whether :func:`drop_furniture` would remove a line, as windows over its document.
 
     For lines that are partitioned by document already. Only edge lines carry a
     key, so a window holds one key of one document, or the document's other lines.
+    ``sheets`` is the number of the document's sheets, where it is known.
     """
     key = F.when(edge, F.nullif(furniture_key(text), F.lit("")))
     on = F.size(F.collect_set(F.when(key.isNotNull(), F.col(sheet))).over(Window.partitionBy(doc, key)))
-    sheets = F.size(F.collect_set(sheet).over(Window.partitionBy(doc)))
+    sheets = F.size(F.collect_set(sheet).over(Window.partitionBy(doc))) if sheets is None else sheets
     enough = F.when(sheets > ENOUGH_SHEETS, ENOUGH_SHEETS).otherwise(sheets)
     return F.coalesce(key.isNotNull() & (on >= 2) & (on >= enough), F.lit(False))
 
@@ -125,11 +126,33 @@ def body_size(lines: DataFrame, size: str = "size", text: str = "text", order: s
 
 def with_body_size(lines: DataFrame, size: str = "size", text: str = "text", order: str = "row_no") -> DataFrame:
     """Add the document's body size to every line without a second pass over the lines."""
-    by_size = Window.partitionBy("doc_id", "_k")
-    weight = F.struct(F.sum(F.length(text)).over(by_size).alias("n"), (-F.min(order).over(by_size)).alias("first"))
     half_point = (F.floor(F.col(size) / 5 + 0.5) * 5).cast("long")
-    return (lines.withColumn("_k", half_point).withColumn("_w", weight)
-            .withColumn("body", F.max_by("_k", "_w").over(Window.partitionBy("doc_id"))).drop("_k", "_w"))
+    weighed = _weighed(lines.withColumn("_k", half_point), "_k", F.length(text), F.col(order))
+    return weighed.withColumn("body", _heaviest("_k")).drop("_k", "_w")
+
+
+def _weighed(lines: DataFrame, k: str, n: Column, first: Column) -> DataFrame:
+    by_size = Window.partitionBy("doc_id", k)
+    return lines.withColumn("_w", F.struct(F.sum(n).over(by_size).alias("n"), (-F.min(first).over(by_size)).alias("first")))
+
+
+def _heaviest(k: str) -> Column:
+    return F.max_by(k, "_w").over(Window.partitionBy("doc_id"))
+
+
+def with_document_facts(paras: DataFrame) -> DataFrame:
+    """Add ``body`` and ``seen``, as :func:`with_body_size` and :func:`with_compounds` do, to paragraphs that hold their ``lines``.
+
+    Some rows, with or without lines, count the ``n`` characters in a size ``k`` and say where it is seen ``first``.
+    """
+    hyphened = F.filter("lines", lambda line: line.contains("-"))
+    found = F.flatten(F.transform(hyphened, lambda line: F.regexp_extract_all(F.lower(line), F.lit(COMPOUND), F.lit(1))))
+    any_hyphen = F.exists("lines", lambda line: line.contains("-"))
+    marked = _weighed(paras, "k", F.col("n"), F.col("first")).withColumn("_found", F.when(any_hyphen, F.array_distinct(found)))
+    whole = F.collect_list("_found").over(Window.partitionBy("doc_id"))
+    asks = F.exists("lines", lambda line: line.contains("-") & line.rlike(HYPHEN_LAST))
+    return (marked.select(*marked.columns, _heaviest("k").alias("body"), whole.alias("_all"))
+            .withColumn("seen", F.when(asks, F.array_distinct(F.flatten("_all")))).drop("_w", "_found", "_all"))
 
 
 def _compounds_of(text: str) -> Column:
@@ -193,6 +216,13 @@ def _joint(head_text: Column, next_text: Column) -> tuple[Column, Column, Column
     return head, tail, F.lower(F.concat(head, F.lit("-"), tail))
 
 
+def _joined(text: Column, following: Column, pair: Column, stays: Column) -> Column:
+    return (F.when(following.isNull() | (text == ""), text)
+            .when(pair & stays, text)
+            .when(pair, F.substring(text, F.lit(1), F.length(text) - 1))
+            .when(text.rlike(r"\s$"), text).otherwise(F.concat(text, F.lit(" "))))
+
+
 def bridge(lines: DataFrame, seen: DataFrame | None, keys: Sequence[str], order: Sequence[str], text: str = "text") -> DataFrame:
     """Add ``joined``: each line's text as it reads once the next line follows it.
 
@@ -213,14 +243,23 @@ def bridge(lines: DataFrame, seen: DataFrame | None, keys: Sequence[str], order:
     else:
         known = seen.select("doc_id", F.col("compound").alias("_word"), F.lit(True).alias("_whole"))
         met = marked.join(known, ["doc_id", "_word"], "left")
-    joined = (F.when(F.col("_next").isNull() | (F.col(text) == ""), F.col(text))
-              .when(F.col("_pair") & (F.col("_capital") | F.col("_whole").isNotNull()), F.col(text))
-              .when(F.col("_pair"), F.substring(F.col(text), F.lit(1), F.length(text) - 1))
-              .when(F.col(text).rlike(r"\s$"), F.col(text)).otherwise(F.concat(F.col(text), F.lit(" "))))
+    joined = _joined(F.col(text), F.col("_next"), F.col("_pair"), F.col("_capital") | F.col("_whole").isNotNull())
     return (met.withColumn("joined", joined)
             .drop("_next", "_pair", "_capital", "_word", "_whole"))
 
 
+def joined_lines(lines: str, seen: str) -> Column:
+    """The text of lines in an array, joined as :func:`bridge` joins them."""
+
+    def one(line: Column, i: Column) -> Column:
+        following = F.get(lines, i + 1)
+        head, tail, compound = _joint(line, following)
+        pair = F.coalesce((head != "") & (tail != ""), F.lit(False))
+        return _joined(line, following, pair, tail.rlike(r"^\p{Lu}") | F.coalesce(F.array_contains(seen, compound), F.lit(False)))
+
+    return F.array_join(F.transform(lines, one), "")
+
+
 def join_lines(bridged: DataFrame, keys: Sequence[str], order: str, **extra: Column) -> DataFrame:
     """Concatenate bridged lines in order."""
     return bridged.groupBy(*keys).agg(F.expr(f"listagg(joined, '') WITHIN GROUP (ORDER BY {order})").alias("text"),

@@ -2,71 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import looks_binary
 from ..functions.text import strip_soft_hyphen_ws
 from ..operators import catalogue as cat
-from ..operators import layout, prose, redaction
+from ..operators import pages, prose, redaction
+from ..operators.pages import page_lines
 from ..session import hashed_by
 from ..sources import html, manifest, sinks
 
-# ── fixed values: block box around its baselines, in ems and tenths of a point ──
-ASCENT, DESCENT, PAD = 0.92, 0.28, 15
-# ────────────────────────────────────────────────────────────────────────────
 
-
-def page_lines(runs: DataFrame) -> DataFrame:
-    """Runs to lines with their block; each turned run is a line and a block of its own."""
-    idx = F.col("row_no") * 1000 + F.col("run_no")
-    rows = layout.group_rows(runs.select("doc_id", "page_no", "baseline", "x", "w", "run_no", "text", "size", "angle", idx.alias("idx")), along=True)
-    lines = layout.to_text_lines(rows, row="row", ordered=True)
-    return layout.to_blocks(hashed_by(lines, "doc_id"), turned=F.col("row") < 0).select(
-        "doc_id", "page_no", "text", "x0", "x1", "baseline", "size", "block", "idx")
-
-
-def without_furniture(lines: DataFrame, page_height: int) -> DataFrame:
+def without_furniture(paras: DataFrame) -> DataFrame:
     """Drop one-line blocks in the top or bottom strip that repeat from page to page."""
-    block = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page_no", "block"))
-    sized = lines.withColumn("n_lines", block)
-    top = F.col("baseline") - F.col("size") * ASCENT - PAD
-    bottom = F.col("baseline") + F.col("size") * DESCENT + PAD
-    edge = (F.col("n_lines") == 1) & ((top < page_height * prose.EDGE_SHARE) | (bottom > page_height * (1 - prose.EDGE_SHARE)))
-    marked = sized.withColumn("edge", edge).withColumn("repeated", prose.repeated_edge(F.col("edge"), "doc_id", "page_no", "text"))
-    return marked.where("NOT repeated").drop("n_lines", "edge", "repeated")
+    repeated = prose.repeated_edge(F.col("edge"), "doc_id", "page_no", F.get("lines", F.lit(0)), F.col("pages"))
+    return paras.withColumn("repeated", repeated).where("NOT repeated").drop("repeated")
 
 
-def corpus_to_items(runs: DataFrame, page_height: int) -> DataFrame:
-    """Positioned runs to ordered, stitched and classified items of each document.
+def corpus_to_items(rows: DataFrame, page_height: int, unpack: pages.Unpack | None = None) -> DataFrame:
+    """Positioned runs, or rows that ``unpack`` makes runs of, to ordered, stitched and classified items of each document.
 
-    Runs come hashed by document, and every step is a window, a grouping or an
-    array of one document: lines are shuffled once, and nothing is joined or written. What
-    the whole document decides (body size, compounds seen whole, repeated edge
+    Rows are hashed by document once; lines, blocks and paragraphs come out of
+    one step. Paragraphs with their lines are hashed once more, and from there
+    every step is a window or a grouping of one document. What the
+    whole document decides (body size, compounds seen whole, repeated edge
     lines) rides along as windows.
     """
-    sheets = F.max("page_no").over(Window.partitionBy("doc_id"))
-    kept = without_furniture(page_lines(runs).withColumn("sheets", sheets), page_height)
+    paras = prose.with_document_facts(without_furniture(hashed_by(pages.page_paragraphs(rows, page_height, unpack), "doc_id")))
+    # exploded, as a filter on a plain column would have the text made twice
+    text = F.trim(strip_soft_hyphen_ws(prose.joined_lines("lines", "seen")))
+    items = paras.select("doc_id", "page_no", "place", "block", "para", "n_lines", "size", "body", "sheets", "seen",
+                         F.explode(F.filter(F.array(text), lambda t: t != "")).alias("text"))
     # a block is read where its earliest run came in the content stream
-    place = F.min("idx").over(Window.partitionBy("doc_id", "page_no", "block"))
-    lines = prose.with_compounds(prose.with_body_size(kept.withColumn("sighted", F.col("page_no") * 1_000_000_000 + F.col("idx")), order="sighted").drop("sighted")).withColumn("place", place)
-
-    block = ["doc_id", "page_no", "block"]
-    paras = prose.paragraphs(layout.with_align(lines, block, "baseline"), block, ["baseline", "x0"])
-    joined = prose.bridge(paras, None, [*block, "para"], ["baseline", "x0"])
-    text = F.expr("listagg(joined, '') WITHIN GROUP (ORDER BY baseline, x0)")
-    items = joined.groupBy(*block, "para").agg(
-        text.alias("raw"), layout.lower_median("size").cast("long").alias("size"), F.max("body").alias("body"),
-        F.max("sheets").alias("sheets"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n_lines"), F.first("seen", ignorenulls=True).alias("seen"))
-    items = items.withColumn("text", F.trim(strip_soft_hyphen_ws("raw"))).where("text <> ''").drop("raw")
     ordered = prose.classify(items).select(
         "doc_id", F.struct("page_no", "place", "block", "para").alias("seq"), F.col("page_no").alias("page"), "tag", "text", "sheets", "seen")
     return prose.stitch(ordered, None)
 
 
-def corpus_to_chunks(runs: DataFrame, page_height: int, limit: int = prose.CHUNK_CHARS) -> DataFrame:
+def corpus_to_chunks(rows: DataFrame, page_height: int, limit: int = prose.CHUNK_CHARS, unpack: pages.Unpack | None = None) -> DataFrame:
     """The items of :func:`corpus_to_items`, cut into chunks."""
-    return prose.chunk(corpus_to_items(runs, page_height), limit).select("doc_id", "chunk", "item", "page", "tag", "text")
+    return prose.chunk(corpus_to_items(rows, page_height, unpack), limit).select("doc_id", "chunk", "item", "page", "tag", "text")
 
 
 def contents(chunks: DataFrame, titles: DataFrame) -> DataFrame:
