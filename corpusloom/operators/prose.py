@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import Col, col
 from ..functions.geometry import points_to_mm
 from ..functions.text import WS_CHARS, human_bytes, ltrim_ws, squash_trim, tidy_line
+from ..session import hashed_by
 from .streamed import in_order, islands
 
 # ── fixed values ────────────────────────────────────────────────────────────
@@ -314,11 +315,12 @@ def _chunks_of_doc(is_h1: np.ndarray, length: np.ndarray, sheets: int, limit: in
     return out
 
 
-def chunk(items: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
+def chunk(items: DataFrame, limit: int = CHUNK_CHARS, length: Column | None = None) -> DataFrame:
     """Add ``chunk`` (1-based): a new one at each h1, or once the open one is over size.
 
     Headings stop opening chunks in a document with more of them than sheets.
-    Items carry ``doc_id, item, tag, text, sheets``.
+    Items carry ``doc_id, item, tag, text, sheets``; ``length`` is that of their
+    texts, where they don't carry them all.
     """
 
     @F.pandas_udf("array<long>")
@@ -327,7 +329,7 @@ def chunk(items: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
 
     # only lengths and flags travel to Python; the items wait in their document's array
     rest = [c for c in items.columns if c not in ("doc_id", "item")]
-    whole = F.struct("item", *rest, (F.col("tag") == "h1").alias("_h1"), F.length("text").cast("long").alias("_n"))
+    whole = F.struct("item", *rest, (F.col("tag") == "h1").alias("_h1"), (F.length("text") if length is None else length).cast("long").alias("_n"))
     docs = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(whole), lambda a, b: F.when(a["item"] < b["item"], -1).otherwise(1)).alias("i"), F.max("sheets").alias("s"))
     labelled = docs.withColumn("chunk", label("i._h1", "i._n", "s"))
     return labelled.select("doc_id", F.inline(F.transform(F.arrays_zip("i", "chunk"), lambda z: F.struct(
@@ -343,13 +345,15 @@ def zero_padded(n: str, width: int) -> Column:
 def toc(chunked: DataFrame, titles: DataFrame) -> DataFrame:
     """Contents: every h1 linked to its chunk file or an anchor inside it.
 
-    A document without headings gets one line carrying its title.
+    A document without headings gets one line carrying its title. Only
+    headings bring their text along, and rows are hashed once, by document.
     """
     whole = Window.partitionBy("doc_id")
     doc = whole.orderBy("item")
     in_chunk = Window.partitionBy("doc_id", "chunk").orderBy("item")
     heading = F.col("tag") == "h1"
-    marked = (chunked.withColumn("_first", F.row_number().over(in_chunk) == 1).withColumn("_h", F.count_if(heading).over(doc))
+    rows = hashed_by(chunked.select("doc_id", "chunk", "item", "tag", F.when(heading, F.col("text")).alias("text")), "doc_id")
+    marked = (rows.withColumn("_first", F.row_number().over(in_chunk) == 1).withColumn("_h", F.count_if(heading).over(doc))
               .withColumn("_all", F.count_if(heading).over(whole)).withColumn("_lead", F.row_number().over(doc) == 1)
               .where(heading | ((F.col("_all") == 0) & F.col("_lead"))))
     file = F.concat(F.lit("c"), zero_padded("chunk", 3), F.lit(".xhtml"))

@@ -45,9 +45,14 @@ def corpus_to_chunks(rows: DataFrame, page_height: int, limit: int = prose.CHUNK
     return prose.chunk(corpus_to_items(rows, page_height, unpack), limit).select("doc_id", "chunk", "item", "page", "tag", "text")
 
 
-def contents(chunks: DataFrame, titles: DataFrame) -> DataFrame:
-    """Contents list of chunked documents: each h1 linked to its chunk, or the title where there is none."""
-    return prose.toc(chunks, titles)
+def corpus_to_contents(rows: DataFrame, titles: DataFrame, page_height: int, limit: int = prose.CHUNK_CHARS, unpack: pages.Unpack | None = None) -> DataFrame:
+    """Contents lists of the chunks of :func:`corpus_to_chunks`: each h1 linked to its chunk, or the title where there is none.
+
+    Items are cut into chunks by their lengths, so only headings keep their text.
+    """
+    items = corpus_to_items(rows, page_height, unpack).withColumn("chars", F.length("text"))
+    headings = items.withColumn("text", F.when(F.col("tag") == "h1", F.col("text")))
+    return prose.toc(prose.chunk(headings, limit, F.col("chars")), titles)
 
 
 def ingest(files: DataFrame, previous: DataFrame, generated: str) -> DataFrame:

@@ -42,11 +42,22 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["c2_corpus_to_chunks", "c2_contents"])
-def test_chunks_without_steps_over_runs(spark, name):
-    """Documents become paragraphs in one step: the text is hashed twice, and no run is a row."""
+@pytest.mark.parametrize("name, shuffles", [("c2_corpus_to_chunks", 2), ("c2_contents", 3)])
+def test_chunks_without_steps_over_runs(spark, name, shuffles):
+    """Documents become paragraphs in one step and no run is a row; contents add a shuffle of items."""
     plan = plan_of(run_query(name, spark, SMALL))
-    assert (plan.count("MapInArrow"), plan.count("REPARTITION_BY_NUM")) == (1, 2)
+    assert (plan.count("MapInArrow"), plan.count("Exchange hashpartitioning")) == (1, shuffles)
+
+
+def test_contents_need_texts_of_headings_only(spark):
+    """Lists are the same whether items bring their texts or their lengths."""
+    rows = [(d, i, "h1" if (d * 7 + i) % 5 == d % 3 else "p", f"text {d} {i} " * (i + 1), 9) for d in range(4) for i in range(12)]
+    items = spark.createDataFrame(rows, "doc_id long, item long, tag string, text string, sheets long")
+    titles = spark.createDataFrame([(d, f"Document {d}") for d in range(4)], "doc_id long, title string")
+    bare = items.withColumn("chars", F.length("text")).withColumn("text", F.when(F.col("tag") == "h1", F.col("text")))
+    want = sorted(map(tuple, prose.toc(prose.chunk(items, 60), titles).collect()))
+    assert sorted(map(tuple, prose.toc(prose.chunk(bare, 60, F.col("chars")), titles).collect())) == want
+    assert len({href.split("#")[0] for _, _, href, _ in want}) > 2
 
 
 def test_runs_made_in_batches(spark):
